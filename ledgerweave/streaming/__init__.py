@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reconciliation has no streaming input, watermark or stateful operator:
+every run reads two complete books.  Nothing here is needed to reproduce it;
+see README ("What is not built").
+"""
