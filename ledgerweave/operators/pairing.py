@@ -202,7 +202,7 @@ def with_vendor_names(rows: DataFrame) -> DataFrame:
 
 
 PAIR_COLUMNS = ["pair_id", *KEY, "mapping", "remarks", "reason", "vendor_name", "invoice_type", "sheet",
-                "fuzzy_reason", "pr_exists", *PR_VALUES, *B2_VALUES]
+                "sheet_rank", "fuzzy_reason", "pr_exists", *PR_VALUES, *B2_VALUES]
 
 
 def build_pairs(pr_cons: DataFrame, b2_cons: DataFrame, materialize=None) -> DataFrame:

@@ -159,7 +159,7 @@ B2_LAND = f"""
 b2_land0 AS (
   SELECT CASE WHEN is_cdnr THEN 'B2B-CDNR' ELSE 'B2B' END AS sheet, {LINE_ORDER},
     CASE WHEN ok % 17 = 0 THEN replace(gstin, 'F1Z', 'FIZ') ELSE gstin END AS gstin_raw,
-    CASE WHEN is_cdnr AND ok % 47 = 0 THEN '/24-25' WHEN is_cdnr THEN 'CN/' || CAST(ok AS VARCHAR)
+    CASE WHEN is_cdnr AND ok % 47 = 0 THEN '/24-25' WHEN is_cdnr AND ok % 53 = 0 THEN inv WHEN is_cdnr THEN 'CN/' || CAST(ok AS VARCHAR)
          WHEN ok % 17 = 0 THEN 'INV-' || CAST(ok AS VARCHAR) ELSE inv END AS inv_raw,
     strftime(CASE WHEN ok % 13 = 0 THEN inv_date + 1 ELSE inv_date END, '%d-%m-%Y') AS date_raw,
     CASE WHEN is_cdnr THEN (CASE WHEN ok % 3 = 0 THEN 'Debit Note' ELSE 'Credit Note' END) ELSE 'Regular' END AS inv_type,

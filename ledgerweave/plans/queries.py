@@ -187,3 +187,552 @@ SELECT d.status, CAST(d.pos AS INTEGER) AS pos,
 FROM d LEFT JOIN s ON d.status = s.status""")
 def _a5(spark, sf):
     return DB.dashboard(get_run(spark, sf).pairs)
+
+
+# =================================================================== more scalar rules
+@register("render_date", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id,
+       coalesce(strftime(pr_date, '%d-%m-%Y'), '') AS pr_date_display, coalesce(strftime(pr_date, '%Y%m%d'), '') AS pr_date_key,
+       coalesce(strftime(pr_date, '%Y-%m-%d'), '') AS pr_date_iso, coalesce(strftime(b2_date, '%d-%m-%Y'), '') AS b2_date_display,
+       coalesce(strftime(b2_date, '%Y%m%d'), '') AS b2_date_key, coalesce(strftime(b2_date, '%Y-%m-%d'), '') AS b2_date_iso
+FROM pairs""")
+def _n7(spark, sf):
+    p = get_run(spark, sf).pairs
+    return p.select(F.col("pair_id").cast("bigint"),
+                    N.display_date("pr_date").alias("pr_date_display"), N.key_date("pr_date").alias("pr_date_key"),
+                    N.iso_date("pr_date").alias("pr_date_iso"), N.display_date("b2_date").alias("b2_date_display"),
+                    N.key_date("b2_date").alias("b2_date_key"), N.iso_date("b2_date").alias("b2_date_iso"))
+
+
+@register("concat_key", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, gst_key || '|' || inv_key AS pair_key FROM pairs""")
+def _n8(spark, sf):
+    return get_run(spark, sf).pairs.select(F.col("pair_id").cast("bigint"),
+                                           N.concat_key("gst_key", "inv_key").alias("pair_key"))
+
+
+@register("fuzzy_gstin", O.with_stage("pairs") + f"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id, gst_key, {O.fuzzy_g('gst_key')} AS fuzzy_gstin FROM pairs""")
+def _n9(spark, sf):
+    return get_run(spark, sf).pairs.select(F.col("pair_id").cast("bigint"), "gst_key",
+                                           N.fuzzy_gstin("gst_key").alias("fuzzy_gstin"))
+
+
+@register("fuzzy_invoice", O.with_stage("pairs") + f"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id, inv_key, {O.fuzzy_i('inv_key')} AS fuzzy_invoice FROM pairs""")
+def _n10(spark, sf):
+    return get_run(spark, sf).pairs.select(F.col("pair_id").cast("bigint"), "inv_key",
+                                           N.fuzzy_invoice("inv_key").alias("fuzzy_invoice"))
+
+
+@register("gstin_check", O.with_stage("lines") + f"""
+SELECT sheet, CAST(row_no AS BIGINT) AS row_no, {O.is_gstin('gstin_raw')} AS gstin_valid,
+       (coalesce(trade_name, '') <> '' AND NOT {O.is_gstin('trade_name')}) AS name_valid
+FROM b2_lines WHERE sheet <> 'IMPG'""")
+def _n11(spark, sf):
+    b2 = get_run(spark, sf).b2_lines.where(F.col("sheet") != "IMPG")
+    return b2.select("sheet", F.col("row_no").cast("bigint"), N.is_gstin("gstin_raw").alias("gstin_valid"),
+                     N.is_valid_name("trade_name").alias("name_valid"))
+
+
+@register("tax_period", O.with_stage("lines") + f"""
+SELECT sheet, CAST(row_no AS BIGINT) AS row_no, filing_date, {O.tax_period_start('filing_date')} AS period_start,
+       coalesce(strftime({O.tax_period_start('filing_date')}, '%b %Y'), '') AS tax_period
+FROM b2_lines WHERE sheet <> 'IMPG'""")
+def _n12(spark, sf):
+    b2 = get_run(spark, sf).b2_lines.where(F.col("sheet") != "IMPG")
+    return b2.select("sheet", F.col("row_no").cast("bigint"), "filing_date",
+                     N.tax_period_start("filing_date").alias("period_start"),
+                     N.tax_period_text("filing_date").alias("tax_period"))
+
+
+@register("parse_month_year", O.with_stage("lines") + """
+, m AS (
+  SELECT sheet, row_no, filing_period,
+         coalesce(try_strptime(trim(filing_period), '%b %Y'), try_strptime(trim(filing_period), '%b-%Y'),
+                  try_strptime(trim(filing_period), '%B %Y'), try_strptime(trim(filing_period), '%B-%Y'),
+                  try_strptime(trim(filing_period), '%m/%Y'), try_strptime(trim(filing_period), '%m-%Y'),
+                  try_strptime(trim(filing_period), '%Y-%m')) AS d
+  FROM b2_lines WHERE sheet <> 'IMPG'
+)
+SELECT sheet, CAST(row_no AS BIGINT) AS row_no, filing_period, CAST(year(d) AS INTEGER) AS year,
+       CAST(month(d) AS INTEGER) AS month
+FROM m""")
+def _n15(spark, sf):
+    b2 = get_run(spark, sf).b2_lines.where(F.col("sheet") != "IMPG")
+    d = N.parse_month("filing_period")
+    return b2.select("sheet", F.col("row_no").cast("bigint"), "filing_period",
+                     F.year(d).alias("year"), F.month(d).alias("month"))
+
+
+# =================================================================== projections
+@register("suffix_sides", O.with_stage("pairs") + """
+SELECT gst_key, inv_key, pr_gstin, pr_inv, pr_date, pr_taxable, pr_cgst, pr_sgst, pr_igst, pr_doc_type,
+       pr_vendor_name, CAST(pr_first_row AS BIGINT) AS pr_first_row FROM pr_s""")
+def _p1(spark, sf):
+    pr = P.suffix_pr(get_run(spark, sf).pr_cons)
+    return pr.select("gst_key", "inv_key", "pr_gstin", "pr_inv", "pr_date",
+                     *[_money(f"pr_{a}") for a in L.AMOUNTS], "pr_doc_type", "pr_vendor_name",
+                     F.col("pr_first_row").cast("bigint"))
+
+
+@register("display_cols", O.with_stage("cons") + """
+SELECT gst_key, inv_key, sheet, inv_orig AS inv_display, coalesce(strftime(inv_date, '%d-%m-%Y'), '') AS date_display,
+       sheet AS display_source FROM b2_cons""")
+def _p2(spark, sf):
+    c = get_run(spark, sf).b2_cons
+    return c.select("gst_key", "inv_key", "sheet", F.col("inv_orig").alias("inv_display"),
+                    N.display_date("inv_date").alias("date_display"), F.col("sheet").alias("display_source"))
+
+
+@register("rescue_empty_inv_key", O.with_stage("cons") + """
+SELECT gst_key, inv_key, CAST(n_lines AS BIGINT) AS n_lines, taxable FROM b2_cons WHERE sheet = 'B2B-CDNR'""")
+def _p3(spark, sf):
+    c = get_run(spark, sf).b2_cons.where(F.col("sheet") == "B2B-CDNR")
+    return c.select("gst_key", "inv_key", F.col("n_lines").cast("bigint"), _money("taxable"))
+
+
+@register("invoice_type", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, invoice_type FROM pairs""")
+def _p4(spark, sf):
+    return get_run(spark, sf).pairs.select(F.col("pair_id").cast("bigint"), "invoice_type")
+
+
+@register("fill_cdnr_gstin", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, sheet, b2_gstin FROM pairs WHERE sheet IS NOT NULL""")
+def _p5(spark, sf):
+    return get_run(spark, sf).pairs.where(F.col("sheet").isNotNull()).select(
+        F.col("pair_id").cast("bigint"), "sheet", "b2_gstin")
+
+
+_RECON_SQL = """
+SELECT gst_key, inv_key, invoice_type, mapping, remarks, reason, vendor_name,
+       coalesce(b2_filing_period, '') AS filing_period, coalesce(pr_gstin, '') AS pr_gstin,
+       coalesce(b2_gstin, '') AS b2_gstin, coalesce(pr_inv, '') AS pr_inv, coalesce(b2_inv, '') AS b2_inv,
+       coalesce(strftime(pr_date, '%Y-%m-%d'), '') AS pr_date, coalesce(strftime(b2_date, '%Y-%m-%d'), '') AS b2_date,
+       pr_cgst, b2_cgst, pr_sgst, b2_sgst, pr_igst, b2_igst
+FROM pairs"""
+
+
+@register("recon_projection", O.with_stage("pairs") + _RECON_SQL)
+def _p6(spark, sf):
+    return P.recon_projection(get_run(spark, sf).pairs)
+
+
+# =================================================================== filters and signs
+@register("split_imports", O.with_stage("lines") + """
+SELECT 'PR' AS book, CAST(row_no AS BIGINT) AS row_no, purchase_type AS type_text, is_import FROM pr_lines
+UNION ALL
+SELECT sheet, CAST(row_no AS BIGINT), supply_type, is_import FROM b2_lines WHERE sheet = 'B2B'""")
+def _f1(spark, sf):
+    run = get_run(spark, sf)
+    pr = run.pr_lines.select(F.lit("PR").alias("book"), F.col("row_no").cast("bigint"),
+                             F.col("purchase_type").alias("type_text"), "is_import")
+    b2 = run.b2_lines.where(F.col("sheet") == "B2B").select(
+        F.col("sheet").alias("book"), F.col("row_no").cast("bigint"), F.col("supply_type").alias("type_text"),
+        "is_import")
+    return pr.unionByName(b2)
+
+
+@register("drop_total_rows", O.with_stage("lines") + """
+SELECT 'PR' AS book, CAST(row_no AS BIGINT) AS row_no, gstin_raw, inv_raw FROM pr_lines WHERE is_total
+UNION ALL SELECT sheet, CAST(row_no AS BIGINT), gstin_raw, inv_raw FROM b2_lines WHERE is_total""")
+def _f2(spark, sf):
+    run = get_run(spark, sf)
+    pr = run.pr_lines.where("is_total").select(F.lit("PR").alias("book"), F.col("row_no").cast("bigint"),
+                                               "gstin_raw", "inv_raw")
+    b2 = run.b2_lines.where("is_total").select(F.col("sheet").alias("book"), F.col("row_no").cast("bigint"),
+                                               "gstin_raw", "inv_raw")
+    return pr.unionByName(b2)
+
+
+@register("drop_empty_gstin", O.with_stage("lines") + """
+SELECT 'PR' AS book, CAST(row_no AS BIGINT) AS row_no, inv_key FROM pr_lines
+WHERE NOT is_import AND NOT is_total AND gst_key = ''
+UNION ALL
+SELECT sheet, CAST(row_no AS BIGINT), inv_key FROM b2_lines
+WHERE ((sheet = 'B2B' AND NOT is_import) OR sheet = 'B2B-CDNR') AND NOT is_total AND gst_key = ''""")
+def _f3(spark, sf):
+    run = get_run(spark, sf)
+    pr = run.pr_raw.where(~F.col("is_total") & (F.col("gst_key") == "")).select(
+        F.lit("PR").alias("book"), F.col("row_no").cast("bigint"), "inv_key")
+    b2 = L.matchable_2b(run.b2_lines).where(~F.col("is_total") & (F.col("gst_key") == "")).select(
+        F.col("sheet").alias("book"), F.col("row_no").cast("bigint"), "inv_key")
+    return pr.unionByName(b2)
+
+
+@register("sign_credit_notes", O.with_stage("lines") + """
+SELECT CAST(row_no AS BIGINT) AS row_no, note_type, taxable_raw, cgst_raw, taxable, cgst, sgst, igst
+FROM b2_lines WHERE sheet = 'B2B-CDNR'""")
+def _g1(spark, sf):
+    c = L.cdnr_signed(get_run(spark, sf).b2_lines)
+    return c.select(F.col("row_no").cast("bigint"), "note_type", "taxable_raw", "cgst_raw",
+                    *[_money(a) for a in L.AMOUNTS])
+
+
+# =================================================================== aggregations
+@register("row_numbers_by_key", O.with_stage("lines") + """
+SELECT '2B' AS book, gst_key, inv_key, array_to_string(list_sort(list(row_no)), ', ') AS row_numbers
+FROM b2_lines WHERE ((sheet = 'B2B' AND NOT is_import) OR sheet = 'B2B-CDNR') AND gst_key <> '' AND inv_key <> ''
+GROUP BY gst_key, inv_key
+UNION ALL
+SELECT 'PR', gst_key, inv_key, array_to_string(list_sort(list(row_no)), ', ')
+FROM pr_lines WHERE NOT is_import AND gst_key <> '' AND inv_key <> ''
+GROUP BY gst_key, inv_key""")
+def _a2(spark, sf):
+    run = get_run(spark, sf)
+    b2 = C.row_numbers_by_key(L.matchable_2b(run.b2_lines), "row_numbers").withColumn("book", F.lit("2B"))
+    pr = C.row_numbers_by_key(run.pr_raw, "row_numbers").withColumn("book", F.lit("PR"))
+    return b2.unionByName(pr).select("book", "gst_key", "inv_key", "row_numbers")
+
+
+@register("period_by_key", O.with_stage("lines") + f"""
+SELECT gst_key, inv_key, arg_min({O.nt('filing_period')}, (CASE WHEN sheet = 'B2B' THEN 0 ELSE 1 END, row_no)) AS filing_period
+FROM b2_lines WHERE ((sheet = 'B2B' AND NOT is_import) OR sheet = 'B2B-CDNR') AND gst_key <> '' AND inv_key <> ''
+GROUP BY gst_key, inv_key""")
+def _a3(spark, sf):
+    return C.period_by_key(L.matchable_2b(get_run(spark, sf).b2_lines))
+
+
+@register("vendor_name", O.with_stage("pairs") + """
+SELECT gst_key, vendor_name FROM names""")
+def _a4(spark, sf):
+    return P.vendor_names(get_run(spark, sf).pairs.withColumn("fuzzy_reason", F.col("fuzzy_reason")))
+
+
+@register("dashboard_pivot", O.with_stage("pairs") + """
+, s AS (
+  SELECT mapping, sum(coalesce(pr_cgst, 0)) AS pc, sum(coalesce(pr_sgst, 0)) AS ps, sum(coalesce(pr_igst, 0)) AS pi,
+         sum(coalesce(b2_cgst, 0)) AS bc, sum(coalesce(b2_sgst, 0)) AS bs, sum(coalesce(b2_igst, 0)) AS bi
+  FROM pairs GROUP BY mapping
+), t AS (
+  SELECT 'Matched' AS st, * FROM s WHERE mapping = 'Matched'
+  UNION ALL SELECT 'Almost Matched', * FROM s WHERE mapping = 'Almost Matched'
+  UNION ALL SELECT 'Not Matched', * FROM s WHERE mapping = 'Not Matched'
+  UNION ALL SELECT 'Total', NULL, sum(pc), sum(ps), sum(pi), sum(bc), sum(bs), sum(bi) FROM s
+), r AS (
+  SELECT 'CGST' AS report, 0 AS report_pos, st, pc AS pr, bc AS b2 FROM t
+  UNION ALL SELECT 'SGST', 1, st, ps, bs FROM t
+  UNION ALL SELECT 'IGST', 2, st, pi, bi FROM t
+  UNION ALL SELECT 'Total', 3, st, pc + ps + pi, bc + bs + bi FROM t
+), lbl AS (SELECT * FROM (VALUES ('CGST', 0), ('SGST', 1), ('IGST', 2), ('Total', 3)) v(report, report_pos))
+SELECT lbl.report, CAST(lbl.report_pos AS INTEGER) AS report_pos,
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Matched'), 0) AS DECIMAL(18,2)) AS matched_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Matched'), 0) AS DECIMAL(18,2)) AS matched_2b,
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Almost Matched'), 0) AS DECIMAL(18,2)) AS almost_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Almost Matched'), 0) AS DECIMAL(18,2)) AS almost_2b,
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Not Matched'), 0) AS DECIMAL(18,2)) AS not_matched_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Not Matched'), 0) AS DECIMAL(18,2)) AS not_matched_2b,
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Total'), 0) AS DECIMAL(18,2)) AS total_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Total'), 0) AS DECIMAL(18,2)) AS total_2b
+FROM lbl LEFT JOIN r ON lbl.report = r.report GROUP BY lbl.report, lbl.report_pos""")
+def _a6(spark, sf):
+    return DB.dashboard_pivot(get_run(spark, sf).pairs)
+
+
+@register("sum_column", O.with_stage("lines") + """
+, parts AS (
+  SELECT CASE WHEN sheet = 'B2B' AND is_import THEN 'B2B-IMPORTS' ELSE sheet END AS part, * FROM b2_lines
+)
+SELECT part, CAST(sum(coalesce(taxable, 0)) AS DECIMAL(18,2)) AS sum_taxable,
+       CAST(sum(coalesce(cgst, 0)) AS DECIMAL(18,2)) AS sum_cgst, CAST(sum(coalesce(sgst, 0)) AS DECIMAL(18,2)) AS sum_sgst,
+       CAST(sum(coalesce(igst, 0)) AS DECIMAL(18,2)) AS sum_igst
+FROM parts GROUP BY part""")
+def _a7(spark, sf):
+    b2 = get_run(spark, sf).b2_lines
+    part = F.when((F.col("sheet") == "B2B") & F.col("is_import"), F.lit("B2B-IMPORTS")).otherwise(F.col("sheet"))
+    return DB.sum_column(b2.withColumn("part", part), L.AMOUNTS, ["part"])
+
+
+# =================================================================== joins / windows / sets
+@register("fuzzy_orphan_rescue", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, gst_key, inv_key, sheet, b2_inv, b2_gstin, fuzzy_reason, pr_cgst, b2_cgst
+FROM pairs WHERE fuzzy_reason IS NOT NULL""")
+def _j2(spark, sf):
+    p = get_run(spark, sf).pairs.where(F.col("fuzzy_reason").isNotNull())
+    return p.select(F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "sheet", "b2_inv", "b2_gstin",
+                    "fuzzy_reason", _money("pr_cgst"), _money("b2_cgst"))
+
+
+@register("status_lookup", O.with_stage("pairs") + """
+SELECT gst_key, inv_key, mapping, remarks, reason FROM status""")
+def _j4(spark, sf):
+    return get_run(spark, sf).status
+
+
+@register("fill_within_key", O.with_stage("pairs") + """
+, k AS (SELECT gst_key, inv_key FROM pairs GROUP BY gst_key, inv_key HAVING count(*) > 1)
+SELECT CAST(p.pair_id AS BIGINT) AS pair_id, p.gst_key, p.inv_key, p.sheet, p.b2_inv_type, p.b2_note_type,
+       p.b2_trade_name, p.b2_filing_period, p.pr_inv, p.pr_date
+FROM pairs p JOIN k ON p.gst_key = k.gst_key AND p.inv_key = k.inv_key""")
+def _w1(spark, sf):
+    p = get_run(spark, sf).pairs
+    multi = p.groupBy("gst_key", "inv_key").count().where(F.col("count") > 1).drop("count")
+    return p.join(multi, ["gst_key", "inv_key"], "inner").select(
+        F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "sheet", "b2_inv_type", "b2_note_type",
+        "b2_trade_name", "b2_filing_period", "pr_inv", "pr_date")
+
+
+@register("fifo_rank", O.with_stage("pairs") + """
+SELECT 'PR' AS side, gst_key, inv_key, CAST(0 AS INTEGER) AS sheet_rank, fg, fi, CAST(fifo AS BIGINT) AS fifo FROM pr_r
+UNION ALL
+SELECT '2B', src_gst, src_inv, CAST(src_rank AS INTEGER), fg, fi, CAST(fifo AS BIGINT) FROM b2_r""")
+def _w2(spark, sf):
+    from ..operators.ordinal import rank_in_group
+    j = get_run(spark, sf).joined
+    has_b2 = F.col("sheet").isNotNull()
+    fk = [N.fuzzy_gstin("gst_key").alias("fg"), N.fuzzy_invoice("inv_key").alias("fi")]
+    pr_o = j.where(F.col("pr_exists") & ~has_b2).select("gst_key", "inv_key", F.lit(0).alias("sheet_rank"), *fk)
+    b2_o = j.where(~F.col("pr_exists") & has_b2).select("gst_key", "inv_key", F.col("sheet_rank").cast("int"), *fk)
+    pr_r = rank_in_group(pr_o, ["fg", "fi"], ["gst_key", "inv_key"], name="fifo").withColumn("side", F.lit("PR"))
+    b2_r = rank_in_group(b2_o, ["fg", "fi"], ["gst_key", "inv_key", "sheet_rank"], name="fifo") \
+        .withColumn("side", F.lit("2B"))
+    return pr_r.unionByName(b2_r).select("side", "gst_key", "inv_key", "sheet_rank", "fg", "fi",
+                                         F.col("fifo").cast("bigint"))
+
+
+@register("sort_pairs", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, gst_key, inv_key, sheet FROM pairs ORDER BY pair_id""")
+def _t2(spark, sf):
+    return get_run(spark, sf).pairs.select(F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "sheet") \
+        .orderBy("pair_id")
+
+
+@register("union_sheets", O.with_stage("cons") + """
+SELECT gst_key, inv_key, sheet, taxable, cgst, sgst, igst, inv_date, trade_name FROM b2_cons""")
+def _u1(spark, sf):
+    run = get_run(spark, sf)
+    b2b = run.b2_cons.where(F.col("sheet") == "B2B")
+    cdnr = run.b2_cons.where(F.col("sheet") == "B2B-CDNR")
+    return b2b.unionByName(cdnr, allowMissingColumns=True).select(
+        "gst_key", "inv_key", "sheet", *[_money(a) for a in L.AMOUNTS], "inv_date", "trade_name")
+
+
+@register("distinct_names", O.with_stage("pairs") + """
+SELECT DISTINCT gst_key, pr_vendor_name AS name, 'PR' AS side FROM pairs WHERE pr_vendor_name IS NOT NULL
+UNION
+SELECT DISTINCT gst_key, b2_trade_name, '2B' FROM pairs WHERE b2_trade_name IS NOT NULL""")
+def _u3(spark, sf):
+    p = get_run(spark, sf).pairs
+    pr = p.select("gst_key", F.col("pr_vendor_name").alias("name"), F.lit("PR").alias("side"))
+    b2 = p.select("gst_key", F.col("b2_trade_name").alias("name"), F.lit("2B").alias("side"))
+    return pr.unionByName(b2).dropDuplicates().na.drop()
+
+
+# =================================================================== comments
+from ..operators import comments as CM  # noqa: E402
+from ..operators import itc as ITC  # noqa: E402
+
+_B2_PART = "((sheet = 'B2B' AND NOT is_import) OR sheet = 'B2B-CDNR')"
+_COMMENT_CTES = f"""
+, rl2b AS (
+  SELECT gst_key, inv_key, array_to_string(list_sort(list(row_no)), ', ') AS rws FROM b2_lines
+  WHERE {_B2_PART} AND gst_key <> '' AND inv_key <> '' GROUP BY gst_key, inv_key
+), rlpr AS (
+  SELECT gst_key, inv_key, array_to_string(list_sort(list(row_no)), ', ') AS rws FROM pr_lines
+  WHERE NOT is_import AND gst_key <> '' AND inv_key <> '' GROUP BY gst_key, inv_key
+), info_pr AS (
+  SELECT s.gst_key, s.inv_key, s.mapping, s.remarks, s.reason,
+         CASE WHEN s.mapping IN ('Matched', 'Almost Matched') THEN coalesce(r.rws, '') ELSE '' END AS row_number_in_2b
+  FROM status s LEFT JOIN rl2b r ON s.gst_key = r.gst_key AND s.inv_key = r.inv_key
+), info_2b AS (
+  SELECT s.gst_key, s.inv_key, s.mapping, s.remarks, s.reason,
+         CASE WHEN s.mapping IN ('Matched', 'Almost Matched') THEN coalesce(r.rws, '') ELSE '' END AS row_number_in_pr
+  FROM status s LEFT JOIN rlpr r ON s.gst_key = r.gst_key AND s.inv_key = r.inv_key
+), prc AS (
+  SELECT l.*, coalesce(i.mapping, '') AS mapping, coalesce(i.remarks, '') AS remarks, coalesce(i.reason, '') AS reason,
+         coalesce(i.row_number_in_2b, '') AS row_number_in_2b
+  FROM pr_lines l LEFT JOIN info_pr i ON l.gst_key = i.gst_key AND l.inv_key = i.inv_key WHERE NOT l.is_import
+), b2c AS (
+  SELECT l.*, coalesce(i.mapping, '') AS mapping, coalesce(i.remarks, '') AS remarks, coalesce(i.reason, '') AS reason,
+         coalesce(i.row_number_in_pr, '') AS row_number_in_pr,
+         coalesce(strftime({O.tax_period_start('coalesce(l.filing_date, l.inv_date)')}, '%b %Y'), '') AS tax_period
+  FROM b2_lines l LEFT JOIN info_2b i ON l.gst_key = i.gst_key AND l.inv_key = i.inv_key WHERE {_B2_PART}
+)"""
+
+
+def _comments(spark, sf):
+    run = get_run(spark, sf)
+    return run, run.status
+
+
+@register("pr_comments", O.with_stage("pairs") + _COMMENT_CTES + """
+SELECT CAST(row_no AS BIGINT) AS row_no, gstin_raw, inv_raw, mapping, remarks, reason, row_number_in_2b FROM prc""")
+def _j5(spark, sf):
+    run, st = _comments(spark, sf)
+    return CM.pr_comments(run.pr_raw, run.b2_lines, st).select(
+        F.col("row_no").cast("bigint"), "gstin_raw", "inv_raw", "mapping", "remarks", "reason", "row_number_in_2b")
+
+
+@register("b2b_comments", O.with_stage("pairs") + _COMMENT_CTES + """
+SELECT CAST(row_no AS BIGINT) AS row_no, gstin_raw, inv_raw, mapping, remarks, reason, row_number_in_pr, tax_period
+FROM b2c WHERE sheet = 'B2B'""")
+def _j6(spark, sf):
+    run, st = _comments(spark, sf)
+    return CM.b2_comments(run.b2b_raw, run.pr_raw, st).select(
+        F.col("row_no").cast("bigint"), "gstin_raw", "inv_raw", "mapping", "remarks", "reason", "row_number_in_pr",
+        "tax_period")
+
+
+@register("cdnr_comments", O.with_stage("pairs") + _COMMENT_CTES + """
+SELECT CAST(row_no AS BIGINT) AS row_no, gstin_raw, inv_raw, taxable, cgst, sgst, igst, mapping, remarks, reason,
+       row_number_in_pr, tax_period
+FROM b2c WHERE sheet = 'B2B-CDNR'""")
+def _j7(spark, sf):
+    run, st = _comments(spark, sf)
+    return CM.b2_comments(run.cdnr_raw, run.pr_raw, st).select(
+        F.col("row_no").cast("bigint"), "gstin_raw", "inv_raw", *[_money(a) for a in L.AMOUNTS], "mapping",
+        "remarks", "reason", "row_number_in_pr", "tax_period")
+
+
+def _n14(x: str) -> str:
+    s = f"regexp_replace(replace(coalesce({x}, ''), ',', ''), '(?i)nan', '', 'g')"
+    return f"coalesce(TRY_CAST(regexp_replace({s}, '^\\s+|\\s+$', '', 'g') AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)))"
+
+
+@register("comments_projection", O.with_stage("pairs") + _COMMENT_CTES + f"""
+SELECT CAST(row_no AS BIGINT) AS row_no, gstin_raw AS gstin, inv_raw AS invoice_no, date_raw AS invoice_date,
+       doc_type AS document_type, vendor_name, purchase_type, {_n14('taxable_raw')} AS taxable_value,
+       {_n14('cgst_raw')} AS cgst, {_n14('sgst_raw')} AS sgst, {_n14('igst_raw')} AS igst,
+       mapping, remarks, reason, row_number_in_2b
+FROM prc""")
+def _p7(spark, sf):
+    run, st = _comments(spark, sf)
+    sheet = CM.pr_comments_sheet(CM.pr_comments(run.pr_raw, run.b2_lines, st))
+    return sheet.withColumn("row_no", F.col("row_no").cast("bigint"))
+
+
+@register("coerce_numeric_columns", O.with_stage("lines") + f"""
+SELECT CAST(row_no AS BIGINT) AS row_no, taxable_raw, {_n14('taxable_raw')} AS taxable_value,
+       {_n14('cgst_raw')} AS cgst, {_n14('sgst_raw')} AS sgst, {_n14('igst_raw')} AS igst
+FROM pr_lines WHERE NOT is_import""")
+def _n14q(spark, sf):
+    pr = get_run(spark, sf).pr_raw.select(
+        F.col("row_no").cast("bigint"), "taxable_raw", F.col("taxable_raw").alias("taxable_value"),
+        F.col("cgst_raw").alias("cgst"), F.col("sgst_raw").alias("sgst"), F.col("igst_raw").alias("igst"))
+    out = CM.coerce_numeric_columns(pr.drop("taxable_raw"))
+    return out.join(pr.select("row_no", "taxable_raw"), "row_no")
+
+
+def _n13_month(x: str) -> str:
+    d = (f"coalesce(try_strptime(trim({x}), '%b %Y'), try_strptime(trim({x}), '%b-%Y'), "
+         f"try_strptime(trim({x}), '%B %Y'), try_strptime(trim({x}), '%B-%Y'))")
+    return f"CASE WHEN {d} IS NOT NULL THEN strftime({d}, '%b-%Y') ELSE {x} END"
+
+
+@register("format_period_columns", O.with_stage("pairs") + _COMMENT_CTES + f"""
+SELECT CAST(row_no AS BIGINT) AS row_no,
+       CASE WHEN filing_date IS NOT NULL THEN strftime(filing_date, '%d-%m-%Y') ELSE filing_date_raw END AS filing_date,
+       {_n13_month('filing_period')} AS filing_period, {_n13_month('tax_period')} AS tax_period
+FROM b2c WHERE sheet = 'B2B'""")
+def _n13q(spark, sf):
+    run, st = _comments(spark, sf)
+    sheet = CM.b2_comments_sheet(CM.b2_comments(run.b2b_raw, run.pr_raw, st), signed=False)
+    return sheet.select(F.col("row_no").cast("bigint"), "filing_date", "filing_period", "tax_period")
+
+
+# =================================================================== ITC
+_ITC_FLAGS = f"""
+, flags AS (
+  SELECT l.*, coalesce(lower({O.trim_ws('s.mapping')}) = 'not matched', FALSE) AS nm
+  FROM b2_lines l LEFT JOIN status s ON l.gst_key = s.gst_key AND l.inv_key = s.inv_key
+)"""
+_SHEET_SQL = {"B2B": "(sheet = 'B2B' AND NOT is_import)", "B2B-CDNR": "(sheet = 'B2B-CDNR')"}
+_FILTER_SQL = {"all": "TRUE", "rcm_yes": "rcm_yes", "itc_no": "itc_no"}
+
+
+def _sum_sql(cond: str, t: str) -> str:
+    return f"CAST(coalesce(sum({t}) FILTER (WHERE {cond}), 0) AS DECIMAL(18,2))"
+
+
+_A8_PARTS = []
+for _sh, _sc in _SHEET_SQL.items():
+    for _f, _fc in _FILTER_SQL.items():
+        for _nm, _nc in (("any", "TRUE"), ("not matched", "nm")):
+            _cond = f"{_sc} AND {_fc} AND {_nc}"
+            _A8_PARTS.append(f"SELECT '{_sh}' AS sheet, '{_f}' AS filter, '{_nm}' AS status_filter, "
+                             + ", ".join(f"{_sum_sql(_cond, t)} AS {t}" for t in ("igst", "cgst", "sgst"))
+                             + " FROM flags")
+
+
+@register("itc_filtered_sum", O.with_stage("pairs") + _ITC_FLAGS + "\n" + "\nUNION ALL\n".join(_A8_PARTS))
+def _a8(spark, sf):
+    run = get_run(spark, sf)
+    return ITC.itc_filtered_sum(run.b2_lines, run.status)
+
+
+def _itc_table_sql(return_month: str) -> str:
+    y, m = return_month.split("-")
+    tp = O.tax_period_start("coalesce(filing_date, inv_date)")
+    prior = f"({tp} < make_date({int(y)}, {int(m)}, 1))"
+    cols = [f"{_sum_sql('sheet = ' + chr(39) + 'IMPG' + chr(39) + ' OR (sheet = ' + chr(39) + 'B2B' + chr(39) + ' AND is_import)', 'igst')} AS imp_igst"]
+    for sh, s in (("B2B", "b2b"), ("B2B-CDNR", "cdnr")):
+        for f, fc in _FILTER_SQL.items():
+            for t in ("igst", "cgst", "sgst"):
+                cols.append(f"{_sum_sql(_SHEET_SQL[sh] + ' AND ' + fc, t)} AS {s}_{f}_{t}")
+                cols.append(f"{_sum_sql(_SHEET_SQL[sh] + ' AND ' + fc + ' AND nm', t)} AS nm_{s}_{f}_{t}")
+        for t in ("igst", "cgst", "sgst"):
+            cols.append(f"{_sum_sql(_SHEET_SQL[sh] + ' AND ' + prior, t)} AS {s}_prior_{t}")
+    z = "CAST(0 AS DECIMAL(18,2))"
+    v = {
+        "4A1": {"igst": "imp_igst", "cgst": z, "sgst": z},
+        "4A3": {t: f"b2b_rcm_yes_{t}" for t in ("igst", "cgst", "sgst")},
+        "4A5": {t: f"(b2b_all_{t} + cdnr_all_{t} - b2b_rcm_yes_{t} - b2b_itc_no_{t})" for t in ("igst", "cgst", "sgst")},
+        "4B2": {t: f"(nm_b2b_all_{t} + nm_cdnr_all_{t} - nm_b2b_rcm_yes_{t} - nm_b2b_itc_no_{t})"
+                for t in ("igst", "cgst", "sgst")},
+        "4D1": {t: f"(b2b_prior_{t} + cdnr_prior_{t})" for t in ("igst", "cgst", "sgst")},
+        "4D2": {t: f"(b2b_itc_no_{t} + cdnr_itc_no_{t})" for t in ("igst", "cgst", "sgst")},
+    }
+    v["4A"] = {t: f"({v['4A1'][t]} + {v['4A3'][t]} + {v['4A5'][t]})" for t in ("igst", "cgst", "sgst")}
+    v["4B"] = dict(v["4B2"])
+    v["4C"] = {t: f"({v['4A'][t]} - {v['4B'][t]})" for t in ("igst", "cgst", "sgst")}
+    rows = []
+    for pos, (code, details) in enumerate(ITC.ITC_CODES):
+        vals = v.get(code, {"igst": z, "cgst": z, "sgst": z})
+        rows.append(f"SELECT '{code}' AS code, CAST({pos} AS INTEGER) AS pos, '{details}' AS details, "
+                    f"CAST({vals['igst']} AS DECIMAL(18,2)) AS integrated, CAST({vals['cgst']} AS DECIMAL(18,2)) AS central, "
+                    f"CAST({vals['sgst']} AS DECIMAL(18,2)) AS state, {z} AS cess FROM t")
+    return (O.with_stage("pairs") + _ITC_FLAGS + f"\n, t AS (SELECT {', '.join(cols)} FROM flags)\n"
+            + "\nUNION ALL\n".join(rows))
+
+
+@register("itc_table", _itc_table_sql("1997-01"))
+def _a9(spark, sf):
+    run = get_run(spark, sf)
+    return ITC.itc_table(run.b2_lines, run.status, run.return_month)
+
+
+@register("prior_period_itc", O.with_stage("lines") + f"""
+SELECT {", ".join(f"CAST(coalesce(sum({t}) FILTER (WHERE {O.tax_period_start('coalesce(filing_date, inv_date)')} < DATE '1997-01-01'), 0) AS DECIMAL(18,2)) AS {t}" for t in ("igst", "cgst", "sgst"))}
+FROM b2_lines WHERE {_B2_PART}""")
+def _a10(spark, sf):
+    run = get_run(spark, sf)
+    return ITC.prior_period_itc(run.b2_lines, run.return_month)
+
+
+@register("filter_rcm", O.with_stage("lines") + """
+SELECT CAST(row_no AS BIGINT) AS row_no, gst_key, inv_key, reverse_charge, igst, cgst, sgst
+FROM b2_lines WHERE sheet = 'B2B' AND NOT is_import AND rcm_yes""")
+def _f4(spark, sf):
+    b = get_run(spark, sf).b2b_raw.where("rcm_yes")
+    return b.select(F.col("row_no").cast("bigint"), "gst_key", "inv_key", "reverse_charge",
+                    *[_money(t) for t in ("igst", "cgst", "sgst")])
+
+
+@register("filter_itc_no", O.with_stage("lines") + f"""
+SELECT sheet, CAST(row_no AS BIGINT) AS row_no, gst_key, inv_key, itc_availability, igst, cgst, sgst
+FROM b2_lines WHERE {_B2_PART} AND itc_no""")
+def _f5(spark, sf):
+    b = L.matchable_2b(get_run(spark, sf).b2_lines).where("itc_no")
+    return b.select("sheet", F.col("row_no").cast("bigint"), "gst_key", "inv_key", "itc_availability",
+                    *[_money(t) for t in ("igst", "cgst", "sgst")])
+
+
+@register("filter_not_matched", O.with_stage("pairs") + _ITC_FLAGS + f"""
+SELECT sheet, CAST(row_no AS BIGINT) AS row_no, gst_key, inv_key, igst, cgst, sgst
+FROM flags WHERE {_B2_PART} AND nm""")
+def _f6(spark, sf):
+    run = get_run(spark, sf)
+    b = ITC.lines_with_status(L.matchable_2b(run.b2_lines), run.status).where("nm")
+    return b.select("sheet", F.col("row_no").cast("bigint"), "gst_key", "inv_key",
+                    *[_money(t) for t in ("igst", "cgst", "sgst")])

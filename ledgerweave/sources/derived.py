@@ -127,6 +127,7 @@ def b2_landing_unnumbered(base: DataFrame) -> DataFrame:
     exprs = {
         "gstin_raw": F.when(ok % 17 == 0, F.regexp_replace(F.col("gstin"), "F1Z", "FIZ")).otherwise(F.col("gstin")),
         "inv_raw": (F.when(cd & (ok % 47 == 0), F.lit("/24-25"))
+                    .when(cd & (ok % 53 == 0), F.col("inv"))
                     .when(cd, F.concat(F.lit("CN/"), ok.cast("string")))
                     .when(ok % 17 == 0, F.concat(F.lit("INV-"), ok.cast("string")))
                     .otherwise(F.col("inv"))),
