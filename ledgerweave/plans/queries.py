@@ -736,3 +736,165 @@ def _f6(spark, sf):
     b = ITC.lines_with_status(L.matchable_2b(run.b2_lines), run.status).where("nm")
     return b.select("sheet", F.col("row_no").cast("bigint"), "gst_key", "inv_key",
                     *[_money(t) for t in ("igst", "cgst", "sgst")])
+
+
+# =================================================================== review, saved state, run log
+from ..operators import dormant as DM  # noqa: E402
+from ..operators import review as RV  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+_REVIEWED = """
+, reviewed AS (
+  SELECT * REPLACE (
+    CASE WHEN mapping = 'Almost Matched' THEN (CASE WHEN pair_id % 2 = 0 THEN 'Matched' ELSE 'Not Matched' END)
+         ELSE mapping END AS mapping,
+    CASE WHEN mapping = 'Almost Matched' THEN (CASE WHEN pair_id % 2 = 0 THEN 'Accepted by User' ELSE 'Rejected by User' END)
+         ELSE remarks END AS remarks,
+    CASE WHEN mapping = 'Almost Matched' THEN (CASE WHEN pair_id % 2 = 0 THEN 'User Verified'
+                                                    ELSE coalesce(reason, '') || ' (Rejected)' END)
+         ELSE reason END AS reason)
+  FROM pairs
+)"""
+
+
+@register("review_candidates", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS id, gst_key, inv_key, mapping, remarks, reason, vendor_name, invoice_type,
+       coalesce(pr_gstin, '') AS pr_gstin, coalesce(b2_gstin, '') AS b2_gstin, coalesce(pr_inv, '') AS pr_inv,
+       coalesce(b2_inv, '') AS invoice_no_2b, coalesce(strftime(pr_date, '%Y-%m-%d'), '') AS pr_date,
+       coalesce(strftime(b2_date, '%Y-%m-%d'), '') AS invoice_date_2b,
+       pr_cgst, b2_cgst, pr_sgst, b2_sgst, pr_igst, b2_igst
+FROM pairs WHERE mapping = 'Almost Matched'""")
+def _f7(spark, sf):
+    out = RV.review_candidates(get_run(spark, sf).pairs)
+    return out.select(F.col("id").cast("bigint"), *[c for c in out.columns if c != "id"])
+
+
+@register("apply_review", O.with_stage("pairs") + _REVIEWED + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, gst_key, inv_key, mapping, remarks, reason FROM reviewed""")
+def _j9(spark, sf):
+    return get_run(spark, sf).reviewed.select(F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "mapping",
+                                              "remarks", "reason")
+
+
+@register("pending_state", O.with_stage("pairs") + """
+SELECT CAST(pair_id AS BIGINT) AS pair_id, gst_key, inv_key, sheet, mapping, pr_cgst, b2_cgst FROM pairs""")
+def _s11(spark, sf):
+    from ..sources.sinks import save_pending_state, load_pending_state
+
+    run = get_run(spark, sf)
+    path = save_pending_state(run)
+    pairs = load_pending_state(spark, path, run.run_id)["pair"]
+    return pairs.select(F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "sheet", "mapping",
+                        _money("pr_cgst"), _money("b2_cgst"))
+
+
+@register("not_matched_report", O.with_stage("pairs") + _REVIEWED + """
+SELECT gst_key, inv_key, invoice_type, mapping, remarks, reason, vendor_name,
+       coalesce(b2_filing_period, '') AS filing_period, coalesce(pr_gstin, '') AS pr_gstin,
+       coalesce(b2_gstin, '') AS b2_gstin, coalesce(pr_inv, '') AS pr_inv, coalesce(b2_inv, '') AS b2_inv,
+       coalesce(strftime(pr_date, '%Y-%m-%d'), '') AS pr_date, coalesce(strftime(b2_date, '%Y-%m-%d'), '') AS b2_date,
+       pr_cgst, b2_cgst, pr_sgst, b2_sgst, pr_igst, b2_igst
+FROM reviewed WHERE mapping = 'Not Matched'""")
+def _f8(spark, sf):
+    return P.recon_projection(RV.not_matched_report(get_run(spark, sf).reviewed))
+
+
+_RUN_LOG_SQL = O.with_stage("pairs") + _REVIEWED + """
+SELECT 'run-derived' AS run_id, 'derived' AS owner, 'Recon_derived' AS report_name,
+  CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping = 'Matched'), 0) AS DECIMAL(18,2)) AS matched_value,
+  CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping <> 'Matched'), 0) AS DECIMAL(18,2)) AS mismatched_value,
+  count(*) AS row_count, 'completed' AS status
+FROM reviewed"""
+
+
+@register("run_log", _RUN_LOG_SQL)
+def _k1(spark, sf):
+    return RV.run_log(get_run(spark, sf).reviewed, "run-derived", "derived", "Recon_derived")
+
+
+@register("history_topk", """
+WITH r AS (
+  SELECT o_custkey % 20 AS owner, o_orderkey AS report_id,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'Reconciliation_Report_' || strftime(o_orderdate, '%Y%m%d') || '.xlsx'
+              ELSE 'Recon_' || CAST(o_custkey % 20 AS VARCHAR) || '_' || strftime(o_orderdate, '%Y%m%d') || '_'
+                   || CAST(o_orderkey AS VARCHAR) || '.xlsx' END AS name,
+         o_orderdate AS created, o_orderstatus = 'P' AS trashed
+  FROM orders
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created DESC, report_id DESC) AS rank
+  FROM r WHERE contains(name, 'Recon_' || CAST(owner AS VARCHAR) || '_') AND NOT trashed
+)
+SELECT owner, CAST(rank AS BIGINT) AS rank, report_id, regexp_replace(name, '\\.xlsx$', '') AS report_name,
+       strftime(created, '%d-%b-%Y %H:%M') AS generated_at
+FROM l WHERE rank <= 50""")
+def _t1(spark, sf):
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
+                                              "o_orderpriority"])
+    out = RV.history_topk(RV.derived_reports(orders))
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# =================================================================== dormant
+@register("lookup_reconcile", O.with_stage("lines") + f"""
+, c0 AS (
+  SELECT gst_key, inv_key, inv_date, cgst, sgst, igst,
+         row_number() OVER (PARTITION BY gst_key, inv_key ORDER BY CASE WHEN sheet = 'B2B' THEN 0 ELSE 1 END, row_no) AS rn,
+         count(*) OVER (PARTITION BY gst_key, inv_key) AS n_cand
+  FROM b2_lines WHERE {_B2_PART} AND gst_key <> '' AND inv_key <> ''
+), cand AS (SELECT * FROM c0 WHERE rn = 1),
+j AS (
+  SELECT p.row_no, p.gst_key, p.inv_key, c.n_cand,
+    concat_ws('; ',
+      CASE WHEN NOT (p.inv_date IS NOT DISTINCT FROM c.inv_date) THEN 'Invoice Date' END,
+      CASE WHEN abs(round_even(p.cgst, 0)) <> abs(round_even(c.cgst, 0)) THEN 'CGST' END,
+      CASE WHEN abs(round_even(p.sgst, 0)) <> abs(round_even(c.sgst, 0)) THEN 'SGST' END,
+      CASE WHEN abs(round_even(p.igst, 0)) <> abs(round_even(c.igst, 0)) THEN 'IGST' END) AS problems,
+    CASE WHEN c.n_cand > 1 THEN 'multiple matches in 2B (' || CAST(c.n_cand AS VARCHAR) || ')' END AS multi
+  FROM pr_lines p LEFT JOIN cand c ON p.gst_key = c.gst_key AND p.inv_key = c.inv_key
+  WHERE NOT p.is_import
+)
+SELECT CAST(row_no AS BIGINT) AS row_no, gst_key, inv_key,
+  CASE WHEN gst_key = '' OR inv_key = '' THEN 'Not Matched' WHEN n_cand IS NULL THEN 'Not Matched'
+       WHEN problems <> '' THEN 'Almost Matched' ELSE 'Matched' END AS mapping,
+  CASE WHEN gst_key = '' OR inv_key = '' THEN 'no GSTIN+Invoice in PR' WHEN n_cand IS NULL THEN 'no GSTIN+Invoice match'
+       WHEN problems <> '' THEN 'mismatch'
+       ELSE 'All fields matched' || coalesce(' (' || multi || ')', '') END AS remarks,
+  CASE WHEN gst_key = '' OR inv_key = '' THEN 'missing GSTIN/Invoice in PR' WHEN n_cand IS NULL THEN ''
+       WHEN problems <> '' THEN concat_ws('; ', problems, multi) ELSE '' END AS reason
+FROM j""")
+def _j8(spark, sf):
+    run = get_run(spark, sf)
+    out = DM.lookup_reconcile(run.pr_raw, L.matchable_2b(run.b2_lines))
+    return out.withColumn("row_no", F.col("row_no").cast("bigint"))
+
+
+_G2_SQL = f"""
+, g2 AS (
+  SELECT sheet, row_no, gst_key, inv_key,
+         CASE WHEN sheet = 'B2B-CDNR' THEN (CASE WHEN regexp_matches(lower({O.nt('note_type')}), '\\bdebit\\b|\\bdn\\b|\\bdr\\b')
+                                                THEN 'debit' ELSE 'credit' END) ELSE 'invoice' END AS note_class,
+         {O.parse_amount(O.nt('cgst_raw'))} AS c_abs, {O.parse_amount(O.nt('igst_raw'))} AS i_abs
+  FROM b2_lines WHERE sheet IN ('B2B', 'B2B-CDNR')
+)"""
+
+
+@register("classify_notes", O.with_stage("lines") + _G2_SQL + """
+SELECT sheet, CAST(row_no AS BIGINT) AS row_no, note_class,
+       CASE WHEN note_class = 'credit' THEN -abs(c_abs) ELSE abs(c_abs) END AS cgst,
+       CASE WHEN note_class = 'credit' THEN -abs(i_abs) ELSE abs(i_abs) END AS igst
+FROM g2""")
+def _g2(spark, sf):
+    out = DM.classify_notes(get_run(spark, sf).b2_lines)
+    return out.select("sheet", F.col("row_no").cast("bigint"), "note_class", _money("cgst"), _money("igst"))
+
+
+@register("note_type_by_key", O.with_stage("cons") + _G2_SQL + """
+, f AS (
+  SELECT gst_key, inv_key, arg_min(note_class, row_no) FILTER (WHERE note_class IS NOT NULL) AS note_class
+  FROM g2 WHERE sheet = 'B2B-CDNR' GROUP BY gst_key, inv_key
+)
+SELECT c.gst_key, c.inv_key, coalesce(f.note_class, '') AS note_class
+FROM b2_cons c LEFT JOIN f ON c.gst_key = f.gst_key AND c.inv_key = f.inv_key WHERE c.sheet = 'B2B-CDNR'""")
+def _g3(spark, sf):
+    run = get_run(spark, sf)
+    return DM.note_type_by_key(DM.classify_notes(run.b2_lines), run.b2_cons)

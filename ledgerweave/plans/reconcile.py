@@ -101,6 +101,18 @@ class Run:
     def status(self) -> DataFrame:
         return P.status_lookup(self.pairs)
 
+    # -- review ----------------------------------------------------------
+    @cached_property
+    def reviewed(self) -> DataFrame:
+        """Pairs after J9 with the derived reviewer decisions."""
+        from ..operators import review as R
+
+        return materialize(R.apply_review(self.pairs, R.derived_decisions(self.pairs)), "reviewed")
+
+    @property
+    def run_id(self) -> str:
+        return "run-" + self.sf_dir.rstrip("/").rsplit("/", 1)[-1]
+
 
 def get_run(spark: SparkSession, sf_dir: str) -> Run:
     """The run for ``sf_dir`` in this session (stages are built once)."""
