@@ -898,3 +898,117 @@ FROM b2_cons c LEFT JOIN f ON c.gst_key = f.gst_key AND c.inv_key = f.inv_key WH
 def _g3(spark, sf):
     run = get_run(spark, sf)
     return DM.note_type_by_key(DM.classify_notes(run.b2_lines), run.b2_cons)
+
+
+# =================================================================== ingest
+from ..sources import ingest as IG  # noqa: E402
+
+_HDR_VALUES = ", ".join(
+    "(" + ", ".join([str(i + 1)] + ["NULL" if v is None else "'" + v + "'" for v in row]) + ")"
+    for i, row in enumerate(IG.PORTAL_HEADER))
+_FILES_SQL = O.with_stage("landing") + f"""
+, f0 AS (
+  SELECT CAST(ok % 5 AS INTEGER) AS file_seq, CASE WHEN ok % 5 = 3 THEN sheet || ' ' ELSE sheet END AS sheet,
+         {O.LINE_ORDER}, CASE WHEN blank THEN NULL ELSE gstin_raw END AS c1, CASE WHEN blank THEN NULL ELSE inv_raw END AS c2,
+         CASE WHEN blank THEN NULL ELSE date_raw END AS c3, CASE WHEN blank THEN NULL ELSE igst_raw END AS c4
+  FROM b2_land0
+), f1 AS (
+  SELECT file_seq, sheet, row_number() OVER (PARTITION BY file_seq, sheet ORDER BY {O.LINE_ORDER}) + 6 AS row_no,
+         c1, c2, c3, c4 FROM f0
+), hdr AS (SELECT * FROM (VALUES {_HDR_VALUES}) t(row_no, c1, c2, c3, c4)),
+f2 AS (
+  SELECT file_seq, sheet, row_no, c1, c2, c3, c4 FROM f1
+  UNION ALL
+  SELECT d.file_seq, d.sheet, h.row_no, h.c1, h.c2, h.c3, h.c4
+  FROM (SELECT DISTINCT file_seq, sheet FROM f1) d CROSS JOIN hdr h
+), files AS (
+  SELECT *, CASE WHEN file_seq = 4 THEN 'upload_4.csv' ELSE 'upload_' || CAST(file_seq AS VARCHAR) || '.xlsx' END AS file_name
+  FROM f2
+), frows AS (
+  SELECT * REPLACE (trim(sheet) AS sheet) FROM files
+  WHERE lower(file_name) LIKE '%.xls' OR lower(file_name) LIKE '%.xlsx'
+), firsts AS (SELECT sheet, min(file_seq) AS first_file FROM frows GROUP BY sheet),
+consolidated AS (
+  SELECT r.sheet, r.file_seq, CAST(r.row_no AS BIGINT) AS row_no, r.c1, r.c2, r.c3, r.c4
+  FROM frows r JOIN firsts f ON r.sheet = f.sheet WHERE r.file_seq = f.first_file OR r.row_no > 6
+)"""
+
+
+@register("consolidate_files", _FILES_SQL + "\nSELECT * FROM consolidated")
+def _s6(spark, sf):
+    out = IG.consolidate_files(IG.uploaded_files(spark, sf))
+    return out.select("sheet", F.col("file_seq").cast("int"), F.col("row_no").cast("bigint"), *IG.CELLS)
+
+
+@register("union_files", _FILES_SQL + """
+SELECT sheet, count(*) AS n_rows, count(DISTINCT file_seq) AS n_files FROM consolidated GROUP BY sheet""")
+def _u2(spark, sf):
+    out = IG.consolidate_files(IG.uploaded_files(spark, sf))
+    return out.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.countDistinct("file_seq").alias("n_files"))
+
+
+@register("numeric_if_all", _FILES_SQL + "\n" + "\nUNION ALL\n".join(
+    f"SELECT sheet, '{c}' AS col, bool_and({c} IS NULL OR TRY_CAST({c} AS DOUBLE) IS NOT NULL) AS all_numeric "
+    f"FROM consolidated GROUP BY sheet" for c in IG.CELLS))
+def _s7(spark, sf):
+    return IG.numeric_if_all(IG.consolidate_files(IG.uploaded_files(spark, sf)))
+
+
+@register("validate_manifest", """
+WITH m AS (
+  SELECT c_custkey AS run_id,
+         CASE WHEN c_custkey % 7 = 0 THEN ['B2B-CDNR', 'IMPG'] ELSE ['B2B', 'B2B-CDNR', 'IMPG'] END AS s2b
+  FROM customer
+), m2 AS (
+  SELECT run_id, s2b, CASE WHEN run_id % 11 = 0 THEN ['B2B', 'B2B-CDNR'] WHEN run_id % 13 = 0 THEN s2b
+                           ELSE ['Sheet1'] END AS spr
+  FROM m
+)
+SELECT run_id, array_to_string(s2b, '|') AS sheets_2b, array_to_string(spr, '|') AS sheets_pr,
+  CASE WHEN NOT list_contains(s2b, 'B2B') THEN 'missing B2B'
+       WHEN list_contains(spr, 'B2B') AND list_contains(spr, 'B2B-CDNR') THEN 'swapped'
+       WHEN s2b = spr THEN 'duplicate' ELSE 'ok' END AS verdict
+FROM m2""")
+def _s8(spark, sf):
+    return IG.validate_manifest(IG.derived_manifests(spark, sf))
+
+
+@register("row_counts", O.with_stage("landing") + """
+SELECT 'pr' AS source, count(*) AS rows FROM pr_land
+UNION ALL SELECT 'b2b', count(*) FROM b2_land WHERE sheet = 'B2B'
+UNION ALL SELECT 'cdnr', count(*) FROM b2_land WHERE sheet = 'B2B-CDNR'""")
+def _s9(spark, sf):
+    run = get_run(spark, sf)
+    return IG.row_counts(run.pr_landing, run.b2_landing)
+
+
+@register("write_report", O.with_stage("pairs") + _REVIEWED + _COMMENT_CTES + """
+SELECT 'dashboard' AS report_table, CAST(4 AS BIGINT) AS rows
+UNION ALL SELECT 'itc', CAST(13 AS BIGINT)
+UNION ALL SELECT 'reconciliation', count(*) FROM reviewed
+UNION ALL SELECT 'pr_comments', count(*) FROM prc
+UNION ALL SELECT 'b2b_comments', count(*) FROM b2c WHERE sheet = 'B2B'
+UNION ALL SELECT 'cdnr_comments', count(*) FROM b2c WHERE sheet = 'B2B-CDNR'""")
+def _s10(spark, sf):
+    from ..sources.sinks import write_report
+
+    run = get_run(spark, sf)
+    rev = run.reviewed
+    st = P.status_lookup(rev)
+    tables = {
+        "dashboard": DB.dashboard(rev),
+        "itc": ITC.itc_table(run.b2_lines, st, run.return_month),
+        "reconciliation": P.recon_projection(rev),
+        "pr_comments": CM.pr_comments_sheet(CM.pr_comments(run.pr_raw, run.b2_lines, st)),
+        "b2b_comments": CM.b2_comments_sheet(CM.b2_comments(run.b2b_raw, run.pr_raw, st), signed=False),
+        "cdnr_comments": CM.b2_comments_sheet(CM.b2_comments(run.cdnr_raw, run.pr_raw, st), signed=True),
+    }
+    root = write_report(spark, tables, run.run_id)
+    parts = [spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run.run_id)
+             .agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report_table"), "rows")
+             for name in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
