@@ -1012,3 +1012,201 @@ def _s10(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# =================================================================== schema discovery
+from ..operators import schema_match as SM  # noqa: E402
+from ..sources import catalog as CT  # noqa: E402
+from . import oracle_schema as OS  # noqa: E402
+
+
+def _cleaned(spark, sf):
+    return SM.clean_headers(CT.catalog(spark, sf))
+
+
+def _sample(spark, sf):
+    return SM.first_n_per_column(CT.cells(spark, sf))
+
+
+def _score_sql(alias: str, list_expr: str, norm: str) -> str:
+    return (f"5 * (EXISTS (SELECT 1 FROM dict d WHERE d.list_name = {list_expr} AND d.t = {norm}))::INT"
+            f" + 3 * (EXISTS (SELECT 1 FROM dict d WHERE d.list_name = {list_expr} AND contains({norm}, d.t)))::INT"
+            f" + 2 * (EXISTS (SELECT 1 FROM dict d WHERE d.list_name = {list_expr} AND starts_with({norm}, d.t)))::INT"
+            f" + contains({norm}, 'inv')::INT + contains({norm}, 'gst')::INT")
+
+
+@register("clean_headers", OS.with_schema() + """
+SELECT table_id, CAST(pos AS INTEGER) AS pos, col AS column_name, soft, norm FROM cleaned""")
+def _c1(spark, sf):
+    return _cleaned(spark, sf).select("table_id", F.col("pos").cast("int"), F.col("column").alias("column_name"),
+                                      "soft", "norm")
+
+
+@register("match_columns", OS.with_schema() + """
+SELECT table_id, kind, role, col AS column_name, CAST(score AS INTEGER) AS score FROM c2""")
+def _c2(spark, sf):
+    out = SM.match_columns(_cleaned(spark, sf))
+    return out.select("table_id", "kind", "role", F.col("column").alias("column_name"),
+                      F.col("score").cast("int"))
+
+
+@register("first_pool", OS.with_schema() + """
+, t2 AS (SELECT DISTINCT table_id FROM cleaned WHERE kind = '2B'),
+r3 AS (SELECT t2.table_id, r.role FROM t2 CROSS JOIN (VALUES ('igst'), ('cgst'), ('sgst')) r(role))
+SELECT r3.table_id, r3.role, coalesce(c2.col, rx.col) AS column_name
+FROM r3 LEFT JOIN c2 ON c2.table_id = r3.table_id AND c2.role = r3.role AND c2.kind = '2B'
+LEFT JOIN rx ON rx.table_id = r3.table_id AND rx.pattern = r3.role""")
+def _c3(spark, sf):
+    return SM.first_pool(_cleaned(spark, sf)).withColumnRenamed("column", "column_name")
+
+
+@register("match_by_regex", OS.with_schema() + """
+SELECT table_id, pattern, col AS column_name FROM rx""")
+def _c4(spark, sf):
+    return SM.match_by_regex(_cleaned(spark, sf)).withColumnRenamed("column", "column_name")
+
+
+@register("match_by_keyword", OS.with_schema() + """
+, k AS (SELECT *, lower(trim(col)) AS low, regexp_replace(lower(trim(col)), '[^a-z0-9]', '', 'g') AS nn
+        FROM cleaned WHERE kind = '2B')
+SELECT table_id,
+  coalesce(arg_min(col, pos) FILTER (WHERE contains(low, 'itc availability')),
+           arg_min(col, pos) FILTER (WHERE contains(low, 'itc available'))) AS itc_column,
+  arg_min(col, pos) FILTER (WHERE contains(low, 'reverse charge') OR contains(low, 'attract reverse charge'))
+    AS reverse_charge_column,
+  coalesce(arg_min(col, pos) FILTER (WHERE contains(nn, 'date') AND (contains(nn, 'filing') OR contains(nn, 'gstr1')
+                                            OR contains(nn, 'iff')) AND NOT contains(nn, 'period')),
+           arg_min(col, pos) FILTER (WHERE contains(low, 'filing') AND contains(low, 'date') AND NOT contains(low, 'period')))
+    AS filing_date_column,
+  arg_min(col, pos) FILTER (WHERE contains(low, 'filing') AND contains(low, 'date') AND NOT contains(low, 'period'))
+    AS prior_period_filing_column
+FROM k GROUP BY table_id""")
+def _c5(spark, sf):
+    cleaned = _cleaned(spark, sf)
+    tables = cleaned.where(F.col("kind") == "2B").select("table_id").distinct()
+    return tables.join(SM.match_by_keyword(cleaned), "table_id", "left")
+
+
+@register("match_import_type", OS.with_schema() + f"""
+, sc6 AS (SELECT c.table_id, c.pos, c.col, {_score_sql('d', "'import_type'", 'c.norm')} AS score FROM cleaned c),
+b6 AS (SELECT table_id, col FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, pos) AS rn
+                                 FROM sc6) WHERE rn = 1 AND score > 0),
+fb AS (SELECT table_id, arg_min(col, pos) AS col FROM cleaned
+       WHERE contains(lower(col), 'type') AND (contains(lower(col), 'purchase') OR contains(lower(col), 'trans')
+                                               OR contains(lower(col), 'nature')) GROUP BY table_id)
+SELECT t.table_id, coalesce(b6.col, fb.col) AS type_column
+FROM (SELECT DISTINCT table_id FROM cleaned) t LEFT JOIN b6 ON b6.table_id = t.table_id
+LEFT JOIN fb ON fb.table_id = t.table_id""")
+def _c6(spark, sf):
+    return SM.match_import_type(_cleaned(spark, sf))
+
+
+def _c7_sql() -> str:
+    parts = []
+    for kind, suffix, lists, role, bonus in (("PR", "pr", ["vendor_name_pr"], "vendor_name", False),
+                                             ("2B", "2b", ["trade_name_2b", "vendor_name_pr"], "vendor_name", False),
+                                             ("2B", "2b", ["gstr1_status_2b"], "filing_status", True)):
+        n = f"regexp_replace(lower(trim(c.col || '_{suffix}')), '[^a-z0-9]', '', 'g')"
+        lst = ", ".join(f"'{x}'" for x in lists)
+        s = (f"4 * (EXISTS (SELECT 1 FROM dict d WHERE d.list_name IN ({lst}) AND d.t || '{suffix}' = {n}))::INT"
+             f" + 2 * (EXISTS (SELECT 1 FROM dict d WHERE d.list_name IN ({lst}) AND contains({n}, d.t || '{suffix}')))::INT"
+             f" + contains({n}, 'name')::INT")
+        s += (f" + 3 * contains({n}, 'period')::INT" if bonus else
+              f" - 10 * (contains({n}, 'date') OR contains({n}, 'period') OR contains({n}, 'month'))::INT")
+        parts.append(f"SELECT c.table_id, c.pos, c.col, '{role}' AS role, {s} AS score FROM cleaned c WHERE c.kind = '{kind}'")
+    return OS.with_schema() + f"""
+, s7 AS ({" UNION ALL ".join(parts)})
+SELECT table_id, role, col AS column_name, CAST(score AS INTEGER) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY table_id, role ORDER BY score DESC, pos) AS rn FROM s7)
+WHERE rn = 1 AND score > 0"""
+
+
+@register("match_name_column", _c7_sql())
+def _c7(spark, sf):
+    out = SM.match_name_column(_cleaned(spark, sf))
+    return out.select("table_id", "role", F.col("column").alias("column_name"), F.col("score").cast("int"))
+
+
+@register("profile_gstin", OS.with_schema() + """
+SELECT table_id, col AS column_name, CAST(score AS DOUBLE) AS score FROM gv""")
+def _c8(spark, sf):
+    cleaned = _cleaned(spark, sf)
+    out = SM.profile_gstin(cleaned.where(F.col("kind") == "PR"), _sample(spark, sf))
+    return out.select("table_id", F.col("column").alias("column_name"), F.col("score").cast("double"))
+
+
+@register("profile_invoice", OS.with_schema() + """
+SELECT table_id, col AS column_name, CAST(score AS DOUBLE) AS score FROM iv""")
+def _c9(spark, sf):
+    cleaned = _cleaned(spark, sf)
+    out = SM.profile_invoice(cleaned.where(F.col("kind") == "PR"), _sample(spark, sf))
+    return out.select("table_id", F.col("column").alias("column_name"), F.col("score").cast("double"))
+
+
+@register("resolve_roles", OS.with_schema() + """
+SELECT table_id, kind, role, col AS column_name FROM resolved""")
+def _c10(spark, sf):
+    out = SM.resolve_roles(_cleaned(spark, sf), _sample(spark, sf))
+    return out.withColumnRenamed("column", "column_name")
+
+
+_NOTE_TERMS = ", ".join(f"('{t}', {i + 1})" for i, t in enumerate(SM.ROLE_LISTS["note_no_2b"]))
+
+
+@register("best_note_column", OS.with_schema() + f"""
+, fill AS (SELECT table_id, pos, avg(CAST(({O.trim_ws('value')} <> '') AS INTEGER)::DOUBLE) AS fill
+           FROM cells GROUP BY table_id, pos),
+cols AS (SELECT c.table_id, c.pos, c.col, coalesce(f.fill, 0.0) AS fill
+         FROM cleaned c LEFT JOIN fill f ON f.table_id = c.table_id AND f.pos = c.pos),
+prim AS (SELECT table_id, col AS primary_column FROM resolved WHERE role = 'note_no'),
+pf AS (SELECT p.table_id, p.primary_column, c.fill AS pfill FROM prim p
+       LEFT JOIN cols c ON c.table_id = p.table_id AND c.col = p.primary_column),
+nc AS (SELECT * FROM (VALUES {_NOTE_TERMS}) v(term, rk)),
+ex AS (SELECT table_id, col AS fullest FROM (
+         SELECT c.*, nc.rk, row_number() OVER (PARTITION BY c.table_id ORDER BY c.fill DESC, nc.rk) AS rn
+         FROM cols c JOIN nc ON nc.term = c.col WHERE c.fill > 0) WHERE rn = 1)
+SELECT pf.table_id, pf.primary_column,
+       CASE WHEN pf.primary_column IS NULL OR coalesce(pf.pfill, 0.0) < {SM.NOTE_FILL_MIN}
+            THEN coalesce(ex.fullest, pf.primary_column) ELSE pf.primary_column END AS note_column
+FROM pf LEFT JOIN ex ON ex.table_id = pf.table_id""")
+def _c11(spark, sf):
+    cleaned = _cleaned(spark, sf)
+    cells = CT.cells(spark, sf)
+    resolved = SM.resolve_roles(cleaned, SM.first_n_per_column(cells))
+    out = SM.best_note_column(cleaned, cells, resolved)
+    return out.withColumnRenamed("primary", "primary_column")
+
+
+_POOLS = ", ".join(f"('{kind}', {k}, '{lst}')" for kind, lsts in SM.NUMERIC_POOLS.items() for k, lst in enumerate(lsts))
+
+
+@register("numeric_roles", OS.with_schema() + f"""
+, pools AS (SELECT * FROM (VALUES {_POOLS}) v(kind, k, list_name)),
+psc AS (SELECT c.table_id, c.pos, c.col, p.k, {_score_sql('d', 'p.list_name', 'c.norm')} AS score
+        FROM cleaned c JOIN pools p ON p.kind = c.kind),
+pb AS (SELECT table_id, k, col FROM (SELECT *, row_number() OVER (PARTITION BY table_id, k ORDER BY score DESC, pos) AS rn
+                                    FROM psc) WHERE rn = 1 AND score > 0),
+tx AS (SELECT table_id, CASE role WHEN 'cgst' THEN 4 WHEN 'sgst' THEN 5 ELSE 6 END AS k, col FROM resolved
+       WHERE role IN ('cgst', 'sgst', 'igst') AND col IS NOT NULL),
+al AS (SELECT table_id, col, min(k) AS k FROM (SELECT table_id, k, col FROM pb UNION ALL SELECT table_id, k, col FROM tx)
+       GROUP BY table_id, col)
+SELECT table_id, string_agg(col, ' | ' ORDER BY k) AS numeric_columns FROM al GROUP BY table_id""")
+def _c12(spark, sf):
+    cleaned = _cleaned(spark, sf)
+    resolved = SM.resolve_roles(cleaned, _sample(spark, sf))
+    return SM.numeric_roles(cleaned, resolved)
+
+
+@register("role_dictionary", OS.with_schema() + """
+SELECT d.list_name, CAST(d.pos AS INTEGER) AS pos, d.term, d.t AS norm_term, CAST(coalesce(n.n, 0) AS BIGINT) AS n_columns
+FROM dict d LEFT JOIN (SELECT norm, count(*) AS n FROM cleaned GROUP BY norm) n ON n.norm = d.t
+WHERE d.list_name NOT IN ('pr_invoice_pen', 'import_type')""")
+def _c13(spark, sf):
+    return SM.role_dictionary_usage(_cleaned(spark, sf))
+
+
+@register("first_n_per_column", OS.with_schema() + """
+SELECT table_id, CAST(pos AS INTEGER) AS pos, CAST(row_no AS BIGINT) AS row_no, value FROM sample""")
+def _w3(spark, sf):
+    out = _sample(spark, sf)
+    return out.select("table_id", F.col("pos").cast("int"), F.col("row_no").cast("bigint"), "value")
