@@ -42,18 +42,34 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Python's whitespace for str.strip() on cell text, as a character set
+WS = " \t\n\r\f\x0b"
+
+
+def strip_ws(col: Column) -> Column:
+    """Whitespace removed at both ends (no regular expression)."""
+    return F.btrim(col, F.lit(WS))
+
+
+def drop_ws(col: Column) -> Column:
+    """Every whitespace character removed (``re.sub(r'\\s+', '', s)``)."""
+    return F.translate(col, WS, "")
+
+
 def norm_text(col: Column | str) -> Column:
-    """Null -> '', NBSP -> space, trim, drop commas, drop a trailing '.0+'."""
+    """Null -> '', NBSP -> space, trim, drop commas, drop a trailing '.0+'.
+
+    Character-level steps use ``translate``/``btrim`` (no regex); the one
+    regular expression only runs on texts ending in '0'.
+    """
     s = F.coalesce(_c(col).cast("string"), F.lit(""))
-    s = F.regexp_replace(s, NBSP, " ")
-    s = F.regexp_replace(s, r"^\s+|\s+$", "")
-    s = F.regexp_replace(s, ",", "")
-    return F.regexp_replace(s, r"\.0+$", "")
+    s = F.translate(strip_ws(F.translate(s, NBSP, " ")), ",", "")
+    return F.when(s.endswith("0"), F.regexp_replace(s, r"\.0+$", "")).otherwise(s)
 
 
 def norm_gstin(col: Column | str) -> Column:
     """N1, upper case, no whitespace."""
-    return F.regexp_replace(F.upper(norm_text(col)), r"\s+", "")
+    return drop_ws(F.upper(norm_text(col)))
 
 
 def norm_invoice(col: Column | str) -> Column:
@@ -67,21 +83,26 @@ def norm_invoice(col: Column | str) -> Column:
 
 def trimmed(col: Column | str) -> Column:
     """Text with surrounding whitespace removed; missing -> ''."""
-    return F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    return strip_ws(F.coalesce(_c(col).cast("string"), F.lit("")))
 
 
 def with_invoice_key(df, text_col: str, out_col: str):
     """N3 applied in steps over an N1-normalised column.
 
     The intermediate text is a column of its own so the optimizer does not
-    copy the regular expressions into every branch of the final ``when``.
+    copy the expressions into every branch of the final ``when``; each regular
+    expression runs only on texts that could match it (the FY head starts
+    with 'F' or '2', the FY tail needs '/' or '-', zeros need a leading '0').
     """
     tmp = f"_{out_col}_v"
-    df = df.withColumn(tmp, F.regexp_replace(F.upper(F.col(text_col)), r"\s+", ""))
-    df = df.withColumn(tmp, F.regexp_replace(F.regexp_replace(F.col(tmp), "(?i)" + FY_HEAD_PATTERN, ""),
-                                             "(?i)" + FY_TAIL_PATTERN, ""))
+    df = df.withColumn(tmp, drop_ws(F.upper(F.col(text_col))))
     v = F.col(tmp)
-    return df.withColumn(out_col, F.when(v.rlike(r"\d"), F.regexp_replace(v, r"^0+(?=[A-Z0-9])", "")).otherwise(v)).drop(tmp)
+    head = F.when(v.startswith("F") | v.startswith("2"), F.regexp_replace(v, "(?i)" + FY_HEAD_PATTERN, "")).otherwise(v)
+    df = df.withColumn(tmp, head)
+    tail = F.when(v.contains("/") | v.contains("-"), F.regexp_replace(v, "(?i)" + FY_TAIL_PATTERN, "")).otherwise(v)
+    df = df.withColumn(tmp, tail)
+    zeros = F.when(v.startswith("0"), F.regexp_replace(v, r"^0+(?=[A-Z0-9])", "")).otherwise(v)
+    return df.withColumn(out_col, zeros).drop(tmp)
 
 
 def parse_amount_text(nt: Column | str) -> Column:
@@ -91,12 +112,20 @@ def parse_amount_text(nt: Column | str) -> Column:
 
 
 def parse_date_text(s: Column | str) -> Column:
-    """N4 over a trimmed text column."""
+    """N4 over a trimmed text column.
+
+    Each layout is only attempted when a cheap shape test (separator before
+    a 4-digit year, length of a serial number, ...) says it can match: a
+    failed parse is far more expensive than the test.
+    """
     s = _c(s)
+    n = F.length(s)
+    sep_at_year = F.substring(s, -5, 1)
     tries = [
-        F.to_date(F.try_to_timestamp(s, F.lit("d-M-yyyy"))),
-        F.to_date(F.try_to_timestamp(s, F.lit("d/M/yyyy"))),
-        F.when(s.rlike(r"^\d{4,6}$"), F.date_add(F.lit(EXCEL_EPOCH).cast("date"), s.cast("int"))),
+        F.when(sep_at_year == "-", F.to_date(F.try_to_timestamp(s, F.lit("d-M-yyyy")))),
+        F.when(sep_at_year == "/", F.to_date(F.try_to_timestamp(s, F.lit("d/M/yyyy")))),
+        F.when((n >= 4) & (n <= 6) & s.rlike(r"^\d{4,6}$"),
+               F.date_add(F.lit(EXCEL_EPOCH).cast("date"), s.cast("int"))),
     ]
     tries += [F.to_date(F.try_to_timestamp(s, F.lit(fmt))) for fmt in EXTRA_DATE_FORMATS]
     return F.when(s != "", F.coalesce(*tries))
@@ -104,14 +133,14 @@ def parse_date_text(s: Column | str) -> Column:
 
 def is_total_label(col: Column | str) -> Column:
     """F2 predicate: text (lower, trimmed) is 'total' or starts with 'total '."""
-    s = F.lower(F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), r"^\s+|\s+$", ""))
+    s = F.lower(trimmed(col))
     return (s == F.lit("total")) | s.startswith("total ")
 
 
 def parse_date(col: Column | str) -> Column:
     """Day-first text, Excel serial (4-6 digits), then a fixed list of
     other layouts; anything else is null."""
-    s = F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    s = trimmed(col)
     tries = [
         F.to_date(F.try_to_timestamp(s, F.lit("d-M-yyyy"))),
         F.to_date(F.try_to_timestamp(s, F.lit("d/M/yyyy"))),
@@ -167,8 +196,8 @@ def fuzzy_invoice(col: Column | str) -> Column:
 
 def is_gstin(col: Column | str) -> Column:
     """The whole trimmed text is a GSTIN (any case)."""
-    s = F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), r"^\s+|\s+$", "")
-    return s.rlike("(?i)" + GSTIN_PATTERN)
+    s = trimmed(col)
+    return (F.length(s) == 15) & s.rlike("(?i)" + GSTIN_PATTERN)
 
 
 def is_valid_name(col: Column | str) -> Column:
@@ -194,7 +223,7 @@ def month_text(date_col: Column | str) -> Column:
 
 def parse_month(col: Column | str) -> Column:
     """Period texts such as 'Jan 2024', 'Jan-2024', '01/2024', '2024-01' -> first day."""
-    s = F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    s = trimmed(col)
     fmts = ["MMM yyyy", "MMMM yyyy", "M/yyyy", "M-yyyy", "yyyy-M", "MMM-yyyy", "MMMM-yyyy", "M yyyy",
             "yyyy MMM", "yyyy MMMM"]
     return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in fmts])
@@ -203,6 +232,6 @@ def parse_month(col: Column | str) -> Column:
 def coerce_number(col: Column | str) -> Column:
     """Drop commas and the text 'nan' (any case), trim, number or 0."""
     s = F.coalesce(_c(col).cast("string"), F.lit(""))
-    s = F.regexp_replace(F.regexp_replace(s, ",", ""), "(?i)nan", "")
-    s = F.regexp_replace(s, r"^\s+|\s+$", "")
+    s = F.translate(s, ",", "")
+    s = strip_ws(F.when(F.lower(s).contains("nan"), F.regexp_replace(s, "(?i)nan", "")).otherwise(s))
     return F.coalesce(s.try_cast(MONEY), F.lit(0).cast(MONEY))

@@ -24,12 +24,12 @@ DEBIT_MARKERS = ("debit", " dr ", " dr.")
 
 def _lower_trim_text(c: Column) -> Column:
     """``str(value).lower().strip()`` where a missing cell reads as 'nan'."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit("nan"))), r"^\s+|\s+$", "")
+    return N.strip_ws(F.lower(F.coalesce(c, F.lit("nan"))))
 
 
 def is_import(type_col: Column) -> Column:
     """F1 predicate on the type column; missing and '' are not imports."""
-    s = F.lower(F.regexp_replace(F.coalesce(type_col, F.lit("")), r"^\s+|\s+$", ""))
+    s = F.lower(N.trimmed(type_col))
     hit = F.lit(False)
     for term in IMPORT_TERMS:
         hit = hit | s.contains(term)
@@ -55,59 +55,69 @@ def debit_row(cols: list[str]) -> Column:
     return hit
 
 
-def typed_pr_lines(pr_landing: DataFrame) -> DataFrame:
-    """Purchase register lines with keys, typed date and amounts and the F1/F2/F3 flags."""
-    step = pr_landing.select(
-        "row_no", *PR_COLUMNS,
-        N.norm_text("gstin_raw").alias("_g"),
+def _drop_helpers(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_t_")])
+
+
+def typed_pr_lines(pr_rows: DataFrame) -> DataFrame:
+    """Purchase register rows plus keys, typed date and amounts and the
+    F1/F2/F3 flags (every input column is kept)."""
+    step = pr_rows.select(
+        "*",
+        N.norm_text("gstin_raw").alias("_t_g"),
         N.norm_text("inv_raw").alias("inv_orig"),
-        N.trimmed("date_raw").alias("_d"),
-        *[N.norm_text(f"{a}_raw").alias(f"_{a}") for a in AMOUNTS],
+        N.trimmed("date_raw").alias("_t_d"),
+        *[N.norm_text(f"{a}_raw").alias(f"_t_{a}") for a in AMOUNTS],
     )
     step = N.with_invoice_key(step, "inv_orig", "inv_key")
-    return step.select(
-        "row_no", *PR_COLUMNS,
-        F.regexp_replace(F.upper("_g"), r"\s+", "").alias("gst_key"),
-        "inv_key", "inv_orig",
-        N.parse_date_text("_d").alias("inv_date"),
-        *[N.parse_amount_text(f"_{a}").alias(a) for a in AMOUNTS],
+    out = step.select(
+        "*",
+        N.drop_ws(F.upper("_t_g")).alias("gst_key"),
+        N.parse_date_text("_t_d").alias("inv_date"),
+        *[N.parse_amount_text(f"_t_{a}").alias(a) for a in AMOUNTS],
         is_import(F.col("purchase_type")).alias("is_import"),
         (N.is_total_label("gstin_raw") | N.is_total_label("inv_raw")).alias("is_total"),
     )
+    return _drop_helpers(out)
 
 
-def typed_b2_lines(b2_landing: DataFrame) -> DataFrame:
-    """2B lines (B2B, CDNR, IMPG) after S3, with keys, typed values, G1 signs
-    on credit/debit notes and the F1/F4/F5 flags."""
-    rows = drop_blank_rows(b2_landing, B2_COLUMNS)
-    step = rows.select(
-        "sheet", "row_no", *B2_COLUMNS,
-        N.norm_text("gstin_raw").alias("_g"),
+def typed_b2_rows(b2_rows: DataFrame) -> DataFrame:
+    """2B rows (B2B, CDNR, IMPG) plus keys, typed values, G1 signs on
+    credit/debit notes and the F1/F4/F5 flags (every input column is kept;
+    blank rows are typed too and dropped by ``typed_b2_lines``)."""
+    step = b2_rows.select(
+        "*",
+        N.norm_text("gstin_raw").alias("_t_g"),
         N.norm_text("inv_raw").alias("inv_orig"),
-        N.trimmed("date_raw").alias("_d"),
-        N.trimmed("filing_date_raw").alias("_fd"),
-        *[N.norm_text(f"{a}_raw").alias(f"_{a}") for a in AMOUNTS],
-        debit_row(B2_COLUMNS + ["sheet"]).alias("_debit"),
+        N.trimmed("date_raw").alias("_t_d"),
+        N.trimmed("filing_date_raw").alias("_t_fd"),
+        *[N.norm_text(f"{a}_raw").alias(f"_t_{a}") for a in AMOUNTS],
+        debit_row(B2_COLUMNS + ["sheet"]).alias("_t_debit"),
     )
     step = N.with_invoice_key(step, "inv_orig", "inv_key")
-    step = step.select("*", *[N.parse_amount_text(f"_{a}").alias(f"_{a}_v") for a in AMOUNTS])
+    step = step.select("*", *[N.parse_amount_text(f"_t_{a}").alias(f"_t_{a}_v") for a in AMOUNTS])
     is_cdnr = F.col("sheet") == SHEET_CDNR
     signed = []
     for a in AMOUNTS:
-        v = F.col(f"_{a}_v")
-        signed.append(F.when(is_cdnr, F.when(F.col("_debit"), F.abs(v)).otherwise(-F.abs(v))).otherwise(v).alias(a))
-    return step.select(
-        "sheet", "row_no", *B2_COLUMNS,
-        F.regexp_replace(F.upper("_g"), r"\s+", "").alias("gst_key"),
-        "inv_key", "inv_orig",
-        N.parse_date_text("_d").alias("inv_date"),
-        N.parse_date_text("_fd").alias("filing_date"),
+        v = F.col(f"_t_{a}_v")
+        signed.append(F.when(is_cdnr, F.when(F.col("_t_debit"), F.abs(v)).otherwise(-F.abs(v))).otherwise(v).alias(a))
+    out = step.select(
+        "*",
+        N.drop_ws(F.upper("_t_g")).alias("gst_key"),
+        N.parse_date_text("_t_d").alias("inv_date"),
+        N.parse_date_text("_t_fd").alias("filing_date"),
         *signed,
         ((F.col("sheet") == SHEET_B2B) & is_import(F.col("supply_type"))).alias("is_import"),
         (N.is_total_label("gstin_raw") | N.is_total_label("inv_raw")).alias("is_total"),
         _lower_trim_text(F.col("reverse_charge")).isin(*RCM_YES).alias("rcm_yes"),
         _lower_trim_text(F.col("itc_availability")).isin(*ITC_NO).alias("itc_no"),
     )
+    return _drop_helpers(out)
+
+
+def typed_b2_lines(b2_typed: DataFrame) -> DataFrame:
+    """S3 over typed 2B rows: drop rows whose data cells are all missing."""
+    return drop_blank_rows(b2_typed, B2_COLUMNS)
 
 
 def pr_clean(pr_lines: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ puts a whole hot group into one task.  Instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,13 +35,18 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def dense_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal",
-                  start: int = 0) -> DataFrame:
+                  start: int = 0, post: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``name`` = dense position of each row in ``order_by`` order.
 
     ``order_by`` must be a total order (unique) for the result to be stable.
+    ``post`` is a row-wise projection run after the range exchange and
+    before the write: it keeps the order and runs with the exchange's
+    parallelism, whatever the partitioning of the input was.
     """
-    tagged = materialize(
-        df.orderBy(*_cols(order_by)).withColumn("_lw_mid", F.monotonically_increasing_id()), "ordinal")
+    ordered = df.orderBy(*_cols(order_by))
+    if post is not None:
+        ordered = post(ordered)
+    tagged = materialize(ordered.withColumn("_lw_mid", F.monotonically_increasing_id()), "ordinal")
     pid = F.shiftright(F.col("_lw_mid"), 33)
     sizes = tagged.groupBy(pid.alias("_lw_pid")).agg(F.count(F.lit(1)).alias("_lw_n"))
     # one row per partition: a prefix sum over a table whose size is the
@@ -61,10 +66,11 @@ def dense_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "
 
 
 def rank_in_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
-                  name: str = "rank", start: int = 1) -> DataFrame:
+                  name: str = "rank", start: int = 1,
+                  post: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``row_number() over (partition by group_by order by order_by)`` without
     sending a whole group to one task."""
-    ordered = dense_ordinal(df, [*group_by, *order_by], name="_lw_ord")
+    ordered = dense_ordinal(df, [*group_by, *order_by], name="_lw_ord", post=post)
     firsts = ordered.groupBy(*group_by).agg(F.min("_lw_ord").alias("_lw_first"))
     out = ordered.join(firsts, list(group_by), "inner")
     return out.withColumn(name, (F.col("_lw_ord") - F.col("_lw_first") + F.lit(start)).cast("bigint")).drop(

@@ -19,6 +19,7 @@ from ..operators import consolidate as C
 from ..operators import lines as L
 from ..operators import pairing as P
 from ..sources.scratch import materialize as write_stage
+from ..operators.ordinal import dense_ordinal
 from ..sources import derived as D
 
 DEFAULT_RETURN_MONTH = "1997-01"
@@ -42,21 +43,32 @@ class Run:
 
     # -- sources ---------------------------------------------------------
     @cached_property
-    def pr_landing(self) -> DataFrame:
-        return materialize(D.build_pr_landing(self.spark, self.sf_dir))
+    def pr_table(self) -> DataFrame:
+        """Landing rows with their typed columns, written once (row numbers fixed)."""
+        return D.build_pr_landing(self.spark, self.sf_dir, typer=L.typed_pr_lines)
 
     @cached_property
+    def b2_table(self) -> DataFrame:
+        return D.build_b2_landing(self.spark, self.sf_dir, typer=L.typed_b2_rows)
+
+    @property
+    def pr_landing(self) -> DataFrame:
+        """The purchase register as uploaded (text cells only)."""
+        return self.pr_table.select("row_no", *D.PR_COLUMNS)
+
+    @property
     def b2_landing(self) -> DataFrame:
-        return materialize(D.build_b2_landing(self.spark, self.sf_dir))
+        """The 2B sheets as uploaded (text cells only)."""
+        return self.b2_table.select("sheet", "row_no", *D.B2_COLUMNS)
 
-    # -- typed lines (lazy projections over the landing checkpoints) -----
+    # -- typed lines (column subsets of the written tables) --------------
     @property
     def pr_lines(self) -> DataFrame:
-        return L.typed_pr_lines(self.pr_landing)
+        return self.pr_table
 
     @property
     def b2_lines(self) -> DataFrame:
-        return L.typed_b2_lines(self.b2_landing)
+        return L.typed_b2_lines(self.b2_table)
 
     @property
     def pr_raw(self) -> DataFrame:
@@ -72,30 +84,30 @@ class Run:
         return L.cdnr_signed(self.b2_lines)
 
     # -- consolidation ---------------------------------------------------
-    @cached_property
+    @property
     def pr_cons(self) -> DataFrame:
-        return materialize(C.consolidate_pr(self.pr_raw))
+        return C.consolidate_pr(self.pr_raw)
 
     @cached_property
     def b2_cons(self) -> DataFrame:
-        return materialize(C.consolidate_2b(L.matchable_2b(self.b2_lines)))
+        cons = materialize(C.consolidate_by_key(L.matchable_2b(self.b2_lines), C.B2_FIRST, extra_keys=["sheet"]),
+                           "b2_cons")
+        return C.rescue_empty_inv_key(cons)
 
     # -- pairing ---------------------------------------------------------
     @cached_property
     def joined(self) -> DataFrame:
-        return materialize(P.outer_join(P.suffix_pr(self.pr_cons), P.suffix_2b(self.b2_cons)))
+        return materialize(P.outer_join(P.suffix_pr(self.pr_cons), P.suffix_2b(self.b2_cons)), "joined")
 
     @cached_property
     def pairs(self) -> DataFrame:
+        """The pair table; ``pair_id`` is assigned by a written ordinal, so it
+        never changes between review and finish."""
         rows = P.fuzzy_rescue(self.joined)
         rows = P.show_cdnr_gstin(P.invoice_type(P.classify(rows)))
-        rows = P.with_vendor_names(rows)
-        from ..operators.ordinal import dense_ordinal
-        from pyspark.sql import functions as F
-
-        rows = rows.withColumn("_o", P.pair_order()[2])
+        rows = P.with_vendor_names(rows).withColumn("_o", P.pair_order()[2])
         out = dense_ordinal(rows, ["gst_key", "inv_key", "_o"], name="pair_id", start=0)
-        return materialize(out.select(*P.PAIR_COLUMNS).withColumn("pair_id", F.col("pair_id")))
+        return out.select(*P.PAIR_COLUMNS)
 
     @cached_property
     def status(self) -> DataFrame:

@@ -164,16 +164,20 @@ def impg_landing_unnumbered(base: DataFrame) -> DataFrame:
             .select(F.lit(SHEET_IMPG).alias("sheet"), *LINE_ORDER, *[cols[c].alias(c) for c in B2_COLUMNS]))
 
 
-def build_pr_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + S5: purchase register rows, all text, with their sheet row."""
+def build_pr_landing(spark: SparkSession, sf_dir: str, typer=None) -> DataFrame:
+    """S1 + S5: purchase register rows, all text, with their sheet row.
+
+    ``typer`` adds typed columns after the row-numbering sort, so the raw
+    text and its typed form land in the same single write.
+    """
     rows = pr_landing_unnumbered(base_lines(spark, sf_dir))
-    numbered = dense_ordinal(rows, LINE_ORDER, name="row_no", start=PR_FIRST_ROW)
-    return numbered.select("row_no", *PR_COLUMNS)
+    numbered = dense_ordinal(rows, LINE_ORDER, name="row_no", start=PR_FIRST_ROW, post=typer)
+    return numbered.drop(*LINE_ORDER)
 
 
-def build_b2_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_b2_landing(spark: SparkSession, sf_dir: str, typer=None) -> DataFrame:
     """S2 + S4 + S5: B2B, B2B-CDNR and IMPG rows (portal layout), all text."""
     base = base_lines(spark, sf_dir)
     rows = b2_landing_unnumbered(base).unionByName(impg_landing_unnumbered(base))
-    numbered = rank_in_group(rows, ["sheet"], LINE_ORDER, name="row_no", start=PORTAL_FIRST_ROW)
-    return numbered.select("sheet", "row_no", *B2_COLUMNS)
+    numbered = rank_in_group(rows, ["sheet"], LINE_ORDER, name="row_no", start=PORTAL_FIRST_ROW, post=typer)
+    return numbered.drop(*LINE_ORDER)
