@@ -72,12 +72,24 @@ def rescue_empty_inv_key(b2_cons: DataFrame) -> DataFrame:
     return out.withColumn("inv_key", F.coalesce(F.col("_new_key"), F.col("inv_key"))).drop("_new_key")
 
 
+ROW_BUCKET = 100_000
+
+
 def row_numbers_by_key(lines: DataFrame, name: str) -> DataFrame:
     """A2: every sheet row per key, numeric order, joined with ', '.
-    Only rows whose GSTIN key and invoice key are both non-empty."""
+    Only rows whose GSTIN key and invoice key are both non-empty.
+
+    Two levels so a key with very many lines is not sorted in one task: rows
+    are sorted inside contiguous row-number buckets first; the per-key step
+    only concatenates the bucket texts in bucket order (all numbers of bucket
+    b are below those of bucket b + 1, so the result is the same sorted list).
+    """
     rows = lines.where((F.col("gst_key") != "") & (F.col("inv_key") != ""))
-    return rows.groupBy(*KEY).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col("row_no"))), ", ").alias(name))
+    bucket = (F.col("row_no") / F.lit(ROW_BUCKET)).cast("bigint")
+    parts = rows.groupBy(*KEY, bucket.alias("_b")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.col("row_no"))), ", ").alias("_t"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_b"), F.col("_t"))))
+    return parts.groupBy(*KEY).agg(F.array_join(F.transform(ordered, lambda x: x["_t"]), ", ").alias(name))
 
 
 def period_by_key(b2_lines: DataFrame) -> DataFrame:
