@@ -91,20 +91,22 @@ def fuzzy_rescue(joined: DataFrame) -> DataFrame:
     """J2 + W1 + W2 over the joined rows; returns the rows of ``pair`` before J3."""
     has_b2 = F.col("sheet").isNotNull()
     matched = _use_siblings(joined.where(F.col("pr_exists") & has_b2), F.lit(True)).withColumn(
-        "fuzzy_reason", F.lit(None).cast("string"))
+        "fuzzy_reason", F.lit(None).cast("string")).withColumn("key_rows", F.col("b2_parts"))
     pr_o = joined.where(F.col("pr_exists") & ~has_b2).select(*KEY, *PR_VALUES, "pr_exists")
     b2_o = joined.where(~F.col("pr_exists") & has_b2).select(
         *KEY, "sheet", "sheet_rank", *B2_VALUES, "b2_parts", *[f"{c}__sib" for c in B2_FILLABLE])
 
     fk = [N.fuzzy_gstin("gst_key").alias("fg"), N.fuzzy_invoice("inv_key").alias("fi")]
-    pr_f = pr_o.select(*KEY, *fk)
-    b2_f = b2_o.select(*KEY, "sheet_rank", *fk)
+    pr_f = pr_o.select(*KEY, F.lit(0).alias("sheet_rank"), *fk, F.lit(0).alias("side"))
+    b2_f = b2_o.select(*KEY, "sheet_rank", *fk, F.lit(1).alias("side"))
     # only fuzzy keys present on both sides can pair; ranks are relative to the
-    # whole fuzzy group, and every member of such a group is kept
-    pr_c = pr_f.join(b2_f.select("fg", "fi").distinct(), ["fg", "fi"], "left_semi")
-    b2_c = b2_f.join(pr_f.select("fg", "fi").distinct(), ["fg", "fi"], "left_semi")
-    pr_r = rank_in_group(pr_c, ["fg", "fi"], KEY, name="fifo")
-    b2_r = rank_in_group(b2_c, ["fg", "fi"], [*KEY, "sheet_rank"], name="fifo").select(
+    # whole fuzzy group, and every member of such a group is kept.  Both sides
+    # are ranked by one distributed ordinal (side is part of the group).
+    both = pr_f.select("fg", "fi").intersect(b2_f.select("fg", "fi"))
+    cand = pr_f.unionByName(b2_f).join(both, ["fg", "fi"], "left_semi")
+    ranked = rank_in_group(cand, ["fg", "fi", "side"], [*KEY, "sheet_rank"], name="fifo")
+    pr_r = ranked.where(F.col("side") == 0).select("fg", "fi", "fifo", *KEY)
+    b2_r = ranked.where(F.col("side") == 1).select(
         "fg", "fi", "fifo", F.col("gst_key").alias("src_gst"), F.col("inv_key").alias("src_inv"),
         F.col("sheet_rank").alias("src_rank"))
     links = pr_r.join(b2_r, ["fg", "fi", "fifo"], "inner").select(*KEY, "src_gst", "src_inv", "src_rank")
@@ -117,8 +119,10 @@ def fuzzy_rescue(joined: DataFrame) -> DataFrame:
                .join(b2_src, ["src_gst", "src_inv", "src_rank"], "inner")
                .withColumn("fuzzy_reason", F.when(reason == "", F.lit(REASON_TYPOS)).otherwise(reason))
                .withColumn("b2_parts", F.lit(1).cast("bigint"))
+               .withColumn("key_rows", F.lit(1).cast("bigint"))
                .drop("src_gst", "src_inv", "src_rank"))
-    pr_left = pr_o.join(links.select(*KEY), KEY, "left_anti").withColumn("fuzzy_reason", F.lit(None).cast("string"))
+    pr_left = pr_o.join(links.select(*KEY), KEY, "left_anti").withColumn("fuzzy_reason", F.lit(None).cast("string")) \
+        .withColumn("key_rows", F.lit(1).cast("bigint"))
 
     taken = links.select(F.col("src_gst").alias("gst_key"), F.col("src_inv").alias("inv_key"),
                          F.col("src_rank").alias("sheet_rank"))
@@ -127,7 +131,9 @@ def fuzzy_rescue(joined: DataFrame) -> DataFrame:
                .join(taken_keys, KEY, "left")
                .withColumn("fuzzy_reason", F.lit(None).cast("string")))
     # siblings fill each other only when both 2B rows of the key remain
-    b2_left = _use_siblings(b2_left, (F.col("b2_parts") == 2) & F.col("_key_taken").isNull()).drop("_key_taken")
+    b2_left = _use_siblings(b2_left, (F.col("b2_parts") == 2) & F.col("_key_taken").isNull())
+    b2_left = b2_left.withColumn("key_rows", F.when(F.col("_key_taken").isNotNull(), F.lit(1).cast("bigint"))
+                                 .otherwise(F.col("b2_parts"))).drop("_key_taken")
     b2_left = b2_left.withColumn("pr_exists", F.lit(False))
 
     return matched.unionByName(rescued, allowMissingColumns=True) \
@@ -202,7 +208,7 @@ def with_vendor_names(rows: DataFrame) -> DataFrame:
 
 
 PAIR_COLUMNS = ["pair_id", *KEY, "mapping", "remarks", "reason", "vendor_name", "invoice_type", "sheet",
-                "sheet_rank", "fuzzy_reason", "pr_exists", *PR_VALUES, *B2_VALUES]
+                "sheet_rank", "key_rows", "fuzzy_reason", "pr_exists", *PR_VALUES, *B2_VALUES]
 
 
 def build_pairs(pr_cons: DataFrame, b2_cons: DataFrame, materialize=None) -> DataFrame:
@@ -219,10 +225,14 @@ def build_pairs(pr_cons: DataFrame, b2_cons: DataFrame, materialize=None) -> Dat
 
 
 def status_lookup(pairs: DataFrame) -> DataFrame:
-    """Key -> (mapping, remarks, reason) of the last pair with that key."""
-    st = F.struct("mapping", "remarks", "reason")
-    return (pairs.groupBy(*KEY).agg(F.max_by(st, F.col("pair_id")).alias("s"))
-            .select(*KEY, "s.mapping", "s.remarks", "s.reason"))
+    """Key -> (mapping, remarks, reason) of the last pair with that key.
+
+    A key has at most two pair rows (its B2B and CDNR parts, in that order),
+    and every pair row knows how many rows its key has (``key_rows``), so
+    the last row is found by a filter: no aggregation, no shuffle.
+    """
+    last = (F.col("key_rows") == 1) | (F.col("sheet_rank") == 1)
+    return pairs.where(last).select(*KEY, "mapping", "remarks", "reason")
 
 
 def recon_projection(pairs: DataFrame) -> DataFrame:

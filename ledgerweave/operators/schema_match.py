@@ -285,13 +285,29 @@ def first_n_per_column(cells: DataFrame, n: int = PROFILE_SAMPLE) -> DataFrame:
     return first_n_per_group(present, ["table_id", "pos"], [F.col("row_no")], n, salt_from=["row_no"])
 
 
-def _profile(sample: DataFrame, hit: Column) -> DataFrame:
-    return sample.groupBy("table_id", "pos").agg((F.sum(hit.cast("int")) / F.count(F.lit(1))).alias("share"))
+def invoice_like(v: Column) -> Column:
+    return (~v.rlike("(?i)" + N.GSTIN_PATTERN) & (F.length(v) >= 1) & (F.length(v) <= 30)
+            & ~v.rlike("^[A-Za-z]+$") & ~v.rlike("^0+$") & ~v.rlike(r"^[-/\.]+$") & v.rlike(r"\d"))
+
+
+def profile_shares(sample: DataFrame) -> DataFrame:
+    """Share of GSTIN-like and invoice-like values per column, one aggregation."""
+    n = F.count(F.lit(1))
+    return sample.groupBy("table_id", "pos").agg(
+        (F.sum(F.col("value").rlike("(?i)" + N.GSTIN_PATTERN).cast("int")) / n).alias("gstin_share"),
+        (F.sum(invoice_like(F.col("value")).cast("int")) / n).alias("invoice_share"))
+
+
+def _shares(sample_or_shares: DataFrame) -> DataFrame:
+    if "gstin_share" in sample_or_shares.columns:
+        return sample_or_shares
+    return profile_shares(sample_or_shares)
 
 
 def profile_gstin(cleaned: DataFrame, sample: DataFrame, prefer_supplier: bool = True) -> DataFrame:
-    """Column whose sampled values look most like GSTINs (> 0 wins, first on ties)."""
-    share = _profile(sample, F.col("value").rlike("(?i)" + N.GSTIN_PATTERN))
+    """Column whose sampled values look most like GSTINs (> 0 wins, first on ties).
+    ``sample`` may be the W3 sample or its ``profile_shares``."""
+    share = _shares(sample).select("table_id", "pos", F.col("gstin_share").alias("share"))
     j = share.join(cleaned.select("table_id", "pos", "column", "norm"), ["table_id", "pos"])
     n = F.col("norm")
     adj = F.col("share")
@@ -303,15 +319,10 @@ def profile_gstin(cleaned: DataFrame, sample: DataFrame, prefer_supplier: bool =
     return best_per_role(scored)
 
 
-def invoice_like(v: Column) -> Column:
-    return (~v.rlike("(?i)" + N.GSTIN_PATTERN) & (F.length(v) >= 1) & (F.length(v) <= 30)
-            & ~v.rlike("^[A-Za-z]+$") & ~v.rlike("^0+$") & ~v.rlike(r"^[-/\.]+$") & v.rlike(r"\d"))
-
-
 def profile_invoice(cleaned: DataFrame, sample: DataFrame) -> DataFrame:
     """Column whose sampled values look most like invoice numbers,
     skipping names about tax ids, amounts, parties and dates."""
-    share = _profile(sample, invoice_like(F.col("value")))
+    share = _shares(sample).select("table_id", "pos", F.col("invoice_share").alias("share"))
     names = cleaned.where(~_any_contains(F.col("norm"), INVOICE_SKIP_WORDS)).select("table_id", "pos", "column")
     scored = share.join(names, ["table_id", "pos"]).select("table_id", "pos", "column", F.lit("invoice").alias("role"),
                                                           F.col("share").alias("score"))
@@ -335,9 +346,10 @@ def resolve_roles(cleaned: DataFrame, sample: DataFrame) -> DataFrame:
     chosen = (sel.withColumn("soft", soft_choice)
               .join(soft_names(cleaned), ["table_id", "soft"], "inner")
               .select("table_id", "role", F.col("column").alias("by_choice")))
-    gv = profile_gstin(cleaned.where(F.col("kind") == "PR"), sample).select(
+    shares = profile_shares(sample)
+    gv = profile_gstin(cleaned.where(F.col("kind") == "PR"), shares).select(
         "table_id", F.lit("gstin").alias("role"), F.col("column").alias("by_value"))
-    iv = profile_invoice(cleaned.where(F.col("kind") == "PR"), sample).select(
+    iv = profile_invoice(cleaned.where(F.col("kind") == "PR"), shares).select(
         "table_id", F.lit("invoice").alias("role"), F.col("column").alias("by_value"))
     rx = match_by_regex(cleaned).where(F.col("pattern").isin("note_number", "note_date")).select(
         "table_id", F.when(F.col("pattern") == "note_number", F.lit("note_no")).otherwise(F.lit("note_date"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordinal import dense_ordinal, rank_in_group
-from .tables import read_table
+from .tables import read_table, spread
 
 # Sheet row of the first data row: header in row 1 for the purchase register,
 # two header rows (5 and 6) in the portal layout of GSTR-2B.
@@ -47,9 +47,9 @@ def _money_text(x: Column) -> Column:
 
 def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with the invoice facts both books start from."""
-    li = read_table(spark, sf_dir, "lineitem", [
+    li = spread(read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]))
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     # at most 10 rows survive the filter, so the broadcast size is bounded
     sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"]).where(
