@@ -28,6 +28,15 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 
 _LOW_BITS = (1 << 33) - 1
+# group tables up to this many rows are broadcast (after counting them)
+MAX_BROADCAST_GROUPS = 200_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only after counting that it holds at most ``max_rows``;
+    otherwise leave the join to a shuffle (with AQE's skew handling)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -72,7 +81,10 @@ def rank_in_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str
     sending a whole group to one task."""
     ordered = dense_ordinal(df, [*group_by, *order_by], name="_lw_ord", post=post)
     firsts = ordered.groupBy(*group_by).agg(F.min("_lw_ord").alias("_lw_first"))
-    out = ordered.join(firsts, list(group_by), "inner")
+    # few groups (sheets, files) would make a shuffle join on the group key
+    # put whole groups into single tasks: broadcast the group table when its
+    # counted size allows, else shuffle (many groups, AQE splits skew)
+    out = ordered.join(checked_broadcast(firsts, MAX_BROADCAST_GROUPS), list(group_by), "inner")
     return out.withColumn(name, (F.col("_lw_ord") - F.col("_lw_first") + F.lit(start)).cast("bigint")).drop(
         "_lw_ord", "_lw_first"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from .ordinal import first_n_per_group
+from .ordinal import checked_broadcast, first_n_per_group
 from .pairing import ALMOST, MATCHED, NOT_MATCHED
 
 # Texts written by the review step.
@@ -21,12 +21,6 @@ HISTORY_PAGE = 50
 MAX_BROADCAST_IDS = 2_000_000
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after counting that it holds at most ``max_rows``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def review_candidates(pairs: DataFrame) -> DataFrame:
     """the Almost Matched pairs shown to the reviewer (missing -> '')."""
     rows = pairs.where(F.col("mapping") == ALMOST)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordinal import rank_in_group
+from ..operators.ordinal import checked_broadcast, rank_in_group
 from . import derived as D
 from .tables import read_table
 
@@ -63,7 +63,8 @@ def consolidate_files(files: DataFrame, header_height: int = PORTAL_HEADER_HEIGH
         F.lower(F.col("file_name")).endswith(WORKBOOK_SUFFIXES[1])
     rows = files.where(ok).withColumn("sheet", F.trim(F.col("sheet")))
     firsts = rows.groupBy("sheet").agg(F.min("file_seq").alias("first_file"))
-    kept = rows.join(firsts, "sheet").where(
+    # one row per sheet name: broadcast after counting, never a shuffle by sheet
+    kept = rows.join(checked_broadcast(firsts, 100_000), "sheet").where(
         (F.col("file_seq") == F.col("first_file")) | (F.col("row_no") > header_height))
     return kept.select("sheet", "file_seq", "row_no", *CELLS)
 
