@@ -1,9 +1,12 @@
 """One row per (supplier GSTIN, invoice key).
 
-``consolidate_by_key`` is a single hash aggregation: partial sums/min/min_by
-are computed map-side before the shuffle, so a hot key (one supplier whose
-invoices all collapse to the same key) is pre-aggregated in every task and
-the shuffle carries at most one row per key per task.
+``consolidate_by_key`` is a single aggregation with a map-side partial step:
+sums, minima and "first non-null in sheet order" are pre-aggregated in every
+task before the shuffle, so a hot key (one supplier whose invoices all
+collapse to the same key) sends at most one row per task.  The text "first"
+values are ``min_by`` over strings, which Spark runs as a sort-based
+aggregate (its hash aggregate cannot hold string buffers); it spills instead
+of failing when a partition is large.
 """
 
 from __future__ import annotations
@@ -13,8 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
 from .lines import AMOUNTS, keyed_rows
-from .ordinal import dense_ordinal
+from .ordinal import checked_broadcast, dense_ordinal
+
+MAX_BROADCAST_RENAMES = 2_000_000
 
 KEY = ["gst_key", "inv_key"]
 
@@ -64,6 +70,9 @@ def rescue_empty_inv_key(b2_cons: DataFrame) -> DataFrame:
     renames = ords.where(F.col("inv_key") == "").select(
         "gst_key", F.lit("").alias("_empty"), F.lit("B2B-CDNR").alias("_sheet"),
         F.concat(F.lit("__CDNR_ROW__"), F.col("_pos").cast("string"), F.lit("__")).alias("_new_key"))
+    # at most one rename per supplier: broadcast after counting, so the big
+    # side is never shuffled by a handful of GSTINs
+    renames = checked_broadcast(renames, MAX_BROADCAST_RENAMES)
     out = b2_cons.join(
         renames,
         (b2_cons.gst_key == renames.gst_key) & (b2_cons.inv_key == renames._empty) & (b2_cons.sheet == renames._sheet),
@@ -97,5 +106,5 @@ def period_by_key(b2_lines: DataFrame) -> DataFrame:
     rows = b2_lines.where((F.col("gst_key") != "") & (F.col("inv_key") != ""))
     rank = F.when(F.col("sheet") == "B2B", F.lit(0)).otherwise(F.lit(1))
     order = F.struct(rank.alias("r"), F.col("row_no").alias("n"))
-    txt = F.coalesce(F.regexp_replace(F.col("filing_period"), r"^\s+|\s+$", ""), F.lit(""))
+    txt = N.norm_text("filing_period")
     return rows.groupBy(*KEY).agg(F.min_by(txt, order).alias("filing_period"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from .consolidate import KEY
 from .lines import AMOUNTS
-from .ordinal import dense_ordinal, rank_in_group
+from .ordinal import checked_broadcast, dense_ordinal, rank_in_group
 
 # Status labels, remarks and reason texts of the classification.
 MATCHED = "Matched"
@@ -202,8 +202,17 @@ def vendor_names(rows: DataFrame) -> DataFrame:
     return names.groupBy("gst_key").agg(F.min_by("name", pick).alias("vendor_name"))
 
 
+MAX_BROADCAST_NAMES = 2_000_000
+
+
 def with_vendor_names(rows: DataFrame) -> DataFrame:
-    names = vendor_names(rows)
+    """Attach A4 names.  The name table has one row per supplier: it is written
+    once, counted, and broadcast when under the bound (a shuffle join on a
+    handful of GSTINs would put whole suppliers into single tasks); above the
+    bound the join shuffles and AQE splits skewed partitions."""
+    from ..sources.scratch import materialize
+
+    names = checked_broadcast(materialize(vendor_names(rows), "names"), MAX_BROADCAST_NAMES)
     return rows.join(names, "gst_key", "left").withColumn("vendor_name", F.coalesce(F.col("vendor_name"), F.lit("")))
 
 
