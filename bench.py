@@ -62,7 +62,7 @@ def one_iteration(spark, sf_dir: str) -> dict[str, float]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    warm_n = int(os.environ.get("BENCH_WARM", "3"))
+    warm_n = int(os.environ.get("BENCH_WARM", "2"))
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     cold = one_iteration(spark, sf_dir)
     warm = [one_iteration(spark, sf_dir) for _ in range(warm_n)]

@@ -32,3 +32,27 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     # lineitem columns that no rule reads are never scanned
     assert "l_commitdate" not in plan and "l_comment" not in plan
     assert typed_pr_lines(df) is not None
+
+
+def test_outer_join_reuses_the_aggregation_exchanges(spark):
+    """A1 + W1 + J1: one hash exchange on (gst_key, inv_key) per side, none
+    added by the sort-merge join itself."""
+    import re
+
+    from ledgerweave.operators import pairing as P
+    from ledgerweave.plans.reconcile import get_run
+
+    run = get_run(spark, SF_SMALL)
+    joined = P.outer_join(P.suffix_pr(run.pr_cons), P.suffix_2b(run.b2_cons))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "FullOuter" in plan
+    key_exchanges = re.findall(r"Exchange hashpartitioning\(gst_key#\d+, inv_key#\d+", plan)
+    assert len(key_exchanges) == 2, plan
+
+
+def test_status_lookup_needs_no_shuffle(spark):
+    from ledgerweave.operators import pairing as P
+    from ledgerweave.plans.reconcile import get_run
+
+    plan = P.status_lookup(get_run(spark, SF_SMALL).pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(gst_key" not in plan
