@@ -546,7 +546,7 @@ _COMMENT_CTES = f"""
 ), b2c AS (
   SELECT l.*, coalesce(i.mapping, '') AS mapping, coalesce(i.remarks, '') AS remarks, coalesce(i.reason, '') AS reason,
          coalesce(i.row_number_in_pr, '') AS row_number_in_pr,
-         coalesce(strftime({O.tax_period_start('coalesce(l.filing_date, l.inv_date)')}, '%b %Y'), '') AS tax_period
+         coalesce(strftime({O.tax_period_start('l.filing_date')}, '%b %Y'), '') AS tax_period
   FROM b2_lines l LEFT JOIN info_2b i ON l.gst_key = i.gst_key AND l.inv_key = i.inv_key WHERE {_B2_PART}
 )"""
 
