@@ -56,3 +56,20 @@ def test_status_lookup_needs_no_shuffle(spark):
 
     plan = P.status_lookup(get_run(spark, SF_SMALL).pairs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(gst_key" not in plan
+
+
+def test_output_casts_match_spark_schemas(spark):
+    """The SQL twins cast exactly the columns the Spark side normalises."""
+    from pyspark.sql.types import DateType, DecimalType
+
+    from ledgerweave.plans.output_casts import OUTPUT_CASTS
+    from ledgerweave.plans.queries import QUERIES
+
+    for name, fn in QUERIES.items():
+        schema = fn(spark, SF_SMALL).schema
+        dec = [f.name for f in schema.fields if isinstance(f.dataType, DecimalType)]
+        dat = [f.name for f in schema.fields if isinstance(f.dataType, DateType)]
+        want = OUTPUT_CASTS.get(name, {"double": [], "date": []})
+        assert (dec, dat) == (want["double"], want["date"]), name
+        out = E.queries()[name](spark, SF_SMALL).schema
+        assert not any(isinstance(f.dataType, (DecimalType, DateType)) for f in out.fields), name
