@@ -28,6 +28,20 @@ QUERIES: dict[str, SparkQuery] = {}
 ORACLE: dict[str, str] = {}
 
 
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def session_memo(kind: str, build: Callable[[SparkSession, str], DataFrame]) -> SparkQuery:
+    """Build an eagerly written input once per (session, tables) for the
+    queries that share it (the run's stages are shared the same way)."""
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (kind, spark.sparkContext.applicationId, sf.rstrip("/"))
+        if key not in _MEMO:
+            _MEMO[key] = build(spark, sf)
+        return _MEMO[key]
+    return get
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: SparkQuery) -> SparkQuery:
         QUERIES[name] = fn
@@ -903,6 +917,8 @@ def _g3(spark, sf):
 # =================================================================== ingest
 from ..sources import ingest as IG  # noqa: E402
 
+_uploads = session_memo("uploads", IG.uploaded_files)
+
 _HDR_VALUES = ", ".join(
     "(" + ", ".join([str(i + 1)] + ["NULL" if v is None else "'" + v + "'" for v in row]) + ")"
     for i, row in enumerate(IG.PORTAL_HEADER))
@@ -936,14 +952,14 @@ consolidated AS (
 
 @register("consolidate_files", _FILES_SQL + "\nSELECT * FROM consolidated")
 def _s6(spark, sf):
-    out = IG.consolidate_files(IG.uploaded_files(spark, sf))
+    out = IG.consolidate_files(_uploads(spark, sf))
     return out.select("sheet", F.col("file_seq").cast("int"), F.col("row_no").cast("bigint"), *IG.CELLS)
 
 
 @register("union_files", _FILES_SQL + """
 SELECT sheet, count(*) AS n_rows, count(DISTINCT file_seq) AS n_files FROM consolidated GROUP BY sheet""")
 def _u2(spark, sf):
-    out = IG.consolidate_files(IG.uploaded_files(spark, sf))
+    out = IG.consolidate_files(_uploads(spark, sf))
     return out.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"),
                                     F.countDistinct("file_seq").alias("n_files"))
 
@@ -952,7 +968,7 @@ def _u2(spark, sf):
     f"SELECT sheet, '{c}' AS col, bool_and({c} IS NULL OR TRY_CAST({c} AS DOUBLE) IS NOT NULL) AS all_numeric "
     f"FROM consolidated GROUP BY sheet" for c in IG.CELLS))
 def _s7(spark, sf):
-    return IG.numeric_if_all(IG.consolidate_files(IG.uploaded_files(spark, sf)))
+    return IG.numeric_if_all(IG.consolidate_files(_uploads(spark, sf)))
 
 
 @register("validate_manifest", """
@@ -1024,8 +1040,11 @@ def _cleaned(spark, sf):
     return SM.clean_headers(CT.catalog(spark, sf))
 
 
+_cells = session_memo("cells", CT.cells)
+
+
 def _sample(spark, sf):
-    return SM.first_n_per_column(CT.cells(spark, sf))
+    return SM.first_n_per_column(_cells(spark, sf))
 
 
 def _score_sql(alias: str, list_expr: str, norm: str) -> str:
@@ -1171,7 +1190,7 @@ SELECT pf.table_id, pf.primary_column,
 FROM pf LEFT JOIN ex ON ex.table_id = pf.table_id""")
 def _c11(spark, sf):
     cleaned = _cleaned(spark, sf)
-    cells = CT.cells(spark, sf)
+    cells = _cells(spark, sf)
     resolved = SM.resolve_roles(cleaned, SM.first_n_per_column(cells))
     out = SM.best_note_column(cleaned, cells, resolved)
     return out.withColumnRenamed("primary", "primary_column")
