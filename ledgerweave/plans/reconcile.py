@@ -1,11 +1,12 @@
 """The reconciliation run: which stage reads which, and what is materialised.
 
 Each stage is a lazy DataFrame plan.  Stages read by several later jobs are
-materialised once with ``checkpoint()`` into the shared checkpoint folder
-(``spark.checkpoint.dir``): the landing books (row numbers fixed forever),
-the consolidated books, the joined books and the ``pair`` table.  A lost
-executor then recomputes from the last checkpoint, not from the raw scans,
-and ``pair_id`` never changes between review and finish.
+written once as Parquet into the shared checkpoint folder
+(``spark.checkpoint.dir``): the landing books with their typed columns (row
+numbers fixed forever), the consolidated 2B book, the joined books, the pair
+table (through its ordinal) and the reviewed pairs.  A lost executor then
+recomputes from the last written table, not from the raw scans, and
+``pair_id`` never changes between review and finish.
 """
 
 from __future__ import annotations
