@@ -239,8 +239,7 @@ def _first(c: str) -> str:
 
 
 _PR_FIRST = ["gstin_raw", "inv_orig", "doc_type", "vendor_name", "purchase_type"]
-_B2_FIRST = ["gstin_raw", "inv_orig", "inv_type", "note_type", "trade_name", "reverse_charge",
-             "itc_availability", "filing_date_raw", "filing_period", "supply_type"]
+_B2_FIRST = ["gstin_raw", "inv_orig", "inv_type", "note_type", "trade_name", "filing_period"]
 
 
 def _cons_aggs(first: list[str]) -> str:
