@@ -111,13 +111,17 @@ def typed_b2_rows(b2_rows: DataFrame) -> DataFrame:
         (N.is_total_label("gstin_raw") | N.is_total_label("inv_raw")).alias("is_total"),
         _lower_trim_text(F.col("reverse_charge")).isin(*RCM_YES).alias("rcm_yes"),
         _lower_trim_text(F.col("itc_availability")).isin(*ITC_NO).alias("itc_no"),
+        is_blank_row(B2_COLUMNS).alias("is_blank"),
     )
     return _drop_helpers(out)
 
 
 def typed_b2_lines(b2_typed: DataFrame) -> DataFrame:
-    """S3 over typed 2B rows: drop rows whose data cells are all missing."""
-    return drop_blank_rows(b2_typed, B2_COLUMNS)
+    """S3 over typed 2B rows: drop rows whose data cells are all missing.
+
+    The flag is computed once when the typed rows are written, so readers
+    filter on one boolean instead of scanning every raw text column."""
+    return b2_typed.where(~F.col("is_blank"))
 
 
 def pr_clean(pr_lines: DataFrame) -> DataFrame:
