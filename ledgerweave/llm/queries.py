@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import decontaminate as DEC
+from . import simhash as SIM
+from . import substring as SUB
 from . import tokens as TOK
 
 
@@ -21,12 +23,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SIM.near_duplicates(_docs(spark, sf_dir))
+    return out.select("doc_id", SIM.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SUB.substring_dedup(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TOK.token_pack(_docs(spark, sf_dir))
 
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op6_simhash": op6_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_token_pack": op10_token_pack,
 }
 
