@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,27 @@ def id_remainder(doc_id: Column, n: int) -> Column:
 
 def span_text(kind: Column, start: Column, end: Column) -> Column:
     return F.concat_ws(":", kind, start.cast("string"), end.cast("string"))
+
+
+def annotate(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str, pa.DataType]],
+             make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
+    """Every column of ``df`` as it is, and ``fields`` computed from the text of each row.
+
+    ``make`` runs once a task and returns the function of one text.  A column
+    of ``df`` that has the name of a field is replaced.
+    """
+    names = [name for name, _, _ in fields]
+    kept = [c for c in df.columns if c not in names]
+    at = kept.index(text_col)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in kept]).schema]
+                       + [f"{name} {kind}" for name, kind, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            texts = batch.column(at)
+            rows = [of(texts[i].as_py()) for i in range(batch.num_rows)]
+            new = [pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, *names])
+
+    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import decontaminate as DEC
+from . import langid as LANG
+from . import quality as QUA
+from . import secrets as SEC
 from . import simhash as SIM
 from . import substring as SUB
 from . import tokens as TOK
+from .common import id_remainder
 
 
 def _docs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -23,11 +27,35 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUA.quality(_docs(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SEC.secret_spans(_docs(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *(count(k) for k in SEC.KINDS[:3]), F.sha2(SEC.joined(base), 256).alias("base_sha256"),
+                      SEC.joined(F.col("spans")).alias("spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = SIM.near_duplicates(_docs(spark, sf_dir))
     return out.select("doc_id", SIM.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dicts = LANG.dictionaries(_docs(spark, sf_dir, "lang"))
+    out = LANG.detect(_docs(spark, sf_dir), dicts)
+    return out.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred",
+                      F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"),
+                      F.col("lang_rejected").alias("rejected"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = SUB.substring_dedup(_docs(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -39,9 +67,14 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
+    "op7_langid": op7_langid,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_token_pack": op10_token_pack,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_quality": QUA.oracle_sql(),
+}
