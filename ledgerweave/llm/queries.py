@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from . import decontaminate as DEC
 from . import langid as LANG
+from . import pieces as PIE
 from . import quality as QUA
 from . import secrets as SEC
 from . import simhash as SIM
 from . import substring as SUB
 from . import tokens as TOK
+from . import toxicity as TOX
 from .common import id_remainder
 
 
@@ -27,6 +29,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PIE.encode_pieces(_docs(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = TOX.learn(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    out = TOX.score(_docs(spark, sf_dir), model)
+    return out.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+                      F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUA.quality(_docs(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,6 +80,8 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
