@@ -9,6 +9,7 @@ from ..sources.tables import read_table
 from . import decontaminate as DEC
 from . import langid as LANG
 from . import pieces as PIE
+from . import pii as PII
 from . import quality as QUA
 from . import secrets as SEC
 from . import simhash as SIM
@@ -74,6 +75,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = PII.personal_data(_docs(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *(count(k.name) for k in PII.KINDS), F.sha2(PII.joined_spans(F.col("spans")), 256).alias("base_sha256"),
+                      PII.joined_spans(F.concat("spans", "terms")).alias("spans"))
+
+
 def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TOK.token_pack(_docs(spark, sf_dir))
 
@@ -87,6 +98,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_langid": op7_langid,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_pii": op9_pii,
     "op10_token_pack": op10_token_pack,
 }
 

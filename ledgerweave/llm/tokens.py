@@ -13,6 +13,7 @@ document without the rest (:func:`read_document`).
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -70,7 +71,10 @@ class WordEncoder:
 
     Exact for tokenizers whose pre-tokenizer never joins text across a space
     or a line feed and drops both, as the word-end BPE files do; the test
-    compares it with encoding whole texts.
+    compares it with encoding whole texts.  Where the tokenizer is of that
+    kind, a word of plain letters goes to its BPE model directly, and a last
+    comma or full stop after a letter is encoded apart, as its
+    pre-tokenizer would do.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,23 +83,66 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = max(1, int(self.tokenizer.get_vocab_size() - 1).bit_length())
         self.known: dict[str, bytes] = {"": b""}
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        self.letters = kinds == ["NFC", "Replace", "Lowercase"] and "\\p{L}" in str(steps["pre_tokenizer"])
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word that is one run of letters to the pre-tokenizer, else None."""
+        if not word.isalpha() or max(word) >= "\u0300":
+            return None
+        low = word.lower()
+        if not low.isascii():
+            if not low.isalpha():
+                return None
+            low = "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(low)], "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        rest = []
+        for word in words:
+            code = None
+            if self.letters:
+                code = self._letters(word)
+                if code is None and word[-1] in ",." and word[:-1].isalpha():
+                    head, tail = self.known.get(word[:-1]) or self._letters(word[:-1]), self.known.get(word[-1])
+                    if head is not None:
+                        code = head + (tail or self._whole([word[-1]])[0])
+            if code is None:
+                rest.append(word)
+            else:
+                self.known[word] = code
+        for word, code in zip(rest, self._whole(rest)):
+            self.known[word] = code
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
             words = text.replace("\n", " ").split(" ")
-            new = list(set(words).difference(self.known))
+            new = set(words).difference(self.known)
             if new:
                 if len(self.known) + len(new) > CACHE_WORDS:
                     self.known = {"": b""}
-                    new = list(set(words) - {""})
-                for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    self.known[word] = np.asarray(code.ids, "<u4").tobytes()
+                    new = set(words) - {""}
+                self._learn(new)
             out.append(b"".join(map(self.known.__getitem__, words)))
         return out
 
 
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where printable, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
