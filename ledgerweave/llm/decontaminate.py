@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import annotate, documents, written
 
 #: Window length in words.
 WINDOW = 10
@@ -143,6 +143,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return state
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS,
+                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit, with every column."""
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"),
+                             benchmark[item_text_col].cast("string").alias("text")).where("item_id is not null")
+    out, blocks = docs, benchmark_blocks(items, block_chars)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_chars of text
+
+        def make(shared=shared):
+            auto = automaton(shared.value, window)
+            return lambda text: (bool(scan(auto, text)[1]),)
+
+        out = annotate(out, text_col, [("_lw_hit", "boolean", pa.bool_())], make).where("not _lw_hit").select(
+            *[f"`{c}`" for c in docs.columns])
+        if following is not None:
+            out = written(out, "uncontaminated")
+            shared.unpersist()
+        block = following
+    return out
+
+
 _ITEMS = "array<string>"
 _RUNS = "array<struct<first:int,last:int>>"
 _STATE = f"doc_id long, text string, items {_ITEMS}, words {_RUNS}"

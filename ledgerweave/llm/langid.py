@@ -107,14 +107,18 @@ class Classifier:
         return lang, second / (best + second), second / best - 1
 
 
-def detect(df: DataFrame, dicts: dict[str, list[bytes]], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+def detect(df: DataFrame, dicts: dict[str, list[bytes]], text_col: str = "text", margin: float = MARGIN,
+           prefix: str = "lang_") -> DataFrame:
     """Every column of ``df`` and ``lang_pred``, ``lang_score`` (0 to 1), ``lang_margin``, ``lang_rejected``.
 
+    Columns of ``df`` that have one of these names are replaced; ``prefix``
+    gives others.
+
     ``und`` for a null or empty text, one without a letter, or when no
     language was learned; those are rejected.  Texts are read whole.
     """
     shared = df.sparkSession.sparkContext.broadcast(dicts)
-    fields = [("lang_pred", "string", pa.string()), ("lang_score", "double", pa.float64()),
-              ("lang_margin", "double", pa.float64())]
+    fields = [(f"{prefix}pred", "string", pa.string()), (f"{prefix}score", "double", pa.float64()),
+              (f"{prefix}margin", "double", pa.float64())]
     out = annotate(df, text_col, fields, lambda: Classifier(shared.value).classify)
-    return out.withColumn("lang_rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("lang_margin") < margin))
+    return out.withColumn(f"{prefix}rejected", (F.col(f"{prefix}pred") == UNKNOWN) | (F.col(f"{prefix}margin") < margin))

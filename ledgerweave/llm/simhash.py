@@ -56,15 +56,16 @@ def simhash(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp LONG) for every row; a null text has no words."""
+    """(doc_id, h, fp LONG) for every row, ``h`` being a hash of the text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = pa.array([simhash(texts[i].as_py(), shingle) for i in range(batch.num_rows)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], names=["doc_id", "h", "fp"])
 
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    docs = documents(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    return docs.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _part(fp: Column, low: int, width: int) -> Column:
@@ -184,7 +185,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, root): component_id is the smallest doc_id linked through fingerprints.
+    """(doc_id, h, fp, component_id, root): component_id is the smallest doc_id linked through fingerprints.
 
     Null and empty texts share the fingerprint zero and are linked like any
     other.  Repeated rows stay repeated.  A component without any doc_id has
@@ -201,7 +202,22 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     of = written(fps.join(linked, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "simhash-of")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id", "root")
+    return rows.join(of, "fp").select("doc_id", "h", "fp", "component_id", "root")
+
+
+def one_of_each(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each component the row with the smallest doc_id (rows without one last).
+
+    Of rows that agree in doc_id and text one stays.
+    """
+    found = near_duplicates(df, shingle, distance, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_lw_id"), F.col("first.h").alias("_lw_h")).distinct()
+    rows = df.withColumn("_lw_text", F.xxhash64(df[text_col].cast("string")))
+    same = df[id_col].cast("long").eqNullSafe(F.col("_lw_id")) & (F.col("_lw_text") == F.col("_lw_h"))
+    kept = rows.join(first, same, "left_semi")
+    return kept.dropDuplicates([id_col, "_lw_text"]).select(*[f"`{c}`" for c in df.columns])
 
 
 def fingerprint_text(fp: Column) -> Column:
