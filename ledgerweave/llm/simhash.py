@@ -112,7 +112,7 @@ def _forest(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[in
         while stack:
             at = stack.pop()
             rest = np.flatnonzero(fresh)
-            near = rest[np.bitwise_count(nodes[rest] ^ nodes[at]) <= distance]
+            near = rest[np.bitwise_count((nodes[rest] ^ nodes[at]).view(np.uint64)) <= distance]  # of the absolute value, if signed
             fresh[near] = False
             edges += zip(repeat(int(nodes[at])), nodes[near].tolist())
             stack += near.tolist()
