@@ -22,28 +22,25 @@ FUZZY_GSTIN_TO = "02118"
 EXCEL_EPOCH = "1899-12-30"
 # Date texts tried after the day-first forms and the Excel serial number
 # (ISO is read as ISO; see README, deliberate difference D1).
-EXTRA_DATE_FORMATS = (
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy/M/d",
-    "d-MMM-yyyy",
-    "d MMM yyyy",
-    "d.M.yyyy",
-    "d-M-yy",
-    "d/M/yy",
-)
+EXTRA_DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d.M.yyyy", "d-M-yy", "d/M/yy")
+WORD_DATE_FORMATS = ("d-MMM-yyyy", "d MMM yyyy", "d-MMMM-yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yy")
+# ... of a date with a time of day
+TIMED_DATE_FORMATS = ("d-M-yyyy", "d/M/yyyy", "yyyy-M-d", "d-MMM-yyyy")
 # ---------------------------------------------------------------------------
 
 NBSP = " "
-MONEY = "decimal(18,2)"
+MONEY = "decimal(38,2)"
+#: Numbers of any column (N14): ten decimals.
+NUMBER = "decimal(38,10)"
 
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# Python's whitespace for str.strip() on cell text, as a character set
-WS = " \t\n\r\f\x0b"
+# White space of str.strip() and of \\s on Unicode text, as a character set.
+WS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+      "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_ws(col: Column) -> Column:
@@ -75,7 +72,7 @@ def norm_gstin(col: Column | str) -> Column:
 def norm_invoice(col: Column | str) -> Column:
     """N1, upper, no whitespace, strip the FY head then the FY tail,
     then leading zeros (keeping one character) when a digit remains."""
-    v = F.regexp_replace(F.upper(norm_text(col)), r"\s+", "")
+    v = drop_ws(F.upper(norm_text(col)))
     v = F.regexp_replace(v, "(?i)" + FY_HEAD_PATTERN, "")
     v = F.regexp_replace(v, "(?i)" + FY_TAIL_PATTERN, "")
     return F.when(v.rlike(r"\d"), F.regexp_replace(v, r"^0+(?=[A-Z0-9])", "")).otherwise(v)
@@ -111,23 +108,34 @@ def parse_amount_text(nt: Column | str) -> Column:
     return F.coalesce(s.try_cast(MONEY), F.regexp_replace(s, r"[^0-9.\-]", "").try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
+#: Text after the date: a time of day, with or without fractions and zone.
+_TIME = r"[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?( ?[AaPp][Mm])?$"
+
+
 def parse_date_text(s: Column | str) -> Column:
     """N4 over a trimmed text column.
 
     Each layout is only attempted when a cheap shape test (separator before
-    a 4-digit year, length of a serial number, ...) says it can match: a
-    failed parse is far more expensive than the test.
+    a 4-digit year, letters, a colon, length of a serial number, ...) says it
+    can match: a failed parse is far more expensive than the test.
     """
     s = _c(s)
     n = F.length(s)
     sep_at_year = F.substring(s, -5, 1)
+
+    def day(fmt: str, text: Column = s) -> Column:
+        return F.to_date(F.try_to_timestamp(text, F.lit(fmt)))
+
     tries = [
-        F.when(sep_at_year == "-", F.to_date(F.try_to_timestamp(s, F.lit("d-M-yyyy")))),
-        F.when(sep_at_year == "/", F.to_date(F.try_to_timestamp(s, F.lit("d/M/yyyy")))),
+        F.when(sep_at_year == "-", day("d-M-yyyy")),
+        F.when(sep_at_year == "/", day("d/M/yyyy")),
         F.when((n >= 4) & (n <= 6) & s.rlike(r"^\d{4,6}$"),
                F.date_add(F.lit(EXCEL_EPOCH).cast("date"), s.cast("int"))),
+        F.when(s.rlike("[A-Za-z]{3}"), F.coalesce(*[day(fmt) for fmt in WORD_DATE_FORMATS])),
     ]
-    tries += [F.to_date(F.try_to_timestamp(s, F.lit(fmt))) for fmt in EXTRA_DATE_FORMATS]
+    tries += [day(fmt) for fmt in EXTRA_DATE_FORMATS]
+    bare = F.regexp_replace(s, _TIME, "")
+    tries.append(F.when(s.contains(":"), F.coalesce(*[day(fmt, bare) for fmt in TIMED_DATE_FORMATS])))
     return F.when(s != "", F.coalesce(*tries))
 
 
@@ -138,30 +146,18 @@ def is_total_label(col: Column | str) -> Column:
 
 
 def parse_date(col: Column | str) -> Column:
-    """Day-first text, Excel serial (4-6 digits), then a fixed list of
-    other layouts; anything else is null."""
-    s = trimmed(col)
-    tries = [
-        F.to_date(F.try_to_timestamp(s, F.lit("d-M-yyyy"))),
-        F.to_date(F.try_to_timestamp(s, F.lit("d/M/yyyy"))),
-        F.when(s.rlike(r"^\d{4,6}$"), F.date_add(F.lit(EXCEL_EPOCH).cast("date"), s.cast("int"))),
-    ]
-    tries += [F.to_date(F.try_to_timestamp(s, F.lit(fmt))) for fmt in EXTRA_DATE_FORMATS]
-    return F.when(s != "", F.coalesce(*tries))
+    """Day-first text, Excel serial (4-6 digits), then other layouts; anything else is null."""
+    return parse_date_text(trimmed(col))
 
 
 def parse_amount(col: Column | str) -> Column:
-    """N1; '' -> 0; a number; else keep [0-9.-] and retry; else 0.
-    Result is DECIMAL(18,2), rounded half-up from the text (D3)."""
-    s = norm_text(col)
-    first = s.try_cast(MONEY)
-    second = F.regexp_replace(s, r"[^0-9.\-]", "").try_cast(MONEY)
-    return F.coalesce(first, second, F.lit(0).cast(MONEY))
+    """N1; '' -> 0; a number; else keep [0-9.-] and retry; else 0 (rounded half-up from the text, D3)."""
+    return parse_amount_text(norm_text(col))
 
 
 def round_rupee(col: Column | str) -> Column:
-    """Whole rupees, half to even."""
-    return F.bround(_c(col), 0).cast("bigint")
+    """Whole rupees, half to even (a decimal, so no amount overflows)."""
+    return F.bround(_c(col), 0).cast("decimal(38,0)")
 
 
 def display_date(col: Column | str) -> Column:
@@ -221,17 +217,30 @@ def month_text(date_col: Column | str) -> Column:
     return F.date_format(_c(date_col), "MMM-yyyy")
 
 
+#: Month layouts tried before MMYYYY / YYYYMM tails and full dates.
+MONTH_FORMATS = ("MMM yyyy", "MMMM yyyy", "M/yyyy", "M-yyyy", "yyyy-M", "yyyy/M", "MMM-yyyy", "MMMM-yyyy", "M yyyy",
+                 "yyyy MMM", "yyyy MMMM")
+
+
 def parse_month(col: Column | str) -> Column:
-    """Period texts such as 'Jan 2024', 'Jan-2024', '01/2024', '2024-01' -> first day."""
+    """N15: 'Jan 2024', '01/2024', '2024-01', '012024', '202401' or a full date -> first day of the month."""
     s = trimmed(col)
-    fmts = ["MMM yyyy", "MMMM yyyy", "M/yyyy", "M-yyyy", "yyyy-M", "MMM-yyyy", "MMMM-yyyy", "M yyyy",
-            "yyyy MMM", "yyyy MMMM"]
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in fmts])
+    digits = F.regexp_extract(s, r"(\d{6})$", 1)
+    month_first = F.regexp_extract(digits, r"^(0[1-9]|1[0-2])((?:19|20)\d{2})$", 0)
+    year_first = F.regexp_extract(digits, r"^((?:19|20)\d{2})(0[1-9]|1[0-2])$", 0)
+    tail = F.coalesce(
+        F.when(month_first != "", F.make_date(F.substring(digits, 3, 4).cast("int"), F.substring(digits, 1, 2).cast("int"), F.lit(1))),
+        F.when(year_first != "", F.make_date(F.substring(digits, 1, 4).cast("int"), F.substring(digits, 5, 2).cast("int"), F.lit(1))))
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in MONTH_FORMATS], tail,
+                      F.when(~s.rlike(r"^\d+$"), F.trunc(parse_date_text(s), "MM")))
 
 
 def coerce_number(col: Column | str) -> Column:
-    """Drop commas and the text 'nan' (any case), trim, number or 0."""
+    """Drop commas and the text 'nan' (any case), trim, number or 0.
+
+    The number keeps its decimals (a rate of 0.125 stays 0.125).
+    """
     s = F.coalesce(_c(col).cast("string"), F.lit(""))
     s = F.translate(s, ",", "")
     s = strip_ws(F.when(F.lower(s).contains("nan"), F.regexp_replace(s, "(?i)nan", "")).otherwise(s))
-    return F.coalesce(s.try_cast(MONEY), F.lit(0).cast(MONEY))
+    return F.coalesce(s.try_cast(NUMBER), F.lit(0).cast(NUMBER))

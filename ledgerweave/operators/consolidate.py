@@ -35,7 +35,7 @@ def consolidate_by_key(lines: DataFrame, first_cols: Sequence[str], extra_keys:
     """A1: F2, F3, then group by key: sum amounts, earliest date, first
     non-null of every other column, first sheet row."""
     rows = keyed_rows(lines)
-    aggs = [F.sum(c).cast("decimal(18,2)").alias(c) for c in sums]
+    aggs = [F.sum(c).cast("decimal(38,2)").alias(c) for c in sums]
     aggs.append(F.min("inv_date").alias("inv_date"))
     aggs += [first_non_null(c).alias(c) for c in first_cols]
     aggs.append(F.min("row_no").alias("first_row"))

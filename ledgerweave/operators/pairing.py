@@ -169,10 +169,12 @@ def classify(rows: DataFrame) -> DataFrame:
 
 
 def invoice_type(rows: DataFrame) -> DataFrame:
-    """First non-empty of PR type, 2B type, 'Invoice' for B2B or a PR invoice."""
+    """First non-empty of PR type, 2B type, credit / debit by the note type, 'Invoice' for B2B or a PR invoice."""
+    note = F.lower(N.norm_text("b2_note_type"))
     t_pr = N.norm_text("pr_doc_type")
     t_b2 = N.norm_text("b2_inv_type")
     it = (F.when(t_pr != "", t_pr).when(t_b2 != "", t_b2)
+          .when(note.contains("credit"), F.lit("Credit Note")).when(note.contains("debit"), F.lit("Debit Note"))
           .when(F.col("sheet") == "B2B", F.lit("Invoice"))
           .when(F.col("pr_exists"), F.lit("Invoice")).otherwise(F.lit("")))
     return rows.withColumn("invoice_type", it)

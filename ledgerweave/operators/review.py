@@ -66,9 +66,9 @@ def run_log(pairs: DataFrame, run_id: str, owner: str, report_name: str) -> Data
     total = (F.coalesce(F.col("pr_cgst"), F.lit(0)) + F.coalesce(F.col("pr_sgst"), F.lit(0))
              + F.coalesce(F.col("pr_igst"), F.lit(0)))
     return pairs.agg(
-        F.coalesce(F.sum(F.when(F.col("mapping") == MATCHED, total)), F.lit(0)).cast("decimal(18,2)")
+        F.coalesce(F.sum(F.when(F.col("mapping") == MATCHED, total)), F.lit(0)).cast("decimal(38,2)")
         .alias("matched_value"),
-        F.coalesce(F.sum(F.when(F.col("mapping") != MATCHED, total)), F.lit(0)).cast("decimal(18,2)")
+        F.coalesce(F.sum(F.when(F.col("mapping") != MATCHED, total)), F.lit(0)).cast("decimal(38,2)")
         .alias("mismatched_value"),
         F.count(F.lit(1)).alias("row_count"),
     ).select(F.lit(run_id).alias("run_id"), F.lit(owner).alias("owner"), F.lit(report_name).alias("report_name"),

@@ -1,6 +1,6 @@
 """Output typing at the driver contract boundary.
 
-Inside the library money is DECIMAL(18,2) and dates are DATE.  At the
+Inside the library money is DECIMAL(38,2) and dates are DATE.  At the
 boundary both engines hand the same plain types to any consumer: money as
 DOUBLE (the exact decimal rounded once to the nearest double, identically in
 both engines) and dates as ISO ``yyyy-MM-dd`` text.  ``OUTPUT_CASTS`` lists,

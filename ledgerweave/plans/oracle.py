@@ -17,29 +17,33 @@ B2_COLS = ["gstin_raw", "inv_raw", "date_raw", "inv_type", "note_type", "trade_n
            "itc_availability", "filing_date_raw", "filing_period", "supply_type",
            "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw"]
 AMOUNTS = ["taxable", "cgst", "sgst", "igst"]
-MONEY = "DECIMAL(18,2)"
+MONEY = "DECIMAL(38,2)"
 
 
 # ---------------------------------------------------------------- expressions
+#: White space of Unicode text (\\s of the SQL engine is ASCII only).
+WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
 def trim_ws(x: str) -> str:
-    return f"regexp_replace(coalesce(CAST({x} AS VARCHAR), ''), '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace(coalesce(CAST({x} AS VARCHAR), ''), '^{WS}+|{WS}+$', '', 'g')"
 
 
 def nt(x: str) -> str:
     """N1 as_text."""
     s = f"replace(coalesce(CAST({x} AS VARCHAR), ''), chr(160), ' ')"
-    s = f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+    s = f"regexp_replace({s}, '^{WS}+|{WS}+$', '', 'g')"
     s = f"replace({s}, ',', '')"
     return f"regexp_replace({s}, '\\.0+$', '')"
 
 
 def gstin_key(ntx: str) -> str:
-    return f"regexp_replace(upper({ntx}), '\\s+', '', 'g')"
+    return f"regexp_replace(upper({ntx}), '{WS}+', '', 'g')"
 
 
 def inv_steps(ntx: str) -> tuple[str, str]:
     """N3 as (intermediate, final(intermediate_name)); RE2 has no look-ahead."""
-    v = f"regexp_replace(upper({ntx}), '\\s+', '', 'g')"
+    v = f"regexp_replace(upper({ntx}), '{WS}+', '', 'g')"
     v = f"regexp_replace({v}, '(?i){FY_HEAD_PATTERN}', '')"
     v = f"regexp_replace({v}, '(?i){FY_TAIL_PATTERN}', '')"
     return v, "CASE WHEN regexp_matches({0}, '\\d') THEN regexp_replace({0}, '^0+([A-Z0-9])', '\\1') ELSE {0} END"
@@ -106,16 +110,18 @@ BASE = f"""
 base0 AS (
   SELECT l.l_orderkey AS ok, l.l_linenumber AS ln, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice,
          l.l_shipdate, l.l_returnflag, l.l_linestatus, l.l_tax, s.s_name,
-         '07AABCS' || lpad(CAST(o.o_orderkey % 10 AS VARCHAR), 4, '0') || 'F1Z'
-           || CASE WHEN o.o_orderkey % 2 = 0 THEN 'A' ELSE '7' END AS gstin,
+         '07' || chr(CAST(65 + v.vendor // 6760000 % 26 AS INTEGER)) || chr(CAST(65 + v.vendor // 260000 % 26 AS INTEGER))
+           || chr(CAST(65 + v.vendor // 10000 % 26 AS INTEGER)) || 'CS' || lpad(CAST(v.vendor % 10000 AS VARCHAR), 4, '0')
+           || 'F1Z' || CASE WHEN v.vendor % 2 = 0 THEN 'A' ELSE '7' END AS gstin,
          'INV/' || CAST(o.o_orderkey AS VARCHAR) AS inv,
          CAST(o.o_orderdate AS DATE) AS inv_date,
          (l.l_returnflag = 'R' AND o.o_orderkey % 4 = 1) AS is_cdnr,
          round(CAST(l.l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2))), 2) AS taxable0,
-         (o.o_orderkey % 10) % 2 AS intra
+         v.vendor % 2 AS intra
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  LEFT JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey >= 0 AND s_suppkey < 10) s
-    ON s.s_suppkey = o.o_orderkey % 10
+  JOIN (SELECT o_orderkey, o_orderkey % (SELECT greatest(count(*), 1) FROM supplier) AS vendor FROM orders) v
+    ON v.o_orderkey = o.o_orderkey
+  LEFT JOIN supplier s ON s.s_suppkey = v.vendor
 ),
 base1 AS (SELECT *, round(taxable0 * CAST(l_tax AS DECIMAL(4,2)), 2) AS tax FROM base0),
 base AS (
@@ -134,8 +140,9 @@ PR_LAND = f"""
 pr_land0 AS (
   SELECT {LINE_ORDER},
     CASE WHEN ok % 997 = 0 AND ln = 1 THEN 'Total' WHEN ok % 43 = 0 AND ln = 2 THEN NULL
-         WHEN ok % 41 = 0 THEN lower(substr(gstin, 1, 7)) || ' ' || substr(gstin, 8, 8) ELSE gstin END AS gstin_raw,
-    CASE WHEN is_cdnr THEN 'CN/' || CAST(ok AS VARCHAR)
+         WHEN ok % 41 = 0 THEN lower(substr(gstin, 1, 7)) || ' ' || substr(gstin, 8, 8)
+         WHEN ok % 73 = 0 THEN substr(gstin, 1, 7) || chr(8201) || substr(gstin, 8, 8) ELSE gstin END AS gstin_raw,
+    CASE WHEN is_cdnr THEN 'CN/' || CAST(ok AS VARCHAR) WHEN ok % 71 = 0 THEN chr(12288) || inv || chr(8195)
          WHEN ok % 5 = 0 THEN ' inv/' || CAST(ok AS VARCHAR) || '/24-25' ELSE inv END AS inv_raw,
     CASE WHEN ok % 7 = 0 THEN CAST(inv_date AS VARCHAR)
          WHEN ok % 9 = 0 THEN CAST(datediff('day', DATE '1899-12-30', inv_date) AS VARCHAR)
@@ -162,7 +169,8 @@ b2_land0 AS (
     CASE WHEN is_cdnr AND ok % 47 = 0 THEN '/24-25' WHEN is_cdnr AND ok % 53 = 0 THEN inv WHEN is_cdnr THEN 'CN/' || CAST(ok AS VARCHAR)
          WHEN ok % 17 = 0 THEN 'INV-' || CAST(ok AS VARCHAR) ELSE inv END AS inv_raw,
     strftime(CASE WHEN ok % 13 = 0 THEN inv_date + 1 ELSE inv_date END, '%d-%m-%Y') AS date_raw,
-    CASE WHEN is_cdnr THEN (CASE WHEN ok % 3 = 0 THEN 'Debit Note' ELSE 'Credit Note' END) ELSE 'Regular' END AS inv_type,
+    CASE WHEN is_cdnr AND ok % 8 = 1 THEN NULL
+         WHEN is_cdnr THEN (CASE WHEN ok % 3 = 0 THEN 'Debit Note' ELSE 'Credit Note' END) ELSE 'Regular' END AS inv_type,
     CASE WHEN is_cdnr THEN (CASE WHEN ok % 3 = 0 THEN 'Debit Note' ELSE 'Credit Note' END) END AS note_type,
     CASE WHEN ok % 41 = 0 THEN gstin ELSE s_name END AS trade_name,
     CASE WHEN ok % 23 = 0 THEN 'Yes' ELSE 'No' END AS reverse_charge,
@@ -377,6 +385,8 @@ rows2 AS (
          WHEN pr_exists AND sheet IS NOT NULL THEN _problems ELSE '' END AS reason,
     CASE WHEN {nt('pr_doc_type')} <> '' THEN {nt('pr_doc_type')}
          WHEN {nt('b2_inv_type')} <> '' THEN {nt('b2_inv_type')}
+         WHEN contains(lower({nt('b2_note_type')}), 'credit') THEN 'Credit Note'
+         WHEN contains(lower({nt('b2_note_type')}), 'debit') THEN 'Debit Note'
          WHEN sheet = 'B2B' THEN 'Invoice' WHEN pr_exists THEN 'Invoice' ELSE '' END AS invoice_type,
     CASE WHEN sheet = 'B2B-CDNR' THEN gst_key ELSE b2_gstin END AS b2_gstin
   FROM rows1

@@ -3,7 +3,7 @@
 Each entry maps a query name to a Spark callable ``(spark, sf_dir) ->
 DataFrame`` and, where the semantics are expressible in SQL, to the
 equivalent DuckDB query in ``plans.oracle`` style.  Column names are the same
-on both sides; money is DECIMAL(18,2), counts and row numbers BIGINT, dates
+on both sides; money is DECIMAL(38,2), counts and row numbers BIGINT, dates
 DATE, text VARCHAR.
 """
 
@@ -51,7 +51,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(38,2)"
 
 
 def _money(c):
@@ -153,8 +153,8 @@ SELECT sheet, CAST(row_no AS BIGINT) AS row_no, CAST(round_even(cgst, 0) AS BIGI
 FROM b2_lines""")
 def _n6(spark, sf):
     return get_run(spark, sf).b2_lines.select(
-        "sheet", F.col("row_no").cast("bigint"), N.round_rupee("cgst").alias("cgst_rupee"),
-        N.round_rupee("igst").alias("igst_rupee"), N.round_rupee("taxable").alias("taxable_rupee"))
+        "sheet", F.col("row_no").cast("bigint"), *[
+            N.round_rupee(c).cast("bigint").alias(f"{c}_rupee") for c in ("cgst", "igst", "taxable")])
 
 
 # =================================================================== aggregation / pairing
@@ -192,12 +192,12 @@ def _j3(spark, sf):
   FROM pairs GROUP BY ROLLUP (mapping)
 )
 SELECT d.status, CAST(d.pos AS INTEGER) AS pos,
-       CAST(coalesce(s.pr_cgst, 0) AS DECIMAL(18,2)) AS pr_cgst, CAST(coalesce(s.pr_sgst, 0) AS DECIMAL(18,2)) AS pr_sgst,
-       CAST(coalesce(s.pr_igst, 0) AS DECIMAL(18,2)) AS pr_igst,
-       CAST(coalesce(s.pr_cgst, 0) + coalesce(s.pr_sgst, 0) + coalesce(s.pr_igst, 0) AS DECIMAL(18,2)) AS pr_total,
-       CAST(coalesce(s.b2_cgst, 0) AS DECIMAL(18,2)) AS b2_cgst, CAST(coalesce(s.b2_sgst, 0) AS DECIMAL(18,2)) AS b2_sgst,
-       CAST(coalesce(s.b2_igst, 0) AS DECIMAL(18,2)) AS b2_igst,
-       CAST(coalesce(s.b2_cgst, 0) + coalesce(s.b2_sgst, 0) + coalesce(s.b2_igst, 0) AS DECIMAL(18,2)) AS b2_total
+       CAST(coalesce(s.pr_cgst, 0) AS DECIMAL(38,2)) AS pr_cgst, CAST(coalesce(s.pr_sgst, 0) AS DECIMAL(38,2)) AS pr_sgst,
+       CAST(coalesce(s.pr_igst, 0) AS DECIMAL(38,2)) AS pr_igst,
+       CAST(coalesce(s.pr_cgst, 0) + coalesce(s.pr_sgst, 0) + coalesce(s.pr_igst, 0) AS DECIMAL(38,2)) AS pr_total,
+       CAST(coalesce(s.b2_cgst, 0) AS DECIMAL(38,2)) AS b2_cgst, CAST(coalesce(s.b2_sgst, 0) AS DECIMAL(38,2)) AS b2_sgst,
+       CAST(coalesce(s.b2_igst, 0) AS DECIMAL(38,2)) AS b2_igst,
+       CAST(coalesce(s.b2_cgst, 0) + coalesce(s.b2_sgst, 0) + coalesce(s.b2_igst, 0) AS DECIMAL(38,2)) AS b2_total
 FROM d LEFT JOIN s ON d.status = s.status""")
 def _a5(spark, sf):
     return DB.dashboard(get_run(spark, sf).pairs)
@@ -431,14 +431,14 @@ def _a4(spark, sf):
   UNION ALL SELECT 'Total', 3, st, pc + ps + pi, bc + bs + bi FROM t
 ), lbl AS (SELECT * FROM (VALUES ('CGST', 0), ('SGST', 1), ('IGST', 2), ('Total', 3)) v(report, report_pos))
 SELECT lbl.report, CAST(lbl.report_pos AS INTEGER) AS report_pos,
-  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Matched'), 0) AS DECIMAL(18,2)) AS matched_pr,
-  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Matched'), 0) AS DECIMAL(18,2)) AS matched_2b,
-  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Almost Matched'), 0) AS DECIMAL(18,2)) AS almost_pr,
-  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Almost Matched'), 0) AS DECIMAL(18,2)) AS almost_2b,
-  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Not Matched'), 0) AS DECIMAL(18,2)) AS not_matched_pr,
-  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Not Matched'), 0) AS DECIMAL(18,2)) AS not_matched_2b,
-  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Total'), 0) AS DECIMAL(18,2)) AS total_pr,
-  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Total'), 0) AS DECIMAL(18,2)) AS total_2b
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Matched'), 0) AS DECIMAL(38,2)) AS matched_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Matched'), 0) AS DECIMAL(38,2)) AS matched_2b,
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Almost Matched'), 0) AS DECIMAL(38,2)) AS almost_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Almost Matched'), 0) AS DECIMAL(38,2)) AS almost_2b,
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Not Matched'), 0) AS DECIMAL(38,2)) AS not_matched_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Not Matched'), 0) AS DECIMAL(38,2)) AS not_matched_2b,
+  CAST(coalesce(sum(pr) FILTER (WHERE st = 'Total'), 0) AS DECIMAL(38,2)) AS total_pr,
+  CAST(coalesce(sum(b2) FILTER (WHERE st = 'Total'), 0) AS DECIMAL(38,2)) AS total_2b
 FROM lbl LEFT JOIN r ON lbl.report = r.report GROUP BY lbl.report, lbl.report_pos""")
 def _a6(spark, sf):
     return DB.dashboard_pivot(get_run(spark, sf).pairs)
@@ -448,9 +448,9 @@ def _a6(spark, sf):
 , parts AS (
   SELECT CASE WHEN sheet = 'B2B' AND is_import THEN 'B2B-IMPORTS' ELSE sheet END AS part, * FROM b2_lines
 )
-SELECT part, CAST(sum(coalesce(taxable, 0)) AS DECIMAL(18,2)) AS sum_taxable,
-       CAST(sum(coalesce(cgst, 0)) AS DECIMAL(18,2)) AS sum_cgst, CAST(sum(coalesce(sgst, 0)) AS DECIMAL(18,2)) AS sum_sgst,
-       CAST(sum(coalesce(igst, 0)) AS DECIMAL(18,2)) AS sum_igst
+SELECT part, CAST(sum(coalesce(taxable, 0)) AS DECIMAL(38,2)) AS sum_taxable,
+       CAST(sum(coalesce(cgst, 0)) AS DECIMAL(38,2)) AS sum_cgst, CAST(sum(coalesce(sgst, 0)) AS DECIMAL(38,2)) AS sum_sgst,
+       CAST(sum(coalesce(igst, 0)) AS DECIMAL(38,2)) AS sum_igst
 FROM parts GROUP BY part""")
 def _a7(spark, sf):
     b2 = get_run(spark, sf).b2_lines
@@ -480,9 +480,7 @@ SELECT CAST(p.pair_id AS BIGINT) AS pair_id, p.gst_key, p.inv_key, p.sheet, p.b2
        p.b2_trade_name, p.b2_filing_period, p.pr_inv, p.pr_date
 FROM pairs p JOIN k ON p.gst_key = k.gst_key AND p.inv_key = k.inv_key""")
 def _w1(spark, sf):
-    p = get_run(spark, sf).pairs
-    multi = p.groupBy("gst_key", "inv_key").count().where(F.col("count") > 1).drop("count")
-    return p.join(multi, ["gst_key", "inv_key"], "inner").select(
+    return get_run(spark, sf).pairs.where(F.col("key_rows") > 1).select(
         F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "sheet", "b2_inv_type", "b2_note_type",
         "b2_trade_name", "b2_filing_period", "pr_inv", "pr_date")
 
@@ -601,7 +599,7 @@ def _j7(spark, sf):
 
 def _n14(x: str) -> str:
     s = f"regexp_replace(replace(coalesce({x}, ''), ',', ''), '(?i)nan', '', 'g')"
-    return f"coalesce(TRY_CAST(regexp_replace({s}, '^\\s+|\\s+$', '', 'g') AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)))"
+    return f"coalesce(TRY_CAST(regexp_replace({s}, '^{O.WS}+|{O.WS}+$', '', 'g') AS DECIMAL(38,10)), CAST(0 AS DECIMAL(38,10)))"
 
 
 @register("comments_projection", O.with_stage("pairs") + _COMMENT_CTES + f"""
@@ -624,8 +622,7 @@ def _n14q(spark, sf):
     pr = get_run(spark, sf).pr_raw.select(
         F.col("row_no").cast("bigint"), "taxable_raw", F.col("taxable_raw").alias("taxable_value"),
         F.col("cgst_raw").alias("cgst"), F.col("sgst_raw").alias("sgst"), F.col("igst_raw").alias("igst"))
-    out = CM.coerce_numeric_columns(pr.drop("taxable_raw"))
-    return out.join(pr.select("row_no", "taxable_raw"), "row_no")
+    return CM.coerce_numeric_columns(pr, keep=("taxable_raw",))
 
 
 def _n13_month(x: str) -> str:
@@ -656,7 +653,7 @@ _FILTER_SQL = {"all": "TRUE", "rcm_yes": "rcm_yes", "itc_no": "itc_no"}
 
 
 def _sum_sql(cond: str, t: str) -> str:
-    return f"CAST(coalesce(sum({t}) FILTER (WHERE {cond}), 0) AS DECIMAL(18,2))"
+    return f"CAST(coalesce(sum({t}) FILTER (WHERE {cond}), 0) AS DECIMAL(38,2))"
 
 
 _A8_PARTS = []
@@ -687,7 +684,7 @@ def _itc_table_sql(return_month: str) -> str:
                 cols.append(f"{_sum_sql(_SHEET_SQL[sh] + ' AND ' + fc + ' AND nm', t)} AS nm_{s}_{f}_{t}")
         for t in ("igst", "cgst", "sgst"):
             cols.append(f"{_sum_sql(_SHEET_SQL[sh] + ' AND ' + prior, t)} AS {s}_prior_{t}")
-    z = "CAST(0 AS DECIMAL(18,2))"
+    z = "CAST(0 AS DECIMAL(38,2))"
     v = {
         "4A1": {"igst": "imp_igst", "cgst": z, "sgst": z},
         "4A3": {t: f"b2b_rcm_yes_{t}" for t in ("igst", "cgst", "sgst")},
@@ -704,8 +701,8 @@ def _itc_table_sql(return_month: str) -> str:
     for pos, (code, details) in enumerate(ITC.ITC_CODES):
         vals = v.get(code, {"igst": z, "cgst": z, "sgst": z})
         rows.append(f"SELECT '{code}' AS code, CAST({pos} AS INTEGER) AS pos, '{details}' AS details, "
-                    f"CAST({vals['igst']} AS DECIMAL(18,2)) AS integrated, CAST({vals['cgst']} AS DECIMAL(18,2)) AS central, "
-                    f"CAST({vals['sgst']} AS DECIMAL(18,2)) AS state, {z} AS cess FROM t")
+                    f"CAST({vals['igst']} AS DECIMAL(38,2)) AS integrated, CAST({vals['cgst']} AS DECIMAL(38,2)) AS central, "
+                    f"CAST({vals['sgst']} AS DECIMAL(38,2)) AS state, {z} AS cess FROM t")
     return (O.with_stage("pairs") + _ITC_FLAGS + f"\n, t AS (SELECT {', '.join(cols)} FROM flags)\n"
             + "\nUNION ALL\n".join(rows))
 
@@ -717,7 +714,7 @@ def _a9(spark, sf):
 
 
 @register("prior_period_itc", O.with_stage("lines") + f"""
-SELECT {", ".join(f"CAST(coalesce(sum({t}) FILTER (WHERE {O.tax_period_start('coalesce(filing_date, inv_date)')} < DATE '1997-01-01'), 0) AS DECIMAL(18,2)) AS {t}" for t in ("igst", "cgst", "sgst"))}
+SELECT {", ".join(f"CAST(coalesce(sum({t}) FILTER (WHERE {O.tax_period_start('coalesce(filing_date, inv_date)')} < DATE '1997-01-01'), 0) AS DECIMAL(38,2)) AS {t}" for t in ("igst", "cgst", "sgst"))}
 FROM b2_lines WHERE {_B2_PART}""")
 def _a10(spark, sf):
     run = get_run(spark, sf)
@@ -815,8 +812,8 @@ def _f8(spark, sf):
 
 _RUN_LOG_SQL = O.with_stage("pairs") + _REVIEWED + """
 SELECT 'run-derived' AS run_id, 'derived' AS owner, 'Recon_derived' AS report_name,
-  CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping = 'Matched'), 0) AS DECIMAL(18,2)) AS matched_value,
-  CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping <> 'Matched'), 0) AS DECIMAL(18,2)) AS mismatched_value,
+  CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping = 'Matched'), 0) AS DECIMAL(38,2)) AS matched_value,
+  CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping <> 'Matched'), 0) AS DECIMAL(38,2)) AS mismatched_value,
   count(*) AS row_count, 'completed' AS status
 FROM reviewed"""
 

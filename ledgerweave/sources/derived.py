@@ -8,9 +8,9 @@ cell is text, every row carries the sheet row number it had in the workbook.
 The same derivation is written as DuckDB SQL in ``plans.oracle``; both must
 agree row for row.  See FIXTURES.md for the rules.
 
-Scale: one broadcast (``supplier`` restricted to the 10 vendor keys, a
-bounded size); the lineitem x orders join is an ordinary shuffle join on the
-order key; row numbers come from ``operators.ordinal`` (no global window).
+Scale: lineitem x orders and the vendor lookup are ordinary joins (AQE
+broadcasts a side only when its bytes allow it); row numbers come from
+``operators.ordinal`` (no global window).
 """
 
 from __future__ import annotations
@@ -51,26 +51,32 @@ def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]))
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
-    # at most 10 rows survive the filter, so the broadcast size is bounded
-    sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"]).where(
-        (F.col("s_suppkey") >= 0) & (F.col("s_suppkey") < 10))
+    sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+    vendors = max(1, sup.count())  # row count of the file's metadata
     ok = F.col("o_orderkey")
     taxable = F.round(F.col("l_extendedprice").cast("decimal(12,2)")
                       * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2)
+    od = od.withColumn("vendor", F.pmod("o_orderkey", F.lit(vendors).cast("long")))
+    od = od.join(sup, F.col("s_suppkey") == F.col("vendor"), "left")
     joined = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
-    joined = joined.join(F.broadcast(sup), F.col("s_suppkey") == F.pmod(ok, F.lit(10)), "left")
+    v = F.col("vendor")
+
+    def letter(per: int) -> Column:
+        return F.char((F.floor(v / per) % 26 + 65).cast("long"))
+
     out = joined.select(
         ok.alias("ok"),
         F.col("l_linenumber").alias("ln"),
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag",
         "l_linestatus", "l_tax", "s_name",
-        F.concat(F.lit("07AABCS"), F.lpad((ok % 10).cast("string"), 4, "0"), F.lit("F1Z"),
-                 F.when(ok % 2 == 0, F.lit("A")).otherwise(F.lit("7"))).alias("gstin"),
+        F.concat(F.lit("07"), letter(6_760_000), letter(260_000), letter(10_000), F.lit("CS"),
+                 F.lpad((v % 10_000).cast("string"), 4, "0"), F.lit("F1Z"),
+                 F.when(v % 2 == 0, F.lit("A")).otherwise(F.lit("7"))).alias("gstin"),
         F.concat(F.lit("INV/"), ok.cast("string")).alias("inv"),
         F.to_date(F.col("o_orderdate")).alias("inv_date"),
         ((F.col("l_returnflag") == "R") & (ok % 4 == 1)).alias("is_cdnr"),
         taxable.alias("taxable"),
-        ((ok % 10) % 2).alias("intra"),
+        (v % 2).alias("intra"),
     )
     tax = F.round(F.col("taxable") * F.col("l_tax").cast("decimal(4,2)"), 2)
     half = F.round(tax * F.lit(0.5).cast("decimal(2,1)"), 2)
@@ -94,8 +100,10 @@ def pr_landing_unnumbered(base: DataFrame) -> DataFrame:
         "gstin_raw": (F.when((ok % 997 == 0) & (ln == 1), F.lit("Total"))
                       .when((ok % 43 == 0) & (ln == 2), F.lit(None).cast("string"))
                       .when(ok % 41 == 0, F.concat(F.lower(F.substring(g, 1, 7)), F.lit(" "), F.substring(g, 8, 8)))
+                      .when(ok % 73 == 0, F.concat(F.substring(g, 1, 7), F.lit("\u2009"), F.substring(g, 8, 8)))
                       .otherwise(g)),
         "inv_raw": (F.when(F.col("is_cdnr"), F.concat(F.lit("CN/"), ok.cast("string")))
+                    .when(ok % 71 == 0, F.concat(F.lit("\u3000"), F.col("inv"), F.lit("\u2003")))
                     .when(ok % 5 == 0, F.concat(F.lit(" inv/"), ok.cast("string"), F.lit("/24-25")))
                     .otherwise(F.col("inv"))),
         "date_raw": (F.when(ok % 7 == 0, F.col("inv_date").cast("string"))
@@ -132,7 +140,7 @@ def b2_landing_unnumbered(base: DataFrame) -> DataFrame:
                     .when(ok % 17 == 0, F.concat(F.lit("INV-"), ok.cast("string")))
                     .otherwise(F.col("inv"))),
         "date_raw": F.date_format(b2_date, "dd-MM-yyyy"),
-        "inv_type": F.when(cd, note_type).otherwise(F.lit("Regular")),
+        "inv_type": F.when(cd & (ok % 8 == 1), F.lit(None).cast("string")).when(cd, note_type).otherwise(F.lit("Regular")),
         "note_type": note_type,
         "trade_name": F.when(ok % 41 == 0, F.col("gstin")).otherwise(F.col("s_name")),
         "reverse_charge": F.when(ok % 23 == 0, F.lit("Yes")).otherwise(F.lit("No")),
