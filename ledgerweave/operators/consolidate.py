@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..sources.scratch import materialize
 from .lines import AMOUNTS, keyed_rows
-from .ordinal import checked_broadcast, dense_ordinal
-
-MAX_BROADCAST_RENAMES = 2_000_000
+from .ordinal import dense_ordinal
 
 KEY = ["gst_key", "inv_key"]
 
@@ -54,12 +53,6 @@ def consolidate_pr(pr_lines_clean: DataFrame) -> DataFrame:
     return consolidate_by_key(pr_lines_clean, PR_FIRST)
 
 
-def consolidate_2b(b2_matchable: DataFrame) -> DataFrame:
-    """A1 per sheet (B2B and CDNR are consolidated separately), then P3 on CDNR."""
-    cons = consolidate_by_key(b2_matchable, B2_FIRST, extra_keys=["sheet"])
-    return rescue_empty_inv_key(cons)
-
-
 def rescue_empty_inv_key(b2_cons: DataFrame) -> DataFrame:
     """A CDNR note whose key is empty becomes ``__CDNR_ROW__<i>__`` where
     ``i`` is its 0-based position among the consolidated CDNR rows in key order.
@@ -72,9 +65,8 @@ def rescue_empty_inv_key(b2_cons: DataFrame) -> DataFrame:
     renames = ords.where(F.col("inv_key") == "").select(
         "gst_key", F.lit("").alias("_empty"), F.lit("B2B-CDNR").alias("_sheet"),
         F.concat(F.lit("__CDNR_ROW__"), F.col("_pos").cast("string"), F.lit("__")).alias("_new_key"))
-    # at most one rename per supplier: broadcast after counting, so the big
-    # side is never shuffled by a handful of GSTINs
-    renames = checked_broadcast(renames, MAX_BROADCAST_RENAMES)
+    # at most one rename per supplier; written, so the join goes by its bytes
+    renames = materialize(renames, "renames")
     out = b2_cons.join(
         renames,
         (b2_cons.gst_key == renames.gst_key) & (b2_cons.inv_key == renames._empty) & (b2_cons.sheet == renames._sheet),

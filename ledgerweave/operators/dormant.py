@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..sources.scratch import materialize
 from .consolidate import KEY, first_non_null
 from .pairing import ALMOST, MATCHED, NOT_MATCHED, REASON_DATE
 
@@ -31,7 +32,8 @@ def lookup_reconcile(pr_lines: DataFrame, b2_lines: DataFrame) -> DataFrame:
     order = F.struct(rank.alias("r"), F.col("row_no").alias("n"))
     first = F.struct("inv_date", "cgst", "sgst", "igst")
     cand = b2.groupBy(*KEY).agg(F.min_by(first, order).alias("b"), F.count(F.lit(1)).alias("n_cand"))
-    j = pr_lines.join(cand, KEY, "left")
+    # written: a join of two scans is one whose hot key AQE can split
+    j = pr_lines.join(materialize(cand, "lookup"), KEY, "left")
 
     def differs(t):
         return F.abs(N.round_rupee(F.col(t))) != F.abs(N.round_rupee(F.col(f"b.{t}")))

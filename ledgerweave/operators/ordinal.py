@@ -8,11 +8,12 @@ puts a whole hot group into one task.  Instead:
 * ``dense_ordinal`` sorts with a range exchange (Spark samples the sort key,
   so a hot prefix is split over many partitions), tags rows with their
   position inside the partition, writes that once to the shared checkpoint
-  folder and adds per-partition offsets (one row per partition, so the
-  broadcast is bounded by the partition count, not the data).
+  folder and adds per-partition offsets (written too, one row per partition,
+  so the broadcast is bounded by the partition count, not the data).
 * ``rank_in_group`` turns the global ordinal into a rank inside each group by
   subtracting the group's first ordinal (one row per group, aggregated
-  map-side first).
+  map-side first and written, so the join reads two tables: AQE broadcasts
+  the small one by its bytes, or splits a hot group's partition).
 * ``first_n_per_group`` keeps the first ``n`` rows per group in two stages:
   top-n inside salted sub-groups, then top-n of at most ``n * salts``
   candidates per group.  Exact, and no task sees a whole hot group.
@@ -28,15 +29,6 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 
 _LOW_BITS = (1 << 33) - 1
-# group tables up to this many rows are broadcast (after counting them)
-MAX_BROADCAST_GROUPS = 200_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after counting that it holds at most ``max_rows``;
-    otherwise leave the join to a shuffle (with AQE's skew handling)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -67,6 +59,7 @@ def dense_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "
             F.lit(0),
         ).alias("_lw_off"),
     )
+    offsets = materialize(offsets, "ordinal-offsets")
     out = tagged.join(F.broadcast(offsets), pid == F.col("_lw_pid"), "inner")
     local = F.col("_lw_mid").bitwiseAND(F.lit(_LOW_BITS))
     return out.withColumn(name, (F.col("_lw_off") + local + F.lit(start)).cast("bigint")).drop(
@@ -81,10 +74,7 @@ def rank_in_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str
     sending a whole group to one task."""
     ordered = dense_ordinal(df, [*group_by, *order_by], name="_lw_ord", post=post)
     firsts = ordered.groupBy(*group_by).agg(F.min("_lw_ord").alias("_lw_first"))
-    # few groups (sheets, files) would make a shuffle join on the group key
-    # put whole groups into single tasks: broadcast the group table when its
-    # counted size allows, else shuffle (many groups, AQE splits skew)
-    out = ordered.join(checked_broadcast(firsts, MAX_BROADCAST_GROUPS), list(group_by), "inner")
+    out = ordered.join(materialize(firsts, "ordinal-firsts"), list(group_by), "inner")
     return out.withColumn(name, (F.col("_lw_ord") - F.col("_lw_first") + F.lit(start)).cast("bigint")).drop(
         "_lw_ord", "_lw_first"
     )

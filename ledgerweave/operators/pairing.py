@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from .consolidate import KEY
 from .lines import AMOUNTS
-from .ordinal import checked_broadcast, dense_ordinal, rank_in_group
+from ..sources.scratch import materialize
+from .ordinal import rank_in_group
 
 # Status labels, remarks and reason texts of the classification.
 MATCHED = "Matched"
@@ -87,6 +88,22 @@ def outer_join(pr: DataFrame, b2: DataFrame) -> DataFrame:
     return pr.join(b2, KEY, "full").withColumn("pr_exists", F.coalesce(F.col("pr_exists"), F.lit(False)))
 
 
+def fifo_ranks(joined: DataFrame) -> DataFrame:
+    """Rank of every orphan among those of its fuzzy key and side (0: PR, 1: 2B), in key order.
+
+    Only fuzzy keys present on both sides can pair; ranks are relative to the
+    whole fuzzy group, and every member of such a group is kept.  Both sides
+    are ranked by one distributed ordinal (side is part of the group).
+    """
+    fk = [N.fuzzy_gstin("gst_key").alias("fg"), N.fuzzy_invoice("inv_key").alias("fi")]
+    has_b2 = F.col("sheet").isNotNull()
+    pr_f = joined.where(F.col("pr_exists") & ~has_b2).select(*KEY, F.lit(0).alias("sheet_rank"), *fk, F.lit(0).alias("side"))
+    b2_f = joined.where(~F.col("pr_exists") & has_b2).select(*KEY, "sheet_rank", *fk, F.lit(1).alias("side"))
+    both = pr_f.select("fg", "fi").intersect(b2_f.select("fg", "fi"))
+    cand = pr_f.unionByName(b2_f).join(both, ["fg", "fi"], "left_semi")
+    return rank_in_group(cand, ["fg", "fi", "side"], [*KEY, "sheet_rank"], name="fifo")
+
+
 def fuzzy_rescue(joined: DataFrame) -> DataFrame:
     """J2 + W1 + W2 over the joined rows; returns the rows of ``pair`` before J3."""
     has_b2 = F.col("sheet").isNotNull()
@@ -96,20 +113,13 @@ def fuzzy_rescue(joined: DataFrame) -> DataFrame:
     b2_o = joined.where(~F.col("pr_exists") & has_b2).select(
         *KEY, "sheet", "sheet_rank", *B2_VALUES, "b2_parts", *[f"{c}__sib" for c in B2_FILLABLE])
 
-    fk = [N.fuzzy_gstin("gst_key").alias("fg"), N.fuzzy_invoice("inv_key").alias("fi")]
-    pr_f = pr_o.select(*KEY, F.lit(0).alias("sheet_rank"), *fk, F.lit(0).alias("side"))
-    b2_f = b2_o.select(*KEY, "sheet_rank", *fk, F.lit(1).alias("side"))
-    # only fuzzy keys present on both sides can pair; ranks are relative to the
-    # whole fuzzy group, and every member of such a group is kept.  Both sides
-    # are ranked by one distributed ordinal (side is part of the group).
-    both = pr_f.select("fg", "fi").intersect(b2_f.select("fg", "fi"))
-    cand = pr_f.unionByName(b2_f).join(both, ["fg", "fi"], "left_semi")
-    ranked = rank_in_group(cand, ["fg", "fi", "side"], [*KEY, "sheet_rank"], name="fifo")
+    ranked = fifo_ranks(joined)
     pr_r = ranked.where(F.col("side") == 0).select("fg", "fi", "fifo", *KEY)
     b2_r = ranked.where(F.col("side") == 1).select(
         "fg", "fi", "fifo", F.col("gst_key").alias("src_gst"), F.col("inv_key").alias("src_inv"),
         F.col("sheet_rank").alias("src_rank"))
-    links = pr_r.join(b2_r, ["fg", "fi", "fifo"], "inner").select(*KEY, "src_gst", "src_inv", "src_rank")
+    links = materialize(pr_r.join(b2_r, ["fg", "fi", "fifo"], "inner").select(*KEY, "src_gst", "src_inv", "src_rank"),
+                        "links")
 
     b2_src = b2_o.select(F.col("gst_key").alias("src_gst"), F.col("inv_key").alias("src_inv"),
                          F.col("sheet_rank").alias("src_rank"), "sheet", "sheet_rank", *B2_VALUES)
@@ -204,17 +214,10 @@ def vendor_names(rows: DataFrame) -> DataFrame:
     return names.groupBy("gst_key").agg(F.min_by("name", pick).alias("vendor_name"))
 
 
-MAX_BROADCAST_NAMES = 2_000_000
-
-
 def with_vendor_names(rows: DataFrame) -> DataFrame:
-    """Attach A4 names.  The name table has one row per supplier: it is written
-    once, counted, and broadcast when under the bound (a shuffle join on a
-    handful of GSTINs would put whole suppliers into single tasks); above the
-    bound the join shuffles and AQE splits skewed partitions."""
-    from ..sources.scratch import materialize
-
-    names = checked_broadcast(materialize(vendor_names(rows), "names"), MAX_BROADCAST_NAMES)
+    """Attach A4 names from a written table of one row per supplier: AQE
+    broadcasts it by its bytes, or splits the partitions of large suppliers."""
+    names = materialize(vendor_names(rows), "names")
     return rows.join(names, "gst_key", "left").withColumn("vendor_name", F.coalesce(F.col("vendor_name"), F.lit("")))
 
 
@@ -222,19 +225,6 @@ PAIR_COLUMNS = ["pair_id", *KEY, "mapping", "remarks", "reason", "vendor_name",
                 "sheet_rank", "key_rows", "fuzzy_reason", "pr_exists", *PR_VALUES, *B2_VALUES]
 
 
-def build_pairs(pr_cons: DataFrame, b2_cons: DataFrame, materialize=None) -> DataFrame:
-    """The whole pairing stage; ``pair_id`` is the 0-based position in pair order."""
-    joined = outer_join(suffix_pr(pr_cons), suffix_2b(b2_cons))
-    if materialize is not None:
-        joined = materialize(joined)
-    rows = fuzzy_rescue(joined)
-    rows = show_cdnr_gstin(invoice_type(classify(rows)))
-    rows = with_vendor_names(rows)
-    rows = rows.withColumn("_o", pair_order()[2])
-    out = dense_ordinal(rows, ["gst_key", "inv_key", "_o"], name="pair_id", start=0)
-    return out.select(*PAIR_COLUMNS)
-
-
 def status_lookup(pairs: DataFrame) -> DataFrame:
     """Key -> (mapping, remarks, reason) of the last pair with that key.
 

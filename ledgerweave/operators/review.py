@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from .ordinal import checked_broadcast, first_n_per_group
+from ..sources.scratch import materialize
+from .ordinal import first_n_per_group
 from .pairing import ALMOST, MATCHED, NOT_MATCHED
 
 # Texts written by the review step.
@@ -16,9 +17,6 @@ REJECTED_REMARK = "Rejected by User"
 REJECTED_SUFFIX = " (Rejected)"
 HISTORY_PAGE = 50
 
-# Decision lists come from people; a list up to this many ids (8 bytes each)
-# is broadcast, a longer one is joined with a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
 
 
 def review_candidates(pairs: DataFrame) -> DataFrame:
@@ -35,7 +33,7 @@ def review_candidates(pairs: DataFrame) -> DataFrame:
 
 def apply_review(pairs: DataFrame, accepted_ids: DataFrame) -> DataFrame:
     """Accepted Almost pairs become Matched, every other Almost pair Not Matched."""
-    acc = checked_broadcast(accepted_ids.select(F.col("pair_id").alias("_acc_id")).distinct(), MAX_BROADCAST_IDS)
+    acc = materialize(accepted_ids.select(F.col("pair_id").alias("_acc_id")).distinct(), "accepted")
     j = pairs.join(acc, pairs.pair_id == acc._acc_id, "left")
     almost = F.col("mapping") == ALMOST
     ok = F.col("_acc_id").isNotNull()

@@ -285,6 +285,13 @@ def first_n_per_column(cells: DataFrame, n: int = PROFILE_SAMPLE) -> DataFrame:
     return first_n_per_group(present, ["table_id", "pos"], [F.col("row_no")], n, salt_from=["row_no"])
 
 
+def present_values(cells: DataFrame, cleaned: DataFrame, kind: str = "PR") -> DataFrame:
+    """(table_id, pos, value): every present value, trimmed, of the tables of one kind."""
+    tables = cleaned.where(F.col("kind") == kind).select("table_id").distinct()
+    present = cells.where(F.col("value").isNotNull()).join(tables, "table_id", "left_semi")
+    return present.select("table_id", "pos", N.trimmed("value").alias("value"))
+
+
 def invoice_like(v: Column) -> Column:
     return (~v.rlike("(?i)" + N.GSTIN_PATTERN) & (F.length(v) >= 1) & (F.length(v) <= 30)
             & ~v.rlike("^[A-Za-z]+$") & ~v.rlike("^0+$") & ~v.rlike(r"^[-/\.]+$") & v.rlike(r"\d"))
@@ -305,8 +312,8 @@ def _shares(sample_or_shares: DataFrame) -> DataFrame:
 
 
 def profile_gstin(cleaned: DataFrame, sample: DataFrame, prefer_supplier: bool = True) -> DataFrame:
-    """Column whose sampled values look most like GSTINs (> 0 wins, first on ties).
-    ``sample`` may be the W3 sample or its ``profile_shares``."""
+    """Column whose values look most like GSTINs (> 0 wins, first on ties).
+    ``sample`` may be the values or their ``profile_shares``."""
     share = _shares(sample).select("table_id", "pos", F.col("gstin_share").alias("share"))
     j = share.join(cleaned.select("table_id", "pos", "column", "norm"), ["table_id", "pos"])
     n = F.col("norm")
@@ -320,7 +327,7 @@ def profile_gstin(cleaned: DataFrame, sample: DataFrame, prefer_supplier: bool =
 
 
 def profile_invoice(cleaned: DataFrame, sample: DataFrame) -> DataFrame:
-    """Column whose sampled values look most like invoice numbers,
+    """Column whose values look most like invoice numbers,
     skipping names about tax ids, amounts, parties and dates."""
     share = _shares(sample).select("table_id", "pos", F.col("invoice_share").alias("share"))
     names = cleaned.where(~_any_contains(F.col("norm"), INVOICE_SKIP_WORDS)).select("table_id", "pos", "column")
@@ -415,5 +422,5 @@ def role_dictionary_usage(cleaned: DataFrame) -> DataFrame:
     spark = cleaned.sparkSession
     d = spark.createDataFrame(rows, "list_name string, pos int, term string, norm_term string")
     counts = cleaned.groupBy(F.col("norm").alias("norm_term")).agg(F.count(F.lit(1)).alias("n_columns"))
-    return F.broadcast(d).join(counts, "norm_term", "left").select(
+    return d.join(counts, "norm_term", "left").select(
         "list_name", "pos", "term", "norm_term", F.coalesce("n_columns", F.lit(0)).cast("bigint").alias("n_columns"))

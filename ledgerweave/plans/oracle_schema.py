@@ -81,6 +81,7 @@ base_t AS (
   FROM base b
 ),
 cells AS (SELECT l.table_id, m.pos, l.row_no, {_VALUE_CASE} AS value FROM base_t l JOIN tmpl m ON m.t = l.table_id % 6),
+present AS (SELECT table_id, pos, {O.trim_ws('value')} AS value FROM cells WHERE value IS NOT NULL),
 sample AS (
   SELECT table_id, pos, row_no, value FROM (
     SELECT table_id, pos, row_no, {O.trim_ws('value')} AS value,
@@ -96,7 +97,7 @@ def _words(col: str, words: list[str]) -> str:
 PROFILES = f"""
 gshare AS (
   SELECT table_id, pos, sum(regexp_full_match(value, '(?i){GSTIN_PATTERN}')::INT) / count(*) AS share
-  FROM sample GROUP BY table_id, pos
+  FROM present GROUP BY table_id, pos
 ),
 gv AS (
   SELECT table_id, col, score FROM (
@@ -114,7 +115,7 @@ ishare AS (
                              AND NOT regexp_full_match(value, '[A-Za-z]+') AND NOT regexp_full_match(value, '0+')
                              AND NOT regexp_full_match(value, '[-/\\.]+') AND regexp_matches(value, '\\d'))::INT)
                         / count(*) AS share
-  FROM sample GROUP BY table_id, pos
+  FROM present GROUP BY table_id, pos
 ),
 iv AS (
   SELECT table_id, col, score FROM (

@@ -487,20 +487,14 @@ def _w1(spark, sf):
 
 @register("fifo_rank", O.with_stage("pairs") + """
 SELECT 'PR' AS side, gst_key, inv_key, CAST(0 AS INTEGER) AS sheet_rank, fg, fi, CAST(fifo AS BIGINT) AS fifo FROM pr_r
+WHERE (fg, fi) IN (SELECT (fg, fi) FROM b2_r)
 UNION ALL
-SELECT '2B', src_gst, src_inv, CAST(src_rank AS INTEGER), fg, fi, CAST(fifo AS BIGINT) FROM b2_r""")
+SELECT '2B', src_gst, src_inv, CAST(src_rank AS INTEGER), fg, fi, CAST(fifo AS BIGINT) FROM b2_r
+WHERE (fg, fi) IN (SELECT (fg, fi) FROM pr_r)""")
 def _w2(spark, sf):
-    from ..operators.ordinal import rank_in_group
-    j = get_run(spark, sf).joined
-    has_b2 = F.col("sheet").isNotNull()
-    fk = [N.fuzzy_gstin("gst_key").alias("fg"), N.fuzzy_invoice("inv_key").alias("fi")]
-    pr_o = j.where(F.col("pr_exists") & ~has_b2).select("gst_key", "inv_key", F.lit(0).alias("sheet_rank"), *fk)
-    b2_o = j.where(~F.col("pr_exists") & has_b2).select("gst_key", "inv_key", F.col("sheet_rank").cast("int"), *fk)
-    pr_r = rank_in_group(pr_o, ["fg", "fi"], ["gst_key", "inv_key"], name="fifo").withColumn("side", F.lit("PR"))
-    b2_r = rank_in_group(b2_o, ["fg", "fi"], ["gst_key", "inv_key", "sheet_rank"], name="fifo") \
-        .withColumn("side", F.lit("2B"))
-    return pr_r.unionByName(b2_r).select("side", "gst_key", "inv_key", "sheet_rank", "fg", "fi",
-                                         F.col("fifo").cast("bigint"))
+    ranked = P.fifo_ranks(get_run(spark, sf).joined)
+    return ranked.select(F.when(F.col("side") == 0, F.lit("PR")).otherwise(F.lit("2B")).alias("side"), "gst_key", "inv_key",
+                         F.col("sheet_rank").cast("int"), "fg", "fi", F.col("fifo").cast("bigint"))
 
 
 @register("sort_pairs", O.with_stage("pairs") + """
@@ -1040,8 +1034,8 @@ def _cleaned(spark, sf):
 _cells = session_memo("cells", CT.cells)
 
 
-def _sample(spark, sf):
-    return SM.first_n_per_column(_cells(spark, sf))
+def _values(spark, sf):
+    return SM.present_values(_cells(spark, sf), _cleaned(spark, sf))
 
 
 def _score_sql(alias: str, list_expr: str, norm: str) -> str:
@@ -1147,7 +1141,7 @@ def _c7(spark, sf):
 SELECT table_id, col AS column_name, CAST(score AS DOUBLE) AS score FROM gv""")
 def _c8(spark, sf):
     cleaned = _cleaned(spark, sf)
-    out = SM.profile_gstin(cleaned.where(F.col("kind") == "PR"), _sample(spark, sf))
+    out = SM.profile_gstin(cleaned.where(F.col("kind") == "PR"), _values(spark, sf))
     return out.select("table_id", F.col("column").alias("column_name"), F.col("score").cast("double"))
 
 
@@ -1155,14 +1149,14 @@ def _c8(spark, sf):
 SELECT table_id, col AS column_name, CAST(score AS DOUBLE) AS score FROM iv""")
 def _c9(spark, sf):
     cleaned = _cleaned(spark, sf)
-    out = SM.profile_invoice(cleaned.where(F.col("kind") == "PR"), _sample(spark, sf))
+    out = SM.profile_invoice(cleaned.where(F.col("kind") == "PR"), _values(spark, sf))
     return out.select("table_id", F.col("column").alias("column_name"), F.col("score").cast("double"))
 
 
 @register("resolve_roles", OS.with_schema() + """
 SELECT table_id, kind, role, col AS column_name FROM resolved""")
 def _c10(spark, sf):
-    out = SM.resolve_roles(_cleaned(spark, sf), _sample(spark, sf))
+    out = SM.resolve_roles(_cleaned(spark, sf), _values(spark, sf))
     return out.withColumnRenamed("column", "column_name")
 
 
@@ -1188,7 +1182,7 @@ FROM pf LEFT JOIN ex ON ex.table_id = pf.table_id""")
 def _c11(spark, sf):
     cleaned = _cleaned(spark, sf)
     cells = _cells(spark, sf)
-    resolved = SM.resolve_roles(cleaned, SM.first_n_per_column(cells))
+    resolved = SM.resolve_roles(cleaned, _values(spark, sf))
     out = SM.best_note_column(cleaned, cells, resolved)
     return out.withColumnRenamed("primary", "primary_column")
 
@@ -1209,7 +1203,7 @@ al AS (SELECT table_id, col, min(k) AS k FROM (SELECT table_id, k, col FROM pb U
 SELECT table_id, string_agg(col, ' | ' ORDER BY k) AS numeric_columns FROM al GROUP BY table_id""")
 def _c12(spark, sf):
     cleaned = _cleaned(spark, sf)
-    resolved = SM.resolve_roles(cleaned, _sample(spark, sf))
+    resolved = SM.resolve_roles(cleaned, _values(spark, sf))
     return SM.numeric_roles(cleaned, resolved)
 
 
@@ -1224,5 +1218,5 @@ def _c13(spark, sf):
 @register("first_n_per_column", OS.with_schema() + """
 SELECT table_id, CAST(pos AS INTEGER) AS pos, CAST(row_no AS BIGINT) AS row_no, value FROM sample""")
 def _w3(spark, sf):
-    out = _sample(spark, sf)
+    out = SM.first_n_per_column(_cells(spark, sf))
     return out.select("table_id", F.col("pos").cast("int"), F.col("row_no").cast("bigint"), "value")

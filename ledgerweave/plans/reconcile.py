@@ -43,14 +43,19 @@ class Run:
         self.return_month = return_month
 
     # -- sources ---------------------------------------------------------
+    @cached_property
+    def base(self) -> DataFrame:
+        """The lines both books are derived from, joined once and written."""
+        return materialize(D.base_lines(self.spark, self.sf_dir), "base")
+
     @cached_property
     def pr_table(self) -> DataFrame:
         """Landing rows with their typed columns, written once (row numbers fixed)."""
-        return D.build_pr_landing(self.spark, self.sf_dir, typer=L.typed_pr_lines)
+        return D.build_pr_landing(self.base, typer=L.typed_pr_lines)
 
     @cached_property
     def b2_table(self) -> DataFrame:
-        return D.build_b2_landing(self.spark, self.sf_dir, typer=L.typed_b2_rows)
+        return D.build_b2_landing(self.base, typer=L.typed_b2_rows)
 
     @property
     def pr_landing(self) -> DataFrame:
@@ -105,7 +110,7 @@ class Run:
         """The pair table; ``pair_id`` is assigned by a written ordinal, so it
         never changes between review and finish."""
         rows = P.fuzzy_rescue(self.joined)
-        rows = P.show_cdnr_gstin(P.invoice_type(P.classify(rows)))
+        rows = materialize(P.show_cdnr_gstin(P.invoice_type(P.classify(rows))), "rows")
         rows = P.with_vendor_names(rows).withColumn("_o", P.pair_order()[2])
         out = dense_ordinal(rows, ["gst_key", "inv_key", "_o"], name="pair_id", start=0)
         return out.select(*P.PAIR_COLUMNS)

@@ -46,8 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of this session.
 
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    filesystem every executor can reach).  Only when nothing is configured,
-    as in local tests, a fresh folder is made for this process.
+    filesystem every executor can reach).  Only when nothing is configured
+    and the master is local, as in tests, a fresh folder is made for this
+    process; on a cluster a missing setting is an error, because a folder of
+    this machine cannot be read by the executors.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -55,6 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder (master {master})")
         configured = tempfile.mkdtemp(prefix="lw-ckpt-")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()

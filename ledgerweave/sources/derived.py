@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordinal import dense_ordinal, rank_in_group
-from .tables import read_table, spread
+from .tables import read_table
 
 # Sheet row of the first data row: header in row 1 for the purchase register,
 # two header rows (5 and 6) in the portal layout of GSTR-2B.
@@ -47,9 +47,9 @@ def _money_text(x: Column) -> Column:
 
 def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with the invoice facts both books start from."""
-    li = spread(read_table(spark, sf_dir, "lineitem", [
+    li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]))
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
     vendors = max(1, sup.count())  # row count of the file's metadata
@@ -172,20 +172,19 @@ def impg_landing_unnumbered(base: DataFrame) -> DataFrame:
             .select(F.lit(SHEET_IMPG).alias("sheet"), *LINE_ORDER, *[cols[c].alias(c) for c in B2_COLUMNS]))
 
 
-def build_pr_landing(spark: SparkSession, sf_dir: str, typer=None) -> DataFrame:
+def build_pr_landing(base: DataFrame, typer=None) -> DataFrame:
     """S1 + S5: purchase register rows, all text, with their sheet row.
 
     ``typer`` adds typed columns after the row-numbering sort, so the raw
     text and its typed form land in the same single write.
     """
-    rows = pr_landing_unnumbered(base_lines(spark, sf_dir))
+    rows = pr_landing_unnumbered(base)
     numbered = dense_ordinal(rows, LINE_ORDER, name="row_no", start=PR_FIRST_ROW, post=typer)
     return numbered.drop(*LINE_ORDER)
 
 
-def build_b2_landing(spark: SparkSession, sf_dir: str, typer=None) -> DataFrame:
+def build_b2_landing(base: DataFrame, typer=None) -> DataFrame:
     """S2 + S4 + S5: B2B, B2B-CDNR and IMPG rows (portal layout), all text."""
-    base = base_lines(spark, sf_dir)
     rows = b2_landing_unnumbered(base).unionByName(impg_landing_unnumbered(base))
     numbered = rank_in_group(rows, ["sheet"], LINE_ORDER, name="row_no", start=PORTAL_FIRST_ROW, post=typer)
     return numbered.drop(*LINE_ORDER)

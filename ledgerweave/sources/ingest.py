@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordinal import checked_broadcast, rank_in_group
+from ..operators.ordinal import rank_in_group
 from . import derived as D
+from .scratch import materialize
 from .tables import read_table
 
 PORTAL_HEADER_HEIGHT = 6
@@ -63,8 +64,8 @@ def consolidate_files(files: DataFrame, header_height: int = PORTAL_HEADER_HEIGH
         F.lower(F.col("file_name")).endswith(WORKBOOK_SUFFIXES[1])
     rows = files.where(ok).withColumn("sheet", F.trim(F.col("sheet")))
     firsts = rows.groupBy("sheet").agg(F.min("file_seq").alias("first_file"))
-    # one row per sheet name: broadcast after counting, never a shuffle by sheet
-    kept = rows.join(checked_broadcast(firsts, 100_000), "sheet").where(
+    # one row per sheet name, written: the join goes by its bytes, not by a shuffle of whole sheets
+    kept = rows.join(materialize(firsts, "first-files"), "sheet").where(
         (F.col("file_seq") == F.col("first_file")) | (F.col("row_no") > header_height))
     return kept.select("sheet", "file_seq", "row_no", *CELLS)
 
@@ -108,8 +109,8 @@ def validate_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def row_counts(pr_landing: DataFrame, b2_landing: DataFrame, portal: bool = True) -> DataFrame:
-    """Rows per uploaded sheet before any drop; the raw sheet also holds
-    its header rows, which the count subtracts again (never below 0)."""
+    """Rows per uploaded sheet before any drop, from the raw row numbers of
+    its last row: a sheet shorter than its header has none (never below 0)."""
     height = PORTAL_HEADER_HEIGHT if portal else FLAT_HEADER_HEIGHT
     pr = pr_landing.agg(F.count(F.lit(1)).alias("n")).select(F.lit("pr").alias("source"), "n")
     b2 = (b2_landing.where(F.col("sheet").isin("B2B", "B2B-CDNR"))

@@ -19,16 +19,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[st
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
-
-    Decided from file metadata only (the number of input splits): a single
-    unsplittable file would otherwise run every row-wise stage after it in one
-    task.  A large input already has more splits than cores and is returned
-    unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
