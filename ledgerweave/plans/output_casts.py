@@ -45,7 +45,7 @@ OUTPUT_CASTS = {'cdnr_comments': {'date': [], 'double': ['taxable', 'cgst', 'sgs
                        'double': ['pr_cgst', 'b2_cgst', 'pr_sgst', 'b2_sgst', 'pr_igst', 'b2_igst']},
  'run_log': {'date': [], 'double': ['matched_value', 'mismatched_value']},
  'sign_credit_notes': {'date': [], 'double': ['taxable', 'cgst', 'sgst', 'igst']},
- 'suffix_sides': {'date': ['pr_date'], 'double': ['pr_taxable', 'pr_cgst', 'pr_sgst', 'pr_igst']},
+ 'suffix_sides': {'date': ['inv_date'], 'double': ['taxable', 'cgst', 'sgst', 'igst']},
  'sum_column': {'date': [], 'double': ['sum_taxable', 'sum_cgst', 'sum_sgst', 'sum_igst']},
  'tax_period': {'date': ['filing_date', 'period_start'], 'double': []},
  'union_sheets': {'date': ['inv_date'], 'double': ['taxable', 'cgst', 'sgst', 'igst']}}

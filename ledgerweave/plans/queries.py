@@ -159,12 +159,22 @@ def _n6(spark, sf):
 
 # =================================================================== aggregation / pairing
 @register("consolidate_by_key", O.with_stage("cons") + """
-SELECT gst_key, inv_key, taxable, cgst, sgst, igst, inv_date, gstin_raw, inv_orig, doc_type, vendor_name,
-       CAST(first_row AS BIGINT) AS first_row, CAST(n_lines AS BIGINT) AS n_lines FROM pr_cons""")
+SELECT 'PR' AS book, gst_key, inv_key, taxable, cgst, sgst, igst, inv_date, gstin_raw, inv_orig, doc_type AS type,
+       vendor_name AS name, CAST(first_row AS BIGINT) AS first_row, CAST(n_lines AS BIGINT) AS n_lines FROM pr_cons
+UNION ALL
+SELECT sheet, gst_key, inv_key, taxable, cgst, sgst, igst, inv_date, gstin_raw, inv_orig, inv_type, trade_name,
+       CAST(first_row AS BIGINT), CAST(n_lines AS BIGINT) FROM b2_cons""")
 def _a1(spark, sf):
-    return get_run(spark, sf).pr_cons.select(
-        "gst_key", "inv_key", *[_money(a) for a in L.AMOUNTS], "inv_date", "gstin_raw", "inv_orig", "doc_type",
-        "vendor_name", F.col("first_row").cast("bigint"), F.col("n_lines").cast("bigint"))
+    run = get_run(spark, sf)
+
+    def book(df, name, type_col, name_col):
+        return df.select(
+            name.alias("book"), "gst_key", "inv_key", *[_money(a) for a in L.AMOUNTS], "inv_date", "gstin_raw", "inv_orig",
+            F.col(type_col).alias("type"), F.col(name_col).alias("name"), F.col("first_row").cast("bigint"),
+            F.col("n_lines").cast("bigint"))
+
+    return book(run.pr_cons, F.lit("PR"), "doc_type", "vendor_name").unionByName(
+        book(run.b2_cons, F.col("sheet"), "inv_type", "trade_name"))
 
 
 @register("recon_outer_join", O.with_stage("pairs") + """
@@ -281,13 +291,24 @@ def _n15(spark, sf):
 
 # =================================================================== projections
 @register("suffix_sides", O.with_stage("pairs") + """
-SELECT gst_key, inv_key, pr_gstin, pr_inv, pr_date, pr_taxable, pr_cgst, pr_sgst, pr_igst, pr_doc_type,
-       pr_vendor_name, CAST(pr_first_row AS BIGINT) AS pr_first_row FROM pr_s""")
+SELECT 'PR' AS side, gst_key, inv_key, CAST(NULL AS VARCHAR) AS sheet, pr_gstin AS gstin, pr_inv AS inv, pr_date AS inv_date,
+       pr_taxable AS taxable, pr_cgst AS cgst, pr_sgst AS sgst, pr_igst AS igst, pr_doc_type AS type, pr_vendor_name AS name,
+       CAST(pr_first_row AS BIGINT) AS first_row FROM pr_s
+UNION ALL
+SELECT '2B', gst_key, inv_key, sheet, b2_gstin, b2_inv, b2_date, b2_taxable, b2_cgst, b2_sgst, b2_igst, b2_inv_type,
+       b2_trade_name, CAST(b2_first_row AS BIGINT) FROM b2_s""")
 def _p1(spark, sf):
-    pr = P.suffix_pr(get_run(spark, sf).pr_cons)
-    return pr.select("gst_key", "inv_key", "pr_gstin", "pr_inv", "pr_date",
-                     *[_money(f"pr_{a}") for a in L.AMOUNTS], "pr_doc_type", "pr_vendor_name",
-                     F.col("pr_first_row").cast("bigint"))
+    run = get_run(spark, sf)
+
+    def side(name, df, prefix, type_col, name_col, sheet):
+        return df.select(
+            F.lit(name).alias("side"), "gst_key", "inv_key", sheet.alias("sheet"), F.col(f"{prefix}_gstin").alias("gstin"),
+            F.col(f"{prefix}_inv").alias("inv"), F.col(f"{prefix}_date").alias("inv_date"),
+            *[F.col(f"{prefix}_{a}").cast(MONEY).alias(a) for a in L.AMOUNTS], F.col(type_col).alias("type"),
+            F.col(name_col).alias("name"), F.col(f"{prefix}_first_row").cast("bigint").alias("first_row"))
+
+    return side("PR", P.suffix_pr(run.pr_cons), "pr", "pr_doc_type", "pr_vendor_name", F.lit(None).cast("string")).unionByName(
+        side("2B", P.suffix_2b(run.b2_cons), "b2", "b2_inv_type", "b2_trade_name", F.col("sheet")))
 
 
 @register("display_cols", O.with_stage("cons") + """
@@ -987,7 +1008,7 @@ UNION ALL SELECT 'b2b', count(*) FROM b2_land WHERE sheet = 'B2B'
 UNION ALL SELECT 'cdnr', count(*) FROM b2_land WHERE sheet = 'B2B-CDNR'""")
 def _s9(spark, sf):
     run = get_run(spark, sf)
-    return IG.row_counts(run.pr_landing, run.b2_landing)
+    return IG.row_counts(run.pr_landing, _uploads(spark, sf))
 
 
 @register("write_report", O.with_stage("pairs") + _REVIEWED + _COMMENT_CTES + """

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
 from ..operators.ordinal import rank_in_group
 from . import derived as D
 from .scratch import materialize
@@ -108,15 +109,13 @@ def validate_manifest(manifest: DataFrame) -> DataFrame:
                         F.array_join("sheets_pr", "|").alias("sheets_pr"), verdict.alias("verdict"))
 
 
-def row_counts(pr_landing: DataFrame, b2_landing: DataFrame, portal: bool = True) -> DataFrame:
-    """Rows per uploaded sheet before any drop, from the raw row numbers of
-    its last row: a sheet shorter than its header has none (never below 0)."""
+def row_counts(pr_landing: DataFrame, uploads: DataFrame, portal: bool = True) -> DataFrame:
+    """Rows per uploaded sheet before any drop, less the header rows of
+    each upload (a sheet shorter than its header has none, never below 0)."""
     height = PORTAL_HEADER_HEIGHT if portal else FLAT_HEADER_HEIGHT
-    pr = pr_landing.agg(F.count(F.lit(1)).alias("n")).select(F.lit("pr").alias("source"), "n")
-    b2 = (b2_landing.where(F.col("sheet").isin("B2B", "B2B-CDNR"))
-          .groupBy(F.when(F.col("sheet") == "B2B", F.lit("b2b")).otherwise(F.lit("cdnr")).alias("source"))
-          .agg(F.count(F.lit(1)).alias("n")))
-    raw = b2.select("source", (F.col("n") + F.lit(height)).alias("n"))
-    b2_rows = raw.select("source", F.greatest(F.lit(0), F.col("n") - F.lit(height)).alias("rows"))
-    return pr.select("source", F.col("n").alias("rows")).unionByName(b2_rows).select(
-        "source", F.col("rows").cast("bigint"))
+    pr = pr_landing.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("pr").alias("source"), "rows")
+    sheet = N.trimmed("sheet")
+    raw = (uploads.where(sheet.isin("B2B", "B2B-CDNR")).groupBy("file_seq", "sheet").agg(F.count(F.lit(1)).alias("n")))
+    b2 = raw.groupBy(F.when(sheet == "B2B", F.lit("b2b")).otherwise(F.lit("cdnr")).alias("source")).agg(
+        F.sum(F.greatest(F.lit(0), F.col("n") - F.lit(height))).alias("rows"))
+    return pr.unionByName(b2).select("source", F.col("rows").cast("bigint"))
