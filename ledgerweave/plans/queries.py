@@ -177,6 +177,39 @@ def _a1(spark, sf):
         book(run.b2_cons, F.col("sheet"), "inv_type", "trade_name"))
 
 
+#: Headers under which the books are handed in again (uploads carry headers like these).
+_PR_HEADERS = {"gstin_raw": "Supplier GSTIN", "inv_raw": "Vendor Inv No", "date_raw": "Invoice Date", "doc_type": "Document Type",
+               "vendor_name": "Vendor Name", "purchase_type": "Purchase Type", "taxable_raw": "Taxable Value",
+               "cgst_raw": "CGST", "sgst_raw": "SGST", "igst_raw": "IGST"}
+_B2_HEADERS = {"gstin_raw": "GSTIN of supplier", "inv_raw": "Invoice details Invoice number",
+               "date_raw": "Invoice details Invoice Date", "inv_type": "Invoice details Invoice type", "note_type": "Note type",
+               "trade_name": "Trade/Legal name", "reverse_charge": "Supply Attract Reverse Charge",
+               "itc_availability": "ITC Availability", "filing_date_raw": "GSTR-1/IFF/GSTR-5 Filing Date",
+               "filing_period": "GSTR-1/IFF/GSTR-5 Period", "supply_type": "Nature of Transaction",
+               "taxable_raw": "Taxable Value (₹)", "cgst_raw": "Tax Amount Central Tax(₹)",
+               "sgst_raw": "Tax Amount State/UT Tax(₹)", "igst_raw": "Tax Amount Integrated Tax(₹)"}
+_CDNR_HEADERS = {**_B2_HEADERS, "inv_raw": "Credit note/Debit note details Note number",
+                 "date_raw": "Credit note/Debit note details Note date", "inv_type": "Invoice type"}
+
+
+@register("reconcile_given", O.with_stage("pairs") + """
+SELECT gst_key, inv_key, sheet, mapping, remarks, reason, vendor_name, invoice_type FROM pairs""")
+def _given(spark, sf):
+    """The landing books under upload headers, found by their headers and reconciled from there."""
+    from .given import reconcile
+
+    run = get_run(spark, sf)
+
+    def named(df, headers):
+        return df.select("row_no", *[F.col(c).alias(h) for c, h in headers.items()])
+
+    b2 = run.b2_landing
+    sheets = {s: named(b2.where(F.col("sheet") == s), _CDNR_HEADERS if s == "B2B-CDNR" else _B2_HEADERS)
+              for s in ("B2B", "B2B-CDNR", "IMPG")}
+    return reconcile(named(run.pr_landing, _PR_HEADERS), sheets).pairs.select(
+        "gst_key", "inv_key", "sheet", "mapping", "remarks", "reason", "vendor_name", "invoice_type")
+
+
 @register("recon_outer_join", O.with_stage("pairs") + """
 SELECT gst_key, inv_key, sheet, pr_exists, pr_cgst, b2_cgst, pr_igst, b2_igst, pr_date, b2_date FROM joined""")
 def _j1(spark, sf):
