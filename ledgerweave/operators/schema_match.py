@@ -137,11 +137,14 @@ def role_score(n: Column, cands: list[str], avoid: list[str], penalties: list[st
 # ------------------------------------------------------------------- C1
 def clean_headers(catalog: DataFrame) -> DataFrame:
     """Flatten two-level headers (drop empty, 'unnamed:*' and 'nan'
-    parts, NBSP -> space, trim, join with a space); soft name = collapsed
-    whitespace, lower; the first column wins per soft name."""
+    parts, NBSP -> space, trim, join with a space); a flat header (no second
+    part) keeps its name; soft name = collapsed whitespace, lower; the first
+    column wins per soft name."""
+    flat = F.col("part2").isNull()
+
     def part(c):
         s = F.trim(F.regexp_replace(F.col(c), N.NBSP, " "))
-        keep = s.isNotNull() & (s != "") & ~F.lower(s).startswith("unnamed:") & (F.lower(s) != "nan")
+        keep = s.isNotNull() & (s != "") & (flat | (~F.lower(s).startswith("unnamed:") & (F.lower(s) != "nan")))
         return F.when(keep, s)
 
     col = F.concat_ws(" ", part("part1"), part("part2"))

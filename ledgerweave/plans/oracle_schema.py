@@ -44,8 +44,9 @@ _ROLE_VALUE = {
 }
 _VALUE_CASE = "CASE m.role " + " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in _ROLE_VALUE.items()) + " END"
 
-_PART = ("CASE WHEN trim(replace({0}, chr(160), ' ')) <> '' AND NOT starts_with(lower(trim(replace({0}, chr(160), ' '))), "
-         "'unnamed:') AND lower(trim(replace({0}, chr(160), ' '))) <> 'nan' THEN trim(replace({0}, chr(160), ' ')) END")
+_PART = ("CASE WHEN trim(replace({0}, chr(160), ' ')) <> '' AND (part2 IS NULL "
+         "OR (NOT starts_with(lower(trim(replace({0}, chr(160), ' '))), 'unnamed:') "
+         "AND lower(trim(replace({0}, chr(160), ' '))) <> 'nan')) THEN trim(replace({0}, chr(160), ' ')) END")
 
 CATALOG = f"""
 tmpl AS (SELECT * FROM (VALUES {_TMPL}) v(t, kind, pos, part1, part2, role)),

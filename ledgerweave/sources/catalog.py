@@ -35,7 +35,7 @@ TEMPLATES = [
             ("Party Name", None, "name")]),
     ("PR", [("Ref", None, "voucher"), ("Recipient GSTIN", None, "buyer_gstin"), ("Col 1", None, "gstin"),
             ("Col 2", None, "invoice"), ("Col 3", None, "date"), ("Amount", None, "taxable"),
-            ("Narration", None, "narration")]),
+            ("Narration", None, "narration"), ("Unnamed: 7", None, "voucher")]),
     ("2B", [("GSTIN of supplier", U.format(0), "gstin"), ("Trade/Legal name", U.format(1), "name"),
             ("Invoice details", "Invoice number", "invoice"), ("Invoice details", "Invoice type", "itype"),
             ("Invoice details", "Invoice Date", "date"), ("Invoice details", "Invoice Value(₹)", "invvalue"),
