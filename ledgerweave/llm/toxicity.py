@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import annotate, documents, id_remainder, written
 
 #: Labelled rows of either class that the model is fitted on (those with the smallest id hashes).
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Terms at most, least share of toxic texts with a term, least ratio of its shares in toxic and clean texts.
-MAX_TERMS, MIN_SHARE, MIN_RATIO = 400, 0.01, 15.0
+MAX_TERMS, MIN_SHARE, MIN_RATIO = 400, 0.01, 50.0
 #: Letters of a stem; a stem must be found in this many times more texts than any of its words.
 STEM, STEM_GAIN = range(3, 9), 1.3
 #: Whole words from this length on are matched within one edit.
