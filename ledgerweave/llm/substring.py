@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import documents, partitions, written
 
@@ -30,6 +29,9 @@ WINDOW = 2 * BLOCK - 1
 #: Bytes of text that are hashed together; a longer text is hashed in pieces cut at white space.
 GROUP_BYTES = 1 << 21
 
+#: Hits gathered before they are sent on, and windows before they are merged with those seen so far.
+_MERGE = 1 << 19
+
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(20240229)
@@ -176,13 +178,54 @@ def anchors(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, _ROW)
 
 
-def _by_document(docs: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((codes, docs))
-    docs, codes = docs[order], codes[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs[cuts[:-1]], pa.int64()), pa.array([codes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-        names=["doc_id", "codes"])
+class _Hits:
+    """(document, code) hits of a task, sent on as one row for each group of documents."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.docs, self.codes, self.size = n, [], [], 0
+
+    def add(self, docs: np.ndarray, codes: np.ndarray) -> None:
+        self.docs.append(docs)
+        self.codes.append(codes)
+        self.size += len(docs)
+
+    def rows(self) -> pa.RecordBatch:
+        docs, codes = np.concatenate(self.docs), np.concatenate(self.codes)
+        self.docs, self.codes, self.size = [], [], 0
+        ids, doc = np.unique(docs, return_inverse=True)
+        order = np.argsort(doc, kind="stable")
+        group = (_mix(ids.astype(np.uint64)) % np.uint64(self.n)).astype(np.int32)
+        return pa.RecordBatch.from_pylist(_spread(group[doc[order]], 1, codes[order], doc[order], ids), schema=_PA_ROW)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (doc_id, codes) per document; a group of documents is a share of a partition."""
+
+    def merged(docs: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+        doc, code = np.concatenate(docs), np.concatenate(codes)
+        order = np.argsort(doc, kind="stable")
+        doc, code = doc[order], code[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[cuts[:-1]], pa.int64()),
+             pa.array([np.unique(code[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+            names=["doc_id", "codes"])
+
+    group, docs, codes = -1, [], []
+    for at, _, keys, doc in _stream(batches, "<i8"):
+        if at != group and docs:
+            yield merged(docs, codes)
+            docs, codes = [], []
+        group = at
+        docs.append(doc)
+        codes.append(keys)
+    if docs:
+        yield merged(docs, codes)
+
+
+def _per_document(hits: DataFrame, n: int) -> DataFrame:
+    dealt = hits.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_gather, "doc_id long, codes binary")
 
 
 def _stream(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
@@ -193,13 +236,14 @@ def _stream(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[tuple[int
             yield bucket, kind, np.frombuffer(keys, dtype), doc
 
 
-def _shared_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes of indexed blocks that more than one document has, as (doc_id, block codes).
+def _shared_blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Probes of indexed blocks that more than one document has, as hits with block codes.
 
     Per indexed block the state is the first document seen and whether
     another one came; until then there is nothing to tell, after that every
     probe is passed on at once.
     """
+    hits = _Hits(n)
     bucket, index, parts = -1, np.empty(0, np.uint32), []
     first, seen, shared = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
     for at, kind, keys, doc in _stream(batches, "<u4"):
@@ -227,12 +271,15 @@ def _shared_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         out = shared[k]
         docs = np.concatenate((doc[out], first[now]))
         if len(docs):
-            codes = np.concatenate((index[k[out]], index[now])).astype(np.int64) | (np.int64(bucket) << 32)
-            yield _by_document(docs, codes)
+            hits.add(docs, np.concatenate((index[k[out]], index[now])).astype(np.int64) | (np.int64(bucket) << 32))
+            if hits.size > _MERGE:
+                yield hits.rows()
+    if hits.size:
+        yield hits.rows()
 
 
-def _codes_of(cell) -> np.ndarray:
-    return np.frombuffer(b"".join(cell or ()), "<i8")
+def _codes_of(cell: bytes | None) -> np.ndarray:
+    return np.frombuffer(cell or b"", "<i8")
 
 
 def candidate_windows(hits: DataFrame, n: int) -> DataFrame:
@@ -266,22 +313,19 @@ def candidate_windows(hits: DataFrame, n: int) -> DataFrame:
     return hits.mapInArrow(run, _ROW)
 
 
-#: Windows gathered before they are merged with those seen so far.
-_MERGE = 1 << 19
-
-
-def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that also start in a document with a smaller doc_id, as (doc_id, window codes).
+def _repeated_windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Windows that also start in a document with a smaller doc_id, as hits with window codes.
 
     Per window the state is the smallest doc_id so far: a larger one is
     passed on at once, a smaller one takes its place and the former is
     passed on.
     """
+    hits = _Hits(n)
     bucket, known, least = -1, np.empty(0, np.uint64), np.empty(0, np.int64)
     keys_held: list[np.ndarray] = []
     docs_held: list[np.ndarray] = []
 
-    def merge() -> pa.RecordBatch | None:
+    def merge() -> None:
         nonlocal known, least
         keys = np.concatenate([known, *keys_held])
         docs = np.concatenate([least, *docs_held])
@@ -292,19 +336,24 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         start = np.concatenate(([True], keys[1:] != keys[:-1]))
         known, least = keys[start], docs[start]
         over = docs > least[np.cumsum(start) - 1]
-        return _by_document(docs[over], keys[over].view(np.int64)) if over.any() else None
+        if over.any():
+            hits.add(docs[over], keys[over].view(np.int64))
 
     for at, _, keys, doc in _stream(batches, "<u8"):
         if at != bucket:
-            if keys_held and (out := merge()) is not None:
-                yield out
+            if keys_held:
+                merge()
             bucket, known, least = at, np.empty(0, np.uint64), np.empty(0, np.int64)
         keys_held.append(keys)
         docs_held.append(doc)
-        if sum(map(len, keys_held)) > max(_MERGE, len(known)) and (out := merge()) is not None:
-            yield out
-    if keys_held and (out := merge()) is not None:
-        yield out
+        if sum(map(len, keys_held)) > max(_MERGE, len(known)):
+            merge()
+        if hits.size > _MERGE:
+            yield hits.rows()
+    if keys_held:
+        merge()
+    if hits.size:
+        yield hits.rows()
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -312,11 +361,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     known = docs.where("doc_id is not null")
     dealt = anchors(known, n).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    hits = written(dealt.mapInArrow(_shared_blocks, "doc_id long, codes binary"), "anchors")
-    gathered = hits.groupBy("doc_id").agg(F.collect_list("codes").alias("codes"))  # a document's own hits
-    texts = known.join(gathered.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "codes")
+    hits = written(dealt.mapInArrow(lambda rows: _shared_blocks(rows, n), _ROW), "anchors")
+    texts = known.join(_per_document(hits, n).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "codes")
     dealt = candidate_windows(texts, n).repartition(n, "bucket").sortWithinPartitions("bucket")
-    return written(dealt.mapInArrow(_repeated_windows, "doc_id long, codes binary"), "windows")
+    hits = written(dealt.mapInArrow(lambda rows: _repeated_windows(rows, n), _ROW), "windows")
+    return _per_document(hits, n)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,8 +378,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two windows count as equal when their 64-bit hashes do.
     """
     docs = documents(df, id_col, text_col)
-    verdict = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list("codes").alias("codes"))
-    joined = docs.join(verdict.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "codes")
+    joined = docs.join(repeated_windows(docs).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,3 +412,20 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, "
                                   "removed array<struct<first:int,last:int>>")
+
+
+def oracle_sql() -> str:
+    """DuckDB twin of the query's columns."""
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT rid, doc_id, k, array_to_string(w[k:k + {WINDOW - 1}], ' ') AS gram
+      FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS k FROM t WHERE doc_id IS NOT NULL)),
+r AS (SELECT rid, k FROM (SELECT rid, k, doc_id, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE first < doc_id),
+c AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(k, k + {WINDOW})) AS p FROM r)),
+x AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t),
+kept AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.p) AS text FROM x ANTI JOIN c ON c.rid = x.rid AND c.p = x.p GROUP BY x.rid),
+n AS (SELECT rid, count(*) AS removed FROM c GROUP BY rid)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n.removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN n ON n.rid = t.rid LEFT JOIN kept ON kept.rid = t.rid"""
