@@ -201,3 +201,23 @@ def _scanner(shared, window: int, last: bool):
 
 _PA_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _PA_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def oracle_sql() -> str:
+    """DuckDB twin of the query's columns."""
+    words = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    return f"""
+WITH i AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[k:k + {WINDOW - 1}], ' ') AS gram
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+dw AS (SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram
+       FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
+h AS (SELECT dw.rid, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.gram = iw.gram),
+p AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM h) GROUP BY rid),
+s AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_hit, coalesce(s.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.rid = d.rid LEFT JOIN s ON s.rid = d.rid"""

@@ -27,7 +27,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = DEC.contamination(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return out.select("doc_id", "n_words", "n_hit", "n_items",
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                      (F.col("n_hit") > 0).alias("contaminated"), "spans")
+                      (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +103,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontaminate": DEC.oracle_sql(),
     "op4_quality": QUA.oracle_sql(),
+    "op8_substring_dedup": SUB.oracle_sql(),
 }
