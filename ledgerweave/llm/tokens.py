@@ -14,8 +14,10 @@ document without the rest (:func:`read_document`).
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ BLOCK_SCHEMA = ("shard int, block int, first long, n_ids long, width int, doc_id
 #: A block is closed when it holds this many ids (a longer document makes a longer block).
 BLOCK_IDS = 1 << 18
 #: Words a Python worker remembers; the memory is emptied when full, results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 _CHUNK = 1 << 16
 
 
@@ -66,15 +68,18 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return out
 
 
+#: Letters followed by ASCII marks.
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+
+
 class WordEncoder:
     """A tokenizer applied word by word, with the ids of words seen before remembered.
 
     Exact for tokenizers whose pre-tokenizer never joins text across a space
     or a line feed and drops both, as the word-end BPE files do; the test
     compares it with encoding whole texts.  Where the tokenizer is of that
-    kind, a word of plain letters goes to its BPE model directly, and a last
-    comma or full stop after a letter is encoded apart, as its
-    pre-tokenizer would do.
+    kind, a word of plain letters goes to its BPE model directly, and ASCII
+    marks after the letters are encoded apart, as its pre-tokenizer would do.
     """
 
     def __init__(self, path: str) -> None:
@@ -82,6 +87,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = max(1, int(self.tokenizer.get_vocab_size() - 1).bit_length())
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
         steps = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
@@ -89,14 +95,17 @@ class WordEncoder:
 
     def _letters(self, word: str) -> bytes | None:
         """Ids of a word that is one run of letters to the pre-tokenizer, else None."""
-        if not word.isalpha() or max(word) >= "\u0300":
+        if not word.isalpha():
             return None
-        low = word.lower()
-        if not low.isascii():
-            if not low.isalpha():
+        low = text = word.lower()
+        if not word.isascii():
+            if max(word) >= "\u0300" or not low.isalpha():
                 return None
-            low = "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(low)], "<u4").tobytes()
+            text = "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
+        code = self.known.get(low)
+        if code is None:
+            code = self.known[low] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return code
 
     def _learn(self, words: set[str]) -> None:
         rest = []
@@ -104,10 +113,10 @@ class WordEncoder:
             code = None
             if self.letters:
                 code = self._letters(word)
-                if code is None and word[-1] in ",." and word[:-1].isalpha():
-                    head, tail = self.known.get(word[:-1]) or self._letters(word[:-1]), self.known.get(word[-1])
-                    if head is not None:
-                        code = head + (tail or self._whole([word[-1]])[0])
+                if code is None and (parts := _MARKED.fullmatch(word)) and (head := self._letters(parts[1])) is not None:
+                    if parts[2] not in self.known:
+                        self.known[parts[2]] = self._whole([parts[2]])[0]
+                    code = head + self.known[parts[2]]
             if code is None:
                 rest.append(word)
             else:
