@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ _OWN_SPACE = "\udc81"
 #: Segmentations per text.
 N_BEST = 3
 #: Words a Python worker remembers; emptied when full, results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: What an unknown character costs below the least piece score, as in the library.
 UNKNOWN_PENALTY = 10.0
 
@@ -48,7 +49,8 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-_NONE = float("inf")
+_NONE, _LEAST = float("inf"), float("-inf")
+_GAP, _UNGAP = struct.Struct("<d").pack, struct.Struct("<d").unpack
 
 
 class Lattice:
@@ -82,17 +84,25 @@ class Lattice:
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces run across words")
-        self.small: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
-        self.known: dict[str, tuple] = {}
-
-    def search(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best (score, ids), best first; equal scores in the order of the search."""
-        n, get = len(text), self.heads.get
-        best = [0.0] + [float("-inf")] * n
+        #: score of every id; of a character without a piece its first byte has the whole score
+        self.score = np.zeros(model.vocab_size())
+        for i, score in self.pieces.values():
+            self.score[i] = score
+        for byte, i in self.byte_id.items():
+            self.score[i] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown
+        #: word -> gap between its best and second score (8 bytes), ids of its best segmentation (4 bytes each)
+        self.known: dict[str, bytes] = {}
+        self.small: dict[str, bytes] = {}
+        self.ranked: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+
+    def forward(self, text: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
+        """Best score of any path to every place, and the (start, score, ids) of the pieces that end there."""
+        n, get, longest = len(text), self.heads.get, self.longest
+        best = [0.0] + [_LEAST] * n
         arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for at in range(n):
-            single, here = False, best[at]
-            for end in range(at + 1, min(n, at + self.longest) + 1):
+            single, here, end = False, best[at], at
+            for end in range(at + 1, min(n, at + longest) + 1):
                 piece = get(text[at:end], self)
                 if piece is self:  # no piece starts like this
                     break
@@ -108,6 +118,35 @@ class Lattice:
                 ids = tuple(self.byte_id[b] for b in char.encode("utf-8", "surrogatepass"))
                 arcs[at + 1].append((at, self.unknown, ids))
                 best[at + 1] = max(best[at + 1], here + self.unknown)
+        return best, arcs
+
+    def best_and_gap(self, text: str) -> tuple[list[int], float]:
+        """The first path of the backward search, and how far the next in its queue is behind.
+
+        With exact heuristics the search goes straight along the best path
+        (of equal arcs the one met last); all it leaves in the queue are the
+        other arcs into that path's places, and the best of them is second.
+        """
+        best, arcs = self.forward(text)
+        at, path, gap = len(text), [], _NONE
+        while at:
+            whole, chosen = best[at], None
+            for arc in arcs[at]:
+                less = whole - arc[1] - best[arc[0]]
+                if less <= 0:
+                    if chosen is not None:
+                        gap = 0.0
+                    chosen = arc
+                elif less < gap:
+                    gap = less
+            path.append(chosen[2])
+            at = chosen[0]
+        return [i for ids in reversed(path) for i in ids], gap
+
+    def search(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best (score, ids), best first; equal scores in the order of the search."""
+        best, arcs = self.forward(text)
+        n = len(text)
         found: list[tuple[float, tuple[int, ...]]] = []
         queue: list[tuple] = [(-best[n], 0, n, 0.0, None)]
         serial, push, pop = 0, heapq.heappush, heapq.heappop
@@ -128,11 +167,11 @@ class Lattice:
                 push(queue, (-gain - best[start], serial, start, gain, (ids, path)))
         return found
 
-    def merge(self, gaps: Sequence[float], choices: Sequence[Sequence[tuple[float, object]]]) -> list[tuple[float, dict[int, int]]]:
+    def merge(self, gaps: Sequence[float], choices: Callable[[int], Sequence[tuple[float, object]]]) -> list[tuple[float, dict[int, int]]]:
         """The N best choices over a chain of parts, as (total gap, {place: alternative}).
 
         ``gaps`` has the cost of each part's second choice (infinite if it has
-        none), ``choices`` the (gap, ...) of its alternatives, the best first.
+        none), ``choices`` gives the (gap, ...) of its alternatives, the best first.
         Equal totals are ordered by the vector of alternatives, the first
         part first.  Only the N - 1 parts whose second choice costs least (the
         last ones among equals) can take part.
@@ -140,50 +179,57 @@ class Lattice:
         most = self.n_best - 1
         near: Sequence[int] = range(len(gaps))
         if 0 < most < len(gaps) > 64:
-            cost = np.array(gaps)
+            cost = np.asarray(gaps)
             near = np.flatnonzero(cost <= np.partition(cost, most - 1)[most - 1]).tolist()
         ranked = sorted([(gaps[i], -i) for i in near if gaps[i] < _NONE])[:most]
         chosen = sorted(-i for _, i in ranked)
         top: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for i in chosen:
-            top = heapq.nsmallest(self.n_best, ((g + c[0], (*v, k)) for g, v in top for k, c in enumerate(choices[i])))
+            top = heapq.nsmallest(self.n_best, ((g + c[0], (*v, k)) for g, v in top for k, c in enumerate(choices(i))))
         return [(g, {i: k for i, k in zip(chosen, v) if k}) for g, v in top]
 
-    def word(self, word: str) -> tuple:
-        """(ids as bytes, score, gap to the second choice, [(gap, ids as bytes) of the N best]) of one word."""
-        if word[-1] in ",." and len(word) > 1 and word[-2:] not in self.pairs and word[-2] not in " " + SPACE:
-            # the mark is a lattice of its own with one path
-            if (head := self.known.get(word[:-1])) is None:
-                head = self.known[word[:-1]] = self.word(word[:-1])
-            (mark, score, _, _), (ids, best, gap, choices) = self.word(word[-1]), head
-            return ids + mark, best + score, gap, [(g, x + mark) for g, x in choices]
+    def parts(self, word: str) -> list[str]:
+        """The word's independent lattices."""
         text = word.replace(SPACE, _OWN_SPACE).replace(" ", SPACE)
-        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.pairs]
-        parts = []
-        for a, b in zip([0, *cuts], [*cuts, len(text)]):
-            part = text[a:b]
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in pairs]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
+
+    def word(self, word: str) -> bytes:
+        """Gap to the second choice and ids of the best segmentation, packed."""
+        parts = self.parts(word)
+        if len(parts) == 1:
+            ids, gap = self.best_and_gap(parts[0])
+            return _GAP(gap) + array("i", ids).tobytes()
+        gaps, codes = [], []
+        for part in parts:
             found = self.small.get(part)
             if found is None:
-                found = self.search(part)
-                if cuts:
-                    if len(self.small) > CACHE_WORDS:
-                        self.small.clear()
-                    self.small[part] = found
-            parts.append(found)
-        best = sum(p[0][0] for p in parts)
-        if len(parts) == 1:
-            choices = [(best - s, ids) for s, ids in parts[0]]
-        else:
+                if len(self.small) > CACHE_WORDS // 4:
+                    self.small.clear()
+                ids, gap = self.best_and_gap(part)
+                found = self.small[part] = _GAP(gap) + array("i", ids).tobytes()
+            gaps.append(found[:8])
+            codes.append(found[8:])
+        return min(gaps, key=lambda g: _UNGAP(g)[0]) + b"".join(codes)
+
+    def choices(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+        """(gap, ids) of the N best segmentations of a word."""
+        found = self.ranked.get(word)
+        if found is None:
+            if len(self.ranked) > CACHE_WORDS // 40:
+                self.ranked.clear()
+            parts = [self.search(p) for p in self.parts(word)]
             gaps = [p[0][0] - p[1][0] if len(p) > 1 else _NONE for p in parts]
-            ranked = self.merge(gaps, [[(p[0][0] - s, None) for s, _ in p] for p in parts])
-            choices = [(gap, [x for i, p in enumerate(parts) for x in p[change.get(i, 0)][1]]) for gap, change in ranked]
-        packed = [(gap, array("i", ids).tobytes()) for gap, ids in choices]
-        return packed[0][1], best, packed[1][0] if len(packed) > 1 else _NONE, packed
+            ranked = self.merge(gaps, lambda i: [(parts[i][0][0] - s, None) for s, _ in parts[i]])
+            found = self.ranked[word] = [(gap, tuple(x for i, p in enumerate(parts) for x in p[change.get(i, 0)][1]))
+                                         for gap, change in ranked]
+        return found
 
-    def encode(self, text: str | None) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """(ids of the best segmentation, its score, the others as (score, [(at, drop, ids)]))."""
         if not text:
-            return b"", 0.0, []
+            return np.empty(0, np.int32), 0.0, []
         words, known = _WORD.findall(" " + text), self.known
         new = set(words).difference(known)
         if new:
@@ -192,17 +238,21 @@ class Lattice:
                 new = set(words)
             for w in new:
                 known[w] = self.word(w)
-        found = [known[w] for w in words]
-        ids = b"".join([f[0] for f in found])
-        score = sum([f[1] for f in found])
+        found = list(map(known.__getitem__, words))
+        packed = np.frombuffer(b"".join(found), np.int32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        is_id = np.ones(len(packed), bool)
+        is_id[starts] = is_id[starts + 1] = False
+        ids = packed[is_id]
+        score = float(self.score[ids].sum())
+        if self.n_best == 1:
+            return ids, score, []
+        gaps = np.stack([packed[starts], packed[starts + 1]], axis=1).reshape(-1).view(np.float64)
         others = []
-        if self.n_best > 1:
-            for gap, change in self.merge([f[2] for f in found], [f[3] for f in found])[1:]:
-                edits = []
-                for i, k in change.items():
-                    at = sum(len(f[0]) for f in found[:i]) // 4
-                    edits.append((at, len(found[i][0]) // 4, np.frombuffer(found[i][3][k][1], "<i4").tolist()))
-                others.append((score - gap, edits))
+        for gap, change in self.merge(gaps, lambda i: self.choices(words[i]))[1:]:
+            edits = [(int(starts[i]) - 2 * i, int(sizes[i]) - 2, self.choices(words[i])[k][1]) for i, k in change.items()]
+            others.append((score - gap, edits))
         return ids, score, others
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -249,10 +299,10 @@ def encode_pieces(df: DataFrame, model_path: str | None = None, n_best: int = N_
                 codes.append(ids)
                 scores.append(score)
                 others.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": x} for a, d, x in e]} for s, e in more])
-                same.append(own.decode(np.frombuffer(ids, "<i4").tolist()) == (text or ""))
-            lens = np.array([len(c) // 4 for c in codes], np.int64)
+                same.append(own.decode(ids.tolist()) == (text or ""))
+            lens = np.array([len(c) for c in codes], np.int64)
             places = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate([np.empty(0, np.int32), *codes])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lens), pa.array(scores, pa.float64()), ids, pa.array(others, _OTHERS),
                  pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "score", "ids", "alternatives", "round_trip"])

@@ -133,8 +133,8 @@ def test_pieces_are_the_n_best_of_all_paths(n_best):
     own, rnd = pieces.Lattice(pieces.default_model(), n_best), random.Random(n_best)
     for _ in range(150):
         text = "".join(rnd.choice("the on a,.éñ▁ \n東😀") for _ in range(rnd.randint(1, 9)))
-        raw, score, others = own.encode(text)
-        ids = np.frombuffer(raw, "<i4").tolist()
+        found, score, others = own.encode(text)
+        ids = found.tolist()
         paths = every_path(own, (" " + text).replace("▁", "\udc81").replace(" ", "▁"))
         got = [(score, tuple(ids))] + [(s, tuple(pieces.apply_edits(ids, e))) for s, e in others]
         assert [s for s, _ in got] == [s for s, _ in paths[:n_best]]
