@@ -34,7 +34,7 @@ SPACE = "▁"
 _OWN_SPACE = "\udc81"
 #: Segmentations per text.
 N_BEST = 3
-#: Words a Python worker remembers; emptied when full, results do not depend on it.
+#: Words a Python worker remembers, the older half given up when full; results do not depend on it.
 CACHE_WORDS = 800_000
 #: What an unknown character costs below the least piece score, as in the library.
 UNKNOWN_PENALTY = 10.0
@@ -92,6 +92,7 @@ class Lattice:
             self.score[i] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown
         #: word -> gap between its best and second score (8 bytes), ids of its best segmentation (4 bytes each)
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.small: dict[str, bytes] = {}
         self.ranked: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
@@ -111,8 +112,9 @@ class Lattice:
                     arcs[end].append((at, gain, ids))
                     if end == at + 1:
                         single = True
-                    if here + gain > best[end]:
-                        best[end] = here + gain
+                    gain += here
+                    if gain > best[end]:
+                        best[end] = gain
             if not single:  # a character without a piece: its UTF-8 bytes
                 char = SPACE if text[at] == _OWN_SPACE else text[at]
                 ids = tuple(self.byte_id[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -233,11 +235,12 @@ class Lattice:
         words, known = _WORD.findall(" " + text), self.known
         new = set(words).difference(known)
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known = self.known = {}
-                new = set(words)
+            if len(known) + len(new) > CACHE_WORDS // 2:  # start anew, but keep the last half to look up
+                self.former, known = known, {}
+                self.known, new = known, set(words)
+            former = self.former
             for w in new:
-                known[w] = self.word(w)
+                known[w] = former.get(w) or self.word(w)
         found = list(map(known.__getitem__, words))
         packed = np.frombuffer(b"".join(found), np.int32)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
