@@ -4,10 +4,12 @@ The lexicon is learned: whole words and word stems that labelled toxic texts
 hold far more often than clean ones.  Whole words are matched within one
 edit by a Levenshtein automaton intersected with the trie of the lexicon;
 the states of the intersection are made deterministic as they are met, so a
-word is read once and most words die after a few letters.  Around every hit
-a context window is scored, which tells quotation and report from abuse.  A
-logistic model over the exact and misspelled hits in either context, fitted
-on labelled rows the lexicon was not learned from, gives the score.
+word is read once and most words die after a few letters.  A misspelled hit
+counts as its term's weight at a discount, unless the labelled rows show the
+word to be an ordinary one.  Around every hit a context window is scored,
+which tells quotation and report from abuse.  A logistic model over the hits
+in either context, fitted on labelled rows the lexicon was not learned from,
+gives the score.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +35,10 @@ MAX_TERMS, MIN_SHARE, MIN_RATIO = 400, 0.01, 50.0
 STEM, STEM_GAIN = range(3, 9), 1.3
 #: Whole words from this length on are matched within one edit.
 FUZZY_LENGTH = 5
+#: Share of its term's weight that a misspelled hit has.
+NEAR = 0.8
+#: A word within one edit of a term is an ordinary word, unless its share in toxic texts is this many times that in clean ones.
+NEAR_RATIO = 5.0
 #: Words on either side of a hit that are its context.
 CONTEXT = 6
 #: Words added to every text's length, so that one hit does not decide on a text of a few words.
@@ -56,7 +62,7 @@ class Term(NamedTuple):
 class Automaton:
     """Product of the lexicon's trie and the Levenshtein automata of its whole words."""
 
-    def __init__(self, terms: list[Term]) -> None:
+    def __init__(self, terms: list[Term], ordinary: Iterable[str] = ()) -> None:
         # trie nodes: children, weight of a whole word that ends here, weight of a stem, word may be misspelled
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[float] = [0.0]
@@ -83,6 +89,7 @@ class Automaton:
             self.leads[n] = self.fuzzy[n] or any(self.leads[m] for m in self.children[n].values())
         self.start = self._close({(0, 0)})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
+        self.ordinary = frozenset(ordinary)
         self.known: dict[str, tuple[float, float] | None] = {}
 
     def _close(self, states: set[tuple[int, int]]) -> frozenset:
@@ -123,7 +130,7 @@ class Automaton:
                 if not edits and self.stem[node] > stem:
                     stem = self.stem[node]
         exact = max([stem, *(self.whole[n] for n, e in state if not e)], default=0.0)
-        near = max((self.whole[n] for n, e in state if e and self.fuzzy[n]), default=0.0)
+        near = 0.0 if word in self.ordinary else max((self.whole[n] for n, e in state if e and self.fuzzy[n]), default=0.0)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         found = self.known[word] = (exact, 0.0 if exact else near) if exact or near else None
@@ -144,29 +151,28 @@ def context_score(words: list[str], gaps: list[str], at: int) -> float:
 
 
 def features(automaton: Automaton, text: str | None) -> list[float]:
-    """log(1 + weight) of exact and misspelled hits in abuse and in quotation, and the hits' share of words."""
+    """log(1 + weight) of the hits in abuse, the hits' share of words, and log(1 + weight) of the hits in quotation."""
     words = words_of(text)
     hits = [i for i, w in enumerate(words) if automaton.match(w)]
-    sums, n = [0.0] * 4, 0
+    sums, n = [0.0] * 2, 0.0
     if hits:
         low = text.lower()
         spans = [m.span() for m in _WORD.finditer(low)]
         gaps = [low[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(low)])]
         for i in hits:
             exact, near = automaton.match(words[i])
-            quoted = 2 * (context_score(words, gaps, i) >= 1.0)
-            sums[quoted] += exact
-            sums[quoted + 1] += near
-            n += exact > 0
-    return [*(math.log1p(s) for s in sums), math.sqrt(n / (len(words) + SMALL_TEXT))]
+            sums[context_score(words, gaps, i) >= 1.0] += exact or NEAR * near
+            n += 1.0 if exact else NEAR
+    return [math.log1p(sums[0]), math.sqrt(n / (len(words) + SMALL_TEXT)), math.log1p(sums[1])]
 
 
 class Model(NamedTuple):
     terms: list[Term]
     weights: list[float]  # of the features, and the intercept; none: nothing was learned
+    ordinary: tuple[str, ...] = ()  # words within one edit of a term that are none
 
     def scorer(self):
-        automaton = Automaton(self.terms)
+        automaton = Automaton(self.terms, self.ordinary)
 
         def score(text: str | None) -> float:
             if not self.weights:
@@ -193,15 +199,20 @@ def select_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     return [t for _, t in chosen.values()]
 
 
-def _count_features(docs: DataFrame) -> DataFrame:
+def _candidates(text: str | None) -> set[str]:
+    words = set(words_of(text))
+    return words | {w[:k] + "*" for w in words for k in STEM if len(w) > k}
+
+
+def _count_features(docs: DataFrame, make: Callable[[], Callable[[str | None], set[str]]] = lambda: _candidates) -> DataFrame:
     """(name, toxic, clean): texts of either class that hold a word or a stem, summed in every task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_of = make()
         for batch in batches:
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(words_of(text))
-                found[0 if toxic else 1].update(words | {w[:k] + "*" for w in words for k in STEM if len(w) > k})
+                found[0 if toxic else 1].update(names_of(text))
             names = list(found[0])  # a term must occur in toxic texts
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in found)],
@@ -215,6 +226,17 @@ def _count_features(docs: DataFrame) -> DataFrame:
     return counted.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _ordinary(docs: DataFrame, terms: list[Term], toxic: int, clean: int) -> tuple[str, ...]:
+    """Words of labelled texts within one edit of a term that clean texts hold about as often as toxic ones."""
+
+    def make():
+        automaton = Automaton(terms)
+        return lambda text: {w for w in words_of(text) if (hit := automaton.match(w)) and not hit[0]}
+
+    near = _count_features(docs, make).where((F.col("clean") > 0) & (F.col("toxic") / toxic < NEAR_RATIO * F.col("clean") / clean))
+    return tuple(sorted(r["name"] for r in near.select("name").collect()))  # some words of a bounded sample
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     """Logistic regression by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -257,16 +279,18 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
            .orderBy(F.desc("toxic"), "name").limit(20 * MAX_TERMS).collect())
     terms = select_terms([(r["name"], r["toxic"], r["clean"]) for r in top], toxic, clean)
 
+    ordinary = _ordinary(first, terms, toxic, clean)
+
     def make():
-        automaton = Automaton(terms)
+        automaton = Automaton(terms, ordinary)
         return lambda text: (features(automaton, text),)
 
     fitted = annotate(second.select("text", "toxic"), "text", [("x", "array<double>", pa.list_(pa.float64()))], make)
-    table = fitted.select("toxic", "x").collect()  # five numbers for each row of the sample
+    table = fitted.select("toxic", "x").collect()  # three numbers for each row of the sample
     y = np.array([r["toxic"] for r in table], float)
     if not 0 < y.sum() < len(y):
-        return Model(terms, [])
-    return Model(terms, _fit(np.array([r["x"] for r in table]), y))
+        return Model(terms, [], ordinary)
+    return Model(terms, _fit(np.array([r["x"] for r in table]), y), ordinary)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -204,6 +204,30 @@ def test_op3_held_out_accuracy(spark):
     assert hits >= 0.85 * sum(t for _, t in held) and false <= 0.01 * len(held)
 
 
+def test_misspelled_terms_are_still_toxic(spark):
+    """Every lexicon word of held-out toxic texts with one letter doubled, left out or replaced."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model, rnd = toxicity.learn(docs, labels), random.Random(4)
+    own, score = toxicity.Automaton(model.terms), model.scorer()
+
+    def edited(m):
+        w = new = m.group()
+        while (hit := own.match(new.lower())) and hit[0]:
+            at = rnd.randrange(1, len(w) - 1)
+            new = w[:at] + rnd.choice(["", w[at] * 2, "q"]) + w[at + 1:]
+        return new
+
+    held = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) "
+                      "WHERE toxic IS NOT NULL AND text IS NOT NULL").fetchall()
+    held = [(x, t) for i, x, t in held if zlib.crc32(str(i).encode()) % 5 == 0]
+    texts = [(re.sub(r"[^\W\d_]{3,}", edited, x), x) for x, t in held if t]
+    assert all(not (own.match(w) or [0])[0] for new, _ in texts for w in toxicity.words_of(new))
+    was = sum(score(x) >= 0.5 for _, x in texts)
+    assert was and sum(score(x) >= 0.5 for x, _ in texts) >= 0.8 * was
+    assert sum(score(x) >= 0.5 for x, t in held if not t) <= 0.01 * len(held)
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     none = toxicity.learn(odd, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
     assert none == toxicity.Model([], [])
