@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -35,6 +36,9 @@ MAX_TERMS, MIN_SHARE, MIN_RATIO = 400, 0.01, 50.0
 STEM, STEM_GAIN = range(3, 9), 1.3
 #: Whole words from this length on are matched within one edit.
 FUZZY_LENGTH = 5
+#: Whole words from this length on are matched within one edit where a digit or a mark stands for a letter (``sc*m``);
+#: by letters alone too many ordinary words of four letters are an edit apart.
+MASKED_LENGTH = 4
 #: Share of its term's weight that a misspelled hit has.
 NEAR = 0.8
 #: A word within one edit of a term is an ordinary word, unless its share in toxic texts is this many times that in clean ones.
@@ -46,6 +50,9 @@ SMALL_TEXT = 30
 CACHE_WORDS, CACHE_STATES = 400_000, 50_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+# two runs of letters with one digit or mark between them, and one run after or before such a mark that ends a chunk
+_MASKED = re.compile(r"(?<![^\W\d_])(?=([^\W\d_]++(?:[^\w\s]|[\d_])[^\W\d_]++))"
+                     r"|(?<!\S)(?=([\d@$*#][^\W\d_]++))|(?<![^\W\d_])(?=([^\W\d_]++[\d@$*#](?!\S)))")
 _QUOTES = re.compile("[\"“”„«»‹›‘]")
 # fixed values: words of report and of address in the four languages
 _REPORT = frozenset("said says called calls quote quoted quotes term terms word words wrote cited sagte nannte zitat wort "
@@ -68,6 +75,7 @@ class Automaton:
         self.whole: list[float] = [0.0]
         self.stem: list[float] = [0.0]
         self.fuzzy: list[bool] = [False]
+        self.long: list[bool] = [False]  # ... by letters alone
         for t in terms:
             at = 0
             for c in t.text:
@@ -77,12 +85,14 @@ class Automaton:
                     self.whole.append(0.0)
                     self.stem.append(0.0)
                     self.fuzzy.append(False)
+                    self.long.append(False)
                 at = self.children[at][c]
             if t.stem:
                 self.stem[at] = max(self.stem[at], t.weight)
             else:
                 self.whole[at] = max(self.whole[at], t.weight)
-                self.fuzzy[at] = len(t.text) >= FUZZY_LENGTH
+                self.fuzzy[at] = len(t.text) >= MASKED_LENGTH
+                self.long[at] = len(t.text) >= FUZZY_LENGTH
         #: nodes on the way to a word that may be misspelled: others need no edits
         self.leads = [False] * len(self.children)
         for n in range(len(self.children) - 1, -1, -1):
@@ -130,7 +140,8 @@ class Automaton:
                 if not edits and self.stem[node] > stem:
                     stem = self.stem[node]
         exact = max([stem, *(self.whole[n] for n, e in state if not e)], default=0.0)
-        near = 0.0 if word in self.ordinary else max((self.whole[n] for n, e in state if e and self.fuzzy[n]), default=0.0)
+        fuzzy = self.long if word.isalpha() else self.fuzzy
+        near = 0.0 if word in self.ordinary else max((self.whole[n] for n, e in state if e and fuzzy[n]), default=0.0)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         found = self.known[word] = (exact, 0.0 if exact else near) if exact or near else None
@@ -141,6 +152,27 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def masked_of(low: str) -> list[tuple[int, str]]:
+    """(place, word) of words in which one digit or mark may stand for a letter or have been put between letters."""
+    return [(m.start(), m.group(m.lastindex)) for m in _MASKED.finditer(low)]
+
+
+def hits_of(automaton: Automaton, low: str, words: list[str]) -> list[tuple[int, float, float]]:
+    """(word, weight of an exact hit, weight of a near one) in a lower-case text with these words.
+
+    A masked word counts where none of the words in it is a hit by itself.
+    """
+    found = {i: hit for i, w in enumerate(words) if (hit := automaton.match(w))}
+    masked = [(at, w, hit) for at, w in masked_of(low) if (hit := automaton.match(w)) and not hit[0]]
+    if masked:
+        spans = [m.span() for m in _WORD.finditer(low)]
+        for at, w, hit in masked:
+            own = range(bisect_left(spans, (at,)), bisect_left(spans, (at + len(w),)))
+            if not any(i in found for i in own):
+                found[own[0]] = hit
+    return [(i, *found[i]) for i in sorted(found)]
+
+
 def context_score(words: list[str], gaps: list[str], at: int) -> float:
     """Above 0: the hit is quoted or reported; below 0: someone is addressed."""
     near = words[max(0, at - CONTEXT):at] + words[at + 1:at + 1 + CONTEXT]
@@ -152,15 +184,14 @@ def context_score(words: list[str], gaps: list[str], at: int) -> float:
 
 def features(automaton: Automaton, text: str | None) -> list[float]:
     """log(1 + weight) of the hits in abuse, the hits' share of words, and log(1 + weight) of the hits in quotation."""
-    words = words_of(text)
-    hits = [i for i, w in enumerate(words) if automaton.match(w)]
+    low = (text or "").lower()
+    words = _WORD.findall(low)
+    hits = hits_of(automaton, low, words)
     sums, n = [0.0] * 2, 0.0
     if hits:
-        low = text.lower()
         spans = [m.span() for m in _WORD.finditer(low)]
         gaps = [low[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(low)])]
-        for i in hits:
-            exact, near = automaton.match(words[i])
+        for i, exact, near in hits:
             sums[context_score(words, gaps, i) >= 1.0] += exact or NEAR * near
             n += 1.0 if exact else NEAR
     return [math.log1p(sums[0]), math.sqrt(n / (len(words) + SMALL_TEXT)), math.log1p(sums[1])]
@@ -183,20 +214,27 @@ class Model(NamedTuple):
 
 
 def select_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[Term]:
-    """The lexicon from (word or stem*, toxic texts, clean texts) of candidates."""
-    chosen: dict[str, tuple[int, Term]] = {}
+    """The lexicon from (word or stem*, toxic texts, clean texts) of candidates.
+
+    A stem must gain on every candidate word under it; the words stay beside
+    it, for their misspellings.
+    """
+    chosen: dict[str, Term] = {}
+    best: Counter = Counter()  # texts of the most frequent word that starts so
+    for name, with_toxic, _ in counts:
+        if not name.endswith("*"):
+            for k in range(1, len(name) + 1):
+                best[name[:k]] = max(best[name[:k]], with_toxic)
     for name, with_toxic, with_clean in sorted(counts, key=lambda c: (-c[1], c[0].endswith("*"), -len(c[0]), c[0])):
         ratio = (with_toxic / toxic) / ((with_clean + 0.5) / max(1, clean))
         if ratio < MIN_RATIO or len(chosen) >= MAX_TERMS:
             continue
         stem = name.endswith("*")
         text = name.rstrip("*")
-        if any(text[:k] + "*" in chosen for k in range(1, len(text) + 1)):
-            continue
-        if stem and any(n * STEM_GAIN > with_toxic for k, (n, t) in chosen.items() if t.text.startswith(text)):
+        if stem and (best[text] * STEM_GAIN > with_toxic or any(text[:k] + "*" in chosen for k in range(1, len(text)))):
             continue
-        chosen[name] = (with_toxic, Term(text, stem, math.log(ratio)))
-    return [t for _, t in chosen.values()]
+        chosen[name] = Term(text, stem, math.log(ratio))
+    return list(chosen.values())
 
 
 def _candidates(text: str | None) -> set[str]:
@@ -231,7 +269,8 @@ def _ordinary(docs: DataFrame, terms: list[Term], toxic: int, clean: int) -> tup
 
     def make():
         automaton = Automaton(terms)
-        return lambda text: {w for w in words_of(text) if (hit := automaton.match(w)) and not hit[0]}
+        return lambda text: {w for w in [*words_of(text), *(w for _, w in masked_of((text or "").lower()))]
+                             if (hit := automaton.match(w)) and not hit[0]}
 
     near = _count_features(docs, make).where((F.col("clean") > 0) & (F.col("toxic") / toxic < NEAR_RATIO * F.col("clean") / clean))
     return tuple(sorted(r["name"] for r in near.select("name").collect()))  # some words of a bounded sample

@@ -204,6 +204,26 @@ def test_op3_held_out_accuracy(spark):
     assert hits >= 0.85 * sum(t for _, t in held) and false <= 0.01 * len(held)
 
 
+def test_masked_words_reach_the_automaton():
+    own = toxicity.Automaton([toxicity.Term(t, False, 5.0) for t in ("idiot", "stupid", "trash", "scum", "moron")], ["mor-on"])
+    plain = toxicity.features(own, "you are a nice friend")
+    for w in ("id1ot", "st*pid", "tr@sh", "id_iot", "sc*m", "$cum", "scu*", "7rash", "(st*pid),", "x/idiot/y", "idiot,friend", "a.st*pid"):
+        assert toxicity.features(own, f"you are a {w} friend")[0] > plain[0] == 0, w
+    for w in ("scun", "mor-on", "sc m", "st**pid", "scu.", "e-mail", "東-京", "\ud800_x"):
+        assert toxicity.features(own, f"you are a {w} friend")[0] == 0, w
+    assert toxicity.features(own, "st*pid idiot")[0] > toxicity.features(own, "idiot")[0]
+
+
+def test_words_stay_beside_their_stem():
+    """The stem is in one more text than its word: no gain; with many inflections it gains, the word stays."""
+    word = ("idiot", 50, 0)
+    few = toxicity.select_terms([word, ("idiots", 4, 0), ("idiot*", 51, 0), ("idio*", 51, 0)], 100, 3000)
+    assert {(t.text, t.stem) for t in few} == {("idiot", False), ("idiots", False)}
+    many = toxicity.select_terms([word, ("idiots", 40, 0), ("idiot*", 80, 0)], 100, 3000)
+    assert {(t.text, t.stem) for t in many} == {("idiot", False), ("idiots", False), ("idiot", True)}
+    assert toxicity.Automaton(many).match("idiiot")[1] > 0
+
+
 def test_misspelled_terms_are_still_toxic(spark):
     """Every lexicon word of held-out toxic texts with one letter doubled, left out or replaced."""
     sf = "/root/testdata/sf0.1"
