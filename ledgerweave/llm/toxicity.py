@@ -32,6 +32,8 @@ from .common import annotate, documents, id_remainder, written
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Terms at most, least share of toxic texts with a term, least ratio of its shares in toxic and clean texts.
 MAX_TERMS, MIN_SHARE, MIN_RATIO = 400, 0.01, 50.0
+#: Least likelihood ratio (G) of a term's counts against equal shares in both classes.
+MIN_EVIDENCE = 15.0
 #: Letters of a stem; a stem must be found in this many times more texts than any of its words.
 STEM, STEM_GAIN = range(3, 9), 1.3
 #: Whole words from this length on are matched within one edit.
@@ -213,6 +215,19 @@ class Model(NamedTuple):
         return score
 
 
+def term_ratio(share, clean_share):
+    """Ratio of the shares, smoothed so that a term without a clean text passes from MIN_SHARE on, whatever the sample's size."""
+    return share / (clean_share + MIN_SHARE / MIN_RATIO)
+
+
+def evidence(with_toxic: int, with_clean: int, toxic: int, clean: int) -> float:
+    """G statistic of the 2 x 2 table of texts with and without a term."""
+    both = with_toxic + with_clean
+    cells = ((with_toxic, toxic, both), (with_clean, clean, both), (toxic - with_toxic, toxic, toxic + clean - both),
+             (clean - with_clean, clean, toxic + clean - both))
+    return 2 * sum(n * math.log(n * (toxic + clean) / (row * column)) for n, row, column in cells if n > 0)
+
+
 def select_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[Term]:
     """The lexicon from (word or stem*, toxic texts, clean texts) of candidates.
 
@@ -226,8 +241,8 @@ def select_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
             for k in range(1, len(name) + 1):
                 best[name[:k]] = max(best[name[:k]], with_toxic)
     for name, with_toxic, with_clean in sorted(counts, key=lambda c: (-c[1], c[0].endswith("*"), -len(c[0]), c[0])):
-        ratio = (with_toxic / toxic) / ((with_clean + 0.5) / max(1, clean))
-        if ratio < MIN_RATIO or len(chosen) >= MAX_TERMS:
+        ratio = term_ratio(with_toxic / toxic, with_clean / max(1, clean))
+        if ratio < MIN_RATIO or evidence(with_toxic, with_clean, toxic, clean) < MIN_EVIDENCE or len(chosen) >= MAX_TERMS:
             continue
         stem = name.endswith("*")
         text = name.rstrip("*")
@@ -313,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     if not toxic or not clean:
         return Model([], [])
     least = max(3, math.ceil(MIN_SHARE * toxic))
-    ratio = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
+    ratio = term_ratio(F.col("toxic") / toxic, F.col("clean") / clean)
     top = (_count_features(first).where(F.col("toxic") >= least).where(ratio >= MIN_RATIO)
            .orderBy(F.desc("toxic"), "name").limit(20 * MAX_TERMS).collect())
     terms = select_terms([(r["name"], r["toxic"], r["clean"]) for r in top], toxic, clean)

@@ -224,6 +224,12 @@ def test_words_stay_beside_their_stem():
     assert toxicity.Automaton(many).match("idiiot")[1] > 0
 
 
+def test_the_lexicon_hinges_on_evidence_not_on_size():
+    for toxic, clean in ((20, 20), (30, 60), (150, 1400), (1500, 3000)):
+        counts = [("idiot", toxic // 2, 0), ("word", toxic // 2, clean // 3), ("chance", 1, 0)]
+        assert [t.text for t in toxicity.select_terms(counts, toxic, clean)] == ["idiot"], (toxic, clean)
+
+
 def test_misspelled_terms_are_still_toxic(spark):
     """Every lexicon word of held-out toxic texts with one letter doubled, left out or replaced."""
     sf = "/root/testdata/sf0.1"
