@@ -1,15 +1,18 @@
 """Secret scan: fixed patterns, and guess costs of values in credential context.
 
-A value that follows a credential word (``pwd = ...``) is split into words,
-dates, repeats, keyboard walks and brute-force spans so that the number of
-guesses an attacker needs is least (dynamic programming over its places).
-Values that even then need ``10 ** MIN_GUESSES`` guesses are secrets;
-placeholders such as ``password1`` or ``xxxxxxxx`` are not.
+A value that follows a credential word (``pwd = ...``, ``dbPassword: "..."``)
+is split into words, dates, repeats, keyboard walks, runs of letters as words
+have them and brute-force spans so that the number of guesses an attacker
+needs is least (dynamic programming over its places).  A brute-force character
+is one of the character classes that the value has.  Values that even then
+need ``10 ** MIN_GUESSES`` guesses are secrets; placeholders such as
+``password1`` or ``xxxxxxxx`` and ordinary words are not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from math import log10
 
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import annotate, documents, span_text
+from .words import COMMON_WORDS
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses (as a power of ten) from which a value counts as a secret.
@@ -29,9 +33,9 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that have 16 characters
-_CONTEXT = re.compile(r"(?<![a-z])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|"
+_CONTEXT = re.compile(r"(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|"
                       r"auth|credentials?|private[_-]?key)[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*"
-                      r"(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"']+))", re.ASCII | re.IGNORECASE)
+                      r"(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|[\"']?([^\s\"']+))", re.ASCII | re.IGNORECASE)
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
 
 # fixed values: frequent passwords and their parts, most frequent first
@@ -45,8 +49,8 @@ _WORDS = (
     "charlie thomas robert daniel george computer internet server database system service account manager office "
     "company local host dev prod stage live data cloud access public private code blue red green black white gold silver"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(_WORDS)}
-_LONGEST = max(map(len, _WORDS))
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*_WORDS, *COMMON_WORDS]))}
+_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("@4831!0$57", "aabeiiosst")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:])}
@@ -54,7 +58,33 @@ _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3
                    r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _SEGMENT = log10(2)  # a new span
-_CHARACTER = 1.0  # a character found by brute force
+_CHARACTER = 1.0  # a character found by brute force, if its classes are not known
+_CLASSES = (("abcdefghijklmnopqrstuvwxyz", 26), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26), ("0123456789", 10))
+_MARKS, _BEYOND_ASCII = 33, 100  # other ASCII characters; a beginning for all others
+
+
+def _letter_costs() -> dict[tuple[str, str], float]:
+    """log10 of the guesses of a letter after a letter ("": any), from the words."""
+    pairs: Counter = Counter()
+    for w in _RANK:
+        if w.isascii() and w.isalpha():
+            pairs.update(zip(w, w[1:]))
+            pairs.update(("", c) for c in w)
+    letters, out = _CLASSES[0][0], {}
+    for a in ["", *letters]:
+        total = sum(pairs[a, c] for c in letters)
+        out |= {(a, c): -log10((pairs[a, c] + 0.1) / (total + 2.6)) for c in letters}
+    return out
+
+
+_LETTER = _letter_costs()
+
+
+def character_cost(value: str) -> float:
+    """log10 of the number of characters in the classes that the value has."""
+    size = sum(n for letters, n in _CLASSES if any(c in letters for c in value))
+    other = [c for c in value if not (c.isascii() and c.isalnum())]
+    return log10(size + _MARKS * any(c.isascii() for c in other) + _BEYOND_ASCII * any(not c.isascii() for c in other))
 
 
 def _walk_ends(value: str) -> list[int]:
@@ -76,7 +106,7 @@ def _repeat_ends(value: str, unit: int) -> list[int]:
     return [min(n, i + unit + run[i]) for i in range(n)]
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, character: float = _CHARACTER) -> float:
     """log10 of the guesses of the cheapest segmentation (linear in the length of the value)."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
@@ -84,6 +114,8 @@ def guess_cost(value: str) -> float:
     repeats = [(u, _repeat_ends(value, u)) for u in range(1, min(8, n // 2) + 1)]
     best = [0.0] + [float("inf")] * n  # cheapest cost of the first i characters
     open_ = [float("inf")] * (n + 1)  # ... that end in a brute-force span
+    letters = [float("inf")] * (n + 1)  # ... that end in a run of letters as words have them
+    mixed = value[1:] != low[1:] and not value.isupper()
     for i in range(n):
         at = best[i]
         spans: list[tuple[int, float]] = []
@@ -101,12 +133,15 @@ def guess_cost(value: str) -> float:
             spans += [(k, log10(40 * 2 * (k - i))) for k in range(i + 3, j + 1)]
         for unit, ends in repeats:
             if (times := (ends[i] - i) // unit) >= (3 if unit == 1 else 2):
-                spans += [(i + unit * t, unit * _CHARACTER + log10(t)) for t in {times, max(2, times - 1)}]
+                spans += [(i + unit * t, unit * character + log10(t)) for t in {times, max(2, times - 1)}]
         for j, cost in spans:
             if at + _SEGMENT + cost < best[j]:
                 best[j] = at + _SEGMENT + cost
-        open_[i + 1] = min(open_[i], at + _SEGMENT) + _CHARACTER
-        best[i + 1] = min(best[i + 1], open_[i + 1])
+        open_[i + 1] = min(open_[i], at + _SEGMENT) + character
+        if (own := _LETTER.get(("", low[i]))) is not None:
+            after = letters[i] + _LETTER.get((low[i - 1], low[i]), own) if i else float("inf")
+            letters[i + 1] = min(after, at + _SEGMENT + own) + mixed * _SEGMENT
+        best[i + 1] = min(best[i + 1], open_[i + 1], letters[i + 1])
     return best[n]
 
 
@@ -122,7 +157,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def guess_spans(text: str, known: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Values in credential context that no base span touches and that are hard to guess."""
+    """Values in credential context that no base span covers and that are hard to guess."""
     low = text.lower()
     if not any(w in low for w in _CONTEXT_WORDS):
         return []
@@ -134,9 +169,9 @@ def guess_spans(text: str, known: list[tuple[int, str, int]]) -> list[tuple[int,
         if group == 3:
             value = value.rstrip(".,;:!?)]}>")
             b = a + len(value)
-        if len(value) < MIN_VALUE or value.isalpha() or any(s < b and a < e for s, _, e in known):
+        if len(value) < MIN_VALUE or any(s <= a and b <= e for s, _, e in known):
             continue
-        if guess_cost(value) >= MIN_GUESSES:
+        if guess_cost(value, character_cost(value)) >= MIN_GUESSES:
             found.append((a, "guess", b))
     return found
 

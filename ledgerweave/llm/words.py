@@ -1,0 +1,333 @@
+"""Common English words for guess costs, most frequent first (counted in the docstrings of Python and Spark; everyday
+words follow)."""
+
+COMMON_WORDS = """
+the for and with from that value are this not will data default values column function import object string name can
+used optional which str type array list all given use file return int index number when method each class input param
+set only one columns new bool specified should into using same like must result have functions first path its returns
+any but instance names has then may other returned axis where dtype schema elements argument output than key you time
+tuple see model order passed two single arguments current also format rows more dict element parameter containing
+objects line length called case whether call module text integer version ndarray source error field level either does
+float strings null based sequence types arrays pandas example code series shape table numpy row size message provided
+defined multiple was over dictionary def information after before boolean exception empty between otherwise group such
+expression both without directory copy there instead self col contains mode scalar attribute test end bytes options
+out different they fields match label representation last valid keys corresponding most files methods matrix along
+position present memory target characters node read supported keyword original indices user create option true binary
+query start labels converted point some representing parameters support item pass timestamp equal date implementation
+window uses within dataset equivalent partition categories left raise created them character style means following
+resulting results get their would being available operation lines missing check been right already local found
+callable specific variable standard another range generated points maximum these unique raised state existing zero
+always need header items contain sorted required process buffer datetime iterator map part classes encoding second
+attributes run cannot pattern server because stream named base matches defaults metadata context work request include
+through how numeric write want underlying distribution possible expected coefficients command change specify mapping
+add negative system except compute configuration computed including sort added axes day useful takes times could form
+behavior connection operations per python convert just width event days offset directly tuples idx calling make
+matching mean exists while pairs frame minimum vector lambda inputs every numbers removed about complex protocol
+custom errors during mask apply count package team whose calls internal extra via relative since details less raises
+subclass view allowed recent invalid stored timezone place applied features ordered weight entries instances block
+full generate root partitions represents even reference join widget below large against specifying regular encoded sum
+least your back parent levels ignored integers response dimensional frequency strategy dimension side compatibility
+written running feature literal color allows product once currently iterable polynomial supports dtypes variables
+parsing special random long algorithm common treated those take filename masked associated sample precision unless
+year provides false documentation database many core regex compatible necessary batch according streaming categorical
+positive temporary interface lists formatted session real sets pair handle next represent interval considered
+validation additional were cases deprecated params above dimensions allow alias until automatically way location plot
+tag creating what provide needed environment property caller appropriate indicating well entry fill access month
+future tree log setting descriptor simple content prefix writing rank extension parsed weights cache warning nodes
+contents parse record config graph reading returning byte thread open find display bit tensor replaced blocks wise
+under nested very exist performance old library initial bar greater included split decorator address works speed
+dataframe perform condition limit avoid slice conversion headers contained similar wrapper socket assert info rdd
+messages entire specifies args difference indicates dates inside absolute nullable else timeout token lexer
+constructor search handler still now total replace seconds bound particular execution requires rather actual fully
+inferred three usage small try section selection collection console might manager versions global done decimal subset
+here top sequences zone func years final ascending cause passing release depending category duplicates arbitrary
+itself language hook determined across implement examples around resource document filter control users shared
+explicitly own groups ints task identifier seed parser tags known related operator exactly engine print ser accepts
+qualified struct needs generator filled previous keep training yield checks ones includes runtime compression changes
+obj properties fit selected max transform exceptions namespace arr hash ensure tempfile override loaded together paths
+vectors whitespace domain flag determine supplied variance lower our records made active fixed save specification
+quantization inverse closed months indexes stack calculate timestamps step logic tests registered child image bins
+store space processing select serialization separated having machine quantile external wrapped define body degree
+validate applying attempt duplicate kind coordinates raw digits taken high models normal performed scale cast hours
+psdf addition implemented too build client words padding codes syntax references age min unit requested stop indexing
+remove correct produce linear terms correlation ignore description installed update host delimiter loop modules
+handling grouping tokens send gives assumed expressions requests represented changed certain sent internally refer
+never executed produced spaces rolling starts components application logging creates descending indexer status whole
+enabled statement separate individual callback main average occurrence starting smaller calculation tasks merged
+height counts depends week unicode freq appear samples regression signature requirement due flattened modify later
+positional union pytest spark outputs replacement distributions threshold leading low bin distinct storage trailing
+generic help highest structure accuracy various fixture fails safe definition coefficient partitioning validator
+checking comparison compare enum pool mammal effect beginning larger wrap floating dog desired normalized docstring
+chunks serialized word cached term falcon expanding appended double matched fitted arg progress forward directories
+testing proxy mapped parts cols described settings show better transformed plugin close separator assigned places load
+formatter static plan boundary cat platform traceback member kwargs require dataclass infer pyarrow observations
+inplace conftest backward depth optionally deviation formats amount outside compressed builtin collected merge omitted
+component statistics note etc repeated relation url bits constant bounds exclude events suitable aware rules
+evaluation cluster diagonal theme floats something applies smallest drop thrown look complete positions aliases
+explicit upper scheme degrees periods bird makes intended holds port singular flags basic accessor exact actually
+structured immediately foo usually simply accepted broadcast defines cumulative variant possibly adds mark remaining
+vary invoked archive link threads distributed ordering title checked recommended profile aggregate fail terminal
+readable sorting abstract pickled evaluate keywords saved converting approximate extract turtle pipeline formatting
+accept subclasses native iteration corresponds summary off reads typing tied general sparse typically several
+functionality calculated dependent angle unchanged timedelta json mat copied longer much construct operand compared
+requirements wheel further skip device evaluated locale independent controls escape lowest sign logical quantized
+polynomials packages none operators histogram opened indicate maps public move embedded helper largest annotations
+scalars renderable implements adding shown modified multiplication annotation roots yet gets action best zeros
+decorated font mixed append disk meaning pickle unknown decoded handles generating contiguous tolerance imported
+backend inner logger writes consider higher therefore anything down combination updated layout box monkey copies
+program conditions insert numerical expensive filesystem runs correctly potentially working derived printed however
+guaranteed commit resources channel locations styles cursor encode computing nan shrink plugins psser compiled handled
+chunk consecutive dot direction grouped faster quantize dialog metrics aggregation configured making master power
+performs implementing rule submit nothing failure received queue filters combined alpha substring render batches
+preserve started indexed processed connections sure identical origin container edge shift spec excluding definitions
+inserted partitioned stage job basis animal occurs naive project pydantic followed wrapping cell leads though
+ambiguous decode writer members screen updates midx warnings newline combine signal thus evaluates implementations
+reader connect squares dicts preferred backed built terminated specifier interpreted catalog interpolation filling
+behaviour background colors dropped factor enable execute initialized extensions responsible refers wraps probability
+computation plus quoted providing hold datasets grid disabled receive frames short extracted network hour placed
+changing symbol unsigned commands duration matrices classification accessed occur give legacy suffix able padded
+unlike proto processes offsets norm reset exit truncated addresses scope policy median pad excluded describing wait
+iterations degradation overridden register creation service generally overrides discrete become relevant outer drawn
+weighted again ends strict typed reduced inference serious respectively ignoring disable approach factory consists
+worker prediction skipna successfully charset decoder draw reduce boundaries conf symmetric extended recursively
+globals looks cookies strictly destination patterns generates script applicable quantiles period increasing resolution
+differences validated splits distance fewer inclusive deterministic printing obtained probably occurrences failed
+barrier preserved gap driver observation trying yields dynamic tables chosen previously lock resolve span button mouse
+slices duplicated follows shows converts round nearest mechanism square area raising choices letter storing provider
+tensors mock upon comments covariance sources assume integral marker know highlight correspond candidate children
+consistent indent follow private major initializer hints retry groupby listed alternative interpreter third good
+authentication prompt segments signed epoch transformation noqa checkpoint onnx validators deleted repr locals prevent
+likely rate detect expects assumes choice pretty defining dependency expect install comment pdf dictionaries booleans
+plain switch issue sampling marked equals certificate doing schemas squared matplotlib backwards displayed enough
+reverse stdout satisfy languages reason meant emitted past holding share markup throws cells listener pat reserved
+replacing continuous report newly deep converter datatype omit capture loading eigenvalues skipped systems remote
+cookie determines constants overlapping constraints highlights intersection leaf jobs bigint verify bias std ndarrays
+page allowing taking queries force decoding often units immutable serialize trigger edges semantics prints designed
+choose unused direct fraction scaled convenience constructed email showing coordinate evolving region delete giving
+routine everything namedtuple sizes visible hidden percentile exponent overflow equality checker prior generation
+parallel red unbiased shield lion pip efficient free lookup few please kept stable others happens scaling infinity
+building dense psidx nonexistent goes four buffers purposes population truncate rounding virtual throw milliseconds
+moving themselves serializer handlers quarter classname nor comparing hashable tab retrieve dependencies replaces
+falls subprocess observed labeled parrot strategies keeps limited especially had recursive arithmetic intervals
+computes aligned identified algorithms experimental highlighting meta menu problem trace invoke normally treat encoder
+descriptors subsequent earlier aggregated dropna cow initialization operate debugger newlines whenever pos indicated
+estimate come casting iff debugging neither produces depend encountered seen password escaped optimized priority track
+sdf referenced going captured rendered shell regardless precedence concatenation lowercase guide builder locally
+protobuf windows horizontal estimator importance deg wide minute doc predicate calculating rounded intercept filtered
+resolved dump specifiers clusters shapes canvas pyspark sink hint ordinal blocking mailbox onto documents cosine
+things closest removing among num verbose saving shuffle managed clipboard effective becomes setup chain unspecified
+rest datetimes put minimal quotes steps finite division loss approximation cls libraries waiting completed percentage
+stats serializable aggregations calculations predictions interactive moved tries hex yielding attempts sep family
+digit shallow template properly lazy integration summation configure transpose plotting msg indentation hand async
+dummy quote intermediate natural initialize recommend describe breakpoint proper releases looking tzinfo undefined
+passes ensures hostname blank implicitly typ transforms microseconds math propagate multidimensional candidates
+towards filtering occurred bitwise failing unsupported inherit dialect sheet forms percentiles expand operands mainly
+partially whereas assign removes hypothesis performing gateway latest renamed fitting symbolic insensitive behaves
+concatenated detailed segment fast appears docs estimated guarantee expressed failures fetch easy hyperbolic assertion
+inf clustering hierarchical stacked reduction ddof blue fallback modification iterate pathname did representations
+expanded suppress incompatible anchor concrete joined align fall measured clear purpose cost collect flow convertible
+ids retries redirect calibration filenames opening ready importing allocated convenient streams reported sending
+delimited respect formed logarithm older imaginary unexpected sensitive programming selecting assignment finds jar
+minutes converters fixtures portion automatic copying finished enables stderr physical leave views spaced collections
+explanation remainder statements recursion sends vertical combinations sampled cobra lost lexers widgets platforms
+completion trees continue inline manner var registration frequencies codec really html comparisons normalize stores
+instantiating sides insertion drawing notes overwrite viper presence respective canonical conditional keyed
+normalization pointing belongs fractional selects necessarily keeping thing controlled recognized instantiated
+selector deprecation subtype obtain checkers constraint let uniques correspondence cond comes break account
+optimization consumed tabs yielded middle bottom partial manually profiler identifiers retrieved ranges arrow
+accessing products frequent sidewinder issues happen inherited determining ranks construction loader identify counter
+puts capturing exponential transport sub buckets analysis trim stages divisor regularization dogs connected act
+calendar hexadecimal accessible val executing callbacks modes usual prefixed wrong stdlib comma preserves validating
+deal learning utility center keepdims executable cross differs notation turn valued nonzero char frozen overload human
+printable primitive gradient lama cats repl iterables evaluator silently latter supporting affect subject ops finding
+quite floor metaclass overhead whatever states applications compact transformer flexible score mostly turns hooks
+caching improve sliding stateful mismatch regexp decimals fly loc attention providers coef links minus specialized
+usable completely divide ratio buffered schemes conventions payload important ctypes transposed sliced sine xml
+transforming train decomposition swap justify colormap editor registry counted breaks weekday feed ending identifying
+coroutine tokenizer attached bind interpret chars behave adjusted infinite unbounded differ compressor separately
+front located instantiate combining retain recall vocabulary export extras initializers defaulting overwritten figure
+writable safely stripped pointer markers dynamically bold predicted attempted representable hide actions literals
+potential monotonically tangent overlap serializing receives executor parquet vectorized ranking demonstrating mapper
+midnight derivative searched src zip searching reached weeks slightly dir maintain attempting compile beyond detected
+lead reused big soon grammar conversions convention supposed delay topics phase statistic transformations downloaded
+iterating merging easier pairwise optimal activations site reasons web uid stops uncompressed tested inserting strip
+consisting appending introduced assuming friendly attrs decide documented density extend fits consist live framework
+heap splitting declared incorrect shorter uppercase solution leaves shrinking lexicographically zones subgraph
+interchange ndim sequential browser mappings exclusive layer far primarily docstrings minor leaving broken breaking
+baz processor similarity substrings diff focus radians jump learn uniform exposed executors metric dropping randomly
+trained fragment consistency likes cancelled resolver styling enabling bytecode idea wish implicit non consume glob
+triangular software sentence meaningful retained accumulated shall binding ways ignores identity proxies white enforce
+sentinel bucket country plans attr backoff centers truth elementwise reshape companion adjust auth readline exceeds
+problems dotted patch twice fold causes doctest matter sized prepended multiplied shifted acts avoids invokes limits
+namespaces overriding hence structures subclassing fact inspect chooses decreasing transition equation mypy
+discriminator enumerate describes installation decompressed alive counting implies turned kernel helps conform inexact
+nonnegative affected timer executes flat referred abc stub beta concatenate remain batching exponentially pivot nth
+parses buf holes nanoseconds packaging declaration ufunc history ask commonly slow sense garbage truncating translated
+suite endian hierarchy evenly linearly scripts signals cleared routines producing animation appearance answer notice
+rename developer analyzed watermark resampling http activation residuals codepoint foreground highlighted roundoff
+remains caused unpacked extraction care composite hashing indicator successful thousands forces sometimes mutable
+tells weak encodes incomplete rng backslash compound caches precise manage bare suffixes databases transfer marks
+inspired displays corner circular profiling finish collecting unix persistence sees explode checkpointed independently
+len ties bars subplots factorization fix rabbit css indexers masks spinner breakpoints entered compiler rendering
+discarded repeatedly getting considering who terminate clean averaged proportional bad recorded alignment significant
+decompression bug restore increase init pixels appropriately differently rightmost wrappers dataclasses configurations
+clause coerce constructing slicing confidence practice rmtree predict sqrt kwarg severity compliant repository
+multiplicity diagonals party prefixes unpack brackets triples ordinary invocation asynchronous tools exits collector
+issued although username unset piece fresh topic relationship colon modulo got guarantees trimmed ascii branch
+augmented reports delta reversed singleton underscore effects cartesian udf structs orders attach approximately met
+credentials shutil dataflow caption multipart magic quickly controlling dispatch similarly begin closing encodings
+easily say managers released instantiation incoming huge symbols smoothing bandwidth measure meet compares near repeat
+cycle walks half nice sorts uniquely adjacent widths deserialized reflected preserving quantity cancel hashes
+workaround plots summed formatters grouper broadcasting spans timezones oneof iterates cleanup alternate nesting
+satisfies packed falling incremental domains equally fractions logistic percent letters customize numerically
+classmethod callables populate propagated constructs rights dividing cloned modifying essentially existence reporting
+images polygon heading functional flatten emit affects tracebacks collects nullability cancellation stopped optimizer
+plotted decay resampled preference heads compat emoji water registering sessions gzip shorthand globally finalizer
+truncation buffering separators pick odd wants simultaneously escapes finder customized increases effort guess callers
+allocation accordingly delimiters interesting chunksize acceptable facing vertically particularly prefer workers
+projection pinned restart optimize restarts refresh statistical unordered kernels ind gain embedding medium excel dta
+toy born egg solved ensemble suggested shortcut downcast lst builtins symlinks conforms lineno leap fileobj complement
+nature reasonable head builds tell folder design almost adapter loops abbreviation anywhere responses determination
+interpretation integrate parsers relies relatively spacing containers annotated repeats divided resolving reach
+backport receiving expr dedicated backing rely receiver principal paper transformers utilities forming thresholds
+bools importable endpoints careful prereleases wire untrusted defer plt xdeg perhaps iterated invoking interfaces
+tried involved env reflect signatures flush belong protocols evaluating numbered interpolated rectangular impossible
+freedom paragraph decorators naming analyze threading debug download reuse revision originally restriction leftmost
+marking catch graphics configurable oriented undo conjunction central generators cover namedtuples encryption risk
+expose accumulator skipping illegal res teardown datasource artifacts logged offers aggregating acc slower activated
+individually divisible sharing effectively resultant datetimelike xticks algo pixel black strides numba disables
+decides operating efficiency opposite drive identifies temporarily management pure copyright lifetime microsecond
+purely displaying pickling unpickling introspection detail estimates improved monotonic whitespaces sufficient
+dividend ceiling imports distribute varies early simpler del scheduled localhost stripping redirected runner alphabet
+prepared reliable restored notebook satisfied eager joins subquery asof lit termination listening kurtosis
+concatenating infers csv bitmap pie solve decision discovery tabular stacking ret ticks estimators symmetry draws
+thought distutils convolution entirely bundle prompts symlink permission owner unavailable archives tool covers
+implied triggered architecture enclosing preceding scan gaps translate uniformly declarations powers restrictions
+reduces prepend hard success extremely came flavor certificates bases exceed bugs bytestring sections surrounded
+consumes ever merges verbosity moment alter dist seems advanced communication pruned hardware specifications adapted
+invocations nulls understand validates idle chunked dealing identically pytz ceil comparable choosing membership
+backfill clip swapped byteorder dimensionality sql dim threaded pycon rebuilding improvements equivalence viewer pack
+opcode managing hosts unmodified audio begins kinds codecs legal pipe sockets cycles quoting pending slot indented
+alone bounded recognize magnitude initially five verification lookups acquired blocked rejected persistent
+parametrized consumer substitute seem mix linked parents conflicts edit treats aka plane covered finally elsewhere
+unions launch additionally coming grained launched associative natively resolves stay lazily collation standalone
+fetched nanosecond factors casted logically achieved border roundtrip modern legend versus curve torch exported
+packing primary parametrization styler neg defects closes subdirectories unable hit trivial temp renaming held
+repetitions summarized compress outfile conn caught pid achieve frequently sigma roughly away greatest super saves
+trusted transaction discard ftp extends prevents circle endpoint rational newer annotate narrowing distinguish
+quotient initializes inherits broadcasted reproduce planning logs tracks checkpoints persist probabilities substr
+inferring cores java consumption eps outermost scatter elapsed parallelism bisecting upgrade ivar reindexed bee orient
+backtick squeezed solver folds tracking truthy spelling pruning exporting prepare quantizes rmax capable pseudo italic
+underline propagating deque mocks wall conjugate rcond einsum scl listlike nopython renderables spam querying updating
+lets looked await detection exposes finalizers unary opposed digest writers preceded ensuring transparent person
+multiples exports simplest avoided timed grow pickles maybe accepting forwarded connecting manages mutate retrieves
+drops late why redirects accurate bindings variants orientation approximated chained reconstruct predicates pareto pyc
+specifically aligns simplified post textual eval timeouts eventually req checkpointing rating multiclass growth
+likelihood requesting reindex deduced skew escaping homogeneous sheets usecols delegate masking conflict mimic fmt
+development cpu forced ufuncs rewrite ydeg runtest tooltip nogil icon phrase succeeds pointed lot tracing supply
+exiting diagnostic tail pieces mixin trip coverage permitted clients typical servers mail texts explained solely
+permissions scanned overview instruction parentheses continuation limitations verified multiline resets overwrites
+technique insensitively maintains pprint stuff pen projected upstream unstable developers reducing ahead behind
+ordinals cube combines express persists life regarding mixture algebra quality pearson allocate urls verifying
+analogous alphanumeric validity isna loads consumers wheels scoped folding demo folded colorizing preprocessor pools
+clock ref netloc msgpack security dst maintained lacks fastest captures increased fname universal detects sys emits
+enclosed replacements nominal estimation cut proportion noise exhausted zipfile placeholder exp triple afterwards seq
+said benefit visitor rich situations terminates remember guessed counterpart substitutions possibility doctests
+unittest outline translates concept denote narrowed posix curly proposed contrast serializes datatypes unnecessary
+udtf denoted mismatched gathered atomic coercion nondeterministic expired inlined deserialize suffixed formula
+classifier scales online multi pser sparsify respects price groupings preferences limitation picked residual somewhat
+criteria sdist fed warn fft argsort recarray shifting derivatives rectangle unintuitive portions locator sublist
+buttons appends home interaction worth deleting compilation longest suppressed listing environments installing helpful
+programs timing opens declare shutdown subclassed malformed classic helpers causing coerced occurring separating
+expansion derive subnormal closer lies descendants accumulate submodules discovered overall tagged notified slots dbm
+vendor little junk contextual click interacting examine outcome literally closure startup unsafe trick operates braces
+disclaimer commutative readers dataframes iterative aggregates anymore reflection idempotent deserialization
+sequentially renders varying presents correlations formulation multinomial materialized alligator bat reindexing zebra
+reshaped workbook relying con clocks surprising reordered unstacked reject triplet populated cython footer flip titles
+nicer transitions memoryview traversal futures former shot lib exceeded concurrent addr decodes formal opener narrow
+locked stdin measurement apart efficiently conflicting dest alert visit yourself joining daemon denominator refused
+sleep presented asked recently shut toggle directives dots confusing extracting argparse clicked recording
+horizontally interact enforced complexity externally question agg encouraged chaining obtaining unmatched windowing
+initializing foldable mutually denotes retried mismatches interoperability git subplot whiskers trust boosting epsilon
+soft theoretical recompute flows discover geometry ewm rkey spider fillchar lxml ham zipped underscores carries
+fragments appeared onnxruntime fusion rtol patches refs categoricals holidays interest downloads busy editable jitted
+health shrinker polars atom suppose says accesses considerably reachable subsequently dead multiply reaches enter
+scanner prepending descendant scores assumption treatment quartiles frozenset aspects maintaining visual executions
+calculates maxsize inserts mutated encapsulates fashion criterion wildcard abstraction modifications semaphore
+increment satisfying encrypted arbitrarily abbreviations complicated developed moves toplevel absent lose cased gamma
+fine situation pushed crash ability deduplication semantic concurrently demonstrates skewed signifies respected
+materializing inject policies localized locales surrounding recreate distances treating correctness unmapped discards
+putting latex nrows skiprows succeeded prod fig fairly extracts difficult extending scenarios pre exclusion pretrained
+opset atol highlighter pygments boldface registers business stylesheet integrated terminals selectors accounting
+principle notable utc ini eigenvalue robust ctype roll entity rewritten visibility dirty pane virtualenv popup tkinter
+linesep inspected alphabetically unpacking slash queried debugged stopping bytearray hello centered slowest knows six
+channels seek informational programmatically intent imply memo goal lexical interactively reload searches enhanced
+clears sin conforming blockwise submodule simplify matters obvious finders traversing locate chains procedure yes
+importlib deals reordering retains indirectly referencing unified people notion contrary vice versa completes
+incorrectly turtles serve clicking pressing clearing supplying picklable waits returncode course analyzing wider
+overloads instructions chance recurse killed ins setuptools decorate discussion api minimize triggers collectors
+finishes paired mydf interrupted expert listeners materialize parallelize erroneous temperature mathematical agnostic
+neutral boxplot orthogonal configs zoo assigning alternately multiindex performant backends involves specialised
+additions objective pytorch unpickled devices reconstructed mirrors allowable skips shrinks fused contrib preparation
+tokentype fonts rebuild forbid vars considers flushing repo shaped bracket err asyncio integrating unequal printer
+fuzzy daylight zoneinfo notna novel binder entities keybindings stat browsers altered prepends knowledge eliminating
+manipulate basically proceeds subtract meets official greedy popped scanning wildcards fullname punctuation quiet
+commas scientific unaltered opaque unrelated const referring stands recognised normalizes varargs duck inspecting
+descriptions cert intention dumped mimics excludes ownership driven bunch modifies producer upload standardized
+allocations abbreviated savings think directive aliased filepath extent independence ran kids pictures movement
+bounding composed nonempty superclass flattens lexicographic activate play clauses repeating destroy configuring
+pushdown subtracted world binds cloud parity intends ideally mutating univariate skewness comparator labeling outcomes
+freqs solves isnan enhance significantly issuing advice prices fillna innermost spearman kendall thanks belonging bear
+styled amounts denoting prescribed cumsum rewriting arbitary squeeze untouched allclose layers advance traditional app
+unlikely linking stale contributes flushed cuda auto primitives superset exposing permit reorder subok broadcastable
+obsolete corners trimming memmap weighting ldots hist nodeid subtest expecting push defect varint upsampling deeply
+tooltips timeseries invariants abbreviating keybinding htest maxlinelen inclusion subdirectory encounters delegated
+race normalizing compiles oldest deferred contexts entering destroyed patched interested invariant associate owned
+subtraction translation writeable capabilities ssl established echo numbering spread ratios selections underflow
+retrieval fixes subtracting serves mechanisms classmethods fills bodies pop seven statically abort cipher wanted walk
+enters guard heterogeneous promote authenticate summarize scheduling substitution pull losslessly shebang parenthesis
+press poly observe reflects elif specially routed pdb cleaning spent indirect tricky quotation machinery absolutely
+structural affecting binomial favor arrives uuid decided serializers branches hides restarting exploding prefetch
+assignments continuously desc existed variation contingency introspect periodically strongly throughout flexibility
+reattachable injected continues ary maximized polar factorial unescaped adopts scans quantitative subsets penalty
+carry alternatively successive attaches ipython pasted unstack sfun preamble multirow stata predictor interpolate
+tutorial namely removals easiest figsize scaler eva alongside respond glibc dev tripping verbatim closely replay
+restricted themes light assembly templating music templates reasonably foreign paste packet green impact collisions
+subtypes vendored ideal wrote retrieving deficient deprecate promotion deselected casts whichever numarray polymul
+reductions spline pol albeit quadrature transmission conftests loggers matcher href bfill redirection guides
+overlapped subparts pertaining precedes mentioned unaffected disabling despite aliasing manipulation asynchronously
+contributors contribute placing endings translating dictates pickler restores quotechar variations adhere pager
+variability relations hyphen hyphens besides substituted unnecessarily rotated inverted thin advantage inconsistent
+unambiguous opt proceed blanks inheritance requiring authors reentrant synchronization grab incrementing unhandled
+immediate heavily scheduler hack substituting secure securely snapshot demand shortest popular maximal invisible
+pressed mainloop sided kwds constructors functools typechecker offer lack synchronous datagram inappropriate
+technically planned mandatory jvm scenario cleaned setter exploded laid throwing void explain city exprs needing
+differentiate zstandard retrying rec dateutil mod outliers absence quartile parametric reliably confusion maintenance
+projects vertex gaussian computational targeted contributions generalized enumerated animals koala positionally
+penguin horse com halflife sensitivity daily timedeltas involving boxed protected inches consideration dark unitary
+advisable subarray poorly enums typevars workflow shim unrecognized collapse synthetic stays regions succeed
+disallowed beam subgraphs latency net scipy tracked capsule vim grey scripting equivalents notification ansi margin
+manual signing discarding holder disallow adapters sibling fsspec peak inaccurate minimizes conditionally astype
+subarrays editing differentiation der rid downloading spectrum hover localize coded yanked videos unquoted isolated
+controller essential someone portable traces slashes lightweight deduplicated anyway presentation patching tokenize
+tok east tmp remembers reconstituted tty dialects decoders monitor localization measures mixing internals staticmethod
+timeit irrelevant interspersed consuming undone establish inspection mirror getattr envelope minimizing dunder owns
+identification pow toward earliest deeper separation deltas possibilities worst anchors globs counterclockwise
+correction tup clone stamp desirable familiar enumeration incremented completing completions aims narrower
+intentionally covariant capitalized targets services nearly periodic nicely star blob cogrouped sorter dumping
+replicate outputting identities manipulated demonstrate correlated unpivot precisely ages unnamed assigns dispatches
+cardinality discussed deducted sentences wishes iteratively characteristic encourage migration bootstrapping
+contribution corpus vec tall vals temperatures aggfunc caveats reproducibility descriptive delegates decrease strs
+appendable worse quantities hot objs truthful reaching dayfirst yearfirst solving recommendation cdot hasher
+interactions covering cov lor improvement initiated coroutines readonly streamed interrupt estimating ellipsis tripped
+alternatives dashes canonicalized carrying emitting logits optimizations quant boxes layouts lives dims conv shares
+ultimately ambiguity ancestor npz reside doctype colorful macros installations man paging monospace filetuple pooled
+transparently uri concern validations parametrize great redundant installs solutions mutation generalization ravel
+tensordot inversion conditioned definite edition uninitialized lexsort weekdays resized manipulating maxpower
+differentiated vander unsquared tends ndtype explanations battery accumulation everyone everybody anyone nobody
+forgotten forgot tomorrow yesterday morning evening weekend birthday holiday friend friends mother father brother
+sister husband wife girlfriend boyfriend teacher student school university hospital kitchen garden coffee chocolate
+ingredient ingredients recipe dinner breakfast flower mountain river ocean beautiful wonderful understanding
+confidential authorization authenticated unauthorized credential administrator anonymous bearer forbidden denied
+expires revoked refreshed northwest northeast southwest southeast north south west happiness government somewhere
+""".split()

@@ -341,6 +341,24 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("password1") < 4 < secrets.MIN_GUESSES < secrets.guess_cost("x7$Kq9!mZp2")
 
 
+@pytest.mark.parametrize("text, value", [
+    ("pwd = qXvZkRmWpTbJ", "qXvZkRmWpTbJ"), ("pwd: qxzvkrmw", "qxzvkrmw"), ("pwd: k8#Vq!2z", "k8#Vq!2z"),
+    ('dbPassword = "S3cr#t!9xQ2z"', "S3cr#t!9xQ2z"), ("mytoken='x7$Kq9!m'", "x7$Kq9!m"), ("DB_PASSWORD=k8#Vq!2z", "k8#Vq!2z"),
+    ('passphrase = "xk7 qv9 zt2 mm4"', "xk7 qv9 zt2 mm4"), ('pwd = "x7$Kq9!mZp2', "x7$Kq9!mZp2"),
+    ("password = abcdefghijkl#Xq9!vT2$w", "abcdefghijkl#Xq9!vT2$w"),
+])
+def test_every_context_value_is_judged_by_its_cost(text, value):
+    assert value in [text[a:b] for a, k, b in secrets.find_secrets(text) if k == "guess"]
+    assert value not in secrets.redact(text, secrets.find_secrets(text))
+
+
+def test_ordinary_values_stay():
+    for value in ("authentication", "required", "everyone", "Undefined", "understanding", "changeme", "password1", "PLACEHOLDER",
+                  "xxxxxxxxxxxx", "20240115", "notebook", "your token here", "see below", "northwest"):
+        for text in (f"pwd: {value}", f'compass = "{value}"'):
+            assert not secrets.guess_spans(text, []), text
+
+
 def test_secrets_odd_rows(odd, empty):
     out = secrets.redacted(odd)
     assert out.columns == [*odd.columns, "_lw_secrets"] and rows_of(out.select("doc_id", "text")) == collections.Counter(ROWS)
