@@ -120,7 +120,8 @@ def disclosing(base: DataFrame, counts: DataFrame, n_rows: int, disclosure: floa
     per_text = per_row.groupBy("entity", "term", "h").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("rows"))
     pairs = written(per_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
                     .where(F.col("texts") >= min_texts), "pii-pairs")
-    entities = near.groupBy("m.entity").agg(F.count_distinct("doc_id", "h").alias("n_entity"))
+    entities = near.groupBy("m.entity").agg(
+        F.count_distinct(F.struct(F.coalesce("doc_id", F.lit(-1)), "h")).alias("n_entity"))
     known = written(pairs.join(counts, "term"), "pii-known").join(written(entities, "pii-entities"), "entity")
     information = F.log(F.lit(float(n_rows)) / F.col("n_entity"))
     told = F.log(F.lit(float(n_rows)) * F.col("together") / (F.col("n_rows") * F.col("n_entity")))

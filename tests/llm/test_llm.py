@@ -572,6 +572,14 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[0] == "Doctor [TERM] is the engineer nr 0 [EMAIL]" and clean[501] is None
 
 
+def test_entities_of_rows_without_an_id(spark):
+    rows = [(None, f"Zweistein wrote letter {w} zoe@mail.org") for w in ("alpha", "beta", "gamma")]
+    rows += [(i, f"someone wrote letter {i}") for i in range(40)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    marked = [[(s.start, s.end) for s in r.terms] for r in got if r.doc_id is None]
+    assert marked == [[(0, 9)]] * 3 and not any(r.terms for r in got if r.doc_id is not None)
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 def test_op10_query(spark, documents):
