@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and terms that disclose the entities found.
 
 Built-in functions only.  Every e-mail address, IP address, card and phone
-number found is an entity.  Corpus counts tell how much a term near an entity
-reveals of it: with N rows, n(e) with the entity, n(t) with the term and
-n(t, e) with the term near the entity, the term discloses
+number found is an entity.  Corpus counts tell how much a term reveals of an
+entity: with N rows, n(e) with the entity, n(t) with the term and n(t, e) with
+both, wherever they stand in the text, the term discloses
 ``log(N n(t, e) / (n(t) n(e)))`` of the ``log(N / n(e))`` bits that identify
 the entity.  Terms that disclose at least ``DISCLOSURE`` of them are removed
-from the rows that name the entity, as the entity itself is.
+from the rows that name the entity, as the entity itself is.  A term is a
+word outside the e-mail addresses, of ``TERM_LETTERS`` letters or, written as
+a name (``Li``, or in a script without capitals), of any length.
 
 Matches are found with ``regexp_extract_all`` and placed with ``split`` by the
 same pattern: the pieces between them have the offsets.  The patterns use
@@ -50,8 +52,9 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "instr(text, '+') > 0", f"length({_DIGITS}) BETWEEN 8 AND 15"),
 )
 TERM = "term"
-#: Characters on either side of an entity whose words are its context; letters of a term.
-CONTEXT, TERM_LETTERS = 100, 4
+#: Letters of a term that is not written as a name.
+TERM_LETTERS = 3
+_TERMS = rf"\p{{L}}{{{TERM_LETTERS},}}+|(?<!\p{{L}})[\p{{Lu}}\p{{Lt}}\p{{Lo}}]\p{{L}}*+"
 #: Share of an entity's information from which a term is removed, and different texts it needs.
 DISCLOSURE, MIN_TEXTS = 0.9, 3
 
@@ -59,9 +62,9 @@ _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
 def _located(kind: Kind) -> Column:
-    """ARRAY<STRUCT<value, start, end, left, right>> of the valid matches of one kind, from its columns m_ and g_."""
+    """ARRAY<STRUCT<value, start, end>> of the valid matches of one kind, from its columns m_ and g_."""
     m, g = f"m_{kind.name}", f"g_{kind.name}"
-    row = "STRUCT<value: STRING, start: INT, end: INT, left: STRING, right: STRING>"
+    row = "STRUCT<value: STRING, start: INT, end: INT>"
     return F.expr(f"""
       CASE WHEN size({m}) > 0 THEN filter(aggregate(
         sequence(0, size({m}) - 1),
@@ -69,17 +72,14 @@ def _located(kind: Kind) -> Column:
         (a, i) -> named_struct(
           'at', a.at + length({g}[i]) + length({m}[i]),
           'found', concat(a.found, array(cast(named_struct(
-            'value', {m}[i], 'start', a.at + length({g}[i]), 'end', a.at + length({g}[i]) + length({m}[i]),
-            'left', CASE WHEN length({g}[i]) > {CONTEXT} THEN regexp_replace(right({g}[i], {CONTEXT}), '^\\\\p{{L}}+', '')
-                    ELSE {g}[i] END,
-            'right', CASE WHEN length({g}[i + 1]) > {CONTEXT}
-                     THEN regexp_replace(left({g}[i + 1], {CONTEXT}), '\\\\p{{L}}+$', '') ELSE {g}[i + 1] END) AS {row})))),
+            'value', {m}[i], 'start', a.at + length({g}[i]),
+            'end', a.at + length({g}[i]) + length({m}[i])) AS {row})))),
         a -> a.found), f -> exists(array(f.value), x -> {kind.valid}))
       ELSE cast(array() AS ARRAY<{row}>) END""")
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, spans, mentions): base spans by kind and start, and each entity with the terms near it.
+    """(doc_id, h, spans, entities): base spans by kind and start, and the different entities.
 
     ``h`` hashes the text, so rows with equal ids are told apart.
     """
@@ -94,35 +94,44 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         return F.transform(k.name, lambda x: F.struct(F.lit(k.name).alias("kind"), x["start"].alias("start"),
                                                       x["end"].alias("end")))
 
-    def mentions(k: Kind) -> Column:
-        letters = F.lit(rf"\p{{L}}{{{TERM_LETTERS},}}")
-        return F.transform(k.name, lambda x: F.struct(
-            F.concat_ws(":", F.lit(k.name), F.lower(x["value"])).alias("entity"),
-            F.array_distinct(F.concat(F.regexp_extract_all(F.lower(x["left"]), letters, F.lit(0)),
-                                      F.regexp_extract_all(F.lower(x["right"]), letters, F.lit(0)))).alias("terms")))
+    def entities(k: Kind) -> Column:
+        return F.transform(k.name, lambda x: F.concat_ws(":", F.lit(k.name), F.lower(x["value"])))
 
     return located.select("doc_id", "h", F.concat(*map(spans, KINDS)).alias("spans"),
-                          F.concat(*map(mentions, KINDS)).alias("mentions"))
+                          F.array_distinct(F.concat(*map(entities, KINDS))).alias("entities"))
 
 
 def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n_rows) over all rows; summed in every task before the shuffle."""
-    letters = F.lit(rf"\p{{L}}{{{TERM_LETTERS},}}")
+    letters = F.lit(r"\p{L}+")
     words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(df[text_col]), letters, F.lit(0)))).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n_rows"))
 
 
-def disclosing(base: DataFrame, counts: DataFrame, n_rows: int, disclosure: float = DISCLOSURE,
+def named_rows(base: DataFrame) -> DataFrame:
+    """(doc_id, h, entity): a row for each entity of each row."""
+    return base.where(F.size("entities") > 0).select("doc_id", "h", F.explode("entities").alias("entity"))
+
+
+def disclosing(docs: DataFrame, base: DataFrame, counts: DataFrame, n_rows: int, disclosure: float = DISCLOSURE,
                min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(entity, term, share): terms that disclose at least ``disclosure`` of an entity's information."""
-    near = base.select("doc_id", "h", F.explode("mentions").alias("m"))
-    per_row = near.select("doc_id", "h", "m.entity", F.explode("m.terms").alias("term"))
-    per_text = per_row.groupBy("entity", "term", "h").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("rows"))
-    pairs = written(per_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
-                    .where(F.col("texts") >= min_texts), "pii-pairs")
-    entities = near.groupBy("m.entity").agg(
-        F.count_distinct(F.struct(F.coalesce("doc_id", F.lit(-1)), "h")).alias("n_entity"))
-    known = written(pairs.join(counts, "term"), "pii-known").join(written(entities, "pii-entities"), "entity")
+    """(entity, term, share): terms that disclose at least ``disclosure`` of an entity's information.
+
+    n(e), n(t) and n(t, e) count all rows, repeated ones and those without an
+    id too.  Only entities in ``min_texts`` different texts can have a term, so
+    only texts that name one of those are read for words, each text once.
+    """
+    per_text = named_rows(base).groupBy("entity", "h").agg(F.count("*").alias("rows"))
+    entities = written(per_text.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("n_entity"))
+                       .where(F.col("texts") >= min_texts).drop("texts"), "pii-entities")
+    per_text = written(per_text.join(entities.select("entity"), "entity"), "pii-texts")
+    outside = F.regexp_replace("text", F.lit(KINDS[0].pattern), F.lit(" "))  # no other kind has letters
+    words = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).join(
+        per_text.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).select("h", F.array_distinct(F.transform(
+            F.regexp_extract_all(outside, F.lit(_TERMS), F.lit(0)), F.lower)).alias("terms"))
+    pairs = per_text.join(words, "h").select("entity", "rows", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
+        F.count("*").alias("texts"), F.sum("rows").alias("together")).where(F.col("texts") >= min_texts)
+    known = written(written(pairs, "pii-pairs").join(counts, "term"), "pii-known").join(entities, "entity")
     information = F.log(F.lit(float(n_rows)) / F.col("n_entity"))
     told = F.log(F.lit(float(n_rows)) * F.col("together") / (F.col("n_rows") * F.col("n_entity")))
     return known.withColumn("share", told / information).where(
@@ -137,11 +146,9 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = documents(df, id_col, text_col)
     base = written(found(df, id_col, text_col), "pii-base")
-    terms = disclosing(base, term_counts(docs), base.count())
+    terms = disclosing(docs, base, term_counts(docs), base.count())
     terms = written(terms, "pii-terms")
-    near = base.select("doc_id", "h", F.explode("mentions").alias("m")).select(
-        "doc_id", "h", "m.entity", F.explode("m.terms").alias("term"))
-    marked = near.join(terms.select("entity", "term"), ["entity", "term"]).groupBy("doc_id", "h").agg(
+    marked = named_rows(base).join(terms.select("entity", "term"), "entity").groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_set("term")).alias("words"))
     marked = written(marked, "pii-marked")
     texts = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -580,6 +580,20 @@ def test_entities_of_rows_without_an_id(spark):
     assert marked == [[(0, 9)]] * 3 and not any(r.terms for r in got if r.doc_id is not None)
 
 
+def test_terms_are_marked_wherever_they_stand(spark):
+    """The name stands 300 characters from the address, in one row near it; short names are names."""
+    far = "the letter goes on and on " * 12
+    rows = [(i, f"zoe@mail.org letter {i} {far} signed Zweistein Li 金") for i in range(4)]
+    rows += [(4, "zoe@mail.org letter Zweistein Kim the"), (5, "zoe@mail.org letter Kim the"), (6, "zoe@mail.org letter Kim the and on")]
+    rows += [(100 + i, f"the letter goes on and was signed by joe{i}@mail.org in {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [dict(rows)[r.doc_id][s.start:s.end] for s in r.terms] for r in pii.personal_data(df).collect()}
+    assert got[0] == got[3] == ["Zweistein", "Li", "金"]
+    assert got[4] == ["Zweistein", "Kim"] and got[5] == ["Kim"] and got[100] == []
+    clean = dict(tuple(r) for r in pii.sanitised(df).collect())
+    assert not any(w in clean[i] for i in range(7) for w in ("Zweistein", "Kim", "Li", "金", "zoe"))
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 def test_op10_query(spark, documents):
