@@ -43,10 +43,9 @@ def consolidate_by_key(lines: DataFrame, first_cols: Sequence[str], extra_keys:
 
 
 PR_FIRST = ["gstin_raw", "inv_orig", "doc_type", "vendor_name", "purchase_type"]
-# the 2B text columns the pair table reads; the consolidated 2B book is
-# written once, so columns nothing reads are left out of it (line-level
-# flags such as reverse charge and ITC availability are read from the lines)
-B2_FIRST = ["gstin_raw", "inv_orig", "inv_type", "note_type", "trade_name", "filing_period"]
+# every text column of the 2B landing book; later scans of the written table read the columns they need
+B2_FIRST = ["gstin_raw", "inv_orig", "inv_type", "note_type", "trade_name", "reverse_charge", "itc_availability",
+            "filing_date_raw", "filing_period", "supply_type"]
 
 
 def consolidate_pr(pr_lines_clean: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from ledgerweave.operators import consolidate as C
 from ledgerweave.operators import dashboard as DB
+from ledgerweave.operators import lines as L
 from ledgerweave.plans.reconcile import get_run
 
 
@@ -32,6 +33,20 @@ def test_consolidation_ignores_input_order(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_consolidated_2b_carries_every_text_column(spark):
+    """A1: first non-null in row order of each text column, against plain Python."""
+    run = get_run(spark, SF_SMALL)
+    cols = ["reverse_charge", "itc_availability", "filing_date_raw", "supply_type"]
+    want = {}
+    for r in C.keyed_rows(L.matchable_2b(run.b2_lines)).orderBy("row_no").collect():
+        first = want.setdefault((r.sheet, r.gst_key, r.inv_key), dict.fromkeys(cols))
+        for c in cols:
+            first[c] = r[c] if first[c] is None else first[c]
+    cons = run.b2_cons.where("not startswith(inv_key, '__CDNR_ROW__')").collect()
+    assert cons and all(want[r.sheet, r.gst_key, r.inv_key] == {c: r[c] for c in cols} for r in cons)
+    assert all(any(r[c] for r in cons) for c in cols)
+
+
 def test_pair_ids_are_dense_and_stable(spark):
     run = get_run(spark, SF_SMALL)
     ids = [r.pair_id for r in run.pairs.select("pair_id").collect()]
