@@ -117,7 +117,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """Per row of ``docs``: words, hit words, item ids found, hit runs in words and in code points.
 
     A null or empty text has no words and no hits; a null or empty item has
-    no window; items with equal ids count once; an empty benchmark leaves
+    no window; items without an id are left out, as in the SQL twin
+    (``uncontaminated`` reads them); items with equal ids count once; an empty benchmark leaves
     every document clean; repeated rows give repeated results.  Long texts
     are scanned whole.  The usual benchmark is one block and needs no
     shuffle; more blocks are scanned one after another, each written, and
@@ -145,9 +146,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS,
                    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, with every column."""
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"),
-                             benchmark[item_text_col].cast("string").alias("text")).where("item_id is not null")
+    """The rows of ``docs`` without a hit, with every column.
+
+    No result names an item here, so items without an id count too.
+    """
+    items = benchmark.select(F.coalesce(benchmark[item_col].cast("long"), F.lit(-1)).alias("item_id"),
+                             benchmark[item_text_col].cast("string").alias("text"))
     out, blocks = docs, benchmark_blocks(items, block_chars)
     block = next(blocks)
     while block is not None:

@@ -106,6 +106,14 @@ def test_decontaminate_odd_rows_and_blocks(spark, odd, empty, block_chars):
     assert rows_of(clean.select("doc_id")) == collections.Counter((k[0],) for k in want.elements() if not k[5])
 
 
+@pytest.mark.parametrize("block_chars", [4_000_000, 5])
+def test_items_without_an_id_contaminate(spark, odd, block_chars):
+    bench = spark.createDataFrame([(None, "fox jumps OVER the lazy dog and runs away from here"), (7, "nowhere else")],
+                                  "item_id long, text string")
+    clean = decontaminate.uncontaminated(odd, bench, block_chars=block_chars)
+    assert rows_of(clean.select("doc_id", "text")) == collections.Counter(r for r in ROWS if "fox" not in (r[1] or ""))
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 
 def every_path(own, text):
