@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from . import decontaminate as DEC
 from . import langid as LANG
+from . import neighbours as NEI
 from . import pieces as PIE
 from . import pii as PII
 from . import quality as QUA
@@ -16,6 +17,7 @@ from . import simhash as SIM
 from . import substring as SUB
 from . import tokens as TOK
 from . import toxicity as TOX
+from . import trie as TRI
 from .common import id_remainder
 
 
@@ -89,6 +91,15 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TOK.token_pack(_docs(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TRI.prefix_trie(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return NEI.nearest(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -100,10 +111,13 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_token_pack": op10_token_pack,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": DEC.oracle_sql(),
     "op4_quality": QUA.oracle_sql(),
     "op8_substring_dedup": SUB.oracle_sql(),
+    "op11_prefix_trie": TRI.oracle_sql(),
 }
