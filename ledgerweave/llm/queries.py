@@ -9,6 +9,7 @@ from ..sources.tables import read_table
 from . import decontaminate as DEC
 from . import langid as LANG
 from . import neighbours as NEI
+from . import phrases as PHR
 from . import pieces as PIE
 from . import pii as PII
 from . import quality as QUA
@@ -95,6 +96,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TRI.prefix_trie(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PHR.collocations(read_table(spark, sf_dir, "documents", ["lang", "text"]))
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return NEI.nearest(rows, F.col("vec_id") % 50 == 0)
@@ -112,6 +117,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_token_pack": op10_token_pack,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_neighbours": op13_neighbours,
 }
 
@@ -120,4 +126,5 @@ ORACLE: dict[str, str] = {
     "op4_quality": QUA.oracle_sql(),
     "op8_substring_dedup": SUB.oracle_sql(),
     "op11_prefix_trie": TRI.oracle_sql(),
+    "op12_collocations": PHR.oracle_sql(),
 }
