@@ -1,10 +1,17 @@
 """SentencePiece encoding and decoding: N best segmentations over the piece lattice.
 
-The pieces and scores come from a public model file; nothing is trained.  A
-segmentation's score is the sum of its pieces' scores.  A forward Viterbi
-pass gives every place of the lattice the best score of any path that leads
-to it; these are exact heuristics for an A* search that runs backwards from
-the end, so paths leave its queue in order of their full score.
+The pieces come from a public model file; nothing is trained.  A
+segmentation's score is the sum of its pieces' log-probabilities.  A unigram
+model has these; a BPE model has merge ranks instead, which stand for falling
+frequencies and are turned into log-probabilities by Zipf's rule, p in
+proportion to 1 / (1 + rank).  So the best segmentation is the likeliest one
+under that rule; the order of a BPE model's merges is not reproduced.  Scores
+are rounded to 1 / 65,536, which makes every sum of them exact, in whatever
+order it is added up.
+
+A forward Viterbi pass gives every place of the lattice the best score of any
+path that leads to it; these are exact heuristics for an A* search that runs
+backwards from the end, so paths leave its queue in order of their full score.
 
 Between two characters that never stand side by side in a piece every path
 has a boundary.  The lattice of a text is therefore a chain of independent
@@ -17,11 +24,13 @@ for long texts.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +47,8 @@ N_BEST = 3
 CACHE_WORDS = 800_000
 #: What an unknown character costs below the least piece score, as in the library.
 UNKNOWN_PENALTY = 10.0
+#: Scores are whole multiples of one part in so many.
+GRAIN = 1 << 16
 
 #: White space stays at the head of the word that follows; a line feed is a word of its own.
 _WORD = re.compile(r" +[^ \n]*|\n|[^ \n]+")
@@ -53,6 +64,14 @@ _NONE, _LEAST = float("inf"), float("-inf")
 _GAP, _UNGAP = struct.Struct("<d").pack, struct.Struct("<d").unpack
 
 
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """Piece scores as log-probabilities: whole numbers are merge ranks (0, -1, -2, ...), others are taken as they are."""
+    if all(s <= 0 and s == int(s) for s in scores.values()):
+        total = math.log(sum(1 / (1 - s) for s in scores.values()))
+        scores = {p: -math.log(1 - s) - total for p, s in scores.items()}
+    return {p: round(s * GRAIN) / GRAIN for p, s in scores.items()}
+
+
 class Lattice:
     """Vocabulary of a model file and the searches over its piece lattices."""
 
@@ -61,7 +80,7 @@ class Lattice:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.n_best = n_best
-        self.pieces: dict[str, tuple[int, float]] = {}
+        ids: dict[str, int] = {}
         self.byte_id: dict[int, int] = {}
         self.raw: list[bytes] = []  # what an id decodes to
         for i in range(model.vocab_size()):
@@ -72,10 +91,12 @@ class Lattice:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.raw.append(b"")
             else:
-                self.pieces[piece] = (i, model.get_score(i))
+                ids[piece] = i
                 self.raw.append(piece.replace(SPACE, " ").encode())
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte pieces, so unknown characters would be lost")
+        scores = log_probabilities({p: model.get_score(i) for p, i in ids.items()})
+        self.pieces: dict[str, tuple[int, float]] = {p: (i, scores[p]) for p, i in ids.items()}
         self.longest = max(map(len, self.pieces))
         #: every head of a piece; with ((id,), score) if it is a piece itself
         self.heads = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
@@ -90,6 +111,12 @@ class Lattice:
             self.score[i] = score
         for byte, i in self.byte_id.items():
             self.score[i] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown
+        #: finds all pieces of a word in one pass, by the place where they end
+        self.finder = ahocorasick.Automaton()
+        for piece, (i, score) in self.pieces.items():
+            self.finder.add_word(piece, (len(piece), score, i))
+        self.finder.make_automaton()
+        self.singles = frozenset(p for p in self.pieces if len(p) == 1)
         #: word -> gap between its best and second score (8 bytes), ids of its best segmentation (4 bytes each)
         self.known: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
@@ -128,21 +155,41 @@ class Lattice:
         With exact heuristics the search goes straight along the best path
         (of equal arcs the one met last); all it leaves in the queue are the
         other arcs into that path's places, and the best of them is second.
+        So the forward pass keeps two scores and one arc for every place.
         """
+        if not self.singles.issuperset(text):
+            return self._best_and_gap_of_any(text)
+        n = len(text)
+        best, second = [0.0] + [_LEAST] * n, [_LEAST] * (n + 1)
+        start, piece = [0] * (n + 1), [0] * (n + 1)
+        for end, (size, score, i) in self.finder.iter(text):
+            end += 1
+            at = end - size
+            score += best[at]
+            if score >= best[end]:
+                second[end], best[end], start[end], piece[end] = best[end], score, at, i
+            elif score > second[end]:
+                second[end] = score
+        at, path, gap = n, [], _NONE
+        while at:
+            if best[at] - second[at] < gap:
+                gap = best[at] - second[at]
+            path.append(piece[at])
+            at = start[at]
+        path.reverse()
+        return path, gap
+
+    def _best_and_gap_of_any(self, text: str) -> tuple[list[int], float]:
+        """The same where characters have no piece of their own."""
         best, arcs = self.forward(text)
         at, path, gap = len(text), [], _NONE
         while at:
-            whole, chosen = best[at], None
-            for arc in arcs[at]:
-                less = whole - arc[1] - best[arc[0]]
-                if less <= 0:
-                    if chosen is not None:
-                        gap = 0.0
-                    chosen = arc
-                elif less < gap:
-                    gap = less
-            path.append(chosen[2])
-            at = chosen[0]
+            ranked = sorted(((best[start] + gain, k) for k, (start, gain, _) in enumerate(arcs[at])), reverse=True)
+            top = ranked[0]
+            if len(ranked) > 1:
+                gap = min(gap, top[0] - ranked[1][0])
+            at, _, ids = arcs[at][top[1]]
+            path.append(ids)
         return [i for ids in reversed(path) for i in ids], gap
 
     def search(self, text: str) -> list[tuple[float, tuple[int, ...]]]:

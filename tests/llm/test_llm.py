@@ -704,3 +704,31 @@ def test_sql_twins(spark):
         order = [[d[0] for d in res.description].index(c) for c in df.columns]
         assert len(order) == len(res.description)
         assert rows_of(df) == collections.Counter(tuple(r[i] for i in order) for r in res.fetchall()), name
+
+
+# -- 2, scores -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n_best", [1, 3])
+def test_pieces_with_fractional_scores(monkeypatch, n_best, documents):
+    """Logarithms of a unigram model: the best arc is kept by the forward pass, not found again by subtraction."""
+    rnd = random.Random(4)
+    monkeypatch.setattr(pieces, "log_probabilities", lambda s: {p: round(-rnd.uniform(2, 14) * pieces.GRAIN) / pieces.GRAIN for p in s})
+    own = pieces.Lattice(pieces.default_model(), n_best)
+    for _ in range(60):
+        text = "".join(rnd.choice("the on a,.éñ▁ \n東😀") for _ in range(rnd.randint(1, 9)))
+        found, score, others = own.encode(text)
+        paths = every_path(own, (" " + text).replace("▁", "\udc81").replace(" ", "▁"))
+        got = [(score, tuple(found.tolist()))] + [(s, tuple(pieces.apply_edits(found.tolist(), e))) for s, e in others]
+        assert [s for s, _ in got] == [s for s, _ in paths[:n_best]] and set(got) <= set(paths)
+    for _, text in documents:
+        assert own.decode(own.encode(text)[0].tolist()) == (text or "")
+
+
+def test_merge_ranks_become_log_probabilities():
+    got = pieces.log_probabilities({"a": 0.0, "b": -1.0, "c": -2.0})
+    total = 1 + 1 / 2 + 1 / 3
+    assert [got[p] for p in "abc"] == pytest.approx([np.log(1 / total), np.log(1 / 2 / total), np.log(1 / 3 / total)], abs=1 / pieces.GRAIN)
+    assert pieces.log_probabilities({"a": -1.5, "b": -2.25}) == {"a": -1.5, "b": -2.25}
+    own = pieces.Lattice(pieces.default_model(), 1)
+    assert [own.raw[i] for i in own.encode("understanding reconciliation")[0]] == [b" understanding", b" reconc", b"iliation"]
