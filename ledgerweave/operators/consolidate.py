@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..sources.scratch import materialize
-from .lines import AMOUNTS, keyed_rows
+from .lines import amounts_of, keyed_rows
 from .ordinal import dense_ordinal
 
 KEY = ["gst_key", "inv_key"]
@@ -30,10 +30,11 @@ def first_non_null(col: str, order_col: str = "row_no"):
 
 
 def consolidate_by_key(lines: DataFrame, first_cols: Sequence[str], extra_keys: Sequence[str] = (),
-                       sums: Sequence[str] = tuple(AMOUNTS)) -> DataFrame:
-    """A1: F2, F3, then group by key: sum amounts, earliest date, first
-    non-null of every other column, first sheet row."""
+                       sums: Sequence[str] | None = None) -> DataFrame:
+    """A1: F2, F3, then group by key: sum amounts (all that the book has),
+    earliest date, first non-null of every other column, first sheet row."""
     rows = keyed_rows(lines)
+    sums = amounts_of(lines.columns) if sums is None else sums
     aggs = [F.sum(c).cast("decimal(38,2)").alias(c) for c in sums]
     aggs.append(F.min("inv_date").alias("inv_date"))
     aggs += [first_non_null(c).alias(c) for c in first_cols]

@@ -13,6 +13,8 @@ from ..functions import normalize as N
 from ..sources.derived import B2_COLUMNS, PR_COLUMNS, SHEET_B2B, SHEET_CDNR, SHEET_IMPG
 
 AMOUNTS = ["taxable", "cgst", "sgst", "igst"]
+#: Amounts a book may have besides; a landing table that has the column carries and sums it.
+MORE_AMOUNTS = ["total_tax", "invoice_value", "cess"]
 
 # Import / overseas wording (F1), reverse-charge and ineligible
 # answers (F4, F5), debit wording that keeps a note positive (G1).
@@ -55,6 +57,11 @@ def debit_row(cols: list[str]) -> Column:
     return hit
 
 
+def amounts_of(columns: list[str]) -> list[str]:
+    """The amounts of a book: the four of every book and those of ``MORE_AMOUNTS`` that its landing columns hold."""
+    return [*AMOUNTS, *[a for a in MORE_AMOUNTS if f"{a}_raw" in columns]]
+
+
 def _drop_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_t_")])
 
@@ -62,19 +69,20 @@ def _drop_helpers(df: DataFrame) -> DataFrame:
 def typed_pr_lines(pr_rows: DataFrame) -> DataFrame:
     """Purchase register rows plus keys, typed date and amounts and the
     F1/F2/F3 flags (every input column is kept)."""
+    amounts = amounts_of(pr_rows.columns)
     step = pr_rows.select(
         "*",
         N.norm_text("gstin_raw").alias("_t_g"),
         N.norm_text("inv_raw").alias("inv_orig"),
         N.trimmed("date_raw").alias("_t_d"),
-        *[N.norm_text(f"{a}_raw").alias(f"_t_{a}") for a in AMOUNTS],
+        *[N.norm_text(f"{a}_raw").alias(f"_t_{a}") for a in amounts],
     )
     step = N.with_invoice_key(step, "inv_orig", "inv_key")
     out = step.select(
         "*",
         N.drop_ws(F.upper("_t_g")).alias("gst_key"),
         N.parse_date_text("_t_d").alias("inv_date"),
-        *[N.parse_amount_text(f"_t_{a}").alias(a) for a in AMOUNTS],
+        *[N.parse_amount_text(f"_t_{a}").alias(a) for a in amounts],
         is_import(F.col("purchase_type")).alias("is_import"),
         (N.is_total_label("gstin_raw") | N.is_total_label("inv_raw")).alias("is_total"),
     )
@@ -85,20 +93,22 @@ def typed_b2_rows(b2_rows: DataFrame) -> DataFrame:
     """2B rows (B2B, CDNR, IMPG) plus keys, typed values, G1 signs on
     credit/debit notes and the F1/F4/F5 flags (every input column is kept;
     blank rows are typed too and dropped by ``typed_b2_lines``)."""
+    amounts = amounts_of(b2_rows.columns)
+    cells = [c for c in B2_COLUMNS if c in b2_rows.columns]
     step = b2_rows.select(
         "*",
         N.norm_text("gstin_raw").alias("_t_g"),
         N.norm_text("inv_raw").alias("inv_orig"),
         N.trimmed("date_raw").alias("_t_d"),
         N.trimmed("filing_date_raw").alias("_t_fd"),
-        *[N.norm_text(f"{a}_raw").alias(f"_t_{a}") for a in AMOUNTS],
-        debit_row(B2_COLUMNS + ["sheet"]).alias("_t_debit"),
+        *[N.norm_text(f"{a}_raw").alias(f"_t_{a}") for a in amounts],
+        debit_row(cells + ["sheet"]).alias("_t_debit"),
     )
     step = N.with_invoice_key(step, "inv_orig", "inv_key")
-    step = step.select("*", *[N.parse_amount_text(f"_t_{a}").alias(f"_t_{a}_v") for a in AMOUNTS])
+    step = step.select("*", *[N.parse_amount_text(f"_t_{a}").alias(f"_t_{a}_v") for a in amounts])
     is_cdnr = F.col("sheet") == SHEET_CDNR
     signed = []
-    for a in AMOUNTS:
+    for a in amounts:
         v = F.col(f"_t_{a}_v")
         signed.append(F.when(is_cdnr, F.when(F.col("_t_debit"), F.abs(v)).otherwise(-F.abs(v))).otherwise(v).alias(a))
     out = step.select(
@@ -111,7 +121,7 @@ def typed_b2_rows(b2_rows: DataFrame) -> DataFrame:
         (N.is_total_label("gstin_raw") | N.is_total_label("inv_raw")).alias("is_total"),
         _lower_trim_text(F.col("reverse_charge")).isin(*RCM_YES).alias("rcm_yes"),
         _lower_trim_text(F.col("itc_availability")).isin(*ITC_NO).alias("itc_no"),
-        is_blank_row(B2_COLUMNS).alias("is_blank"),
+        is_blank_row(cells).alias("is_blank"),
     )
     return _drop_helpers(out)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from .consolidate import KEY
-from .lines import AMOUNTS
+from .lines import AMOUNTS, MORE_AMOUNTS
 from ..sources.scratch import materialize
 from .ordinal import rank_in_group
 
@@ -41,12 +41,18 @@ REASON_GSTIN = "GSTIN"
 REASON_INVOICE = "Invoice No"
 REASON_TYPOS = "Typos"
 
-PR_VALUES = ["pr_gstin", "pr_inv", "pr_date", *[f"pr_{a}" for a in AMOUNTS], "pr_doc_type",
+ALL_AMOUNTS = [*AMOUNTS, *MORE_AMOUNTS]
+PR_VALUES = ["pr_gstin", "pr_inv", "pr_date", *[f"pr_{a}" for a in ALL_AMOUNTS], "pr_doc_type",
              "pr_vendor_name", "pr_first_row"]
-B2_VALUES = ["b2_gstin", "b2_inv", "b2_date", *[f"b2_{a}" for a in AMOUNTS], "b2_inv_type", "b2_note_type",
+B2_VALUES = ["b2_gstin", "b2_inv", "b2_date", *[f"b2_{a}" for a in ALL_AMOUNTS], "b2_inv_type", "b2_note_type",
              "b2_trade_name", "b2_filing_period", "b2_first_row"]
-# 2B values that can be missing in one sheet and present in the other
-B2_FILLABLE = ["b2_inv_type", "b2_note_type", "b2_trade_name", "b2_filing_period"]
+# Every 2B column but the sums and counts, which are never missing (nor is a PR column: a key has one PR row)
+B2_FILLABLE = [c for c in B2_VALUES if c.removeprefix("b2_") not in (*ALL_AMOUNTS, "first_row")]
+
+
+def _amounts(cons: DataFrame, prefix: str) -> list[Column]:
+    """The sums under their side's names; null for an amount that the book does not have."""
+    return [(F.col(a) if a in cons.columns else F.lit(None).cast("decimal(38,2)")).alias(f"{prefix}_{a}") for a in ALL_AMOUNTS]
 
 
 def suffix_pr(pr_cons: DataFrame) -> DataFrame:
@@ -54,33 +60,30 @@ def suffix_pr(pr_cons: DataFrame) -> DataFrame:
     return pr_cons.select(
         *KEY, F.lit(True).alias("pr_exists"),
         F.col("gstin_raw").alias("pr_gstin"), F.col("inv_orig").alias("pr_inv"), F.col("inv_date").alias("pr_date"),
-        *[F.col(a).alias(f"pr_{a}") for a in AMOUNTS],
+        *_amounts(pr_cons, "pr"),
         F.col("doc_type").alias("pr_doc_type"), F.col("vendor_name").alias("pr_vendor_name"),
         F.col("first_row").alias("pr_first_row"))
 
 
 def suffix_2b(b2_cons: DataFrame) -> DataFrame:
-    """P1 for the 2B side, plus the W1 sibling values of the same key."""
+    """P1 for the 2B side, plus the W1 sibling values of the same key (of two rows, the only value there is)."""
     b2 = b2_cons.select(
         *KEY, "sheet",
         F.when(F.col("sheet") == "B2B", F.lit(0)).otherwise(F.lit(1)).alias("sheet_rank"),
         F.col("gstin_raw").alias("b2_gstin"), F.col("inv_orig").alias("b2_inv"), F.col("inv_date").alias("b2_date"),
-        *[F.col(a).alias(f"b2_{a}") for a in AMOUNTS],
+        *_amounts(b2_cons, "b2"),
         F.col("inv_type").alias("b2_inv_type"), F.col("note_type").alias("b2_note_type"),
         F.col("trade_name").alias("b2_trade_name"), F.col("filing_period").alias("b2_filing_period"),
         F.col("first_row").alias("b2_first_row"))
     w = Window.partitionBy(*KEY)
-    b2 = b2.withColumn("b2_parts", F.count(F.lit(1)).over(w))
-    for c in B2_FILLABLE:
-        b2 = b2.withColumn(f"{c}__sib", F.first(F.col(c), ignorenulls=True).over(w))
-    return b2
+    return b2.select("*", F.count(F.lit(1)).over(w).alias("b2_parts"),
+                     *[F.max(c).over(w).alias(f"{c}__sib") for c in B2_FILLABLE])
 
 
 def _use_siblings(df: DataFrame, when: Column) -> DataFrame:
     """ffill/bfill inside the key = take the sibling's value where missing."""
-    for c in B2_FILLABLE:
-        df = df.withColumn(c, F.when(when, F.coalesce(F.col(c), F.col(f"{c}__sib"))).otherwise(F.col(c)))
-    return df.drop(*[f"{c}__sib" for c in B2_FILLABLE])
+    filled = {c: F.when(when, F.coalesce(F.col(c), F.col(f"{c}__sib"))).otherwise(F.col(c)) for c in B2_FILLABLE}
+    return df.withColumns(filled).drop(*[f"{c}__sib" for c in B2_FILLABLE])
 
 
 def outer_join(pr: DataFrame, b2: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ best column per (table, role) is one aggregation with ``max_by``.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +76,9 @@ INVOICE_SKIP_WORDS = ["gstin", "gst", "tax", "cgst", "sgst", "igst", "amount", "
                       "recipient", "buyer", "customer", "date", "period"]
 REGEX_ROLES = {"note_number": r"\bnote\s*number\b", "note_date": r"\bnote\s*date\b", "igst": "igst|integrated",
                "cgst": "cgst|central", "sgst": "sgst|state|utgst"}
+# Pools in the order they are tried.
+FIRST_POOLS = {"igst": ["igst_2b"], "cgst": ["cgst_2b"], "sgst": ["sgst_2b"], "number": ["note_no_2b", "invoice_2b"],
+               "day": ["note_date_2b", "date_2b"], "value": ["invoice_value_2b", "taxable_2b", "total_tax_2b"]}
 NOTE_FILL_MIN = 0.30
 PROFILE_SAMPLE = 500
 # ---------------------------------------------------------------------------
@@ -101,6 +106,9 @@ B2_ROLES = {
     "note_type": ("note_type_2b", None, None),
     "inv_type": ("inv_type", None, None),
 }
+# Notes are found like invoices, under their own terms.
+CDNR_ROLES = {**B2_ROLES, "gstin": ("gstin_cdnr", None, None)}
+KIND_ROLES = {"PR": PR_ROLES, "2B": B2_ROLES, "CDNR": CDNR_ROLES}
 
 
 def norm_term(s: str) -> str:
@@ -179,16 +187,28 @@ def best_per_role(scored: DataFrame) -> DataFrame:
             .where(F.col("score") > 0))
 
 
-def match_columns(cleaned: DataFrame) -> DataFrame:
-    """C2 for every role of both table kinds: (table_id, kind, role, column, score)."""
-    pr = best_per_role(_explode_roles(cleaned, "PR", PR_ROLES, {"invoice": PR_INVOICE_PENALTIES}))
-    b2 = best_per_role(_explode_roles(cleaned, "2B", B2_ROLES))
-    return pr.withColumn("kind", F.lit("PR")).unionByName(b2.withColumn("kind", F.lit("2B")))
+def match_columns(cleaned: DataFrame, kinds: Sequence[str] = ("PR", "2B")) -> DataFrame:
+    """C2 for every role of the table kinds: (table_id, kind, role, column, score)."""
+    parts = [best_per_role(_explode_roles(cleaned, kind, KIND_ROLES[kind], {"invoice": PR_INVOICE_PENALTIES} if kind == "PR" else None))
+             .withColumn("kind", F.lit(kind)) for kind in kinds]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _pool_pick(cleaned: DataFrame, kind: str, pools: dict[str, list[str]]) -> DataFrame:
-    roles = {name: (lst, None, None) for name, lst in pools.items()}
-    return best_per_role(_explode_roles(cleaned, kind, roles))
+def _of_side(cleaned: DataFrame, kind: str) -> DataFrame:
+    """The tables of one side: PR, or every 2B sheet."""
+    return cleaned.where(F.col("kind") == "PR") if kind == "PR" else cleaned.where(F.col("kind") != "PR")
+
+
+def pool_columns(cleaned: DataFrame, pools: Mapping[str, Sequence[Sequence[str]]]) -> DataFrame:
+    """(table_id, role, column) from ordered pools of terms: the first pool
+    with a hit gives the column, inside a pool the best score wins, then the
+    earliest column.  Pool and score are one rank of one aggregation."""
+    n = F.col("norm")
+    scored = [F.struct(F.lit(role).alias("role"), F.lit(-k).alias("pool"), role_score(n, [norm_term(t) for t in terms], [], []).alias("score"))
+              for role, lists in pools.items() for k, terms in enumerate(lists)]
+    hits = cleaned.select("table_id", "pos", "column", F.explode(F.array(*scored)).alias("r")).where("r.score > 0")
+    return hits.groupBy("table_id", F.col("r.role").alias("role")).agg(
+        F.max_by("column", F.struct("r.pool", "r.score", -F.col("pos"))).alias("column"))
 
 
 def match_by_regex(cleaned: DataFrame) -> DataFrame:
@@ -200,13 +220,12 @@ def match_by_regex(cleaned: DataFrame) -> DataFrame:
 
 
 def first_pool(cleaned: DataFrame) -> DataFrame:
-    """C3 (tax columns of a 2B sheet): first pool hit (C2 on the list), else
-    the C4 pattern."""
-    picks = _pool_pick(cleaned, "2B", {"igst": "igst_2b", "cgst": "cgst_2b", "sgst": "sgst_2b"})
+    """C3 over the ordered pools of ``FIRST_POOLS`` (2B sheets); a tax column that no pool finds comes from the C4 pattern."""
+    picks = pool_columns(_of_side(cleaned, "2B"), {r: [ROLE_LISTS[x] for x in lists] for r, lists in FIRST_POOLS.items()})
     rx = match_by_regex(cleaned).where(F.col("pattern").isin("igst", "cgst", "sgst")) \
         .select("table_id", F.col("pattern").alias("role"), F.col("column").alias("rx_column"))
-    tables = cleaned.where(F.col("kind") == "2B").select("table_id").distinct()
-    roles = tables.select("table_id", F.explode(F.array(F.lit("igst"), F.lit("cgst"), F.lit("sgst"))).alias("role"))
+    tables = _of_side(cleaned, "2B").select("table_id").distinct()
+    roles = tables.select("table_id", F.explode(F.array(*[F.lit(r) for r in FIRST_POOLS])).alias("role"))
     out = roles.join(picks.select("table_id", "role", "column"), ["table_id", "role"], "left") \
         .join(rx, ["table_id", "role"], "left")
     return out.select("table_id", "role", F.coalesce("column", "rx_column").alias("column"))
@@ -226,7 +245,7 @@ def match_by_keyword(cleaned: DataFrame) -> DataFrame:
         "filing_date_loose": low.contains("filing") & low.contains("date") & ~low.contains("period"),
     }
     hits = [F.struct(F.lit(k).alias("rule"), v.alias("hit")) for k, v in rules.items()]
-    x = cleaned.where(F.col("kind") == "2B").select("table_id", "pos", "column", F.explode(F.array(*hits)).alias("h")) \
+    x = _of_side(cleaned, "2B").select("table_id", "pos", "column", F.explode(F.array(*hits)).alias("h")) \
         .where("h.hit")
     firsts = x.groupBy("table_id").pivot("h.rule", list(rules)).agg(F.min_by("column", "pos"))
     return firsts.select(
@@ -272,8 +291,7 @@ def match_name_column(cleaned: DataFrame) -> DataFrame:
         cands = [norm_term(t + suffix) for lst in lists for t in ROLE_LISTS[lst]]
         n = header_norm(F.concat(F.col("column"), F.lit(suffix)))
         s = _name_score(n, cands, bonus)
-        scored = cleaned.where(F.col("kind") == kind).select("table_id", "pos", "column", F.lit(role).alias("role"),
-                                                              s.alias("score"))
+        scored = _of_side(cleaned, kind).select("table_id", "pos", "column", F.lit(role).alias("role"), s.alias("score"))
         out.append(best_per_role(scored))
     res = out[0]
     for o in out[1:]:
@@ -347,31 +365,35 @@ def derived_selections(cleaned: DataFrame) -> DataFrame:
     return t.select("table_id", F.lit("invoice").alias("role"), F.lit("  bill   NO ").alias("choice"))
 
 
-def resolve_roles(cleaned: DataFrame, sample: DataFrame) -> DataFrame:
+def resolve_roles(cleaned: DataFrame, sample: DataFrame, selections: DataFrame | None = None,
+                  kinds: Sequence[str] = ("PR", "2B")) -> DataFrame:
     """person's choice (soft-name equal) -> C2 -> value profile (gstin,
-    invoice of the purchase register); for CDNR the C4 note patterns win."""
-    c2 = match_columns(cleaned).select("table_id", "kind", "role", F.col("column").alias("by_name"))
-    sel = derived_selections(cleaned)
-    soft_choice = F.lower(F.trim(F.regexp_replace(F.col("choice"), r"\s+", " ")))
+    invoice of the purchase register); of notes the C4 patterns win over all.
+
+    ``selections`` is (table_id, role, choice); without it the choices of the
+    derived uploads count.  Values are read of the tables only in which
+    neither a choice nor a name tells the column."""
+    c2 = match_columns(cleaned, kinds).select("table_id", "kind", "role", F.col("column").alias("by_name"))
+    sel = derived_selections(cleaned) if selections is None else selections
+    soft_choice = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.col("choice"), N.NBSP, " "), r"\s+", " ")))
     chosen = (sel.withColumn("soft", soft_choice)
               .join(soft_names(cleaned), ["table_id", "soft"], "inner")
               .select("table_id", "role", F.col("column").alias("by_choice")))
-    shares = profile_shares(sample)
+    rx = match_by_regex(cleaned).where(F.col("pattern").isin("note_number", "note_date")).select(
+        "table_id", F.when(F.col("pattern") == "note_number", F.lit("note_no")).otherwise(F.lit("note_date"))
+        .alias("role"), F.col("column").alias("by_pattern"))
+    tables = cleaned.select("table_id", "kind").distinct()
+    roles_of = reduce(lambda e, kind: e.when(F.col("kind") == kind, F.array(*[F.lit(r) for r in KIND_ROLES[kind]])), kinds, F)
+    grid = tables.select("table_id", "kind", F.explode(roles_of).alias("role"))
+    named = (grid.join(c2, ["table_id", "kind", "role"], "left").join(chosen, ["table_id", "role"], "left"))
+    unknown = named.where((F.col("kind") == "PR") & F.col("role").isin("gstin", "invoice")
+                          & F.coalesce("by_choice", "by_name").isNull()).select("table_id").distinct()
+    shares = profile_shares(sample.join(unknown, "table_id", "left_semi"))
     gv = profile_gstin(cleaned.where(F.col("kind") == "PR"), shares).select(
         "table_id", F.lit("gstin").alias("role"), F.col("column").alias("by_value"))
     iv = profile_invoice(cleaned.where(F.col("kind") == "PR"), shares).select(
         "table_id", F.lit("invoice").alias("role"), F.col("column").alias("by_value"))
-    rx = match_by_regex(cleaned).where(F.col("pattern").isin("note_number", "note_date")).select(
-        "table_id", F.when(F.col("pattern") == "note_number", F.lit("note_no")).otherwise(F.lit("note_date"))
-        .alias("role"), F.col("column").alias("by_pattern"))
-    kinds = cleaned.select("table_id", "kind").distinct()
-    grid = kinds.select("table_id", "kind", F.explode(
-        F.when(F.col("kind") == "PR", F.array(*[F.lit(r) for r in PR_ROLES]))
-        .otherwise(F.array(*[F.lit(r) for r in B2_ROLES]))).alias("role"))
-    out = (grid.join(c2, ["table_id", "kind", "role"], "left")
-           .join(chosen, ["table_id", "role"], "left")
-           .join(gv.unionByName(iv), ["table_id", "role"], "left")
-           .join(rx, ["table_id", "role"], "left"))
+    out = (named.join(gv.unionByName(iv), ["table_id", "role"], "left").join(rx, ["table_id", "role"], "left"))
     col = F.coalesce("by_pattern", "by_choice", "by_name", F.when(F.col("kind") == "PR", F.col("by_value")))
     return out.select("table_id", "kind", "role", col.alias("column"))
 
@@ -399,15 +421,22 @@ NUMERIC_POOLS = {"2B": ["taxable_2b", "total_tax_2b", "invoice_value_2b", "cess_
                  "PR": ["taxable_pr", "total_tax_pr", "invoice_value_pr", "cess_pr"]}
 
 
+#: The amounts the pools stand for, in their order.
+AMOUNT_ROLES = ["taxable", "total_tax", "invoice_value", "cess"]
+
+
+def amount_columns(cleaned: DataFrame) -> DataFrame:
+    """(table_id, role, column) of the amounts besides the three taxes, as far as a table has them."""
+    parts = [pool_columns(_of_side(cleaned, kind), {role: [ROLE_LISTS[lst]] for role, lst in zip(AMOUNT_ROLES, lists)})
+             for kind, lists in NUMERIC_POOLS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def numeric_roles(cleaned: DataFrame, resolved: DataFrame) -> DataFrame:
     """The columns to sum: first hit of each amount pool, then the three
     tax columns when not already listed."""
-    parts = []
-    for kind, pools in NUMERIC_POOLS.items():
-        roles = {f"{i}_{p}": (p, None, None) for i, p in enumerate(pools)}
-        picked = best_per_role(_explode_roles(cleaned, kind, roles))
-        parts.append(picked.select("table_id", F.col("role").substr(1, 1).cast("int").alias("k"), "column"))
-    pools = parts[0].unionByName(parts[1])
+    place = F.array_position(F.array(*[F.lit(a) for a in AMOUNT_ROLES]), F.col("role")).cast("int") - 1
+    pools = amount_columns(cleaned).select("table_id", place.alias("k"), "column")
     taxes = resolved.where(F.col("role").isin("cgst", "sgst", "igst")).where(F.col("column").isNotNull()).select(
         "table_id", F.when(F.col("role") == "cgst", F.lit(4)).when(F.col("role") == "sgst", F.lit(5))
         .otherwise(F.lit(6)).alias("k"), "column")
@@ -427,3 +456,46 @@ def role_dictionary_usage(cleaned: DataFrame) -> DataFrame:
     counts = cleaned.groupBy(F.col("norm").alias("norm_term")).agg(F.count(F.lit(1)).alias("n_columns"))
     return d.join(counts, "norm_term", "left").select(
         "list_name", "pos", "term", "norm_term", F.coalesce("n_columns", F.lit(0)).cast("bigint").alias("n_columns"))
+
+
+# ------------------------------------------------------------------- roles to rows
+def all_roles(cleaned: DataFrame, cells: DataFrame, selections: DataFrame) -> DataFrame:
+    """(table_id, role, pos): the place of every role's column in every table, for tables of the kinds PR, 2B and CDNR.
+
+    C10 with the choices handed in, C11 for the note column, C5-C7 and C12
+    for the columns that nobody chooses.  In a note table the note's number
+    and date stand for the invoice's.  ``cells`` is (table_id, pos, value).
+    """
+    kinds = tuple(KIND_ROLES)
+    resolved = resolve_roles(cleaned, present_values(cells, cleaned), selections, kinds).where("column is not null")
+    notes = cleaned.where(F.col("kind") == "CDNR")
+    best = best_note_column(notes, cells.join(notes.select("table_id").distinct(), "table_id", "left_semi"),
+                            resolved.where(F.col("kind") == "CDNR")).select("table_id", F.lit("note_no").alias("role"), F.col("note_column").alias("column"))
+    mine = resolved.where(~((F.col("kind") == "CDNR") & F.col("role").isin("note_no", "invoice", "date"))).select("table_id", "role", "column")
+    as_invoice = F.when(F.col("role") == "note_no", F.lit("invoice")).when(F.col("role") == "note_date", F.lit("date")).otherwise(F.col("role"))
+    roles = mine.unionByName(best).join(cleaned.select("table_id", "kind").distinct(), "table_id").select(
+        "table_id", F.when(F.col("kind") == "CDNR", as_invoice).otherwise(F.col("role")).alias("role"), "column")
+    named = match_name_column(cleaned).select(
+        "table_id", F.when(F.col("role") == "vendor_name", F.lit("name")).otherwise(F.lit("filing_period")).alias("role"), "column")
+    words = match_by_keyword(cleaned).select("table_id", F.expr(
+        "stack(3, 'itc', itc_column, 'reverse_charge', reverse_charge_column, 'filing_date', filing_date_column) as (role, column)"))
+    types = match_import_type(cleaned).select("table_id", F.lit("import_type").alias("role"), F.col("type_column").alias("column"))
+    every = reduce(DataFrame.unionByName, [roles, named, words, types, amount_columns(cleaned)]).where("column is not null")
+    places = cleaned.groupBy("table_id", "column").agg(F.min("pos").alias("pos"))
+    return every.join(places, ["table_id", "column"]).select("table_id", "role", "pos")
+
+
+def role_maps(roles: DataFrame) -> DataFrame:
+    """(table_id, roles MAP<role, pos>): one row a table."""
+    return roles.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "pos"))).alias("roles"))
+
+
+def land(rows: DataFrame, maps: DataFrame, landing: Mapping[str, str]) -> DataFrame:
+    """The cells of any number of tables under the landing columns, by each table's own map.
+
+    ``rows`` has (table_id, cells, ...); ``landing`` names the column of a
+    role.  The maps are one row a table: AQE broadcasts them by their bytes
+    or splits a large table's partition.
+    """
+    cell = {c: F.get("cells", F.try_element_at("roles", F.lit(role))) for role, c in landing.items()}
+    return rows.join(maps, "table_id").select(*[c for c in rows.columns if c != "cells"], *[v.alias(c) for c, v in cell.items()])

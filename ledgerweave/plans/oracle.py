@@ -12,11 +12,13 @@ from ..functions.normalize import FY_HEAD_PATTERN, FY_TAIL_PATTERN, GSTIN_PATTER
 
 LINE_ORDER = "ok, ln, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
 PR_COLS = ["gstin_raw", "inv_raw", "date_raw", "doc_type", "vendor_name", "purchase_type",
-           "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw"]
+           "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw", "invoice_value_raw", "cess_raw"]
 B2_COLS = ["gstin_raw", "inv_raw", "date_raw", "inv_type", "note_type", "trade_name", "reverse_charge",
            "itc_availability", "filing_date_raw", "filing_period", "supply_type",
-           "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw"]
+           "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw", "total_tax_raw", "invoice_value_raw", "cess_raw"]
 AMOUNTS = ["taxable", "cgst", "sgst", "igst"]
+PR_AMOUNTS = [*AMOUNTS, "invoice_value", "cess"]
+B2_AMOUNTS = [*AMOUNTS, "total_tax", "invoice_value", "cess"]
 MONEY = "DECIMAL(38,2)"
 
 
@@ -124,11 +126,17 @@ base0 AS (
   LEFT JOIN supplier s ON s.s_suppkey = v.vendor
 ),
 base1 AS (SELECT *, round(taxable0 * CAST(l_tax AS DECIMAL(4,2)), 2) AS tax FROM base0),
-base AS (
+base2 AS (
   SELECT *, CAST(taxable0 AS {MONEY}) AS taxable,
+         CAST(CASE WHEN ok % 6 = 0 THEN round(taxable0 * CAST(0.01 AS DECIMAL(3,2)), 2) ELSE 0 END AS {MONEY}) AS cess,
          CAST(CASE WHEN intra = 0 THEN round(tax * CAST(0.5 AS DECIMAL(2,1)), 2) ELSE 0 END AS {MONEY}) AS cgst,
          CAST(CASE WHEN intra = 1 THEN tax ELSE 0 END AS {MONEY}) AS igst
   FROM base1
+),
+base AS (
+  SELECT *, CAST(2 * cgst + igst + cess AS {MONEY}) AS total_tax,
+         CAST(taxable + 2 * cgst + igst + cess AS {MONEY}) AS invoice_value
+  FROM base2
 )"""
 
 
@@ -152,7 +160,8 @@ pr_land0 AS (
          WHEN ok % 2 = 0 THEN gstin END AS vendor_name,
     CASE WHEN ok % 31 = 0 THEN 'Import of goods' ELSE 'Local' END AS purchase_type,
     {_pr_amt('taxable')} AS taxable_raw, {_pr_amt('cgst')} AS cgst_raw, {_pr_amt('cgst')} AS sgst_raw,
-    {_pr_amt('igst')} AS igst_raw,
+    {_pr_amt('igst')} AS igst_raw, CASE WHEN ln % 4 <> 0 THEN {_pr_amt('invoice_value')} END AS invoice_value_raw,
+    {_pr_amt('cess')} AS cess_raw,
     (ok % 61 = 0 AND ln = 3) AS blank
   FROM base WHERE ok % 20 <> 3
 ),
@@ -168,7 +177,8 @@ b2_land0 AS (
     CASE WHEN ok % 17 = 0 THEN replace(gstin, 'F1Z', 'FIZ') ELSE gstin END AS gstin_raw,
     CASE WHEN is_cdnr AND ok % 47 = 0 THEN '/24-25' WHEN is_cdnr AND ok % 53 = 0 THEN inv WHEN is_cdnr THEN 'CN/' || CAST(ok AS VARCHAR)
          WHEN ok % 17 = 0 THEN 'INV-' || CAST(ok AS VARCHAR) ELSE inv END AS inv_raw,
-    strftime(CASE WHEN ok % 13 = 0 THEN inv_date + 1 ELSE inv_date END, '%d-%m-%Y') AS date_raw,
+    CASE WHEN is_cdnr AND ok % 53 = 0 AND ok % 3 = 0 THEN NULL
+         ELSE strftime(CASE WHEN ok % 13 = 0 THEN inv_date + 1 ELSE inv_date END, '%d-%m-%Y') END AS date_raw,
     CASE WHEN is_cdnr AND ok % 8 = 1 THEN NULL
          WHEN is_cdnr THEN (CASE WHEN ok % 3 = 0 THEN 'Debit Note' ELSE 'Credit Note' END) ELSE 'Regular' END AS inv_type,
     CASE WHEN is_cdnr THEN (CASE WHEN ok % 3 = 0 THEN 'Debit Note' ELSE 'Credit Note' END) END AS note_type,
@@ -182,13 +192,16 @@ b2_land0 AS (
     {money_text("(cgst + CASE WHEN ok % 11 = 0 THEN 5 ELSE 0 END) * CASE WHEN is_cdnr THEN -1 ELSE 1 END")} AS cgst_raw,
     {money_text("cgst * CASE WHEN is_cdnr THEN -1 ELSE 1 END")} AS sgst_raw,
     {money_text("igst * CASE WHEN is_cdnr THEN -1 ELSE 1 END")} AS igst_raw,
+    {money_text("total_tax * CASE WHEN is_cdnr THEN -1 ELSE 1 END")} AS total_tax_raw,
+    {money_text("invoice_value * CASE WHEN is_cdnr THEN -1 ELSE 1 END")} AS invoice_value_raw,
+    {money_text("cess * CASE WHEN is_cdnr THEN -1 ELSE 1 END")} AS cess_raw,
     (ok % 67 = 0 AND ln = 2) AS blank
   FROM base WHERE ok % 20 <> 7
   UNION ALL
   SELECT 'IMPG' AS sheet, {LINE_ORDER},
     NULL, 'BOE' || CAST(ok AS VARCHAR) || '-' || CAST(ln AS VARCHAR), strftime(inv_date, '%d-%m-%Y'),
     NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Import of goods',
-    {money_text("taxable")}, NULL, NULL, {money_text("tax")}, FALSE
+    {money_text("taxable")}, NULL, NULL, {money_text("tax")}, NULL, {money_text("taxable + tax")}, NULL, FALSE
   FROM base WHERE ok % 37 = 0 AND l_linestatus = 'O'
 ),
 b2_land AS (
@@ -203,7 +216,7 @@ _INV_V, _INV_FIN = inv_steps("inv_orig")
 PR_LINES = f"""
 pr_lines0 AS (
   SELECT *, {nt('inv_raw')} AS inv_orig, {nt('gstin_raw')} AS _g, {trim_ws('date_raw')} AS _d,
-         {", ".join(f"{nt(a + '_raw')} AS _{a}" for a in AMOUNTS)}
+         {", ".join(f"{nt(a + '_raw')} AS _{a}" for a in PR_AMOUNTS)}
   FROM pr_land
 ),
 pr_lines1 AS (SELECT *, {_INV_V} AS _iv FROM pr_lines0),
@@ -211,7 +224,7 @@ pr_lines AS (
   SELECT row_no, {", ".join(PR_COLS)},
          {gstin_key('_g')} AS gst_key, {_INV_FIN.format('_iv')} AS inv_key, inv_orig,
          {parse_date('_d')} AS inv_date,
-         {", ".join(f"{parse_amount('_' + a)} AS {a}" for a in AMOUNTS)},
+         {", ".join(f"{parse_amount('_' + a)} AS {a}" for a in PR_AMOUNTS)},
          {is_import('purchase_type')} AS is_import,
          ({is_total('gstin_raw')} OR {is_total('inv_raw')}) AS is_total
   FROM pr_lines1
@@ -223,7 +236,7 @@ B2_LINES = f"""
 b2_lines0 AS (
   SELECT *, {nt('inv_raw')} AS inv_orig, {nt('gstin_raw')} AS _g, {trim_ws('date_raw')} AS _d,
          {trim_ws('filing_date_raw')} AS _fd,
-         {", ".join(f"{parse_amount(nt(a + '_raw'))} AS _{a}" for a in AMOUNTS)},
+         {", ".join(f"{parse_amount(nt(a + '_raw'))} AS _{a}" for a in B2_AMOUNTS)},
          (contains({_DEBIT_TEXT}, 'debit') OR contains({_DEBIT_TEXT}, ' dr ') OR contains({_DEBIT_TEXT}, ' dr.')) AS _debit
   FROM b2_land
   WHERE NOT ({" AND ".join(f"{c} IS NULL" for c in B2_COLS)})
@@ -233,7 +246,7 @@ b2_lines AS (
   SELECT sheet, row_no, {", ".join(B2_COLS)},
          {gstin_key('_g')} AS gst_key, {_INV_FIN.format('_iv')} AS inv_key, inv_orig,
          {parse_date('_d')} AS inv_date, {parse_date('_fd')} AS filing_date,
-         {", ".join(f"CASE WHEN sheet = 'B2B-CDNR' THEN (CASE WHEN _debit THEN abs(_{a}) ELSE -abs(_{a}) END) ELSE _{a} END AS {a}" for a in AMOUNTS)},
+         {", ".join(f"CASE WHEN sheet = 'B2B-CDNR' THEN (CASE WHEN _debit THEN abs(_{a}) ELSE -abs(_{a}) END) ELSE _{a} END AS {a}" for a in B2_AMOUNTS)},
          (sheet = 'B2B' AND {is_import('supply_type')}) AS is_import,
          ({is_total('gstin_raw')} OR {is_total('inv_raw')}) AS is_total,
          {lower_trim_nan('reverse_charge')} IN ('yes', 'y') AS rcm_yes,
@@ -247,23 +260,24 @@ def _first(c: str) -> str:
 
 
 _PR_FIRST = ["gstin_raw", "inv_orig", "doc_type", "vendor_name", "purchase_type"]
-_B2_FIRST = ["gstin_raw", "inv_orig", "inv_type", "note_type", "trade_name", "filing_period"]
+_B2_FIRST = ["gstin_raw", "inv_orig", "inv_type", "note_type", "trade_name", "reverse_charge", "itc_availability",
+             "filing_date_raw", "filing_period", "supply_type"]
 
 
-def _cons_aggs(first: list[str]) -> str:
-    sums = ", ".join(f"CAST(sum({a}) AS {MONEY}) AS {a}" for a in AMOUNTS)
+def _cons_aggs(first: list[str], amounts: list[str]) -> str:
+    sums = ", ".join(f"CAST(sum({a}) AS {MONEY}) AS {a}" for a in amounts)
     return (f"{sums}, min(inv_date) AS inv_date, {', '.join(_first(c) for c in first)}, "
             f"min(row_no) AS first_row, count(*) AS n_lines")
 
 
 CONS = f"""
 pr_cons AS (
-  SELECT gst_key, inv_key, {_cons_aggs(_PR_FIRST)}
+  SELECT gst_key, inv_key, {_cons_aggs(_PR_FIRST, PR_AMOUNTS)}
   FROM pr_lines WHERE NOT is_import AND NOT is_total AND gst_key <> ''
   GROUP BY gst_key, inv_key
 ),
 b2_cons0 AS (
-  SELECT gst_key, inv_key, sheet, {_cons_aggs(_B2_FIRST)}
+  SELECT gst_key, inv_key, sheet, {_cons_aggs(_B2_FIRST, B2_AMOUNTS)}
   FROM b2_lines
   WHERE ((sheet = 'B2B' AND NOT is_import) OR sheet = 'B2B-CDNR') AND NOT is_total AND gst_key <> ''
   GROUP BY gst_key, inv_key, sheet
@@ -280,11 +294,13 @@ b2_cons AS (
 )"""
 
 # ---------------------------------------------------------------- pairing
-PR_VALUES = ["pr_gstin", "pr_inv", "pr_date", "pr_taxable", "pr_cgst", "pr_sgst", "pr_igst", "pr_doc_type",
+PR_VALUES = ["pr_gstin", "pr_inv", "pr_date", *[f"pr_{a}" for a in PR_AMOUNTS], "pr_doc_type",
              "pr_vendor_name", "pr_first_row"]
-B2_VALUES = ["b2_gstin", "b2_inv", "b2_date", "b2_taxable", "b2_cgst", "b2_sgst", "b2_igst", "b2_inv_type",
+B2_VALUES = ["b2_gstin", "b2_inv", "b2_date", *[f"b2_{a}" for a in B2_AMOUNTS], "b2_inv_type",
              "b2_note_type", "b2_trade_name", "b2_filing_period", "b2_first_row"]
-FILL = ["b2_inv_type", "b2_note_type", "b2_trade_name", "b2_filing_period"]
+# every 2B column that can be missing -> its column in the consolidated book
+FILL = {"b2_gstin": "gstin_raw", "b2_inv": "inv_orig", "b2_date": "inv_date", "b2_inv_type": "inv_type",
+        "b2_note_type": "note_type", "b2_trade_name": "trade_name", "b2_filing_period": "filing_period"}
 
 _fill_matched = ", ".join(f"coalesce({c}, {c}__sib) AS {c}" for c in FILL)
 _fill_left = ", ".join(f"CASE WHEN b2_parts = 2 AND NOT _key_taken THEN coalesce({c}, {c}__sib) ELSE {c} END AS {c}"
@@ -293,18 +309,17 @@ _fill_left = ", ".join(f"CASE WHEN b2_parts = 2 AND NOT _key_taken THEN coalesce
 PAIRS = f"""
 pr_s AS (
   SELECT gst_key, inv_key, TRUE AS pr_exists, gstin_raw AS pr_gstin, inv_orig AS pr_inv, inv_date AS pr_date,
-         taxable AS pr_taxable, cgst AS pr_cgst, sgst AS pr_sgst, igst AS pr_igst, doc_type AS pr_doc_type,
+         {", ".join(f"{a} AS pr_{a}" for a in PR_AMOUNTS)}, doc_type AS pr_doc_type,
          vendor_name AS pr_vendor_name, first_row AS pr_first_row
   FROM pr_cons
 ),
 b2_s AS (
   SELECT gst_key, inv_key, sheet, CASE WHEN sheet = 'B2B' THEN 0 ELSE 1 END AS sheet_rank,
-         gstin_raw AS b2_gstin, inv_orig AS b2_inv, inv_date AS b2_date, taxable AS b2_taxable, cgst AS b2_cgst,
-         sgst AS b2_sgst, igst AS b2_igst, inv_type AS b2_inv_type, note_type AS b2_note_type,
+         gstin_raw AS b2_gstin, inv_orig AS b2_inv, inv_date AS b2_date, {", ".join(f"{a} AS b2_{a}" for a in B2_AMOUNTS)},
+         inv_type AS b2_inv_type, note_type AS b2_note_type,
          trade_name AS b2_trade_name, filing_period AS b2_filing_period, first_row AS b2_first_row,
          count(*) OVER (PARTITION BY gst_key, inv_key) AS b2_parts,
-         {", ".join(f"max({c[3:]}) OVER (PARTITION BY gst_key, inv_key) AS {c}__sib" for c in
-                    ["b2_inv_type", "b2_note_type", "b2_trade_name", "b2_filing_period"])}
+         {", ".join(f"max({src}) OVER (PARTITION BY gst_key, inv_key) AS {c}__sib" for c, src in FILL.items())}
   FROM b2_cons
 ),
 joined AS (

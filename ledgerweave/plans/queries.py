@@ -159,22 +159,30 @@ def _n6(spark, sf):
 
 # =================================================================== aggregation / pairing
 @register("consolidate_by_key", O.with_stage("cons") + """
-SELECT 'PR' AS book, gst_key, inv_key, taxable, cgst, sgst, igst, inv_date, gstin_raw, inv_orig, doc_type AS type,
-       vendor_name AS name, CAST(first_row AS BIGINT) AS first_row, CAST(n_lines AS BIGINT) AS n_lines FROM pr_cons
+SELECT 'PR' AS book, gst_key, inv_key, taxable, cgst, sgst, igst, CAST(NULL AS DECIMAL(38,2)) AS total_tax, invoice_value, cess,
+       inv_date, gstin_raw, inv_orig, doc_type AS type, vendor_name AS name, purchase_type AS supply_type,
+       CAST(NULL AS VARCHAR) AS note_type, CAST(NULL AS VARCHAR) AS reverse_charge, CAST(NULL AS VARCHAR) AS itc_availability,
+       CAST(NULL AS VARCHAR) AS filing_date_raw, CAST(NULL AS VARCHAR) AS filing_period,
+       CAST(first_row AS BIGINT) AS first_row, CAST(n_lines AS BIGINT) AS n_lines FROM pr_cons
 UNION ALL
-SELECT sheet, gst_key, inv_key, taxable, cgst, sgst, igst, inv_date, gstin_raw, inv_orig, inv_type, trade_name,
+SELECT sheet, gst_key, inv_key, taxable, cgst, sgst, igst, total_tax, invoice_value, cess, inv_date, gstin_raw, inv_orig,
+       inv_type, trade_name, supply_type, note_type, reverse_charge, itc_availability, filing_date_raw, filing_period,
        CAST(first_row AS BIGINT), CAST(n_lines AS BIGINT) FROM b2_cons""")
 def _a1(spark, sf):
     run = get_run(spark, sf)
 
-    def book(df, name, type_col, name_col):
+    texts = ["note_type", "reverse_charge", "itc_availability", "filing_date_raw", "filing_period"]
+
+    def book(df, name, type_col, name_col, supply):
+        amounts = [_money(a) if a in df.columns else F.lit(None).cast(MONEY).alias(a) for a in P.ALL_AMOUNTS]
         return df.select(
-            name.alias("book"), "gst_key", "inv_key", *[_money(a) for a in L.AMOUNTS], "inv_date", "gstin_raw", "inv_orig",
-            F.col(type_col).alias("type"), F.col(name_col).alias("name"), F.col("first_row").cast("bigint"),
-            F.col("n_lines").cast("bigint"))
+            name.alias("book"), "gst_key", "inv_key", *amounts, "inv_date", "gstin_raw", "inv_orig",
+            F.col(type_col).alias("type"), F.col(name_col).alias("name"), F.col(supply).alias("supply_type"),
+            *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in texts],
+            F.col("first_row").cast("bigint"), F.col("n_lines").cast("bigint"))
 
-    return book(run.pr_cons, F.lit("PR"), "doc_type", "vendor_name").unionByName(
-        book(run.b2_cons, F.col("sheet"), "inv_type", "trade_name"))
+    return book(run.pr_cons, F.lit("PR"), "doc_type", "vendor_name", "purchase_type").unionByName(
+        book(run.b2_cons, F.col("sheet"), "inv_type", "trade_name", "supply_type"))
 
 
 #: Headers under which the books are handed in again (uploads carry headers like these).
@@ -325,11 +333,12 @@ def _n15(spark, sf):
 # =================================================================== projections
 @register("suffix_sides", O.with_stage("pairs") + """
 SELECT 'PR' AS side, gst_key, inv_key, CAST(NULL AS VARCHAR) AS sheet, pr_gstin AS gstin, pr_inv AS inv, pr_date AS inv_date,
-       pr_taxable AS taxable, pr_cgst AS cgst, pr_sgst AS sgst, pr_igst AS igst, pr_doc_type AS type, pr_vendor_name AS name,
+       pr_taxable AS taxable, pr_cgst AS cgst, pr_sgst AS sgst, pr_igst AS igst, CAST(NULL AS DECIMAL(38,2)) AS total_tax,
+       pr_invoice_value AS invoice_value, pr_cess AS cess, pr_doc_type AS type, pr_vendor_name AS name,
        CAST(pr_first_row AS BIGINT) AS first_row FROM pr_s
 UNION ALL
-SELECT '2B', gst_key, inv_key, sheet, b2_gstin, b2_inv, b2_date, b2_taxable, b2_cgst, b2_sgst, b2_igst, b2_inv_type,
-       b2_trade_name, CAST(b2_first_row AS BIGINT) FROM b2_s""")
+SELECT '2B', gst_key, inv_key, sheet, b2_gstin, b2_inv, b2_date, b2_taxable, b2_cgst, b2_sgst, b2_igst, b2_total_tax,
+       b2_invoice_value, b2_cess, b2_inv_type, b2_trade_name, CAST(b2_first_row AS BIGINT) FROM b2_s""")
 def _p1(spark, sf):
     run = get_run(spark, sf)
 
@@ -337,7 +346,7 @@ def _p1(spark, sf):
         return df.select(
             F.lit(name).alias("side"), "gst_key", "inv_key", sheet.alias("sheet"), F.col(f"{prefix}_gstin").alias("gstin"),
             F.col(f"{prefix}_inv").alias("inv"), F.col(f"{prefix}_date").alias("inv_date"),
-            *[F.col(f"{prefix}_{a}").cast(MONEY).alias(a) for a in L.AMOUNTS], F.col(type_col).alias("type"),
+            *[F.col(f"{prefix}_{a}").cast(MONEY).alias(a) for a in P.ALL_AMOUNTS], F.col(type_col).alias("type"),
             F.col(name_col).alias("name"), F.col(f"{prefix}_first_row").cast("bigint").alias("first_row"))
 
     return side("PR", P.suffix_pr(run.pr_cons), "pr", "pr_doc_type", "pr_vendor_name", F.lit(None).cast("string")).unionByName(
@@ -531,12 +540,12 @@ def _j4(spark, sf):
 @register("fill_within_key", O.with_stage("pairs") + """
 , k AS (SELECT gst_key, inv_key FROM pairs GROUP BY gst_key, inv_key HAVING count(*) > 1)
 SELECT CAST(p.pair_id AS BIGINT) AS pair_id, p.gst_key, p.inv_key, p.sheet, p.b2_inv_type, p.b2_note_type,
-       p.b2_trade_name, p.b2_filing_period, p.pr_inv, p.pr_date
+       p.b2_trade_name, p.b2_filing_period, p.b2_gstin, p.b2_inv, p.b2_date, p.reason, p.pr_inv, p.pr_date
 FROM pairs p JOIN k ON p.gst_key = k.gst_key AND p.inv_key = k.inv_key""")
 def _w1(spark, sf):
     return get_run(spark, sf).pairs.where(F.col("key_rows") > 1).select(
         F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "sheet", "b2_inv_type", "b2_note_type",
-        "b2_trade_name", "b2_filing_period", "pr_inv", "pr_date")
+        "b2_trade_name", "b2_filing_period", "b2_gstin", "b2_inv", "b2_date", "reason", "pr_inv", "pr_date")
 
 
 @register("fifo_rank", O.with_stage("pairs") + """
@@ -1114,11 +1123,19 @@ def _c2(spark, sf):
                       F.col("score").cast("int"))
 
 
-@register("first_pool", OS.with_schema() + """
-, t2 AS (SELECT DISTINCT table_id FROM cleaned WHERE kind = '2B'),
-r3 AS (SELECT t2.table_id, r.role FROM t2 CROSS JOIN (VALUES ('igst'), ('cgst'), ('sgst')) r(role))
-SELECT r3.table_id, r3.role, coalesce(c2.col, rx.col) AS column_name
-FROM r3 LEFT JOIN c2 ON c2.table_id = r3.table_id AND c2.role = r3.role AND c2.kind = '2B'
+_ORDERED = ", ".join(f"('{role}', {k}, '{lst}')" for role, lists in SM.FIRST_POOLS.items() for k, lst in enumerate(lists))
+
+
+@register("first_pool", OS.with_schema() + f"""
+, p3 AS (SELECT * FROM (VALUES {_ORDERED}) v(role, k, list_name)),
+s3 AS (SELECT c.table_id, c.pos, c.col, p.role, p.k, {_score_sql('d', 'p.list_name', 'c.norm')} AS score
+       FROM cleaned c CROSS JOIN p3 p WHERE c.kind = '2B'),
+b3 AS (SELECT table_id, role, col FROM (
+         SELECT *, row_number() OVER (PARTITION BY table_id, role ORDER BY k, score DESC, pos) AS rn FROM s3 WHERE score > 0)
+       WHERE rn = 1),
+r3 AS (SELECT DISTINCT c.table_id, p.role FROM cleaned c CROSS JOIN p3 p WHERE c.kind = '2B')
+SELECT r3.table_id, r3.role, coalesce(b3.col, rx.col) AS column_name
+FROM r3 LEFT JOIN b3 ON b3.table_id = r3.table_id AND b3.role = r3.role
 LEFT JOIN rx ON rx.table_id = r3.table_id AND rx.pattern = r3.role""")
 def _c3(spark, sf):
     return SM.first_pool(_cleaned(spark, sf)).withColumnRenamed("column", "column_name")

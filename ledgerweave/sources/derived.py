@@ -31,10 +31,10 @@ PORTAL_HEADER_ROWS = 6
 LINE_ORDER = ["ok", "ln", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 PR_COLUMNS = ["gstin_raw", "inv_raw", "date_raw", "doc_type", "vendor_name", "purchase_type",
-              "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw"]
+              "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw", "invoice_value_raw", "cess_raw"]
 B2_COLUMNS = ["gstin_raw", "inv_raw", "date_raw", "inv_type", "note_type", "trade_name", "reverse_charge",
               "itc_availability", "filing_date_raw", "filing_period", "supply_type",
-              "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw"]
+              "taxable_raw", "cgst_raw", "sgst_raw", "igst_raw", "total_tax_raw", "invoice_value_raw", "cess_raw"]
 
 SHEET_B2B = "B2B"
 SHEET_CDNR = "B2B-CDNR"
@@ -78,12 +78,17 @@ def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         taxable.alias("taxable"),
         (v % 2).alias("intra"),
     )
+    ok = F.col("ok")
     tax = F.round(F.col("taxable") * F.col("l_tax").cast("decimal(4,2)"), 2)
     half = F.round(tax * F.lit(0.5).cast("decimal(2,1)"), 2)
     return (out.withColumn("tax", tax)
             .withColumn("cgst", F.when(F.col("intra") == 0, half).otherwise(F.lit(0)).cast("decimal(18,2)"))
             .withColumn("igst", F.when(F.col("intra") == 1, tax).otherwise(F.lit(0)).cast("decimal(18,2)"))
-            .withColumn("taxable", F.col("taxable").cast("decimal(18,2)")))
+            .withColumn("cess", F.when(ok % 6 == 0, F.round(F.col("taxable") * F.lit(0.01).cast("decimal(3,2)"), 2))
+                        .otherwise(F.lit(0)).cast("decimal(18,2)"))
+            .withColumn("taxable", F.col("taxable").cast("decimal(18,2)"))
+            .withColumn("total_tax", (F.col("cgst") * 2 + F.col("igst") + F.col("cess")).cast("decimal(18,2)"))
+            .withColumn("invoice_value", (F.col("taxable") + F.col("total_tax")).cast("decimal(18,2)")))
 
 
 def _blank(cols: list[str], when_blank: Column, exprs: dict[str, Column]) -> list[Column]:
@@ -119,6 +124,8 @@ def pr_landing_unnumbered(base: DataFrame) -> DataFrame:
         "cgst_raw": amt(F.col("cgst")),
         "sgst_raw": amt(F.col("cgst")),
         "igst_raw": amt(F.col("igst")),
+        "invoice_value_raw": F.when(ln % 4 != 0, amt(F.col("invoice_value"))),
+        "cess_raw": amt(F.col("cess")),
     }
     blank = (ok % 61 == 0) & (ln == 3)
     return base.where(ok % 20 != 3).select(*LINE_ORDER, *_blank(PR_COLUMNS, blank, exprs))
@@ -139,7 +146,7 @@ def b2_landing_unnumbered(base: DataFrame) -> DataFrame:
                     .when(cd, F.concat(F.lit("CN/"), ok.cast("string")))
                     .when(ok % 17 == 0, F.concat(F.lit("INV-"), ok.cast("string")))
                     .otherwise(F.col("inv"))),
-        "date_raw": F.date_format(b2_date, "dd-MM-yyyy"),
+        "date_raw": F.when(~(cd & (ok % 53 == 0) & (ok % 3 == 0)), F.date_format(b2_date, "dd-MM-yyyy")),
         "inv_type": F.when(cd & (ok % 8 == 1), F.lit(None).cast("string")).when(cd, note_type).otherwise(F.lit("Regular")),
         "note_type": note_type,
         "trade_name": F.when(ok % 41 == 0, F.col("gstin")).otherwise(F.col("s_name")),
@@ -152,6 +159,9 @@ def b2_landing_unnumbered(base: DataFrame) -> DataFrame:
         "cgst_raw": _money_text(cgst * sign),
         "sgst_raw": _money_text(F.col("cgst") * sign),
         "igst_raw": _money_text(F.col("igst") * sign),
+        "total_tax_raw": _money_text(F.col("total_tax") * sign),
+        "invoice_value_raw": _money_text(F.col("invoice_value") * sign),
+        "cess_raw": _money_text(F.col("cess") * sign),
     }
     blank = (ok % 67 == 0) & (F.col("ln") == 2)
     sheet = F.when(cd, F.lit(SHEET_CDNR)).otherwise(F.lit(SHEET_B2B)).alias("sheet")
@@ -167,6 +177,7 @@ def impg_landing_unnumbered(base: DataFrame) -> DataFrame:
         "supply_type": F.lit("Import of goods"),
         "taxable_raw": _money_text(F.col("taxable")),
         "igst_raw": _money_text(F.col("tax")),
+        "invoice_value_raw": _money_text(F.col("taxable") + F.col("tax")),
     })
     return (base.where((ok % 37 == 0) & (F.col("l_linestatus") == "O"))
             .select(F.lit(SHEET_IMPG).alias("sheet"), *LINE_ORDER, *[cols[c].alias(c) for c in B2_COLUMNS]))
