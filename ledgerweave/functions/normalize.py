@@ -244,3 +244,12 @@ def coerce_number(col: Column | str) -> Column:
     s = F.translate(s, ",", "")
     s = strip_ws(F.when(F.lower(s).contains("nan"), F.regexp_replace(s, "(?i)nan", "")).otherwise(s))
     return F.coalesce(s.try_cast(NUMBER), F.lit(0).cast(NUMBER))
+
+
+#: Text that is a number, whole or not, in the notation of spreadsheets.
+NUMBER_PATTERN = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
+def is_number(c: str) -> Column:
+    """The text parses as a number (a suffix such as ``1D`` does not count, whatever the engine's cast takes)."""
+    return F.col(c).rlike(NUMBER_PATTERN)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..sources.scratch import materialize
 from .lines import amounts_of, keyed_rows
-from .ordinal import dense_ordinal
+from .ordinal import dense_ordinal, rank_in_group
 
 KEY = ["gst_key", "inv_key"]
 
@@ -53,25 +53,25 @@ def consolidate_pr(pr_lines_clean: DataFrame) -> DataFrame:
     return consolidate_by_key(pr_lines_clean, PR_FIRST)
 
 
-def rescue_empty_inv_key(b2_cons: DataFrame) -> DataFrame:
+def rescue_empty_inv_key(b2_cons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A CDNR note whose key is empty becomes ``__CDNR_ROW__<i>__`` where
     ``i`` is its 0-based position among the consolidated CDNR rows in key order.
 
     Only the distinct CDNR keys (two columns) are ordered, with the
     distributed ordinal; the renames (at most one per supplier) join back.
+    With ``by`` the positions are those inside each run.
     """
-    cdnr = b2_cons.where(F.col("sheet") == "B2B-CDNR").select(*KEY)
-    ords = dense_ordinal(cdnr, KEY, name="_pos", start=0)
+    cdnr = b2_cons.where(F.col("sheet") == "B2B-CDNR").select(*by, *KEY)
+    ords = rank_in_group(cdnr, by, KEY, name="_pos", start=0) if by else dense_ordinal(cdnr, KEY, name="_pos", start=0)
     renames = ords.where(F.col("inv_key") == "").select(
-        "gst_key", F.lit("").alias("_empty"), F.lit("B2B-CDNR").alias("_sheet"),
+        *by, "gst_key", F.lit("").alias("_empty"), F.lit("B2B-CDNR").alias("_sheet"),
         F.concat(F.lit("__CDNR_ROW__"), F.col("_pos").cast("string"), F.lit("__")).alias("_new_key"))
     # at most one rename per supplier; written, so the join goes by its bytes
     renames = materialize(renames, "renames")
-    out = b2_cons.join(
-        renames,
-        (b2_cons.gst_key == renames.gst_key) & (b2_cons.inv_key == renames._empty) & (b2_cons.sheet == renames._sheet),
-        "left",
-    ).select(b2_cons["*"], renames["_new_key"])
+    same = (b2_cons.gst_key == renames.gst_key) & (b2_cons.inv_key == renames._empty) & (b2_cons.sheet == renames._sheet)
+    for c in by:
+        same = same & (b2_cons[c] == renames[c])
+    out = b2_cons.join(renames, same, "left").select(b2_cons["*"], renames["_new_key"])
     return out.withColumn("inv_key", F.coalesce(F.col("_new_key"), F.col("inv_key"))).drop("_new_key")
 
 

@@ -17,6 +17,8 @@ Plan shape (see README "Plans"):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,27 +57,28 @@ def _amounts(cons: DataFrame, prefix: str) -> list[Column]:
     return [(F.col(a) if a in cons.columns else F.lit(None).cast("decimal(38,2)")).alias(f"{prefix}_{a}") for a in ALL_AMOUNTS]
 
 
-def suffix_pr(pr_cons: DataFrame) -> DataFrame:
-    """P1 for the purchase register side."""
+def suffix_pr(pr_cons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """P1 for the purchase register side.  Here and below, ``by`` names columns that keep runs apart: rows of different
+    runs never meet, whatever their keys."""
     return pr_cons.select(
-        *KEY, F.lit(True).alias("pr_exists"),
+        *by, *KEY, F.lit(True).alias("pr_exists"),
         F.col("gstin_raw").alias("pr_gstin"), F.col("inv_orig").alias("pr_inv"), F.col("inv_date").alias("pr_date"),
         *_amounts(pr_cons, "pr"),
         F.col("doc_type").alias("pr_doc_type"), F.col("vendor_name").alias("pr_vendor_name"),
         F.col("first_row").alias("pr_first_row"))
 
 
-def suffix_2b(b2_cons: DataFrame) -> DataFrame:
+def suffix_2b(b2_cons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """P1 for the 2B side, plus the W1 sibling values of the same key (of two rows, the only value there is)."""
     b2 = b2_cons.select(
-        *KEY, "sheet",
+        *by, *KEY, "sheet",
         F.when(F.col("sheet") == "B2B", F.lit(0)).otherwise(F.lit(1)).alias("sheet_rank"),
         F.col("gstin_raw").alias("b2_gstin"), F.col("inv_orig").alias("b2_inv"), F.col("inv_date").alias("b2_date"),
         *_amounts(b2_cons, "b2"),
         F.col("inv_type").alias("b2_inv_type"), F.col("note_type").alias("b2_note_type"),
         F.col("trade_name").alias("b2_trade_name"), F.col("filing_period").alias("b2_filing_period"),
         F.col("first_row").alias("b2_first_row"))
-    w = Window.partitionBy(*KEY)
+    w = Window.partitionBy(*by, *KEY)
     return b2.select("*", F.count(F.lit(1)).over(w).alias("b2_parts"),
                      *[F.max(c).over(w).alias(f"{c}__sib") for c in B2_FILLABLE])
 
@@ -86,12 +89,12 @@ def _use_siblings(df: DataFrame, when: Column) -> DataFrame:
     return df.withColumns(filled).drop(*[f"{c}__sib" for c in B2_FILLABLE])
 
 
-def outer_join(pr: DataFrame, b2: DataFrame) -> DataFrame:
+def outer_join(pr: DataFrame, b2: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Full outer equi-join on both keys (keys are never null)."""
-    return pr.join(b2, KEY, "full").withColumn("pr_exists", F.coalesce(F.col("pr_exists"), F.lit(False)))
+    return pr.join(b2, [*by, *KEY], "full").withColumn("pr_exists", F.coalesce(F.col("pr_exists"), F.lit(False)))
 
 
-def fifo_ranks(joined: DataFrame) -> DataFrame:
+def fifo_ranks(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rank of every orphan among those of its fuzzy key and side (0: PR, 1: 2B), in key order.
 
     Only fuzzy keys present on both sides can pair; ranks are relative to the
@@ -100,48 +103,50 @@ def fifo_ranks(joined: DataFrame) -> DataFrame:
     """
     fk = [N.fuzzy_gstin("gst_key").alias("fg"), N.fuzzy_invoice("inv_key").alias("fi")]
     has_b2 = F.col("sheet").isNotNull()
-    pr_f = joined.where(F.col("pr_exists") & ~has_b2).select(*KEY, F.lit(0).alias("sheet_rank"), *fk, F.lit(0).alias("side"))
-    b2_f = joined.where(~F.col("pr_exists") & has_b2).select(*KEY, "sheet_rank", *fk, F.lit(1).alias("side"))
-    both = pr_f.select("fg", "fi").intersect(b2_f.select("fg", "fi"))
-    cand = pr_f.unionByName(b2_f).join(both, ["fg", "fi"], "left_semi")
-    return rank_in_group(cand, ["fg", "fi", "side"], [*KEY, "sheet_rank"], name="fifo")
+    pr_f = joined.where(F.col("pr_exists") & ~has_b2).select(*by, *KEY, F.lit(0).alias("sheet_rank"), *fk, F.lit(0).alias("side"))
+    b2_f = joined.where(~F.col("pr_exists") & has_b2).select(*by, *KEY, "sheet_rank", *fk, F.lit(1).alias("side"))
+    fuzzy = [*by, "fg", "fi"]
+    both = pr_f.select(*fuzzy).intersect(b2_f.select(*fuzzy))
+    cand = pr_f.unionByName(b2_f).join(both, fuzzy, "left_semi")
+    return rank_in_group(cand, [*fuzzy, "side"], [*KEY, "sheet_rank"], name="fifo")
 
 
-def fuzzy_rescue(joined: DataFrame) -> DataFrame:
+def fuzzy_rescue(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """J2 + W1 + W2 over the joined rows; returns the rows of ``pair`` before J3."""
+    key = [*by, *KEY]
     has_b2 = F.col("sheet").isNotNull()
     matched = _use_siblings(joined.where(F.col("pr_exists") & has_b2), F.lit(True)).withColumn(
         "fuzzy_reason", F.lit(None).cast("string")).withColumn("key_rows", F.col("b2_parts"))
-    pr_o = joined.where(F.col("pr_exists") & ~has_b2).select(*KEY, *PR_VALUES, "pr_exists")
+    pr_o = joined.where(F.col("pr_exists") & ~has_b2).select(*key, *PR_VALUES, "pr_exists")
     b2_o = joined.where(~F.col("pr_exists") & has_b2).select(
-        *KEY, "sheet", "sheet_rank", *B2_VALUES, "b2_parts", *[f"{c}__sib" for c in B2_FILLABLE])
+        *key, "sheet", "sheet_rank", *B2_VALUES, "b2_parts", *[f"{c}__sib" for c in B2_FILLABLE])
 
-    ranked = fifo_ranks(joined)
-    pr_r = ranked.where(F.col("side") == 0).select("fg", "fi", "fifo", *KEY)
+    ranked = fifo_ranks(joined, by)
+    pr_r = ranked.where(F.col("side") == 0).select("fg", "fi", "fifo", *key)
     b2_r = ranked.where(F.col("side") == 1).select(
-        "fg", "fi", "fifo", F.col("gst_key").alias("src_gst"), F.col("inv_key").alias("src_inv"),
+        *by, "fg", "fi", "fifo", F.col("gst_key").alias("src_gst"), F.col("inv_key").alias("src_inv"),
         F.col("sheet_rank").alias("src_rank"))
-    links = materialize(pr_r.join(b2_r, ["fg", "fi", "fifo"], "inner").select(*KEY, "src_gst", "src_inv", "src_rank"),
+    links = materialize(pr_r.join(b2_r, [*by, "fg", "fi", "fifo"], "inner").select(*key, "src_gst", "src_inv", "src_rank"),
                         "links")
 
-    b2_src = b2_o.select(F.col("gst_key").alias("src_gst"), F.col("inv_key").alias("src_inv"),
+    b2_src = b2_o.select(*by, F.col("gst_key").alias("src_gst"), F.col("inv_key").alias("src_inv"),
                          F.col("sheet_rank").alias("src_rank"), "sheet", "sheet_rank", *B2_VALUES)
     reason = F.concat_ws(", ", F.when(F.col("gst_key") != F.col("src_gst"), F.lit(REASON_GSTIN)),
                          F.when(F.col("inv_key") != F.col("src_inv"), F.lit(REASON_INVOICE)))
-    rescued = (pr_o.join(links, KEY, "inner")
-               .join(b2_src, ["src_gst", "src_inv", "src_rank"], "inner")
+    rescued = (pr_o.join(links, key, "inner")
+               .join(b2_src, [*by, "src_gst", "src_inv", "src_rank"], "inner")
                .withColumn("fuzzy_reason", F.when(reason == "", F.lit(REASON_TYPOS)).otherwise(reason))
                .withColumn("b2_parts", F.lit(1).cast("bigint"))
                .withColumn("key_rows", F.lit(1).cast("bigint"))
                .drop("src_gst", "src_inv", "src_rank"))
-    pr_left = pr_o.join(links.select(*KEY), KEY, "left_anti").withColumn("fuzzy_reason", F.lit(None).cast("string")) \
+    pr_left = pr_o.join(links.select(*key), key, "left_anti").withColumn("fuzzy_reason", F.lit(None).cast("string")) \
         .withColumn("key_rows", F.lit(1).cast("bigint"))
 
-    taken = links.select(F.col("src_gst").alias("gst_key"), F.col("src_inv").alias("inv_key"),
+    taken = links.select(*by, F.col("src_gst").alias("gst_key"), F.col("src_inv").alias("inv_key"),
                          F.col("src_rank").alias("sheet_rank"))
-    taken_keys = taken.select(*KEY).distinct().withColumn("_key_taken", F.lit(True))
-    b2_left = (b2_o.join(taken, [*KEY, "sheet_rank"], "left_anti")
-               .join(taken_keys, KEY, "left")
+    taken_keys = taken.select(*key).distinct().withColumn("_key_taken", F.lit(True))
+    b2_left = (b2_o.join(taken, [*key, "sheet_rank"], "left_anti")
+               .join(taken_keys, key, "left")
                .withColumn("fuzzy_reason", F.lit(None).cast("string")))
     # siblings fill each other only when both 2B rows of the key remain
     b2_left = _use_siblings(b2_left, (F.col("b2_parts") == 2) & F.col("_key_taken").isNull())
@@ -204,24 +209,24 @@ def pair_order() -> list[Column]:
     return [F.col("gst_key"), F.col("inv_key"), rank]
 
 
-def vendor_names(rows: DataFrame) -> DataFrame:
+def vendor_names(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A4: longest valid name per GSTIN, purchase register names first, then
     2B names; equal lengths keep the earliest (pair order)."""
     order = pair_order()
-    pr = rows.select("gst_key", N.norm_text("pr_vendor_name").alias("name"), F.lit(0).alias("side"),
+    pr = rows.select(*by, "gst_key", N.norm_text("pr_vendor_name").alias("name"), F.lit(0).alias("side"),
                      order[1].alias("o1"), order[2].alias("o2"))
-    b2 = rows.select("gst_key", N.norm_text("b2_trade_name").alias("name"), F.lit(1).alias("side"),
+    b2 = rows.select(*by, "gst_key", N.norm_text("b2_trade_name").alias("name"), F.lit(1).alias("side"),
                      order[1].alias("o1"), order[2].alias("o2"))
     names = pr.unionByName(b2).where(N.is_valid_name(F.col("name")))
     pick = F.struct((-F.length("name")).alias("l"), F.col("side"), F.col("o1"), F.col("o2"))
-    return names.groupBy("gst_key").agg(F.min_by("name", pick).alias("vendor_name"))
+    return names.groupBy(*by, "gst_key").agg(F.min_by("name", pick).alias("vendor_name"))
 
 
-def with_vendor_names(rows: DataFrame) -> DataFrame:
+def with_vendor_names(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Attach A4 names from a written table of one row per supplier: AQE
     broadcasts it by its bytes, or splits the partitions of large suppliers."""
-    names = materialize(vendor_names(rows), "names")
-    return rows.join(names, "gst_key", "left").withColumn("vendor_name", F.coalesce(F.col("vendor_name"), F.lit("")))
+    names = materialize(vendor_names(rows, by), "names")
+    return rows.join(names, [*by, "gst_key"], "left").withColumn("vendor_name", F.coalesce(F.col("vendor_name"), F.lit("")))
 
 
 PAIR_COLUMNS = ["pair_id", *KEY, "mapping", "remarks", "reason", "vendor_name", "invoice_type", "sheet",

@@ -20,6 +20,7 @@ from ..operators import dashboard as DB
 from ..operators import lines as L
 from ..operators import pairing as P
 from . import oracle as O
+from ..sources.scratch import materialize
 from .reconcile import get_run
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
@@ -973,56 +974,66 @@ from ..sources import ingest as IG  # noqa: E402
 
 _uploads = session_memo("uploads", IG.uploaded_files)
 
-_HDR_VALUES = ", ".join(
-    "(" + ", ".join([str(i + 1)] + ["NULL" if v is None else "'" + v + "'" for v in row]) + ")"
-    for i, row in enumerate(IG.PORTAL_HEADER))
+_HDR_VALUES = ", ".join("(" + str(i + 1) + ", [" + ", ".join("NULL" if v is None else "'" + v + "'" for v in row) + "]::VARCHAR[])"
+                        for i, row in enumerate(IG.PORTAL_HEADER))
 _FILES_SQL = O.with_stage("landing") + f"""
 , f0 AS (
-  SELECT CAST(ok % 5 AS INTEGER) AS file_seq, CASE WHEN ok % 5 = 3 THEN sheet || ' ' ELSE sheet END AS sheet,
-         {O.LINE_ORDER}, CASE WHEN blank THEN NULL ELSE gstin_raw END AS c1, CASE WHEN blank THEN NULL ELSE inv_raw END AS c2,
-         CASE WHEN blank THEN NULL ELSE date_raw END AS c3, CASE WHEN blank THEN NULL ELSE igst_raw END AS c4
+  SELECT CAST(ok % 5 AS INTEGER) AS file_seq, (ok % 5 IN (0, 2) AND sheet = 'B2B' AND ln % 2 = 0) AS again,
+         CASE WHEN again THEN 3 WHEN sheet = 'B2B' THEN 0 WHEN sheet = 'B2B-CDNR' THEN 1 ELSE 2 END AS sheet_seq,
+         CASE WHEN again THEN ' ' || sheet WHEN ok % 5 = 3 THEN sheet || ' ' ELSE sheet END AS name, {O.LINE_ORDER},
+         [{", ".join(f"CASE WHEN blank THEN NULL ELSE {c} END" for c in O.B2_COLS)}, CAST(ln AS VARCHAR),
+          CAST(ok AS VARCHAR) || CASE WHEN sheet = 'IMPG' THEN 'D' ELSE '' END] AS whole
   FROM b2_land0
 ), f1 AS (
-  SELECT file_seq, sheet, row_number() OVER (PARTITION BY file_seq, sheet ORDER BY {O.LINE_ORDER}) + 6 AS row_no,
-         c1, c2, c3, c4 FROM f0
-), hdr AS (SELECT * FROM (VALUES {_HDR_VALUES}) t(row_no, c1, c2, c3, c4)),
-f2 AS (
-  SELECT file_seq, sheet, row_no, c1, c2, c3, c4 FROM f1
+  SELECT file_seq, sheet_seq, name AS sheet,
+         row_number() OVER (PARTITION BY file_seq, sheet_seq, name ORDER BY {O.LINE_ORDER}) + 6 AS row_no,
+         CASE WHEN ok % 10 = 0 THEN whole[1:{len(O.B2_COLS) - 2}] ELSE whole END AS cells FROM f0
+), hdr AS (SELECT * FROM (VALUES {_HDR_VALUES}) t(row_no, cells)),
+files AS (
+  SELECT * FROM f1
   UNION ALL
-  SELECT d.file_seq, d.sheet, h.row_no, h.c1, h.c2, h.c3, h.c4
-  FROM (SELECT DISTINCT file_seq, sheet FROM f1) d CROSS JOIN hdr h
-), files AS (
-  SELECT *, CASE WHEN file_seq = 4 THEN 'upload_4.csv' ELSE 'upload_' || CAST(file_seq AS VARCHAR) || '.xlsx' END AS file_name
-  FROM f2
-), frows AS (
-  SELECT * REPLACE (trim(sheet) AS sheet) FROM files
-  WHERE lower(file_name) LIKE '%.xls' OR lower(file_name) LIKE '%.xlsx'
-), firsts AS (SELECT sheet, min(file_seq) AS first_file FROM frows GROUP BY sheet),
-consolidated AS (
-  SELECT r.sheet, r.file_seq, CAST(r.row_no AS BIGINT) AS row_no, r.c1, r.c2, r.c3, r.c4
-  FROM frows r JOIN firsts f ON r.sheet = f.sheet WHERE r.file_seq = f.first_file OR r.row_no > 6
+  SELECT d.file_seq, d.sheet_seq, d.sheet, h.row_no, h.cells
+  FROM (SELECT DISTINCT file_seq, sheet_seq, sheet FROM f1) d CROSS JOIN hdr h
+), frows AS (SELECT * REPLACE (trim(sheet) AS sheet) FROM files WHERE file_seq <> 4),
+of_sheet AS (SELECT sheet, file_seq, sheet_seq, max(row_no) AS n, max(len(cells)) AS w FROM frows GROUP BY ALL),
+firsts AS (
+  SELECT sheet, min((file_seq, sheet_seq)) AS f, greatest(arg_min(w, (file_seq, sheet_seq)), coalesce(max(w) FILTER (WHERE n > 6), 0)) AS width
+  FROM of_sheet GROUP BY sheet
+), consolidated AS (
+  SELECT r.sheet, r.file_seq, r.sheet_seq, CAST(r.row_no AS BIGINT) AS row_no,
+         list_transform(range(f.width), lambda i: r.cells[i + 1]) AS cells
+  FROM frows r JOIN firsts f ON r.sheet = f.sheet WHERE (r.file_seq, r.sheet_seq) = f.f OR r.row_no > 6
 )"""
 
 
-@register("consolidate_files", _FILES_SQL + "\nSELECT * FROM consolidated")
+@register("consolidate_files", _FILES_SQL + """
+SELECT sheet, file_seq, CAST(sheet_seq AS INTEGER) AS sheet_seq, row_no, CAST(len(cells) AS INTEGER) AS width,
+       array_to_string(list_transform(cells, lambda x: coalesce(x, '~')), '|') AS cells FROM consolidated""")
 def _s6(spark, sf):
     out = IG.consolidate_files(_uploads(spark, sf))
-    return out.select("sheet", F.col("file_seq").cast("int"), F.col("row_no").cast("bigint"), *IG.CELLS)
+    return out.select("sheet", F.col("file_seq").cast("int"), F.col("sheet_seq").cast("int"), F.col("row_no").cast("bigint"),
+                      F.size("cells").alias("width"), F.array_join("cells", "|", "~").alias("cells"))
 
 
 @register("union_files", _FILES_SQL + """
-SELECT sheet, count(*) AS n_rows, count(DISTINCT file_seq) AS n_files FROM consolidated GROUP BY sheet""")
+SELECT sheet, count(*) AS n_rows, count(DISTINCT file_seq) AS n_files, sum(len(list_filter(cells, lambda x: x IS NOT NULL)))::BIGINT AS n_cells
+FROM consolidated GROUP BY sheet""")
 def _u2(spark, sf):
     out = IG.consolidate_files(_uploads(spark, sf))
-    return out.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"),
-                                    F.countDistinct("file_seq").alias("n_files"))
+    return out.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("file_seq").alias("n_files"),
+                                    F.sum(F.size(F.filter("cells", lambda x: x.isNotNull())).cast("bigint")).alias("n_cells"))
 
 
-@register("numeric_if_all", _FILES_SQL + "\n" + "\nUNION ALL\n".join(
-    f"SELECT sheet, '{c}' AS col, bool_and({c} IS NULL OR TRY_CAST({c} AS DOUBLE) IS NOT NULL) AS all_numeric "
-    f"FROM consolidated GROUP BY sheet" for c in IG.CELLS))
+@register("numeric_if_all", _FILES_SQL + f"""
+, long AS (SELECT sheet, unnest(generate_series(1, len(cells))) AS i, unnest(cells) AS value FROM consolidated),
+t AS (SELECT sheet, i, coalesce(bool_and(regexp_full_match(value, '{N.NUMBER_PATTERN.strip("^$")}')), TRUE) AS all_numeric,
+             count(value) AS n_values, min(TRY_CAST(value AS DOUBLE)) AS least, max(TRY_CAST(value AS DOUBLE)) AS most
+      FROM long GROUP BY sheet, i)
+SELECT sheet, CAST(i - 1 AS INTEGER) AS pos, all_numeric, n_values, CASE WHEN all_numeric THEN least END AS least,
+       CASE WHEN all_numeric THEN most END AS most FROM t""")
 def _s7(spark, sf):
-    return IG.numeric_if_all(IG.consolidate_files(_uploads(spark, sf)))
+    consolidated = materialize(IG.consolidate_files(_uploads(spark, sf)), "consolidated")
+    return IG.typed_profile(IG.write_consolidated(consolidated, IG.numeric_if_all(consolidated)))
 
 
 @register("validate_manifest", """

@@ -1,18 +1,22 @@
 """Upload-side jobs (file consolidation, column typing, input checks, row counts).
 
-Uploads are modelled as rows ``(file_seq, file_name, sheet, row_no, c1..c4)``:
-one row per sheet row of every uploaded workbook, header rows included.  The
-derived uploads split the 2B lines into five workbooks by order key; the
-fifth is not a workbook (wrong extension) and is skipped.
+Uploads are rows ``(file_seq, file_name, sheet_seq, sheet, row_no, cells
+ARRAY<STRING>)``: one row per sheet row of every uploaded workbook, header
+rows included, cells as many as the row has.  The derived uploads split the
+2B lines into five workbooks by order key; the fifth is not a workbook (wrong
+extension) and is skipped.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators.ordinal import rank_in_group
+from ..session import scratch_path
 from . import derived as D
 from .scratch import materialize
 from .tables import read_table
@@ -20,63 +24,109 @@ from .tables import read_table
 PORTAL_HEADER_HEIGHT = 6
 FLAT_HEADER_HEIGHT = 1
 N_FILES = 5
-CELLS = ["c1", "c2", "c3", "c4"]
-# The six header rows every derived portal sheet starts with.
+# The six header rows every derived portal sheet starts with (two columns at the end have no header).
 PORTAL_HEADER = [
-    ("Goods and Services Tax - GSTR-2B", None, None, None),
-    (None, None, None, None),
-    ("Taxable inward supplies received from registered persons", None, None, None),
-    (None, None, None, None),
-    ("GSTIN of supplier", "Invoice details", "Invoice details", "Tax Amount"),
-    (None, "Invoice number", "Invoice Date", "Integrated Tax"),
+    ["Goods and Services Tax - GSTR-2B"],
+    [],
+    ["Taxable inward supplies received from registered persons"],
+    [],
+    ["GSTIN of supplier", "Invoice details", "Invoice details", "Invoice details", "Note type", "Trade/Legal name",
+     "Supply Attract Reverse Charge", "ITC Availability", "Filing Date", "Period", "Nature of Transaction", "Taxable Value",
+     "Tax Amount", "Tax Amount", "Tax Amount", "Total Tax", "Invoice Value", "Tax Amount"],
+    [None, "Invoice number", "Invoice Date", "Invoice type", None, None, None, None, None, None, None, None, "Central Tax",
+     "State/UT Tax", "Integrated Tax", None, None, "Cess"],
 ]
 WORKBOOK_SUFFIXES = (".xls", ".xlsx")
 
 
 def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 2B lines as five uploaded workbooks (header rows included)."""
+    """The 2B lines as five uploaded workbooks (header rows included).
+
+    Workbook 3 names its sheets with a stray space; workbooks 0 and 2 bring
+    their B2B lines in two sheets of one trimmed name.  Every tenth order's
+    rows end early.  Behind the 2B columns stand two columns without a header:
+    a number, and a number that IMPG writes with a letter."""
     base = D.base_lines(spark, sf_dir)
     lines = D.b2_landing_unnumbered(base).unionByName(D.impg_landing_unnumbered(base))
-    lines = lines.withColumn("file_seq", (F.col("ok") % N_FILES).cast("int"))
-    # workbook 3 names its sheets with a stray trailing space
-    lines = lines.withColumn("sheet", F.when(F.col("file_seq") == 3, F.concat(F.col("sheet"), F.lit(" ")))
-                             .otherwise(F.col("sheet")))
-    data = rank_in_group(lines, ["file_seq", "sheet"], D.LINE_ORDER, name="row_no", start=PORTAL_HEADER_HEIGHT + 1)
-    data = data.select("file_seq", "sheet", "row_no", F.col("gstin_raw").alias("c1"), F.col("inv_raw").alias("c2"),
-                       F.col("date_raw").alias("c3"), F.col("igst_raw").alias("c4"))
+    seq = (F.col("ok") % N_FILES).cast("int")
+    again = seq.isin(0, 2) & (F.col("sheet") == D.SHEET_B2B) & (F.col("ln") % 2 == 0)
+    order = F.when(F.col("sheet") == D.SHEET_B2B, F.lit(0)).when(F.col("sheet") == D.SHEET_CDNR, F.lit(1)).otherwise(F.lit(2))
+    lines = lines.select("*", seq.alias("file_seq"), F.when(again, F.lit(3)).otherwise(order).alias("sheet_seq"),
+                         F.when(again, F.concat(F.lit(" "), "sheet")).when(seq == 3, F.concat("sheet", F.lit(" ")))
+                         .otherwise(F.col("sheet")).alias("name"))
+    numbers = [F.col("ln").cast("string"), F.concat(F.col("ok").cast("string"), F.when(F.col("sheet") == D.SHEET_IMPG, F.lit("D")).otherwise(F.lit("")))]
+    cells = F.array(*[F.col(c) for c in D.B2_COLUMNS], *numbers)
+    lines = lines.withColumn("cells", F.when(F.col("ok") % 10 == 0, F.slice(cells, 1, len(D.B2_COLUMNS) - 2)).otherwise(cells))
+    data = rank_in_group(lines, ["file_seq", "sheet_seq", "name"], D.LINE_ORDER, name="row_no", start=PORTAL_HEADER_HEIGHT + 1)
+    data = data.select("file_seq", "sheet_seq", F.col("name").alias("sheet"), "row_no", "cells")
     template = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("row_no"),
-                                  *[F.lit(v).cast("string").alias(c) for v, c in zip(row, CELLS)])
+                                  F.array(*[F.lit(v).cast("string") for v in row]).cast("array<string>").alias("cells"))
                          for i, row in enumerate(PORTAL_HEADER)])
-    headers = (data.select("file_seq", "sheet").distinct()
-               .select("file_seq", "sheet", F.explode(template).alias("h"))
-               .select("file_seq", "sheet", "h.row_no", *[f"h.{c}" for c in CELLS]))
-    rows = data.unionByName(headers)
-    name = F.when(F.col("file_seq") == N_FILES - 1, F.concat(F.lit("upload_"), F.col("file_seq").cast("string"),
-                                                           F.lit(".csv"))) \
-        .otherwise(F.concat(F.lit("upload_"), F.col("file_seq").cast("string"), F.lit(".xlsx")))
-    return rows.withColumn("file_name", name)
+    headers = (data.select("file_seq", "sheet_seq", "sheet").distinct()
+               .select("file_seq", "sheet_seq", "sheet", F.explode(template).alias("h"))
+               .select("file_seq", "sheet_seq", "sheet", "h.row_no", "h.cells"))
+    suffix = F.when(F.col("file_seq") == N_FILES - 1, F.lit(".csv")).otherwise(F.lit(".xlsx"))
+    return data.unionByName(headers).withColumn("file_name", F.concat(F.lit("upload_"), F.col("file_seq").cast("string"), suffix))
 
 
 def consolidate_files(files: DataFrame, header_height: int = PORTAL_HEADER_HEIGHT) -> DataFrame:
-    """One table per (trimmed) sheet name.  The first workbook bringing a
-    sheet keeps all its rows; later ones lose their first ``header_height``
-    rows.  Non-workbook names are skipped.  Rows stay in (file, row) order."""
-    ok = F.lower(F.col("file_name")).endswith(WORKBOOK_SUFFIXES[0]) | \
-        F.lower(F.col("file_name")).endswith(WORKBOOK_SUFFIXES[1])
-    rows = files.where(ok).withColumn("sheet", F.trim(F.col("sheet")))
-    firsts = rows.groupBy("sheet").agg(F.min("file_seq").alias("first_file"))
+    """One table per trimmed sheet name, union by position.
+
+    The first sheet of a name (by workbook, then by place in the workbook)
+    keeps all its rows; later ones lose their first ``header_height`` rows,
+    and add nothing if they have no more.  Names that are no workbook's are
+    skipped.  Rows are as wide as the widest sheet that adds rows, missing
+    cells are null; they stay in (file, sheet, row) order."""
+    name = F.lower(F.col("file_name"))
+    rows = files.where(name.endswith(WORKBOOK_SUFFIXES[0]) | name.endswith(WORKBOOK_SUFFIXES[1])).withColumn("sheet", F.trim("sheet"))
+    place = F.struct("file_seq", "sheet_seq")
+    each = rows.groupBy("sheet", "file_seq", "sheet_seq").agg(F.max("row_no").alias("last_row"), F.max(F.size("cells")).alias("width"))
+    firsts = each.groupBy("sheet").agg(F.min(place).alias("first"), F.max(F.when(F.col("last_row") > header_height, F.col("width"))).alias("_more"),
+                                       F.min_by("width", place).alias("_own"))
     # one row per sheet name, written: the join goes by its bytes, not by a shuffle of whole sheets
-    kept = rows.join(materialize(firsts, "first-files"), "sheet").where(
-        (F.col("file_seq") == F.col("first_file")) | (F.col("row_no") > header_height))
-    return kept.select("sheet", "file_seq", "row_no", *CELLS)
+    firsts = materialize(firsts.select("sheet", "first", F.greatest("_own", "_more").alias("width")), "first-files")
+    kept = rows.join(firsts, "sheet").where((place == F.col("first")) | (F.col("row_no") > header_height))
+    padded = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get("cells", i))
+    return kept.select("sheet", "file_seq", "sheet_seq", "row_no", F.when(F.col("width") > 0, padded).otherwise(F.col("cells")).alias("cells"))
 
 
 def numeric_if_all(consolidated: DataFrame) -> DataFrame:
-    """Per sheet and column, whether every present value parses as a number."""
-    stack = "stack(4, " + ", ".join(f"'{c}', {c}" for c in CELLS) + ") as (col, value)"
-    long = consolidated.select("sheet", F.expr(stack))
-    ok = F.col("value").isNull() | F.col("value").try_cast("double").isNotNull()
-    return long.groupBy("sheet", "col").agg(F.bool_and(ok).alias("all_numeric"))
+    """S7, first pass: per sheet and position, whether every present value parses as a number."""
+    long = consolidated.select("sheet", F.posexplode("cells").alias("pos", "value"))
+    return long.groupBy("sheet", "pos").agg(F.bool_and(F.col("value").isNull() | N.is_number("value")).alias("all_numeric"))
+
+
+def write_consolidated(consolidated: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
+    """S7, second pass: each sheet as a written table of typed columns c1, c2, ...: DOUBLE where all values are numbers.
+
+    ``types`` (one row per sheet and position) is read on the driver: it is the schema.  The whole is written once,
+    partitioned by sheet, and every sheet's table is a projection of its own files."""
+    spark = consolidated.sparkSession
+    sheets: dict[str, list[bool]] = {}
+    for r in types.orderBy("sheet", "pos").collect():
+        sheets.setdefault(r["sheet"], []).append(r["all_numeric"])
+    out = {}
+    for sheet, numeric in sheets.items():
+        columns = [(F.get("cells", F.lit(i)).try_cast("double") if n else F.get("cells", F.lit(i))).alias(f"c{i + 1}") for i, n in enumerate(numeric)]
+        path = scratch_path(spark, "consolidated", uuid.uuid4().hex)
+        consolidated.where(F.col("sheet") == sheet).select("file_seq", "sheet_seq", "row_no", *columns).write.parquet(path)
+        out[sheet] = spark.read.parquet(path)
+    return out
+
+
+def typed_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """(sheet, pos, all_numeric, n_values, least, most) of the written tables, read back: what the conversion has made."""
+    parts = []
+    for sheet, df in tables.items():
+        columns = [f for f in df.schema.fields if f.name.startswith("c") and f.name[1:].isdigit()]
+        aggs = [F.struct(F.lit(i).alias("pos"), F.lit(f.dataType.simpleString() == "double").alias("all_numeric"), F.count(f.name).alias("n_values"),
+                         *[(fn(f.name) if f.dataType.simpleString() == "double" else F.lit(None)).cast("double").alias(n)
+                           for fn, n in ((F.min, "least"), (F.max, "most"))]) for i, f in enumerate(columns)]
+        parts.append(df.agg(F.array(*aggs).alias("a")).select(F.lit(sheet).alias("sheet"), F.explode("a").alias("c")).select("sheet", "c.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def derived_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +165,7 @@ def row_counts(pr_landing: DataFrame, uploads: DataFrame, portal: bool = True) -
     height = PORTAL_HEADER_HEIGHT if portal else FLAT_HEADER_HEIGHT
     pr = pr_landing.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("pr").alias("source"), "rows")
     sheet = N.trimmed("sheet")
-    raw = (uploads.where(sheet.isin("B2B", "B2B-CDNR")).groupBy("file_seq", "sheet").agg(F.count(F.lit(1)).alias("n")))
+    raw = (uploads.where(sheet.isin("B2B", "B2B-CDNR")).groupBy("file_seq", "sheet_seq", "sheet").agg(F.count(F.lit(1)).alias("n")))
     b2 = raw.groupBy(F.when(sheet == "B2B", F.lit("b2b")).otherwise(F.lit("cdnr")).alias("source")).agg(
         F.sum(F.greatest(F.lit(0), F.col("n") - F.lit(height))).alias("rows"))
     return pr.unionByName(b2).select("source", F.col("rows").cast("bigint"))
