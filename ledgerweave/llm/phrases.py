@@ -43,7 +43,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = 80
 SCALE = 2_000_000
 #: Suffixes of a group, words of a block.
-BUDGET = 1 << 22
+BUDGET = 1 << 21
 BLOCK_WORDS = 1 << 19
 
 _BREAK = b".,;:!?\x0b\x0c\r"
@@ -107,12 +107,12 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         for i in range(batch.num_rows):
             ids = np.frombuffer(unpack(batch.column("ids")[i].as_py()), np.int32)
-            of = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+            of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
             known = batch.column("known")[i].values
             of[known.field("pos").to_numpy()] = known.field("gid").to_numpy()
             held.append(of[ids])
             n += len(ids)
-            if n >= 2 * BLOCK_WORDS:
+            if n >= BLOCK_WORDS:
                 yield np.concatenate(held)
                 held, n = [], 0
     if held:
@@ -121,7 +121,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def _suffixes(stream: np.ndarray) -> np.ndarray:
     """(LONGEST, n): the suffixes of two words or more, zeros after their last word."""
-    padded = np.concatenate([stream, np.zeros(LONGEST, np.int64)])
+    padded = np.concatenate([stream, np.zeros(LONGEST, np.uint32)])
     starts = np.flatnonzero((padded[:-1] > 0) & (padded[1:] > 0))
     out = np.stack([padded[starts + k] for k in range(LONGEST)])
     for k in range(2, LONGEST):
@@ -131,8 +131,7 @@ def _suffixes(stream: np.ndarray) -> np.ndarray:
 
 def _keys(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes' words as two 64-bit keys that sort alike."""
-    c = columns.astype(np.uint64)
-    return c[0] << np.uint64(32) | c[1], c[2] << np.uint64(32) | c[3]
+    return tuple(columns[k].astype(np.uint64) << np.uint64(32) | columns[k + 1] for k in (0, 2))
 
 
 def leaves(columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +167,7 @@ class Groups:
         self.buckets = buckets
         self.levels, base = [], buckets
         for words, prefixes in enumerate(heavy, 1):
-            keys = np.zeros((LONGEST, len(prefixes)), np.int64)
+            keys = np.zeros((LONGEST, len(prefixes)), np.uint32)
             for i, (prefix, _) in enumerate(prefixes):
                 keys[:words, i] = prefix
             n = np.array([-(-count // most) for _, count in prefixes], np.int64)
@@ -223,7 +222,7 @@ def _extended(known: DataFrame, heavy: list[tuple[tuple[int, ...], int]], words:
             columns[words + 1:] = 0
             if columns.shape[1]:
                 columns, count = leaves(columns, np.ones(columns.shape[1], np.int64))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(count)], names=[*_WORDS, "a"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(count)], names=[*_WORDS, "a"])
 
     return known.mapInArrow(run, _NODE).groupBy(*_WORDS).agg(F.sum("a").alias("a"))
 
@@ -259,11 +258,14 @@ def _subtree(least: int):
     def run(rows: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         parts = [np.frombuffer(unpack(x.as_py()), np.uint32).reshape(LONGEST + 1, -1) for x in rows.column("suffixes")]
-        packed = np.concatenate(parts, axis=1).astype(np.int64)
-        leaf, total = leaves(packed[:LONGEST], packed[LONGEST])
+        packed = np.concatenate(parts, axis=1)
+        del parts
+        leaf, total = leaves(packed[:LONGEST], packed[LONGEST].astype(np.int64))
+        del packed
         found = list(phrase_counts(leaf, total, max(2, rows.column("length")[0].as_py()), least))
-        nodes = np.concatenate([np.vstack([node, count[None]]) for _, node, count in found] or [np.zeros((LONGEST + 1, 0), np.int64)], axis=1)
-        return pa.Table.from_arrays([pa.array(c) for c in nodes], names=[*_WORDS, "a"])
+        nodes = [np.concatenate([node[k] for _, node, _ in found] or [np.empty(0, np.uint32)]).astype(np.int64) for k in range(LONGEST)]
+        counts = np.concatenate([count for _, _, count in found] or [np.empty(0, np.int64)])
+        return pa.Table.from_arrays([*map(pa.array, nodes), pa.array(counts)], names=[*_WORDS, "a"])
 
     return run
 
