@@ -199,12 +199,20 @@ def _of_side(cleaned: DataFrame, kind: str) -> DataFrame:
     return cleaned.where(F.col("kind") == "PR") if kind == "PR" else cleaned.where(F.col("kind") != "PR")
 
 
-def pool_columns(cleaned: DataFrame, pools: Mapping[str, Sequence[Sequence[str]]]) -> DataFrame:
+def pool_columns(cleaned: DataFrame, pools: Mapping[str, Sequence[Sequence[str]]], by_term: bool = False) -> DataFrame:
     """(table_id, role, column) from ordered pools of terms: the first pool
     with a hit gives the column, inside a pool the best score wins, then the
-    earliest column.  Pool and score are one rank of one aggregation."""
+    earliest column.  Pool and score are one rank of one aggregation.
+
+    ``by_term``: a header must hold a term of the pool; that it holds ``inv``
+    or ``gst`` is no hit."""
     n = F.col("norm")
-    scored = [F.struct(F.lit(role).alias("role"), F.lit(-k).alias("pool"), role_score(n, [norm_term(t) for t in terms], [], []).alias("score"))
+
+    def score(terms: list[str]) -> Column:
+        points = role_score(n, terms, [], [])
+        return F.when(_any_contains(n, terms), points).otherwise(0) if by_term else points
+
+    scored = [F.struct(F.lit(role).alias("role"), F.lit(-k).alias("pool"), score([norm_term(t) for t in terms]).alias("score"))
               for role, lists in pools.items() for k, terms in enumerate(lists)]
     hits = cleaned.select("table_id", "pos", "column", F.explode(F.array(*scored)).alias("r")).where("r.score > 0")
     return hits.groupBy("table_id", F.col("r.role").alias("role")).agg(
@@ -425,9 +433,9 @@ NUMERIC_POOLS = {"2B": ["taxable_2b", "total_tax_2b", "invoice_value_2b", "cess_
 AMOUNT_ROLES = ["taxable", "total_tax", "invoice_value", "cess"]
 
 
-def amount_columns(cleaned: DataFrame) -> DataFrame:
+def amount_columns(cleaned: DataFrame, by_term: bool = False) -> DataFrame:
     """(table_id, role, column) of the amounts besides the three taxes, as far as a table has them."""
-    parts = [pool_columns(_of_side(cleaned, kind), {role: [ROLE_LISTS[lst]] for role, lst in zip(AMOUNT_ROLES, lists)})
+    parts = [pool_columns(_of_side(cleaned, kind), {role: [ROLE_LISTS[lst]] for role, lst in zip(AMOUNT_ROLES, lists)}, by_term)
              for kind, lists in NUMERIC_POOLS.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -480,7 +488,9 @@ def all_roles(cleaned: DataFrame, cells: DataFrame, selections: DataFrame) -> Da
     words = match_by_keyword(cleaned).select("table_id", F.expr(
         "stack(3, 'itc', itc_column, 'reverse_charge', reverse_charge_column, 'filing_date', filing_date_column) as (role, column)"))
     types = match_import_type(cleaned).select("table_id", F.lit("import_type").alias("role"), F.col("type_column").alias("column"))
-    every = reduce(DataFrame.unionByName, [roles, named, words, types, amount_columns(cleaned)]).where("column is not null")
+    # a column that is summed is not a key, a date or one of the three taxes as well
+    amounts = amount_columns(cleaned, by_term=True).join(roles.select("table_id", "column"), ["table_id", "column"], "left_anti")
+    every = reduce(DataFrame.unionByName, [roles, named, words, types, amounts]).where("column is not null")
     places = cleaned.groupBy("table_id", "column").agg(F.min("pos").alias("pos"))
     return every.join(places, ["table_id", "column"]).select("table_id", "role", "pos")
 

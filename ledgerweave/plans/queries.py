@@ -1098,6 +1098,7 @@ def _s10(spark, sf):
 # =================================================================== schema discovery
 from ..operators import schema_match as SM  # noqa: E402
 from ..sources import catalog as CT  # noqa: E402
+from . import oracle_runs as OR  # noqa: E402
 from . import oracle_schema as OS  # noqa: E402
 
 
@@ -1302,3 +1303,31 @@ SELECT table_id, CAST(pos AS INTEGER) AS pos, CAST(row_no AS BIGINT) AS row_no,
 def _w3(spark, sf):
     out = SM.first_n_per_column(_cells(spark, sf))
     return out.select("table_id", F.col("pos").cast("int"), F.col("row_no").cast("bigint"), "value")
+
+
+# =================================================================== any number of runs at once (C10 by maps, S1-J3 by run)
+def _uploads_of(spark, sf):
+    from .given import Uploads
+
+    return Uploads(*(materialize(df, f"runs-{name}") for df, name in zip(CT.run_uploads(spark, sf), ("catalog", "rows", "choices"))))
+
+
+_many = session_memo("runs", _uploads_of)
+
+
+@register("land_uploads", OR.land_sql())
+def _land_uploads(spark, sf):
+    """The cells of all runs' tables under the landing columns, by the column maps found for each table."""
+    up = _many(spark, sf)
+    pr = up.pr_lines.select(F.col("run_id").cast("bigint"), F.lit("PR").alias("sheet"), "row_no", *[F.col(c) for c in OR.SHARED],
+                            "invoice_value_raw", "cess_raw", F.col("vendor_name").alias("name"), F.col("doc_type").alias("type"))
+    b2 = up.b2_lines.select(F.col("run_id").cast("bigint"), "sheet", "row_no", *[F.col(c) for c in OR.SHARED], "invoice_value_raw", "cess_raw",
+                            F.col("trade_name").alias("name"), F.col("inv_type").alias("type"))
+    return pr.unionByName(b2)
+
+
+@register("reconcile_uploads", OR.pairs_sql())
+def _reconcile_uploads(spark, sf):
+    """All runs reconciled in one plan: consolidated, joined, rescued, classified and named inside each run."""
+    return _many(spark, sf).pairs.select(F.col("run_id").cast("bigint"), "gst_key", "inv_key", "sheet", "mapping", "remarks", "reason",
+                                         "vendor_name", "invoice_type", _money("pr_cgst"), _money("b2_cgst"), _money("b2_cess"))

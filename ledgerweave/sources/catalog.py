@@ -8,6 +8,10 @@ the data: more orders -> more uploaded tables, more lines -> more cells.
 
 * ``catalog``: (table_id, kind, pos, part1, part2) raw header parts
 * ``cells``:   (table_id, pos, row_no, value) every cell as text
+
+``run_uploads`` derives whole runs besides: every ``ORDERS_PER_RUN`` order keys
+are one run with a purchase register, a B2B and a note sheet of the two
+landing books, each under one of several headers and column orders.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from ..operators.ordinal import rank_in_group
 from . import derived as D
 
 ORDERS_PER_TABLE = 200
+ORDERS_PER_RUN = 2000
 NBSP = " "
 BUYER_GSTIN = "29AABCB0000A1Z5"
 
@@ -112,3 +117,84 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         arr = F.when(t == i, a) if arr is None else arr.when(t == i, a)
     return rows.select("table_id", "row_no", F.explode(arr).alias("c")).select(
         "table_id", "c.pos", "row_no", "c.value")
+
+
+# Headers of the derived runs: (part1, part2, landing column) per column, in the order of the sheet.
+RUN_HEADERS = {
+    "PR": [
+        [("Supplier GSTIN", None, "gstin_raw"), ("Vendor Inv No", None, "inv_raw"), ("Invoice Date", None, "date_raw"),
+         ("Taxable Value", None, "taxable_raw"), ("CGST", None, "cgst_raw"), ("SGST", None, "sgst_raw"), ("IGST", None, "igst_raw"),
+         ("Invoice Value", None, "invoice_value_raw"), ("Cess", None, "cess_raw"), ("Vendor Name", None, "vendor_name"),
+         ("Purchase Type", None, "purchase_type"), ("Document Type", None, "doc_type")],
+        [("Party Name", None, "vendor_name"), ("Type of Purchase", None, "purchase_type"), ("Doc Type", None, "doc_type"),
+         ("Bill" + NBSP + "No", None, "inv_raw"), ("Bill Date", None, "date_raw"), ("Party GSTIN", None, "gstin_raw"),
+         ("Cess Amount", None, "cess_raw"), ("IGST Amount", None, "igst_raw"), ("SGST Amount", None, "sgst_raw"),
+         ("CGST Amount", None, "cgst_raw"), ("Assessable Value", None, "taxable_raw"), ("Value of Invoice", None, "invoice_value_raw")],
+        [("Vendor", None, "vendor_name"), ("Col 2", None, "gstin_raw"), ("Reference", None, "inv_raw"), ("Bill Date", None, "date_raw"),
+         ("Central Tax", None, "cgst_raw"), ("State Tax", None, "sgst_raw"), ("Integrated Tax", None, "igst_raw"),
+         ("Taxable Amount", None, "taxable_raw"), ("Nature", None, "purchase_type"), ("Doc Type", None, "doc_type")]],
+    "2B": [
+        [("GSTIN of supplier", U.format(0), "gstin_raw"), ("Trade/Legal name", U.format(1), "trade_name"),
+         ("Invoice details", "Invoice number", "inv_raw"), ("Invoice details", "Invoice type", "inv_type"),
+         ("Invoice details", "Invoice Date", "date_raw"), ("Invoice details", "Invoice Value(₹)", "invoice_value_raw"),
+         ("Nature of Transaction", U.format(6), "supply_type"), ("Supply Attract Reverse Charge", U.format(7), "reverse_charge"),
+         ("Taxable Value (₹)", U.format(8), "taxable_raw"), ("Tax Amount", "Integrated Tax(₹)", "igst_raw"),
+         ("Tax Amount", "Central Tax(₹)", "cgst_raw"), ("Tax Amount", "State/UT Tax(₹)", "sgst_raw"),
+         ("Tax Amount", "Cess(₹)", "cess_raw"), ("GSTR-1/IFF/GSTR-5 Period", U.format(13), "filing_period"),
+         ("GSTR-1/IFF/GSTR-5 Filing Date", U.format(14), "filing_date_raw"), ("ITC Availability", U.format(15), "itc_availability"),
+         ("Note type", U.format(16), "note_type")]],
+    "CDNR": [
+        [("GSTIN of supplier", U.format(0), "gstin_raw"), ("Trade/Legal name", U.format(1), "trade_name"),
+         ("Credit note/Debit note details", "Note type", "note_type"), ("Credit note/Debit note details", "Note number", "inv_raw"),
+         ("Credit note/Debit note details", "Note date", "date_raw"), ("Invoice type", U.format(5), "inv_type"),
+         ("Taxable Value (₹)", U.format(6), "taxable_raw"), ("Tax Amount", "Integrated Tax(₹)", "igst_raw"),
+         ("Tax Amount", "Central Tax(₹)", "cgst_raw"), ("Tax Amount", "State/UT" + NBSP + "Tax(₹)", "sgst_raw"),
+         ("GSTR-1/IFF/GSTR-5 Period", U.format(10), "filing_period"), ("GSTR-1/IFF/GSTR-5 Filing Date", U.format(11), "filing_date_raw"),
+         ("ITC Availability", U.format(12), "itc_availability")],
+        [("Note Date", None, "date_raw"), ("Number", None, "inv_raw"), ("GSTIN", None, "gstin_raw"), ("Legal Name", None, "trade_name"),
+         ("Note Type", None, "note_type"), ("Inv Type", None, "inv_type"), ("Integrated Tax", None, "igst_raw"), ("Central Tax", None, "cgst_raw"),
+         ("State/UT Tax", None, "sgst_raw"), ("Taxable Value", None, "taxable_raw"), ("Filing Date", None, "filing_date_raw"),
+         ("Return Period", None, "filing_period"), ("ITC Available", None, "itc_availability")]],
+}
+RUN_KINDS = ("PR", "2B", "CDNR")
+
+
+def run_uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(catalog, rows, choices) of the derived runs: table_id = 3 x run_id + kind, headers by run_id.
+
+    Note sheets of the second layout name their number so that nobody finds it: there a choice tells."""
+    base = D.base_lines(spark, sf_dir)
+    run = (F.col("ok") / F.lit(ORDERS_PER_RUN)).cast("bigint")
+    kind_of = {"B2B": 1, "B2B-CDNR": 2}
+    books = [(0, D.pr_landing_unnumbered(base).withColumn("sheet", F.lit("PR")))]
+    b2 = D.b2_landing_unnumbered(base)
+    books += [(k, b2.where(F.col("sheet") == sheet)) for sheet, k in kind_of.items()]
+    lines = [df.select((run * len(RUN_KINDS) + k).alias("table_id"), *D.LINE_ORDER, _by_layout(
+        run, RUN_KINDS[k], lambda cols: F.array(*[F.col(c) for _p1, _p2, c in cols])).alias("cells")) for k, df in books]
+    rows = rank_in_group(lines[0].unionByName(lines[1]).unionByName(lines[2]), ["table_id"], D.LINE_ORDER, name="row_no", start=1)
+    first = F.when(F.col("table_id") % len(RUN_KINDS) == 0, F.lit(D.PR_FIRST_ROW)).otherwise(F.lit(D.PORTAL_FIRST_ROW))
+    rows = rows.select("table_id", (F.col("row_no") + first - 1).alias("row_no"), "cells")
+    tables = rows.select("table_id").distinct().select("table_id", F.floor(F.col("table_id") / len(RUN_KINDS)).alias("run_id"),
+                                                       F.element_at(F.array(*[F.lit(k) for k in RUN_KINDS]), (F.col("table_id") % len(RUN_KINDS) + 1).cast("int")).alias("kind"))
+
+    def heads(cols):
+        return F.array(*[F.struct(F.lit(p).cast("int").alias("pos"), F.lit(p1).cast("string").alias("part1"), F.lit(p2).cast("string").alias("part2"))
+                         for p, (p1, p2, _c) in enumerate(cols)])
+
+    parts = None
+    for kind in RUN_KINDS:
+        value = _by_layout(F.col("run_id"), kind, heads)
+        parts = F.when(F.col("kind") == kind, value) if parts is None else parts.when(F.col("kind") == kind, value)
+    catalog = tables.select("table_id", "run_id", "kind", F.explode(parts).alias("h")).select("table_id", "run_id", "kind", "h.*")
+    hidden = tables.where((F.col("kind") == "CDNR") & (F.col("run_id") % len(RUN_HEADERS["CDNR"]) == 1))
+    choices = hidden.select("table_id", F.lit("note_no").alias("role"), F.lit(" NUMBER ").alias("choice"))
+    return catalog, rows, choices
+
+
+def _by_layout(run: Column, kind: str, make) -> Column:
+    layouts = RUN_HEADERS[kind]
+    out = None
+    for i, cols in enumerate(layouts):
+        hit = F.pmod(run, F.lit(len(layouts))) == i
+        out = F.when(hit, make(cols)) if out is None else out.when(hit, make(cols))
+    return out
