@@ -59,18 +59,20 @@ def not_matched_report(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("mapping") == NOT_MATCHED)
 
 
-def run_log(pairs: DataFrame, run_id: str, owner: str, report_name: str) -> DataFrame:
-    """K1: one row per run: matched / mismatched tax value and pair count."""
+def run_log(pairs: DataFrame, run_id: str, owner: str, report_name: str, file: str, status: str = "completed") -> DataFrame:
+    """K1: the log row of a run: when, which file, matched / mismatched tax value, pair count and how it ended."""
     total = (F.coalesce(F.col("pr_cgst"), F.lit(0)) + F.coalesce(F.col("pr_sgst"), F.lit(0))
              + F.coalesce(F.col("pr_igst"), F.lit(0)))
-    return pairs.agg(
-        F.coalesce(F.sum(F.when(F.col("mapping") == MATCHED, total)), F.lit(0)).cast("decimal(38,2)")
-        .alias("matched_value"),
-        F.coalesce(F.sum(F.when(F.col("mapping") != MATCHED, total)), F.lit(0)).cast("decimal(38,2)")
-        .alias("mismatched_value"),
-        F.count(F.lit(1)).alias("row_count"),
-    ).select(F.lit(run_id).alias("run_id"), F.lit(owner).alias("owner"), F.lit(report_name).alias("report_name"),
-             "matched_value", "mismatched_value", "row_count", F.lit("completed").alias("status"))
+    matched = F.col("mapping") == MATCHED
+
+    def value(when):
+        return F.coalesce(F.sum(F.when(when, total)), F.lit(0)).cast("decimal(38,2)")
+
+    return pairs.agg(value(matched).alias("matched_value"), value(~matched).alias("mismatched_value"),
+                     F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(run_id).alias("run_id"), F.lit(owner).alias("owner"), F.lit(report_name).alias("report_name"),
+        F.current_timestamp().alias("generated_at"), "matched_value", "mismatched_value", "row_count", F.lit(file).alias("file"),
+        F.lit(status).alias("status"))
 
 
 def history_topk(reports: DataFrame, n: int = HISTORY_PAGE) -> DataFrame:

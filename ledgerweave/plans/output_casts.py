@@ -5,7 +5,8 @@ OUTPUT_CASTS = {'cdnr_comments': {'date': [], 'double': ['taxable', 'cgst', 'sgs
  'classify_notes': {'date': [], 'double': ['cgst', 'igst']},
  'coerce_numeric_columns': {'date': [], 'double': ['taxable_value', 'cgst', 'sgst', 'igst']},
  'comments_projection': {'date': [], 'double': ['taxable_value', 'cgst', 'sgst', 'igst']},
- 'consolidate_by_key': {'date': ['inv_date'], 'double': ['taxable', 'cgst', 'sgst', 'igst']},
+ 'consolidate_by_key': {'date': ['inv_date'],
+                        'double': ['taxable', 'cgst', 'sgst', 'igst', 'total_tax', 'invoice_value', 'cess']},
  'dashboard': {'date': [],
                'double': ['pr_cgst',
                           'pr_sgst',
@@ -24,7 +25,7 @@ OUTPUT_CASTS = {'cdnr_comments': {'date': [], 'double': ['taxable', 'cgst', 'sgs
                                 'not_matched_2b',
                                 'total_pr',
                                 'total_2b']},
- 'fill_within_key': {'date': ['pr_date'], 'double': []},
+ 'fill_within_key': {'date': ['b2_date', 'pr_date'], 'double': []},
  'filter_itc_no': {'date': [], 'double': ['igst', 'cgst', 'sgst']},
  'filter_not_matched': {'date': [], 'double': ['igst', 'cgst', 'sgst']},
  'filter_rcm': {'date': [], 'double': ['igst', 'cgst', 'sgst']},
@@ -40,12 +41,20 @@ OUTPUT_CASTS = {'cdnr_comments': {'date': [], 'double': ['taxable', 'cgst', 'sgs
  'recon_outer_join': {'date': ['pr_date', 'b2_date'], 'double': ['pr_cgst', 'b2_cgst', 'pr_igst', 'b2_igst']},
  'recon_projection': {'date': [],
                       'double': ['pr_cgst', 'b2_cgst', 'pr_sgst', 'b2_sgst', 'pr_igst', 'b2_igst']},
+ 'reconcile_given': {'date': [],
+                     'double': ['pr_invoice_value',
+                                'pr_cess',
+                                'b2_total_tax',
+                                'b2_invoice_value',
+                                'b2_cess']},
+ 'reconcile_uploads': {'date': [], 'double': ['pr_cgst', 'b2_cgst', 'b2_cess']},
  'rescue_empty_inv_key': {'date': [], 'double': ['taxable']},
  'review_candidates': {'date': [],
                        'double': ['pr_cgst', 'b2_cgst', 'pr_sgst', 'b2_sgst', 'pr_igst', 'b2_igst']},
  'run_log': {'date': [], 'double': ['matched_value', 'mismatched_value']},
  'sign_credit_notes': {'date': [], 'double': ['taxable', 'cgst', 'sgst', 'igst']},
- 'suffix_sides': {'date': ['inv_date'], 'double': ['taxable', 'cgst', 'sgst', 'igst']},
+ 'suffix_sides': {'date': ['inv_date'],
+                  'double': ['taxable', 'cgst', 'sgst', 'igst', 'total_tax', 'invoice_value', 'cess']},
  'sum_column': {'date': [], 'double': ['sum_taxable', 'sum_cgst', 'sum_sgst', 'sum_igst']},
  'tax_period': {'date': ['filing_date', 'period_start'], 'double': []},
  'union_sheets': {'date': ['inv_date'], 'double': ['taxable', 'cgst', 'sgst', 'igst']}}

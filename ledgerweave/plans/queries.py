@@ -9,7 +9,9 @@ DATE, text VARCHAR.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,11 @@ from ..operators import consolidate as C
 from ..operators import dashboard as DB
 from ..operators import lines as L
 from ..operators import pairing as P
-from . import oracle as O
+from ..session import scratch_path
+from ..sources import files as X
 from ..sources.scratch import materialize
+from . import oracle as O
+from .given import sheet_from_rows
 from .reconcile import get_run
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
@@ -60,15 +65,63 @@ def _money(c):
 
 
 # =================================================================== sources
+#: Headers under which the books are handed in again (uploads carry headers like these).
+_PR_HEADERS = {"gstin_raw": "Supplier GSTIN", "inv_raw": "Vendor Inv No", "date_raw": "Invoice Date", "doc_type": "Document Type",
+               "vendor_name": "Vendor Name", "purchase_type": "Purchase Type", "taxable_raw": "Taxable Value",
+               "cgst_raw": "CGST", "sgst_raw": "SGST", "igst_raw": "IGST", "invoice_value_raw": "Invoice Value", "cess_raw": "Cess"}
+_B2_HEADERS = {"gstin_raw": "GSTIN of supplier", "inv_raw": "Invoice details Invoice number",
+               "date_raw": "Invoice details Invoice Date", "inv_type": "Invoice details Invoice type", "note_type": "Note type",
+               "trade_name": "Trade/Legal name", "reverse_charge": "Supply Attract Reverse Charge",
+               "itc_availability": "ITC Availability", "filing_date_raw": "GSTR-1/IFF/GSTR-5 Filing Date",
+               "filing_period": "GSTR-1/IFF/GSTR-5 Period", "supply_type": "Nature of Transaction",
+               "taxable_raw": "Taxable Value (₹)", "cgst_raw": "Tax Amount Central Tax(₹)",
+               "sgst_raw": "Tax Amount State/UT Tax(₹)", "igst_raw": "Tax Amount Integrated Tax(₹)", "total_tax_raw": "Total Tax",
+               "invoice_value_raw": "Invoice Value(₹)", "cess_raw": "Tax Amount Cess(₹)"}
+_CDNR_HEADERS = {**_B2_HEADERS, "inv_raw": "Credit note/Debit note details Note number",
+                 "date_raw": "Credit note/Debit note details Note date", "inv_type": "Invoice type"}
+_SHEET_HEADERS = {"B2B": _B2_HEADERS, "B2B-CDNR": _CDNR_HEADERS, "IMPG": _B2_HEADERS}
+
+
+def _write_folder(spark, sf) -> str:
+    """Both books as files of an upload folder: the register as CSV under one header row, the 2B sheets as cell files
+    under the portal's six (the fifth has the names, the sixth nothing of its own)."""
+    run = get_run(spark, sf)
+    root = scratch_path(spark, "uploads", uuid.uuid4().hex)
+
+    def with_head(rows, heads, columns):
+        head = spark.createDataFrame([(i + 1, list(h)) for i, h in enumerate(heads)], "row_no long, cells array<string>")
+        return rows.select("row_no", F.array(*[F.col(c) for c in columns]).alias("cells")).unionByName(head)
+
+    X.write_csv(with_head(run.pr_landing, [_PR_HEADERS.values()], _PR_HEADERS), root, "register.xlsx", "Sheet1")
+    for sheet, names in _SHEET_HEADERS.items():
+        heads = [["GSTR-2B"], [], ["Supplies"], [], names.values(), [f"Unnamed: {i}_level_1" for i in range(len(names))]]
+        X.write_cells(with_head(run.b2_landing.where(F.col("sheet") == sheet), heads, names), root, "gstr2b.xlsx", sheet)
+    return root
+
+
+_folder = session_memo("folder", _write_folder)
+
+
+def _pr_sheet(spark, sf):
+    """The register's rows as their file has them, under the landing names."""
+    rows = sheet_from_rows(X.read_csv(spark, _folder(spark, sf)).where("workbook = 'register.xlsx'"), "flat")
+    return rows.select("row_no", *[F.col(f"`{h}`").alias(c) for c, h in _PR_HEADERS.items()])
+
+
+def _b2_sheets(spark, sf):
+    cells = X.read_cells(spark, _folder(spark, sf)).where("workbook = 'gstr2b.xlsx'")
+    parts = [sheet_from_rows(cells.where(F.col("sheet") == sheet), "portal").select(
+        F.lit(sheet).alias("sheet"), "row_no", *[F.col(f"`{h}`").alias(c) for c, h in names.items()]) for sheet, names in _SHEET_HEADERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 register("src_purchase_register", O.with_stage("landing") + f"""
 SELECT CAST(row_no AS BIGINT) AS row_no, {", ".join(O.PR_COLS)} FROM pr_land""")(
-    lambda spark, sf: get_run(spark, sf).pr_landing.select(
-        F.col("row_no").cast("bigint"), *O.PR_COLS))
+    lambda spark, sf: _pr_sheet(spark, sf).select(F.col("row_no").cast("bigint"), *O.PR_COLS))
 
 register("src_2b_sheet", O.with_stage("landing") + f"""
 SELECT sheet, CAST(row_no AS BIGINT) AS row_no, {", ".join(O.B2_COLS)} FROM b2_land""")(
-    lambda spark, sf: get_run(spark, sf).b2_landing.select(
-        "sheet", F.col("row_no").cast("bigint"), *O.B2_COLS))
+    lambda spark, sf: _b2_sheets(spark, sf).select("sheet", F.col("row_no").cast("bigint"), *O.B2_COLS))
 
 
 @register("drop_blank_rows", O.with_stage("landing") + f"""
@@ -92,11 +145,9 @@ def _s4(spark, sf):
 SELECT 'PR' AS book, 'PR' AS sheet, CAST(row_no AS BIGINT) AS row_no, inv_raw FROM pr_land
 UNION ALL SELECT '2B', sheet, CAST(row_no AS BIGINT), inv_raw FROM b2_land""")
 def _s5(spark, sf):
-    run = get_run(spark, sf)
-    pr = run.pr_landing.select(F.lit("PR").alias("book"), F.lit("PR").alias("sheet"),
-                               F.col("row_no").cast("bigint"), "inv_raw")
-    b2 = run.b2_landing.select(F.lit("2B").alias("book"), "sheet", F.col("row_no").cast("bigint"), "inv_raw")
-    return pr.unionByName(b2)
+    """Rows numbered where they are read from the upload folder; nothing is sorted."""
+    pr = _pr_sheet(spark, sf).select(F.lit("PR").alias("book"), F.lit("PR").alias("sheet"), F.col("row_no").cast("bigint"), "inv_raw")
+    return pr.unionByName(_b2_sheets(spark, sf).select(F.lit("2B").alias("book"), "sheet", F.col("row_no").cast("bigint"), "inv_raw"))
 
 
 # =================================================================== scalar rules
@@ -186,37 +237,16 @@ def _a1(spark, sf):
         book(run.b2_cons, F.col("sheet"), "inv_type", "trade_name", "supply_type"))
 
 
-#: Headers under which the books are handed in again (uploads carry headers like these).
-_PR_HEADERS = {"gstin_raw": "Supplier GSTIN", "inv_raw": "Vendor Inv No", "date_raw": "Invoice Date", "doc_type": "Document Type",
-               "vendor_name": "Vendor Name", "purchase_type": "Purchase Type", "taxable_raw": "Taxable Value",
-               "cgst_raw": "CGST", "sgst_raw": "SGST", "igst_raw": "IGST"}
-_B2_HEADERS = {"gstin_raw": "GSTIN of supplier", "inv_raw": "Invoice details Invoice number",
-               "date_raw": "Invoice details Invoice Date", "inv_type": "Invoice details Invoice type", "note_type": "Note type",
-               "trade_name": "Trade/Legal name", "reverse_charge": "Supply Attract Reverse Charge",
-               "itc_availability": "ITC Availability", "filing_date_raw": "GSTR-1/IFF/GSTR-5 Filing Date",
-               "filing_period": "GSTR-1/IFF/GSTR-5 Period", "supply_type": "Nature of Transaction",
-               "taxable_raw": "Taxable Value (₹)", "cgst_raw": "Tax Amount Central Tax(₹)",
-               "sgst_raw": "Tax Amount State/UT Tax(₹)", "igst_raw": "Tax Amount Integrated Tax(₹)"}
-_CDNR_HEADERS = {**_B2_HEADERS, "inv_raw": "Credit note/Debit note details Note number",
-                 "date_raw": "Credit note/Debit note details Note date", "inv_type": "Invoice type"}
-
-
 @register("reconcile_given", O.with_stage("pairs") + """
-SELECT gst_key, inv_key, sheet, mapping, remarks, reason, vendor_name, invoice_type FROM pairs""")
+SELECT gst_key, inv_key, sheet, mapping, remarks, reason, vendor_name, invoice_type, pr_invoice_value, pr_cess,
+       b2_total_tax, b2_invoice_value, b2_cess FROM pairs""")
 def _given(spark, sf):
-    """The landing books under upload headers, found by their headers and reconciled from there."""
-    from .given import reconcile
-
-    run = get_run(spark, sf)
-
-    def named(df, headers):
-        return df.select("row_no", *[F.col(c).alias(h) for c, h in headers.items()])
+    """The upload folder's two workbooks, their columns found by the headers, reconciled from there."""
+    from .given import reconcile_files
 
-    b2 = run.b2_landing
-    sheets = {s: named(b2.where(F.col("sheet") == s), _CDNR_HEADERS if s == "B2B-CDNR" else _B2_HEADERS)
-              for s in ("B2B", "B2B-CDNR", "IMPG")}
-    return reconcile(named(run.pr_landing, _PR_HEADERS), sheets).pairs.select(
-        "gst_key", "inv_key", "sheet", "mapping", "remarks", "reason", "vendor_name", "invoice_type")
+    run = reconcile_files(spark, _folder(spark, sf), "register.xlsx", "gstr2b.xlsx")
+    return run.pairs.select("gst_key", "inv_key", "sheet", "mapping", "remarks", "reason", "vendor_name", "invoice_type",
+                            *[_money(f"pr_{a}") for a in ("invoice_value", "cess")], *[_money(f"b2_{a}") for a in L.MORE_AMOUNTS])
 
 
 @register("recon_outer_join", O.with_stage("pairs") + """
@@ -848,11 +878,11 @@ def _j9(spark, sf):
 @register("pending_state", O.with_stage("pairs") + """
 SELECT CAST(pair_id AS BIGINT) AS pair_id, gst_key, inv_key, sheet, mapping, pr_cgst, b2_cgst FROM pairs""")
 def _s11(spark, sf):
-    from ..sources.sinks import save_pending_state, load_pending_state
+    from ..sources.sinks import load_pending_state, save_pending_state
 
     run = get_run(spark, sf)
-    path = save_pending_state(run)
-    pairs = load_pending_state(spark, path, run.run_id)["pair"]
+    save_pending_state(run)
+    pairs = load_pending_state(spark, run.run_id)["pair"]
     return pairs.select(F.col("pair_id").cast("bigint"), "gst_key", "inv_key", "sheet", "mapping",
                         _money("pr_cgst"), _money("b2_cgst"))
 
@@ -869,16 +899,36 @@ def _f8(spark, sf):
 
 
 _RUN_LOG_SQL = O.with_stage("pairs") + _REVIEWED + """
-SELECT 'run-derived' AS run_id, 'derived' AS owner, 'Recon_derived' AS report_name,
+, runs AS (SELECT 'reviewed' AS owner, 'completed' AS status, * FROM reviewed UNION ALL SELECT 'pending', 'review needed', * FROM pairs)
+SELECT owner, 'Recon_' || owner AS report_name,
   CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping = 'Matched'), 0) AS DECIMAL(38,2)) AS matched_value,
   CAST(coalesce(sum(coalesce(pr_cgst, 0) + coalesce(pr_sgst, 0) + coalesce(pr_igst, 0)) FILTER (WHERE mapping <> 'Matched'), 0) AS DECIMAL(38,2)) AS mismatched_value,
-  count(*) AS row_count, 'completed' AS status
-FROM reviewed"""
+  count(*) AS row_count, status, TRUE AS has_time, count(*) AS file_rows
+FROM runs GROUP BY owner, status"""
 
 
 @register("run_log", _RUN_LOG_SQL)
 def _k1(spark, sf):
-    return RV.run_log(get_run(spark, sf).reviewed, "run-derived", "derived", "Recon_derived")
+    """Two runs published and logged, one of them twice, a third logged and deleted: the log has the first two, each
+    with its time and with the file that holds its rows."""
+    from ..sources import sinks as SK
+
+    run = get_run(spark, sf)
+    logged = {"pending": (run.pairs, "review needed"), "reviewed": (run.reviewed, "completed")}
+    ids = {owner: f"{run.run_id}/{spark.sparkContext.applicationId}/{owner}" for owner in (*logged, "gone")}
+    for owner in ("pending", "reviewed", "pending"):
+        pairs, status = logged[owner]
+        version = SK.write_report(spark, {"reconciliation": P.recon_projection(pairs)}, ids[owner])
+        SK.log_run(RV.run_log(pairs, ids[owner], owner, f"Recon_{owner}", version, status))
+    SK.log_run(RV.run_log(run.pairs, ids["gone"], "gone", "Recon_gone", "", "failed"))
+    SK.delete_run(spark, ids["gone"])
+    log = SK.run_log(spark).where(F.col("run_id").isin(*ids.values()))
+    files = [SK.published(spark, ids[owner], SK.REPORT)["reconciliation"].agg(F.count(F.lit(1)).alias("file_rows"))
+             .withColumn("run_id", F.lit(ids[owner])) for owner in logged]
+    versions = SK.manifest(spark).select("run_id", F.col("version").alias("file")).distinct()
+    return (log.join(versions, ["run_id", "file"]).join(files[0].unionByName(files[1]), "run_id")
+            .select("owner", "report_name", _money("matched_value"), _money("mismatched_value"), "row_count", "status",
+                    F.col("generated_at").isNotNull().alias("has_time"), "file_rows"))
 
 
 @register("history_topk", """
@@ -1064,35 +1114,92 @@ def _s9(spark, sf):
     return IG.row_counts(run.pr_landing, _uploads(spark, sf))
 
 
-@register("write_report", O.with_stage("pairs") + _REVIEWED + _COMMENT_CTES + """
-SELECT 'dashboard' AS report_table, CAST(4 AS BIGINT) AS rows
-UNION ALL SELECT 'itc', CAST(13 AS BIGINT)
-UNION ALL SELECT 'reconciliation', count(*) FROM reviewed
-UNION ALL SELECT 'pr_comments', count(*) FROM prc
-UNION ALL SELECT 'b2b_comments', count(*) FROM b2c WHERE sheet = 'B2B'
-UNION ALL SELECT 'cdnr_comments', count(*) FROM b2c WHERE sheet = 'B2B-CDNR'""")
+def _row_text_sql(columns: dict[str, str]) -> str:
+    """SQL: a row as text; money at two decimals, whatever scale the column has."""
+    return " || '|' || ".join(f"coalesce(CAST({f'CAST({c} AS DECIMAL(38,2))' if t == 'money' else c} AS VARCHAR), '~')" for c, t in columns.items())
+
+
+_RECON_COLUMNS = {c: "text" for c in ("gst_key", "inv_key", "invoice_type", "mapping", "remarks", "reason", "vendor_name", "filing_period",
+                                      "pr_gstin", "b2_gstin", "pr_inv", "b2_inv", "pr_date", "b2_date")}
+_RECON_COLUMNS |= {f"{s}_{t}": "money" for t in ("cgst", "sgst", "igst") for s in ("pr", "b2")}
+_TAXES = {"taxable_value": "money", "cgst": "money", "sgst": "money", "igst": "money"}
+_FOUND = {"mapping": "text", "remarks": "text", "reason": "text"}
+_B2_SHEET = {b: "text" for _a, b in CM.B2_SHEET_COLUMNS}
+#: Report table -> its columns, as the contents are compared.
+_REPORT_COLUMNS = {
+    "dashboard": {"status": "text", "pos": "text", **{f"{s}_{t}": "money" for s in ("pr", "b2") for t in ("cgst", "sgst", "igst", "total")}},
+    "itc": {"code": "text", "pos": "text", "details": "text", "integrated": "money", "central": "money", "state": "money", "cess": "money"},
+    "reconciliation": _RECON_COLUMNS,
+    "pr_comments": {"row_no": "text", **{b: _TAXES.get(b, "text") for _a, b in CM.PR_SHEET_COLUMNS}, **_FOUND, "row_number_in_2b": "text"},
+    "b2b_comments": {"row_no": "text", **_B2_SHEET, "taxable_value": "text", "cgst": "text", "sgst": "text", "igst": "text", **_FOUND,
+                     "row_number_in_pr": "text", "tax_period": "text"},
+    "cdnr_comments": {"row_no": "text", **_B2_SHEET, **_TAXES, **_FOUND, "row_number_in_pr": "text", "tax_period": "text"},
+}
+
+
+def _report_sql() -> str:
+    """The contents of all six tables over the reviewed pairs, each from the SQL of its own query."""
+    def body(sql: str) -> str:  # after the common stages
+        return sql[len(O.with_stage("pairs")):].strip().lstrip(",").strip()
+
+    def sheet(where: str, amounts: dict[str, str]) -> str:
+        cols = ", ".join(f"{a} AS {b}" for a, b in CM.B2_SHEET_COLUMNS if b not in ("filing_date", "filing_period"))
+        return (f"SELECT row_no, {cols}, {', '.join(f'{a} AS {b}' for b, a in amounts.items())}, mapping, remarks, reason, row_number_in_pr, "
+                f"CASE WHEN filing_date IS NOT NULL THEN strftime(filing_date, '%d-%m-%Y') ELSE filing_date_raw END AS filing_date, "
+                f"{_n13_month('filing_period')} AS filing_period, {_n13_month('tax_period')} AS tax_period FROM b2c WHERE {where}")
+
+    parts = {"dashboard": ORACLE["dashboard"], "itc": ORACLE["itc_table"], "reconciliation": O.with_stage("pairs") + _RECON_SQL}
+    selects, ctes = {}, []
+    for name, sql in parts.items():
+        *own, last = body(sql).rsplit("\n)\nSELECT ", 1) if name == "dashboard" else [body(sql)]
+        if name == "dashboard":
+            ctes.append(own[0] + "\n)")
+            selects[name] = "SELECT " + last
+        elif name == "itc":
+            flags, rest = sql[len(O.with_stage("pairs")):].strip().lstrip(",").split("\n)\n", 1)
+            totals, rows = rest.strip().lstrip(",").split(" FROM flags)\n", 1)
+            ctes += [flags + "\n)", totals + " FROM flags)"]
+            selects[name] = rows
+        else:
+            selects[name] = own[0] if own else last
+    ctes.append(_COMMENT_CTES.strip().lstrip(","))
+    amounts = {"taxable_value": "taxable", "cgst": "cgst", "sgst": "sgst", "igst": "igst"}
+    selects["pr_comments"] = ORACLE["comments_projection"].rsplit("\n)", 1)[1]
+    selects["b2b_comments"] = sheet("sheet = 'B2B'", {b: f"{a}_raw" for b, a in amounts.items()})
+    selects["cdnr_comments"] = sheet("sheet = 'B2B-CDNR'", amounts)
+    out = [f"SELECT '{name}' AS report_table, {_row_text_sql(cols)} AS row_text FROM (\n{selects[name]}\n)" for name, cols in _REPORT_COLUMNS.items()]
+    # the pairs and their statuses are those after the review
+    after = ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(out)
+    after = after.replace("FROM pairs", "FROM reviewed").replace("JOIN status s", "JOIN status_after s").replace("FROM status s", "FROM status_after s")
+    return O.with_stage("pairs") + _REVIEWED + """
+, status_after AS (
+  SELECT gst_key, inv_key, arg_max(mapping, pair_id) AS mapping, arg_max(remarks, pair_id) AS remarks, arg_max(reason, pair_id) AS reason
+  FROM reviewed GROUP BY gst_key, inv_key
+),
+""" + after
+
+
+@register("write_report", _report_sql())
 def _s10(spark, sf):
-    from ..sources.sinks import write_report
+    """The six tables published for the run, found again by its id, their rows as text."""
+    from ..sources.sinks import REPORT, published, write_report
 
     run = get_run(spark, sf)
     rev = run.reviewed
     st = P.status_lookup(rev)
-    tables = {
+    write_report(spark, {
         "dashboard": DB.dashboard(rev),
         "itc": ITC.itc_table(run.b2_lines, st, run.return_month),
         "reconciliation": P.recon_projection(rev),
         "pr_comments": CM.pr_comments_sheet(CM.pr_comments(run.pr_raw, run.b2_lines, st)),
         "b2b_comments": CM.b2_comments_sheet(CM.b2_comments(run.b2b_raw, run.pr_raw, st), signed=False),
         "cdnr_comments": CM.b2_comments_sheet(CM.b2_comments(run.cdnr_raw, run.pr_raw, st), signed=True),
-    }
-    root = write_report(spark, tables, run.run_id)
-    parts = [spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run.run_id)
-             .agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report_table"), "rows")
-             for name in tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    }, run.run_id)
+    parts = []
+    for name, df in published(spark, run.run_id, REPORT).items():
+        cells = [F.coalesce((F.col(c).cast(MONEY) if t == "money" else F.col(c)).cast("string"), F.lit("~")) for c, t in _REPORT_COLUMNS[name].items()]
+        parts.append(df.select(F.lit(name).alias("report_table"), F.concat_ws("|", *cells).alias("row_text")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # =================================================================== schema discovery

@@ -69,3 +69,11 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+def lasting_path(spark: SparkSession, *parts: str) -> str:
+    """A path that later sessions find again: below the folder that ``spark.checkpoint.dir`` names, not below the
+    subfolder that this session made in it (in local tests without the setting they are the same)."""
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    base = configured or ensure_checkpoint_dir(spark)
+    return "/".join([base.rstrip("/"), "ledgerweave", *parts])

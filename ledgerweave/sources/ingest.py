@@ -97,10 +97,9 @@ def numeric_if_all(consolidated: DataFrame) -> DataFrame:
 
 
 def write_consolidated(consolidated: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
-    """S7, second pass: each sheet as a written table of typed columns c1, c2, ...: DOUBLE where all values are numbers.
+    """S7, second pass: every sheet as a written table of its own, columns c1, c2, ... DOUBLE where all values are numbers.
 
-    ``types`` (one row per sheet and position) is read on the driver: it is the schema.  The whole is written once,
-    partitioned by sheet, and every sheet's table is a projection of its own files."""
+    ``types`` (one row per sheet and position) is read on the driver: it is the schemas."""
     spark = consolidated.sparkSession
     sheets: dict[str, list[bool]] = {}
     for r in types.orderBy("sheet", "pos").collect():

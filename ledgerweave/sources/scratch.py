@@ -5,14 +5,15 @@ checkpoint folder (``spark.checkpoint.dir``, a shared filesystem on a
 cluster) and returns a scan of it.  Compared to ``Dataset.checkpoint`` it
 runs a single job (checkpoint recomputes the plan a second time to write
 it), compresses columnar data and lets later scans prune columns and push
-filters down.  Every call gets a new folder; nothing is overwritten.
+filters down.  Every call gets a new folder; nothing is overwritten.  ``clean_up``
+removes a session's written stages when they are no longer read.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
@@ -22,3 +23,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared file system; whether there was one."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Remove every stage that this session has written; tables read from them are lost."""
+    return remove(spark, scratch_path(spark, "tables"))
