@@ -46,6 +46,16 @@ def span_text(kind: Column, start: Column, end: Column) -> Column:
     return F.concat_ws(":", kind, start.cast("string"), end.cast("string"))
 
 
+def plainly_named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as c0, c1, ...: Arrow functions refuse names with a dot."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def named_back(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The first columns under their own names again."""
+    return df.select(*[F.col(f"`{now}`").alias(then) for now, then in zip(df.columns, [*columns, *df.columns[len(columns):]])])
+
+
 def annotate(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str, pa.DataType]],
              make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
     """Every column of ``df`` as it is, and ``fields`` computed from the text of each row.
@@ -56,8 +66,8 @@ def annotate(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str, pa.D
     names = [name for name, _, _ in fields]
     kept = [c for c in df.columns if c not in names]
     at = kept.index(text_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in kept]).schema]
-                       + [f"{name} {kind}" for name, kind, _ in fields])
+    plain = plainly_named(df, kept)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + [f"`{name}` {kind}" for name, kind, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
@@ -65,6 +75,6 @@ def annotate(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str, pa.D
             texts = batch.column(at)
             rows = [of(texts[i].as_py()) for i in range(batch.num_rows)]
             new = [pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return named_back(plain.mapInArrow(run, schema), kept)
