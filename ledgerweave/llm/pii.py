@@ -61,21 +61,42 @@ DISCLOSURE, MIN_TEXTS = 0.9, 3
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
+#: Matches of one step of a running sum, code points of one piece of a text.
+_STEP, _PIECE = 256, 4096
+
+
+def _running(n: str, start: str, advance: str, row: str, make: str) -> str:
+    """SQL: ``make`` of every i below ``n`` with ``a.at``, the running value before i.
+
+    ``advance`` is the running value after i.  A fold that appends to one
+    array copies it at every step; here steps of ``_STEP`` places are folded
+    one by one, from the running value at their start, so the work grows with
+    the number of places, not with its square."""
+    last = f"int(least((b.c + 1) * {_STEP}, {n}) - 1)"
+    fold = f"aggregate(sequence(int(b.c * {_STEP}), {last}), b.at, (s, i) -> {advance.replace('a.at', 's')})"
+    return f"""CASE WHEN {n} > 0 THEN flatten(transform(
+      aggregate(sequence(0, int(({n} - 1) div {_STEP})),
+        named_struct('at', {start}, 'out', cast(array() AS ARRAY<STRUCT<c: INT, at: INT>>)),
+        (t, c) -> named_struct('at', {fold.replace('b.c', 'c').replace('b.at', 't.at')},
+                               'out', concat(t.out, array(named_struct('c', c, 'at', t.at)))),
+        t -> t.out),
+      b -> aggregate(sequence(int(b.c * {_STEP}), {last}),
+        named_struct('at', b.at, 'found', cast(array() AS ARRAY<{row}>)),
+        (a, i) -> named_struct('at', {advance}, 'found', concat(a.found, array(cast({make} AS {row})))),
+        a -> a.found))) ELSE cast(array() AS ARRAY<{row}>) END"""
+
+
+def _offsets(m: str, g: str, row: str, make: str) -> str:
+    """SQL: ``make`` of every match i, with ``a.at`` the end of the match before; m the matches, g the text between them."""
+    return _running(f"size({m})", "0", f"a.at + length({g}[i]) + length({m}[i])", row, make)
+
+
 def _located(kind: Kind) -> Column:
     """ARRAY<STRUCT<value, start, end>> of the valid matches of one kind, from its columns m_ and g_."""
     m, g = f"m_{kind.name}", f"g_{kind.name}"
-    row = "STRUCT<value: STRING, start: INT, end: INT>"
-    return F.expr(f"""
-      CASE WHEN size({m}) > 0 THEN filter(aggregate(
-        sequence(0, size({m}) - 1),
-        named_struct('at', 0, 'found', cast(array() AS ARRAY<{row}>)),
-        (a, i) -> named_struct(
-          'at', a.at + length({g}[i]) + length({m}[i]),
-          'found', concat(a.found, array(cast(named_struct(
-            'value', {m}[i], 'start', a.at + length({g}[i]),
-            'end', a.at + length({g}[i]) + length({m}[i])) AS {row})))),
-        a -> a.found), f -> exists(array(f.value), x -> {kind.valid}))
-      ELSE cast(array() AS ARRAY<{row}>) END""")
+    every = _offsets(m, g, "STRUCT<value: STRING, start: INT, end: INT>",
+                     f"named_struct('value', {m}[i], 'start', a.at + length({g}[i]), 'end', a.at + length({g}[i]) + length({m}[i]))")
+    return F.expr(f"filter({every}, f -> exists(array(f.value), x -> {kind.valid}))")
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,13 +178,9 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
     hit = hit.withColumn("pattern", pattern).select(
         "doc_id", "h", F.expr("regexp_extract_all(text, pattern, 0)").alias("m"), F.expr("split(text, pattern, -1)").alias("g"))
-    placed = hit.select(hit["doc_id"].alias("_id"), hit["h"].alias("_h"), F.expr(f"""
-      CASE WHEN size(m) > 0 THEN aggregate(
-        sequence(0, size(m) - 1),
-        named_struct('at', 0, 'found', cast(array() AS {_SPAN})),
-        (a, i) -> named_struct('at', a.at + length(g[i]) + length(m[i]), 'found', concat(a.found, cast(array(named_struct(
-          'kind', '{TERM}', 'start', a.at + length(g[i]), 'end', a.at + length(g[i]) + length(m[i]))) AS {_SPAN}))),
-        a -> a.found) END""").alias("terms"))
+    every = _offsets("m", "g", "STRUCT<kind: STRING, start: INT, end: INT>",
+                     f"named_struct('kind', '{TERM}', 'start', a.at + length(g[i]), 'end', a.at + length(g[i]) + length(m[i]))")
+    placed = hit.select(hit["doc_id"].alias("_id"), hit["h"].alias("_h"), F.expr(every).alias("terms"))
     placed = written(placed, "pii-placed")
     joined = base.join(placed, base["doc_id"].eqNullSafe(placed["_id"]) & (base["h"] == placed["_h"]), "left")
     return joined.select("doc_id", "h", "spans", F.coalesce("terms", F.expr(f"cast(array() AS {_SPAN})")).alias("terms"))
@@ -179,13 +196,28 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                                    s["kind"].alias("kind")))).alias("marks")).distinct()
     joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]) & (docs["h"] == marks["_h"]), "left")
-    return joined.select("doc_id", F.expr("""
-      CASE WHEN text IS NULL OR size(marks) = 0 THEN text ELSE aggregate(marks,
-        named_struct('at', 0, 'out', ''),
-        (a, s) -> CASE WHEN s.start >= a.at
-          THEN named_struct('at', s.end, 'out', concat(a.out, substr(text, a.at + 1, s.start - a.at), '[', upper(s.kind), ']'))
-          ELSE named_struct('at', greatest(a.at, s.end), 'out', a.out) END,
-        a -> concat(a.out, substr(text, a.at + 1))) END""").alias("text"))
+    # a mark counts if it starts at or behind the end of all before it; the text between is cut from pieces of the text
+    cuts = _running("size(marks)", "0", "greatest(a.at, marks[i].end)", "STRUCT<at: INT, start: INT, kind: STRING>",
+                    "named_struct('at', a.at, 'start', marks[i].start, 'kind', marks[i].kind)")
+    cut = joined.select("doc_id", "text", F.coalesce("marks", F.expr(f"cast(array() AS {_MARKS})")).alias("marks"),
+                        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)).alias("pieces")).select(
+        "doc_id", "text", "marks", "pieces", F.expr(cuts).alias("cuts"))
+    done = F.expr(f"""concat(
+      array_join(transform(filter(cuts, c -> c.start >= c.at), c -> concat({_between('c.at', 'c.start')}, '[', upper(c.kind), ']')), ''),
+      aggregate(array(array_max(transform(marks, s -> s.end))), '', (o, e) -> {_between('e', 'length(text)')}))""")
+    return cut.select("doc_id", F.when(F.col("text").isNull() | (F.size("marks") == 0), F.col("text")).otherwise(done).alias("text"))
+
+
+_MARKS = "ARRAY<STRUCT<start: INT, end: INT, kind: STRING>>"
+
+
+def _between(a: str, b: str) -> str:
+    """SQL: the text from code point ``a`` up to ``b``, without a walk from its beginning."""
+    pa, pb = f"int({a} div {_PIECE})", f"int({b} div {_PIECE})"
+    return f"""CASE WHEN {a} >= {b} THEN ''
+      WHEN {pa} = {pb} THEN substr(pieces[{pa}], int({a} % {_PIECE}) + 1, {b} - {a})
+      ELSE concat(substr(pieces[{pa}], int({a} % {_PIECE}) + 1), array_join(slice(pieces, {pa} + 2, {pb} - {pa} - 1), ''),
+                  CASE WHEN {b} % {_PIECE} = 0 THEN '' ELSE substr(pieces[{pb}], 1, int({b} % {_PIECE})) END) END"""
 
 
 def joined_spans(spans: Column) -> Column:
