@@ -4,9 +4,9 @@ Every language has a zstandard raw-content dictionary: a bounded sample of
 its labelled texts.  A text is compressed with each dictionary, block by
 block; the language whose dictionary gives the smallest size wins.  Where the
 runner-up is nearly as small (sizes are whole bytes, so short texts tie), the
-sizes are measured again as what the text adds to each of a language's
-context samples, which resolves fractions of a byte.  A prediction whose
-margin stays narrow is rejected.
+sizes are taken again as sums over several smaller dictionaries of each
+language, drawn from the same sample, which tells fractions of a byte.  A
+prediction whose margin stays narrow is rejected.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from .common import annotate, id_remainder
 
 #: Labelled rows a language's dictionary is made of (those with the smallest id hashes), and characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 128, 2000
-#: Of these, the samples and bytes of each that serve as contexts instead.
-CONTEXTS, CONTEXT_BYTES = 28, 800
+#: Characters of all dictionaries together: with many languages each has fewer samples.
+TOTAL_CHARS = 16_000_000
+#: Smaller dictionaries of a language for narrow texts.
+DRAWS = 12
 #: Bytes of text that are compressed at a time, so that a long text is not its own dictionary.
 BLOCK_BYTES = 4096
 LEVEL = 6
@@ -41,7 +43,7 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows whose crc32(id) leaves ``held_out[1]`` modulo ``held_out[0]`` are
     never read, nor rows without a label, id or text.  The sample is
     chosen over ids and labels alone; the texts of the chosen rows are then
-    fetched: at most MAX_LANGUAGES * SAMPLE_DOCS * SAMPLE_CHARS characters.
+    fetched, at most TOTAL_CHARS characters.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"),
                        docs[text_col].cast("string").alias("text"))
@@ -49,13 +51,14 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         id_remainder(F.col("doc_id"), held_out[0]) != held_out[1])
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = train.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
-    picked = chosen.select("doc_id", "lang").limit(MAX_LANGUAGES * SAMPLE_DOCS + 1).collect()
-    langs = {r["lang"] for r in picked}
+    langs = {r["lang"] for r in train.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()}
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values")
-    ids = sorted({r["doc_id"] for r in picked})
-    texts = train.where(F.col("doc_id").isin(ids)).select(
-        "doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().collect() if ids else []
+    most = max(1, min(SAMPLE_DOCS, TOTAL_CHARS // (SAMPLE_CHARS * max(1, len(langs)))))
+    ids = docs.sparkSession.createDataFrame(
+        sorted({(r["doc_id"],) for r in chosen.where(F.col("place") <= most).select("doc_id").collect()}), "doc_id long")
+    texts = train.join(F.broadcast(ids), "doc_id").select(  # at most TOTAL_CHARS / SAMPLE_CHARS ids
+        "doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().collect()
     parts: dict[str, list[bytes]] = {lang: [] for lang in sorted(langs)}
     for r in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         parts[r["lang"]].append(normalised(r["text"]))
@@ -70,27 +73,27 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
+def draws(texts: list[bytes]) -> list[list[bytes]]:
+    """Every DRAWS-th text from the first, from the second, ...: parts of a language's sample."""
+    return [texts[i::DRAWS] for i in range(min(DRAWS, len(texts)))] or [texts]
+
+
+def compressor(texts: list[bytes]) -> zstandard.ZstdCompressor:
+    """One that has the texts as its dictionary (which must have 8 bytes)."""
+    data = zstandard.ZstdCompressionDict(b" ".join(texts).ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=data, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 class Classifier:
     def __init__(self, samples: dict[str, list[bytes]]) -> None:
-        self.of: list[tuple[str, zstandard.ZstdCompressor]] = []
-        self.contexts: dict[str, list[bytes]] = {}
-        self.alone: dict[str, int] = {}
-        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.plain = zstandard.ZstdCompressor(**options)
-        for lang, texts in sorted(samples.items()):
-            cut = min(CONTEXTS, len(texts) // 2)
-            # a dictionary must have 8 bytes
-            data = zstandard.ZstdCompressionDict(b" ".join(texts[cut:]).ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            self.of.append((lang, zstandard.ZstdCompressor(dict_data=data, **options)))
-            self.contexts[lang] = [t[:CONTEXT_BYTES] for t in texts[:cut]] or [b""]
-            self.alone[lang] = sum(len(self.plain.compress(t)) for t in self.contexts[lang])
-
-    def _added(self, lang: str, blocks: list[bytes]) -> float:
-        """Mean bytes that the blocks add to the language's contexts."""
-        contexts = self.contexts[lang]
-        size = sum(len(self.plain.compress(c + b" " + b)) for b in blocks for c in contexts)
-        return (size - len(blocks) * self.alone[lang]) / len(contexts)
+        self.of = [(lang, [compressor(texts)]) for lang, texts in sorted(samples.items())]
+        self.drawn = [(lang, [compressor(draw) for draw in draws(texts)]) for lang, texts in sorted(samples.items())]
+
+    @staticmethod
+    def _sizes(blocks: list[bytes], of: list[tuple[str, list[zstandard.ZstdCompressor]]]) -> list[tuple[float, str]]:
+        """Mean size of the blocks with a language's dictionaries, smallest first."""
+        return sorted((sum(len(c.compress(b)) for b in blocks for c in own) / len(own), lang) for lang, own in of)
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); ties go to the language that sorts first."""
@@ -98,11 +101,11 @@ class Classifier:
             return UNKNOWN, 0.0, 0.0
         raw = normalised(text) or text.encode("utf-8", "surrogatepass")
         blocks = [raw[i:i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-        sizes = sorted((float(sum(len(c.compress(b)) for b in blocks)), lang) for lang, c in self.of)
+        sizes = self._sizes(blocks, self.of)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
         if sizes[1][0] < sizes[0][0] * (1 + NARROW):
-            sizes = sorted((max(0.01, self._added(lang, blocks)), lang) for lang, _ in self.of)
+            sizes = self._sizes(blocks, self.drawn)
         (best, lang), (second, _) = sizes[:2]
         return lang, second / (best + second), second / best - 1
 
