@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import documents, partitions
 
-BLOCK_SCHEMA = ("shard int, block int, first long, n_ids long, width int, doc_ids array<long>, "
+BLOCK_SCHEMA = ("shard int, block int, first long, n_ids long, width int, first_doc long, last_doc long, doc_ids array<long>, "
                 "doc_lens array<long>, payload binary")
 #: A block is closed when it holds this many ids (a longer document makes a longer block).
 BLOCK_IDS = 1 << 18
@@ -169,13 +169,15 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str | None = None, en
     """Encode every text, append ``end_id`` to each and write the blocks in ascending doc_id order.
 
     A null text is empty (its end id alone is stored).  Rows with equal doc_id
-    keep one entry each, ordered by text; rows without a doc_id come first.
+    keep one entry each, ordered by a hash of the text and then by the text,
+    however many partitions there are; rows without a doc_id come first.
     An empty table writes no block.
     """
     tok = tokenizer_path or default_tokenizer()
     docs = documents(df, id_col, text_col)
     n = partitions(df.sparkSession)
-    ordered = docs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    docs = docs.withColumn("h", F.xxhash64("text"))  # texts themselves would make long range bounds
+    ordered = docs.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, end = encoder(tok), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()
@@ -185,8 +187,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str | None = None, en
 
         def close() -> pa.RecordBatch:
             lens = [len(c) // 4 for c in codes]
+            known = [i for i in ids if i is not None]
             row = {"shard": shard, **state, "n_ids": sum(lens), "width": enc.width, "doc_ids": ids.copy(),
-                   "doc_lens": lens, "payload": pack(np.frombuffer(b"".join(codes), "<u4"), enc.width)}
+                   "first_doc": min(known, default=None), "last_doc": max(known, default=None), "doc_lens": lens, "payload": pack(np.frombuffer(b"".join(codes), "<u4"), enc.width)}
             state["block"] += 1
             state["first"] += row["n_ids"]
             ids.clear()
@@ -211,7 +214,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str | None = None, en
 
 
 _ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
-                    ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())),
+                    ("width", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())),
                     ("payload", pa.binary())])
 
 
@@ -245,8 +248,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """Random access: only the block that holds the document is read, only its bits are unpacked."""
-    block = spark.read.parquet(path).where(F.array_contains("doc_ids", doc_id)).take(1)
+    """Random access: blocks are pruned by their first and last id, only the block's bits of the document are unpacked."""
+    near = (F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)
+    block = spark.read.parquet(path).where(near & F.array_contains("doc_ids", doc_id)).take(1)
     if not block:
         return []
     b = block[0]
