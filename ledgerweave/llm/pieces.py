@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, named_back, plainly_named
 
 SPACE = "▁"
 #: Stands for a SPACE character of the text itself; lone surrogates do not occur in Spark's texts.
@@ -373,13 +373,14 @@ def decode_pieces(df: DataFrame, model_path: str | None = None, ids_col: str = "
     """Every column of ``df`` and ``decoded``: the text of the ids (null ids: null)."""
     path = model_path or default_model()
     names = [c for c in df.columns if c != "decoded"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + ", decoded string"
+    plain = plainly_named(df, names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
         for batch in batches:
             ids = batch.column(names.index(ids_col)).to_pylist()
             text = pa.array([None if x is None else own.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
 
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    return named_back(plain.mapInArrow(run, schema), names)
