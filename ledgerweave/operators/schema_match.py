@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..sources.scratch import materialize
 from .ordinal import first_n_per_group
 
 # ---------------------------------------------------------------------------
@@ -473,16 +474,19 @@ def all_roles(cleaned: DataFrame, cells: DataFrame, selections: DataFrame) -> Da
     C10 with the choices handed in, C11 for the note column, C5-C7 and C12
     for the columns that nobody chooses.  In a note table the note's number
     and date stand for the invoice's.  ``cells`` is (table_id, pos, value).
+    Headers and found roles (a row per column or role) are read several times,
+    so they are written once.
     """
     kinds = tuple(KIND_ROLES)
-    resolved = resolve_roles(cleaned, present_values(cells, cleaned), selections, kinds).where("column is not null")
+    cleaned = materialize(cleaned, "headers")
+    resolved = materialize(resolve_roles(cleaned, present_values(cells, cleaned), selections, kinds).where("column is not null"), "resolved")
     notes = cleaned.where(F.col("kind") == "CDNR")
     best = best_note_column(notes, cells.join(notes.select("table_id").distinct(), "table_id", "left_semi"),
                             resolved.where(F.col("kind") == "CDNR")).select("table_id", F.lit("note_no").alias("role"), F.col("note_column").alias("column"))
     mine = resolved.where(~((F.col("kind") == "CDNR") & F.col("role").isin("note_no", "invoice", "date"))).select("table_id", "role", "column")
     as_invoice = F.when(F.col("role") == "note_no", F.lit("invoice")).when(F.col("role") == "note_date", F.lit("date")).otherwise(F.col("role"))
-    roles = mine.unionByName(best).join(cleaned.select("table_id", "kind").distinct(), "table_id").select(
-        "table_id", F.when(F.col("kind") == "CDNR", as_invoice).otherwise(F.col("role")).alias("role"), "column")
+    roles = materialize(mine.unionByName(best).join(cleaned.select("table_id", "kind").distinct(), "table_id").select(
+        "table_id", F.when(F.col("kind") == "CDNR", as_invoice).otherwise(F.col("role")).alias("role"), "column"), "roles")
     named = match_name_column(cleaned).select(
         "table_id", F.when(F.col("role") == "vendor_name", F.lit("name")).otherwise(F.lit("filing_period")).alias("role"), "column")
     words = match_by_keyword(cleaned).select("table_id", F.expr(

@@ -15,6 +15,7 @@ import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import consolidate as C
 from ..operators import lines as L
@@ -44,18 +45,20 @@ class Run:
 
     # -- sources ---------------------------------------------------------
     @cached_property
-    def base(self) -> DataFrame:
-        """The lines both books are derived from, joined once and written."""
-        return materialize(D.base_lines(self.spark, self.sf_dir), "base")
+    def books(self) -> DataFrame:
+        """The landing rows of both books with their typed columns, numbered and written in one pass."""
+        return D.build_books(D.base_lines(self.spark, self.sf_dir), typer=L.typed_b2_rows)
 
-    @cached_property
+    @property
     def pr_table(self) -> DataFrame:
-        """Landing rows with their typed columns, written once (row numbers fixed)."""
-        return D.build_pr_landing(self.base, typer=L.typed_pr_lines)
+        rows = self.books.where(F.col("sheet") == D.BOOK_PR)
+        own = {b2: pr for pr, b2 in D.PR_AS_B2.items()}
+        typed = ["gst_key", "inv_key", "inv_orig", "inv_date", *L.amounts_of(D.PR_COLUMNS), "is_import", "is_total"]
+        return rows.select("row_no", *[F.col(c).alias(own.get(c, c)) for c in D.B2_COLUMNS if own.get(c, c) in D.PR_COLUMNS], *typed)
 
-    @cached_property
+    @property
     def b2_table(self) -> DataFrame:
-        return D.build_b2_landing(self.base, typer=L.typed_b2_rows)
+        return self.books.where(F.col("sheet") != D.BOOK_PR)
 
     @property
     def pr_landing(self) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordinal import dense_ordinal, rank_in_group
+from ..operators.ordinal import rank_in_group
 from .tables import read_table
 
 # Sheet row of the first data row: header in row 1 for the purchase register,
@@ -39,6 +39,9 @@ B2_COLUMNS = ["gstin_raw", "inv_raw", "date_raw", "inv_type", "note_type", "trad
 SHEET_B2B = "B2B"
 SHEET_CDNR = "B2B-CDNR"
 SHEET_IMPG = "IMPG"
+#: The register among the sheets of both books, and its columns that are called otherwise there.
+BOOK_PR = "PR"
+PR_AS_B2 = {"doc_type": "inv_type", "vendor_name": "trade_name", "purchase_type": "supply_type"}
 
 
 def _money_text(x: Column) -> Column:
@@ -95,7 +98,8 @@ def _blank(cols: list[str], when_blank: Column, exprs: dict[str, Column]) -> lis
     return [F.when(~when_blank, exprs[c]).alias(c) for c in cols]
 
 
-def pr_landing_unnumbered(base: DataFrame) -> DataFrame:
+def _pr_cells() -> tuple[Column, dict[str, Column], Column]:
+    """The register's rows: which lines it has, its cells, and where all cells are blank."""
     ok = F.col("ok")
     ln = F.col("ln")
     g = F.col("gstin")
@@ -127,11 +131,16 @@ def pr_landing_unnumbered(base: DataFrame) -> DataFrame:
         "invoice_value_raw": F.when(ln % 4 != 0, amt(F.col("invoice_value"))),
         "cess_raw": amt(F.col("cess")),
     }
-    blank = (ok % 61 == 0) & (ln == 3)
-    return base.where(ok % 20 != 3).select(*LINE_ORDER, *_blank(PR_COLUMNS, blank, exprs))
+    return ok % 20 != 3, exprs, (ok % 61 == 0) & (ln == 3)
 
 
-def b2_landing_unnumbered(base: DataFrame) -> DataFrame:
+def pr_landing_unnumbered(base: DataFrame) -> DataFrame:
+    has, exprs, blank = _pr_cells()
+    return base.where(has).select(*LINE_ORDER, *_blank(PR_COLUMNS, blank, exprs))
+
+
+def _b2_cells() -> tuple[Column, Column, dict[str, Column], Column]:
+    """The same of the B2B and note sheets, and which of the two a line is in."""
     ok = F.col("ok")
     cd = F.col("is_cdnr")
     sign = F.when(cd, F.lit(-1)).otherwise(F.lit(1))
@@ -163,12 +172,16 @@ def b2_landing_unnumbered(base: DataFrame) -> DataFrame:
         "invoice_value_raw": _money_text(F.col("invoice_value") * sign),
         "cess_raw": _money_text(F.col("cess") * sign),
     }
-    blank = (ok % 67 == 0) & (F.col("ln") == 2)
-    sheet = F.when(cd, F.lit(SHEET_CDNR)).otherwise(F.lit(SHEET_B2B)).alias("sheet")
-    return base.where(ok % 20 != 7).select(sheet, *LINE_ORDER, *_blank(B2_COLUMNS, blank, exprs))
+    sheet = F.when(cd, F.lit(SHEET_CDNR)).otherwise(F.lit(SHEET_B2B))
+    return ok % 20 != 7, sheet, exprs, (ok % 67 == 0) & (F.col("ln") == 2)
 
 
-def impg_landing_unnumbered(base: DataFrame) -> DataFrame:
+def b2_landing_unnumbered(base: DataFrame) -> DataFrame:
+    has, sheet, exprs, blank = _b2_cells()
+    return base.where(has).select(sheet.alias("sheet"), *LINE_ORDER, *_blank(B2_COLUMNS, blank, exprs))
+
+
+def _impg_cells() -> tuple[Column, dict[str, Column]]:
     ok = F.col("ok")
     cols = {c: F.lit(None).cast("string") for c in B2_COLUMNS}
     cols.update({
@@ -179,23 +192,37 @@ def impg_landing_unnumbered(base: DataFrame) -> DataFrame:
         "igst_raw": _money_text(F.col("tax")),
         "invoice_value_raw": _money_text(F.col("taxable") + F.col("tax")),
     })
-    return (base.where((ok % 37 == 0) & (F.col("l_linestatus") == "O"))
-            .select(F.lit(SHEET_IMPG).alias("sheet"), *LINE_ORDER, *[cols[c].alias(c) for c in B2_COLUMNS]))
+    return (ok % 37 == 0) & (F.col("l_linestatus") == "O"), cols
+
+
+def impg_landing_unnumbered(base: DataFrame) -> DataFrame:
+    has, cols = _impg_cells()
+    return base.where(has).select(F.lit(SHEET_IMPG).alias("sheet"), *LINE_ORDER, *[cols[c].alias(c) for c in B2_COLUMNS])
+
+
+def book_rows(base: DataFrame) -> DataFrame:
+    """The rows of both books in one pass over the lines: (sheet, sort key, columns of ``B2_COLUMNS``).
+
+    The register's own columns stand under their 2B names (``PR_AS_B2``)."""
+    pr_has, pr, pr_blank = _pr_cells()
+    pr = {PR_AS_B2.get(c, c): e for c, e in pr.items()}
+    b2_has, b2_sheet, b2, b2_blank = _b2_cells()
+    impg_has, impg = _impg_cells()
 
+    def row(has, sheet, cells, blank):
+        missing = F.lit(None).cast("string")
+        return F.when(has, F.struct(sheet.alias("sheet"), *[F.when(~blank, cells[c] if c in cells else missing).alias(c) for c in B2_COLUMNS]))
 
-def build_pr_landing(base: DataFrame, typer=None) -> DataFrame:
-    """S1 + S5: purchase register rows, all text, with their sheet row.
+    rows = F.array(row(pr_has, F.lit(BOOK_PR), pr, pr_blank), row(b2_has, b2_sheet, b2, b2_blank), row(impg_has, F.lit(SHEET_IMPG), impg, F.lit(False)))
+    return base.select(*LINE_ORDER, F.inline(F.filter(rows, lambda r: r.isNotNull())))
 
-    ``typer`` adds typed columns after the row-numbering sort, so the raw
-    text and its typed form land in the same single write.
-    """
-    rows = pr_landing_unnumbered(base)
-    numbered = dense_ordinal(rows, LINE_ORDER, name="row_no", start=PR_FIRST_ROW, post=typer)
-    return numbered.drop(*LINE_ORDER)
 
+def build_books(base: DataFrame, typer=None) -> DataFrame:
+    """All rows of both books, text cells, numbered inside their sheet.
 
-def build_b2_landing(base: DataFrame, typer=None) -> DataFrame:
-    """S2 + S4 + S5: B2B, B2B-CDNR and IMPG rows (portal layout), all text."""
-    rows = b2_landing_unnumbered(base).unionByName(impg_landing_unnumbered(base))
-    numbered = rank_in_group(rows, ["sheet"], LINE_ORDER, name="row_no", start=PORTAL_FIRST_ROW, post=typer)
-    return numbered.drop(*LINE_ORDER)
+    One range sort and one write number the rows of every sheet; ``typer``
+    adds typed columns after the sort, so that the raw text and its typed form
+    land in the same write."""
+    ranked = rank_in_group(book_rows(base), ["sheet"], LINE_ORDER, name="row_no", start=0, post=typer)
+    first = F.when(F.col("sheet") == BOOK_PR, F.lit(PR_FIRST_ROW)).otherwise(F.lit(PORTAL_FIRST_ROW))
+    return ranked.withColumn("row_no", F.col("row_no") + first).drop(*LINE_ORDER)

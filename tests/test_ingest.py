@@ -1,5 +1,7 @@
 """Uploads: files, consolidation, typing, column pools; published tables and the run log."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,30 +81,38 @@ def test_the_first_pool_with_a_hit_wins(spark):
     assert got == {"r": "a x", "s": "b exact"}
 
 
-def test_published_tables_are_found_by_run(spark):
+@pytest.fixture()
+def ids():
+    """Run ids that no earlier session has used: what is published outlives the session."""
+    tag = uuid.uuid4().hex
+    return f"run/ü {tag}", f"run 2 {tag}"
+
+
+def test_published_tables_are_found_by_run(spark, ids):
     one, two = spark.range(3).toDF("x"), spark.range(5).toDF("x")
     with pytest.raises(LookupError):
-        SK.published(spark, "run/ü 1", SK.STATE)
-    SK.publish(spark, {"pair": one}, "run/ü 1", SK.STATE)
-    SK.publish(spark, {"pair": two}, "run 2", SK.STATE)
-    assert SK.published(spark, "run/ü 1", SK.STATE)["pair"].count() == 3
+        SK.published(spark, ids[0], SK.STATE)
+    SK.publish(spark, {"pair": one}, ids[0], SK.STATE)
+    SK.publish(spark, {"pair": two}, ids[1], SK.STATE)
+    assert SK.published(spark, ids[0], SK.STATE)["pair"].count() == 3
     with pytest.raises(Exception, match="boom"):  # half a run: its second table fails
-        SK.publish(spark, {"pair": two, "lines": two.select(F.raise_error(F.lit("boom")).alias("x"))}, "run/ü 1", SK.STATE)
-    assert SK.published(spark, "run/ü 1", SK.STATE)["pair"].count() == 3
-    SK.publish(spark, {"pair": two}, "run/ü 1", SK.STATE)
-    assert SK.published(spark, "run/ü 1", SK.STATE)["pair"].count() == 5
+        SK.publish(spark, {"pair": two, "lines": two.select(F.raise_error(F.lit("boom")).alias("x"))}, ids[0], SK.STATE)
+    assert SK.published(spark, ids[0], SK.STATE)["pair"].count() == 3
+    SK.publish(spark, {"pair": two}, ids[0], SK.STATE)
+    assert SK.published(spark, ids[0], SK.STATE)["pair"].count() == 5
 
 
-def test_run_log_has_one_row_a_run(spark):
+def test_run_log_has_one_row_a_run(spark, ids):
     pairs = spark.createDataFrame([("Matched", 1.0), ("Not Matched", 2.0)], "mapping string, v double").selectExpr(
         "mapping", *[f"cast(v as decimal(38,2)) as pr_{t}" for t in ("cgst", "sgst", "igst")])
-    for run_id, status in (("l/1", "review needed"), ("l 2", "completed"), ("l/1", "completed")):
+    for run_id, status in ((ids[0], "review needed"), (ids[1], "completed"), (ids[0], "completed")):
         SK.log_run(RV.run_log(pairs, run_id, "me", "Recon_me", "file", status))
-    rows = {r.run_id: r for r in SK.run_log(spark).where(F.col("run_id").isin("l/1", "l 2")).collect()}
-    assert set(rows) == {"l/1", "l 2"} and rows["l/1"].status == "completed" and rows["l/1"].generated_at is not None
-    assert (rows["l 2"].matched_value, rows["l 2"].mismatched_value, rows["l 2"].row_count, rows["l 2"].file) == (3, 6, 2, "file")
-    SK.delete_run(spark, "l/1")
-    assert [r.run_id for r in SK.run_log(spark).where(F.col("run_id").isin("l/1", "l 2")).collect()] == ["l 2"]
+    rows = {r.run_id: r for r in SK.run_log(spark).where(F.col("run_id").isin(*ids)).collect()}
+    assert set(rows) == set(ids) and rows[ids[0]].status == "completed" and rows[ids[0]].generated_at is not None
+    other = rows[ids[1]]
+    assert (other.matched_value, other.mismatched_value, other.row_count, other.file) == (3, 6, 2, "file")
+    SK.delete_run(spark, ids[0])
+    assert [r.run_id for r in SK.run_log(spark).where(F.col("run_id").isin(*ids)).collect()] == [ids[1]]
 
 
 def test_written_stages_can_be_removed(spark, tmp_path):
