@@ -57,4 +57,4 @@ OUTPUT_CASTS = {'cdnr_comments': {'date': [], 'double': ['taxable', 'cgst', 'sgs
                   'double': ['taxable', 'cgst', 'sgst', 'igst', 'total_tax', 'invoice_value', 'cess']},
  'sum_column': {'date': [], 'double': ['sum_taxable', 'sum_cgst', 'sum_sgst', 'sum_igst']},
  'tax_period': {'date': ['filing_date', 'period_start'], 'double': []},
- 'union_sheets': {'date': ['inv_date'], 'double': ['taxable', 'cgst', 'sgst', 'igst']}}
+ 'union_sheets': {'date': ['inv_date'], 'double': ['taxable', 'cgst', 'sgst', 'igst', 'total_tax']}}

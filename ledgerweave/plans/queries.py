@@ -599,13 +599,19 @@ def _t2(spark, sf):
 
 
 @register("union_sheets", O.with_stage("cons") + """
-SELECT gst_key, inv_key, sheet, taxable, cgst, sgst, igst, inv_date, trade_name FROM b2_cons""")
+SELECT gst_key, inv_key, sheet, taxable, cgst, sgst, igst, CASE WHEN sheet = 'B2B' THEN total_tax END AS total_tax, inv_date, trade_name,
+       CASE WHEN sheet = 'B2B' THEN reverse_charge END AS reverse_charge, CASE WHEN sheet = 'B2B' THEN supply_type END AS supply_type,
+       CASE WHEN sheet = 'B2B-CDNR' THEN note_type END AS note_type FROM b2_cons""")
 def _u1(spark, sf):
+    """The two sheets consolidated each on its own, under columns of its own, and united by name."""
     run = get_run(spark, sf)
-    b2b = run.b2_cons.where(F.col("sheet") == "B2B")
-    cdnr = run.b2_cons.where(F.col("sheet") == "B2B-CDNR")
-    return b2b.unionByName(cdnr, allowMissingColumns=True).select(
-        "gst_key", "inv_key", "sheet", *[_money(a) for a in L.AMOUNTS], "inv_date", "trade_name")
+    shared = ["gstin_raw", "inv_orig", "trade_name"]
+    b2b = C.consolidate_by_key(run.b2b_raw, [*shared, "reverse_charge", "supply_type"], sums=[*L.AMOUNTS, "total_tax"])
+    cdnr = C.consolidate_by_key(run.cdnr_raw, [*shared, "note_type"], sums=L.AMOUNTS).withColumn("sheet", F.lit("B2B-CDNR"))
+    cdnr = C.rescue_empty_inv_key(materialize(cdnr, "notes"))
+    return b2b.withColumn("sheet", F.lit("B2B")).unionByName(cdnr, allowMissingColumns=True).select(
+        "gst_key", "inv_key", "sheet", *[_money(a) for a in [*L.AMOUNTS, "total_tax"]], "inv_date", "trade_name", "reverse_charge",
+        "supply_type", "note_type")
 
 
 @register("distinct_names", O.with_stage("pairs") + """

@@ -18,7 +18,7 @@ from ledgerweave.plans.queries import QUERIES  # noqa: E402
 from ledgerweave.session import build_session  # noqa: E402
 
 HEADLINE = ["consolidate_by_key", "recon_outer_join", "classify_pairs", "status_lookup", "pr_comments",
-            "itc_table", "dashboard", "history_topk", "resolve_roles"]
+            "itc_table", "dashboard", "history_topk", "resolve_roles", "row_numbering", "land_uploads", "reconcile_uploads"]
 KEEP = re.compile(r"(Exchange|Join|Aggregate|Window|Sort |Scan |BroadcastExchange|AQEShuffleRead|Expand|Generate)")
 
 
