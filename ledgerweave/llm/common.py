@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -46,6 +49,40 @@ def span_text(kind: Column, start: Column, end: Column) -> Column:
     return F.concat_ws(":", kind, start.cast("string"), end.cast("string"))
 
 
+#: What operators keep in this Python worker between tasks: operator -> how to let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    """Note that an operator keeps a model or a memory in this worker for its next task."""
+    _KEPT[owner] = drop
+
+
+def let_go(owner: str) -> None:
+    """Free what other operators keep in this worker, at the beginning of a task of ``owner``.
+
+    Spark reuses its Python workers, so those of a pipeline would gather the models of all its stages."""
+    others = [name for name in _KEPT if name != owner]
+    for name in others:
+        _KEPT.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows whose results a task holds at a time.
+ROWS = 1024
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``ROWS`` rows: what is made of a part is passed on before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def plainly_named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as c0, c1, ...: Arrow functions refuse names with a dot."""
     return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
@@ -57,10 +94,11 @@ def named_back(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def annotate(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str, pa.DataType]],
-             make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
+             make: Callable[[], Callable[[str | None], tuple]], owner: str = "") -> DataFrame:
     """Every column of ``df`` as it is, and ``fields`` computed from the text of each row.
 
-    ``make`` runs once a task and returns the function of one text.  A column
+    ``make`` runs once a task and returns the function of one text; ``owner``
+    names the operator if it keeps something in its workers.  A column
     of ``df`` that has the name of a field is replaced.
     """
     names = [name for name, _, _ in fields]
@@ -70,8 +108,9 @@ def annotate(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str, pa.D
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + [f"`{name}` {kind}" for name, kind, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)
         of = make()
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(at)
             rows = [of(texts[i].as_py()) for i in range(batch.num_rows)]
             new = [pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(fields)]

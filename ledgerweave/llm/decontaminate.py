@@ -1,13 +1,22 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Benchmark questions and answers are cut into windows of ``window`` words;
-every distinct window becomes a pattern of one automaton.  A document is
-normalised to its words joined by single spaces, scanned once, and the hits
-are mapped back to words and to code-point offsets of the original text.
+every distinct window becomes a pattern of one automaton.  Words are written
+as codes: a word of the benchmark's vocabulary is its number in digits to base
+``BASE``, every digit from an alphabet of its place, so that a match cannot
+begin inside a word.  A document is normalised to its words, written in these
+codes and scanned once, and the hits are mapped back to words and to
+code-point offsets of the original text.
+
+With codes of two or three digits the automaton has less than half the nodes
+of one over letters, a node has ``BASE`` children at most, and a pattern holds
+a number instead of item ids.  A worker keeps the automaton it has built for
+the tasks that follow.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, documents, written
+from .common import annotate, documents, in_parts, keep, let_go, written
 
 #: Window length in words.
 WINDOW = 10
 #: Benchmark text that one automaton is built from; a larger set is scanned in blocks of this size.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
+#: Base of the words' codes.
+BASE = 64
 
 #: Bytes of words: digits, ASCII letters, and everything beyond ASCII.
 _IS_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -31,55 +42,73 @@ SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items array<stri
           "words array<struct<first:int,last:int>>, spans array<struct<start:int,end:int>>")
 
 
-def normalised(text: str | None) -> bytes:
-    """Words in lower-case ASCII (other scripts unchanged), joined by single spaces."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_WORD).split())
-
-
-def windows(text: str | None, size: int = WINDOW) -> set[str]:
-    words = normalised(text).decode("latin-1").split(" ")
-    if words == [""]:
-        return set()
-    return {" " + " ".join(words[i:i + size]) + " " for i in range(max(1, len(words) - size + 1))}
-
-
-def automaton(items: list[tuple[int, str]], size: int = WINDOW) -> ahocorasick.Automaton:
-    """Window text (one byte a character) -> (number of words, ids of the items that hold it)."""
-    holders: dict[str, set[int]] = {}
-    for item_id, text in items:
-        for w in windows(text, size):
-            holders.setdefault(w, set()).add(item_id)
-    auto = ahocorasick.Automaton()
-    for w, ids in holders.items():
-        auto.add_word(w, (w.count(" ") - 1, tuple(ids)))
-    if holders:
-        auto.make_automaton()
-    return auto
-
-
-def scan(auto: ahocorasick.Automaton, text: str | None,
-         before: list[tuple[int, int]] = ()) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """(words of the text, hit runs [first, last) in words, items found); ``before``: runs known already."""
-    norm = normalised(text)
-    if not norm:
-        return 0, [], set()
-    n, items = norm.count(b" ") + 1, set()
-    found = list(auto.iter(" " + norm.decode("latin-1") + " ")) if len(auto) else []
-    if not found:
-        return n, list(before), items
-    # the closing space of a hit is the space after its last word: its rank among the spaces is that word's end
-    spaces = np.flatnonzero(np.frombuffer(b" " + norm + b" ", np.uint8) == 32)
-    last = np.searchsorted(spaces, np.array([e for e, _ in found])).tolist()
-    change = np.zeros(n + 1, np.int64)
-    for first, end in before:
-        change[first] += 1
-        change[end] -= 1
-    for end, (_, (length, ids)) in zip(last, found):
-        change[end - length] += 1
-        change[end] -= 1
-        items.update(ids)
-    edge = np.diff(np.concatenate(([0], np.cumsum(change)[:n] > 0, [0])).astype(np.int8))
-    return n, list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())), items
+def words_of(text: str | None) -> list[bytes]:
+    """Words in lower-case ASCII (other scripts unchanged)."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_WORD).split()
+
+
+class Benchmark:
+    """The automaton of a block of items: vocabulary, patterns, and the items that hold each pattern."""
+
+    def __init__(self, items: list[tuple[int, str]], size: int = WINDOW) -> None:
+        texts = [(item_id, words_of(text)) for item_id, text in items]
+        vocabulary = dict.fromkeys(w for _, words in texts for w in words)
+        self.digits = 1
+        while BASE ** self.digits < len(vocabulary):
+            self.digits += 1
+        self.code = {w: "".join(chr(1 + d * BASE + n // BASE ** d % BASE) for d in range(self.digits)) for n, w in enumerate(vocabulary)}
+        self.other = "\0" * self.digits
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        length, pairs = [], set()
+        for item_id, words in texts:
+            coded = "".join([self.code[w] for w in words])
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                window = coded[i * self.digits:(i + size) * self.digits]
+                place = self.automaton.get(window, len(length))
+                if place == len(length):
+                    length.append(len(window) // self.digits)
+                    self.automaton.add_word(window, place)
+                pairs.add((place, item_id))
+        if length:
+            self.automaton.make_automaton()
+        self.length = np.array(length, np.int32)
+        held = sorted(pairs)
+        self.items = np.array([i for _, i in held], np.int64)
+        self.start = np.searchsorted(np.array([p for p, _ in held], np.int64), np.arange(len(length) + 1))
+
+    def scan(self, text: str | None, before: list[tuple[int, int]] = ()) -> tuple[int, list[tuple[int, int]], set[int]]:
+        """(words of the text, hit runs [first, last) in words, items found); ``before``: runs known already."""
+        words = words_of(text)
+        n = len(words)
+        if not n:
+            return 0, [], set()
+        get, other = self.code.get, self.other
+        found = list(self.automaton.iter("".join([get(w, other) for w in words]))) if len(self.length) else []
+        if not found:
+            return n, list(before), set()
+        last, patterns = np.array(found, np.int64).T
+        last //= self.digits
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, last + 1 - self.length[patterns], 1)
+        np.add.at(change, last + 1, -1)
+        for first, end in before:
+            change[first] += 1
+            change[end] -= 1
+        edge = np.diff(np.concatenate(([0], np.cumsum(change)[:n] > 0, [0])).astype(np.int8))
+        items = {int(i) for p in np.unique(patterns) for i in self.items[self.start[p]:self.start[p + 1]]}
+        return n, list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())), items
+
+
+#: The automaton a worker built last: (name of the block, automaton).
+_KEPT: list[tuple[str, Benchmark]] = []
+
+
+def kept(name: str, items: list[tuple[int, str]], size: int) -> Benchmark:
+    if not _KEPT or _KEPT[0][0] != name:
+        _KEPT.clear()  # the former one goes before the next is built
+        _KEPT.append((name, Benchmark(items, size)))
+        keep("decontaminate", _KEPT.clear)
+    return _KEPT[0][1]
 
 
 def original_spans(text: str | None, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         if state is None:
             state = documents(docs, id_col, text_col).select("doc_id", "text", F.lit(None).cast(_ITEMS).alias("items"),
                                                              F.lit(None).cast(_RUNS).alias("words"))
-        state = state.mapInArrow(_scanner(shared, window, last), SCHEMA if last else _STATE)
+        state = state.mapInArrow(_scanner(shared, uuid.uuid4().hex, window, last), SCHEMA if last else _STATE)
         if not last:
             state = written(state, "contamination")
             shared.unpersist()
@@ -158,11 +187,11 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_chars of text
 
-        def make(shared=shared):
-            auto = automaton(shared.value, window)
-            return lambda text: (bool(scan(auto, text)[1]),)
+        def make(shared=shared, name=uuid.uuid4().hex):
+            bench = kept(name, shared.value, window)
+            return lambda text: (bool(bench.scan(text)[1]),)
 
-        out = annotate(out, text_col, [("_lw_hit", "boolean", pa.bool_())], make).where("not _lw_hit").select(
+        out = annotate(out, text_col, [("_lw_hit", "boolean", pa.bool_())], make, "decontaminate").where("not _lw_hit").select(
             *[f"`{c}`" for c in docs.columns])
         if following is not None:
             out = written(out, "uncontaminated")
@@ -176,15 +205,16 @@ _RUNS = "array<struct<first:int,last:int>>"
 _STATE = f"doc_id long, text string, items {_ITEMS}, words {_RUNS}"
 
 
-def _scanner(shared, window: int, last: bool):
+def _scanner(shared, name: str, window: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(shared.value, window)
-        for batch in batches:
+        let_go("decontaminate")
+        bench = kept(name, shared.value, window)
+        for batch in in_parts(batches):
             out: list[list] = [[] for _ in range(7)]
             texts, known, runs_before = batch.column(1), batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
-                n, runs, found = scan(auto, text, [(r["first"], r["last"]) for r in runs_before[i].as_py() or ()])
+                n, runs, found = bench.scan(text, [(r["first"], r["last"]) for r in runs_before[i].as_py() or ()])
                 names = sorted({*(known[i].as_py() or ()), *map(str, found)})
                 values = (n, sum(b - a for a, b in runs), len(names), names, runs,
                           original_spans(text, runs) if last else None)

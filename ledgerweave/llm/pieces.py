@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, named_back, plainly_named
+from .common import documents, in_parts, keep, let_go, named_back, plainly_named
 
 SPACE = "▁"
 #: Stands for a SPACE character of the text itself; lone surrogates do not occur in Spark's texts.
@@ -44,7 +44,7 @@ _OWN_SPACE = "\udc81"
 #: Segmentations per text.
 N_BEST = 3
 #: Words a Python worker remembers, the older half given up when full; results do not depend on it.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: What an unknown character costs below the least piece score, as in the library.
 UNKNOWN_PENALTY = 10.0
 #: Scores are whole multiples of one part in so many.
@@ -316,6 +316,7 @@ _LATTICES: dict[tuple[str, int], Lattice] = {}
 def lattice(path: str, n_best: int = N_BEST) -> Lattice:
     if (path, n_best) not in _LATTICES:
         _LATTICES[path, n_best] = Lattice(path, n_best)
+        keep("pieces", _LATTICES.clear)
     return _LATTICES[path, n_best]
 
 
@@ -340,8 +341,9 @@ def encode_pieces(df: DataFrame, model_path: str | None = None, n_best: int = N_
     path = model_path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("pieces")
         own = lattice(path, n_best)
-        for batch in batches:
+        for batch in in_parts(batches):
             texts, codes, scores, others, same = batch.column(1), [], [], [], []
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
@@ -377,6 +379,7 @@ def decode_pieces(df: DataFrame, model_path: str | None = None, ids_col: str = "
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("pieces")
         own = lattice(path)
         for batch in batches:
             ids = batch.column(names.index(ids_col)).to_pylist()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, documents, span_text
+from .common import annotate, documents, keep, span_text
 from .pieces import SPACE, default_model
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -133,6 +133,7 @@ def words_of(path: str | None = None) -> Words:
     path = path or default_model()
     if path not in _VOCABULARIES:
         _VOCABULARIES[path] = Words(path)
+        keep("secrets", _VOCABULARIES.clear)
     return _VOCABULARIES[path]
 
 
@@ -310,7 +311,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         words = words_of(vocabulary)
         return lambda t: (_as_structs(find_secrets(t, words)),)
 
-    return annotate(documents(df, id_col, text_col), "text", fields, make).select("doc_id", "spans")
+    return annotate(documents(df, id_col, text_col), "text", fields, make, "secrets").select("doc_id", "spans")
 
 
 def redacted(df: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -323,7 +324,7 @@ def redacted(df: DataFrame, text_col: str = "text", vocabulary: str | None = Non
             return redact(text, spans), len(spans)
         return of
 
-    out = annotate(df, text_col, [("_lw_text", "string", pa.string()), ("_lw_secrets", "int", pa.int32())], make)
+    out = annotate(df, text_col, [("_lw_text", "string", pa.string()), ("_lw_secrets", "int", pa.int32())], make, "secrets")
     return out.withColumn(text_col, F.col("_lw_text")).drop("_lw_text").select(*[f"`{c}`" for c in df.columns], "_lw_secrets")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import documents, partitions
+from .common import documents, keep, let_go, partitions
 
 BLOCK_SCHEMA = ("shard int, block int, first long, n_ids long, width int, first_doc long, last_doc long, doc_ids array<long>, "
                 "doc_lens array<long>, payload binary")
@@ -161,6 +161,7 @@ def encoder(path: str) -> WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[path] = WordEncoder(path)
+        keep("tokens", _ENCODERS.clear)
     return _ENCODERS[path]
 
 
@@ -180,6 +181,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str | None = None, en
     ordered = docs.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("tokens")
         enc, shard, end = encoder(tok), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()
         state = {"block": 0, "first": 0}
         ids: list[int | None] = []
