@@ -5,15 +5,16 @@ differ in at most ``distance`` bits, some segment starts a chain of
 consecutive segments on the ring whose cumulative differences stay within
 the proportional budgets ``floor(l * distance / RING)`` for every length l.
 With five segments and four bits these are 0, 1, 2, 3, 4: the first segment
-is equal and the second differs in one bit at most, so one of its halves is
-equal too.  First segment and half form the join key; the rest of the chain
-is checked inside the join, and its full length is the exact bit distance.
+is equal, the second differs in one bit at most, so one of its halves is equal
+too, and the third in two at most, so one of its thirds is.  First segment,
+half and third form the join key of 23 to 25 bits; the rest of the chain is
+checked inside the join, and its full length is the exact bit distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import product, repeat
 
 import numpy as np
 import pandas as pd
@@ -22,13 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, let_go, written
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 #: (lowest bit, bits) of the ring's segments.
 RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Keys of a ring start: halves of the second segment, thirds of the third.
+_KEYS = 6
 #: Fingerprints under one key that one join task pairs; denser keys are cut into blocks of this size.
 BLOCK = 1024
 _CHUNK = 1 << 14
@@ -59,6 +62,7 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     """(doc_id, h, fp LONG) for every row, ``h`` being a hash of the text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("simhash")
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = pa.array([simhash(texts[i].as_py(), shingle) for i in range(batch.num_rows)], pa.int64())
@@ -73,20 +77,23 @@ def _part(fp: Column, low: int, width: int) -> Column:
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """(key, fp): for each ring start the equal first segment with either half of the next one."""
+    """(key, fp): for each ring start the equal first segment with either half of the next one and each third of the one after."""
     fp, keys = F.col("fp"), []
     for i, (low, width) in enumerate(RING):
         low2, width2 = RING[(i + 1) % len(RING)]
-        for half, (at, bits) in enumerate(((low2, 6), (low2 + 6, width2 - 6))):
-            tag = F.lit((2 * i + half) << 40).cast("long")
-            keys.append(tag + F.shiftleft(_part(fp, low, width), 8) + _part(fp, at, bits))
+        low3, width3 = RING[(i + 2) % len(RING)]
+        halves = ((low2, 6), (low2 + 6, width2 - 6))
+        thirds = ((low3, 4), (low3 + 4, 4), (low3 + 8, width3 - 8))
+        for k, ((at, bits), (at3, bits3)) in enumerate(product(halves, thirds)):
+            tag = F.lit((_KEYS * i + k) << 40).cast("long")
+            keys.append(tag + F.shiftleft(_part(fp, low, width), 16) + F.shiftleft(_part(fp, at, bits), 8) + _part(fp, at3, bits3))
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def _chain(a: Column, b: Column, key: Column, distance: int) -> Column:
     """The chain from the key's ring start, shortest prefix first; its whole length is the bit distance."""
     diff = a.bitwiseXOR(b)
-    start = F.shiftright(key, 41)
+    start = F.floor(F.shiftright(key, 40) / _KEYS)
     whole = F.bit_count(diff) <= distance
     checks = F.lit(False)
     for i in range(len(RING)):
@@ -212,12 +219,14 @@ def one_of_each(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
     Of rows that agree in doc_id and text one stays.
     """
     found = near_duplicates(df, shingle, distance, id_col, text_col)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_lw_id"), F.col("first.h").alias("_lw_h")).distinct()
+    copies = found.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = written(copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("first")).select(
+        F.col("first.doc_id").alias("_lw_id"), F.col("first.h").alias("_lw_h"), F.col("first.n").alias("_lw_n")), "simhash-first")
     rows = df.withColumn("_lw_text", F.xxhash64(df[text_col].cast("string")))
     same = df[id_col].cast("long").eqNullSafe(F.col("_lw_id")) & (F.col("_lw_text") == F.col("_lw_h"))
-    kept = rows.join(first, same, "left_semi")
-    return kept.dropDuplicates([id_col, "_lw_text"]).select(*[f"`{c}`" for c in df.columns])
+    kept = rows.join(first, same)  # texts are shuffled here alone; both parts below read this shuffle
+    once = kept.where("_lw_n = 1").unionByName(kept.where("_lw_n > 1").dropDuplicates([id_col, "_lw_text"]))
+    return once.select(*[f"`{c}`" for c in df.columns])
 
 
 def fingerprint_text(fp: Column) -> Column:
