@@ -7,9 +7,12 @@ the states of the intersection are made deterministic as they are met, so a
 word is read once and most words die after a few letters.  A misspelled hit
 counts as its term's weight at a discount, unless the labelled rows show the
 word to be an ordinary one.  Around every hit a context window is scored,
-which tells quotation and report from abuse.  A logistic model over the hits
-in either context, fitted on labelled rows the lexicon was not learned from,
-gives the score.
+which tells quotation and report from abuse: its words and quotation marks
+have log odds, learned from the windows of hits in clean and in toxic labelled
+texts where these differ beyond chance, and known beforehand for quotation
+marks and a few words of report and of address.  A logistic model over the
+hits in either context, fitted on labelled rows the lexicon was not learned
+from, gives the score.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +50,10 @@ NEAR = 0.8
 NEAR_RATIO = 5.0
 #: Words on either side of a hit that are its context.
 CONTEXT = 6
+#: Log odds of quotation that a window has by itself, and that its words and marks have beforehand.
+WINDOW_ODDS, QUOTED, REPORT, ADDRESS = -2.0, 3.0, 1.5, -1.5
+#: Hits with a word in their window that weigh as much as what is known of the word beforehand; learned words at most.
+PRIOR_HITS, MAX_CONTEXT = 5, 2000
 #: Words added to every text's length, so that one hit does not decide on a text of a few words.
 SMALL_TEXT = 30
 CACHE_WORDS, CACHE_STATES = 400_000, 50_000
@@ -175,26 +182,68 @@ def hits_of(automaton: Automaton, low: str, words: list[str]) -> list[tuple[int,
     return [(i, *found[i]) for i in sorted(found)]
 
 
-def context_score(words: list[str], gaps: list[str], at: int) -> float:
-    """Above 0: the hit is quoted or reported; below 0: someone is addressed."""
-    near = words[max(0, at - CONTEXT):at] + words[at + 1:at + 1 + CONTEXT]
+#: Stands for quotation marks on both sides among the words of a window.
+QUOTATION = '"'
+
+
+def prior_odds(word: str) -> float:
+    return QUOTED if word == QUOTATION else REPORT if word in _REPORT else ADDRESS if word in _ADDRESS else 0.0
+
+
+def window(words: list[str], gaps: list[str], at: int) -> set[str]:
+    """The words around a hit, and ``QUOTATION`` if there are quotation marks on both sides of it."""
+    near = {*words[max(0, at - CONTEXT):at], *words[at + 1:at + 1 + CONTEXT]}
     before = "".join(gaps[max(0, at - CONTEXT):at + 1])
     after = "".join(gaps[at + 1:at + 2 + CONTEXT])
-    quoted = bool(_QUOTES.search(before)) and bool(_QUOTES.search(after))
-    return quoted + 0.5 * any(w in _REPORT for w in near) - 0.5 * any(w in _ADDRESS for w in near)
+    return near | {QUOTATION} if _QUOTES.search(before) and _QUOTES.search(after) else near
+
+
+def context_score(near: set[str], context: Mapping[str, float]) -> float:
+    """Log odds of a window: above 0 the hit is quoted or reported.
+
+    What is known beforehand counts once for all words of report and once for
+    all of address; learned odds count for every word.
+    """
+    learned = sum(context[w] for w in near if w in context)
+    known = {prior_odds(w) for w in near if w not in context}
+    return WINDOW_ODDS + learned + sum(known)
+
+
+def _gaps(low: str) -> list[str]:
+    spans = [m.span() for m in _WORD.finditer(low)]
+    return [low[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(low)])]
+
+
+def windows_of(automaton: Automaton, text: str | None) -> list[set[str]]:
+    """The windows of all hits of a text."""
+    low = (text or "").lower()
+    words = _WORD.findall(low)
+    hits = hits_of(automaton, low, words)
+    gaps = _gaps(low) if hits else []
+    return [window(words, gaps, i) for i, _, _ in hits]
+
 
+def learn_context(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """word -> log odds of quotation, from (word, hits in toxic texts with it near, hits in clean texts) of so many hits."""
+    told = [(evidence(t, c, toxic, clean), w, t, c) for w, t, c in counts] if toxic and clean else []
+    out = {}
+    for g, w, t, c in sorted(told, reverse=True)[:MAX_CONTEXT]:
+        if g >= MIN_EVIDENCE:
+            odds = math.log((c + 0.5) / (clean + 1)) - math.log((t + 0.5) / (toxic + 1))
+            out[w] = (PRIOR_HITS * prior_odds(w) + (t + c) * odds) / (PRIOR_HITS + t + c)
+    return out
 
-def features(automaton: Automaton, text: str | None) -> list[float]:
+
+def features(automaton: Automaton, text: str | None, context: Mapping[str, float] | None = None) -> list[float]:
     """log(1 + weight) of the hits in abuse, the hits' share of words, and log(1 + weight) of the hits in quotation."""
     low = (text or "").lower()
     words = _WORD.findall(low)
     hits = hits_of(automaton, low, words)
     sums, n = [0.0] * 2, 0.0
     if hits:
-        spans = [m.span() for m in _WORD.finditer(low)]
-        gaps = [low[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(low)])]
+        gaps = _gaps(low)
         for i, exact, near in hits:
-            sums[context_score(words, gaps, i) >= 1.0] += exact or NEAR * near
+            sums[context_score(window(words, gaps, i), context or {}) > 0] += exact or NEAR * near
             n += 1.0 if exact else NEAR
     return [math.log1p(sums[0]), math.sqrt(n / (len(words) + SMALL_TEXT)), math.log1p(sums[1])]
 
@@ -203,6 +252,7 @@ class Model(NamedTuple):
     terms: list[Term]
     weights: list[float]  # of the features, and the intercept; none: nothing was learned
     ordinary: tuple[str, ...] = ()  # words within one edit of a term that are none
+    context: Mapping[str, float] = {}  # learned odds of words around a hit
 
     def scorer(self):
         automaton = Automaton(self.terms, self.ordinary)
@@ -210,7 +260,7 @@ class Model(NamedTuple):
         def score(text: str | None) -> float:
             if not self.weights:
                 return 0.0
-            z = self.weights[-1] + sum(w * x for w, x in zip(self.weights, features(automaton, text)))
+            z = self.weights[-1] + sum(w * x for w, x in zip(self.weights, features(automaton, text, self.context)))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         return score
 
@@ -291,6 +341,27 @@ def _ordinary(docs: DataFrame, terms: list[Term], toxic: int, clean: int) -> tup
     return tuple(sorted(r["name"] for r in near.select("name").collect()))  # some words of a bounded sample
 
 
+def _context(docs: DataFrame, terms: list[Term], ordinary: tuple[str, ...]) -> dict[str, float]:
+    """Learned odds of the words around hits in labelled texts; the empty name counts the hits themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(terms, ordinary)
+        for batch in batches:
+            found: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for near in windows_of(automaton, text):
+                    found[0 if toxic else 1].update([*near, ""])
+            names = list({**found[0], **found[1]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in found)], names=["name", "toxic", "clean"])
+
+    counted = docs.select("text", "toxic").mapInArrow(run, "name string, toxic long, clean long").groupBy("name").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = {r["name"]: (r["toxic"], r["clean"]) for r in counted.where("name = '' or toxic + clean >= 3").collect()}  # words of a bounded sample
+    toxic, clean = counts.pop("", (0, 0))
+    return learn_context(((w, t, c) for w, (t, c) in counts.items()), toxic, clean)
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     """Logistic regression by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -334,17 +405,18 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     terms = select_terms([(r["name"], r["toxic"], r["clean"]) for r in top], toxic, clean)
 
     ordinary = _ordinary(first, terms, toxic, clean)
+    context = _context(first, terms, ordinary)
 
     def make():
         automaton = Automaton(terms, ordinary)
-        return lambda text: (features(automaton, text),)
+        return lambda text: (features(automaton, text, context),)
 
     fitted = annotate(second.select("text", "toxic"), "text", [("x", "array<double>", pa.list_(pa.float64()))], make)
     table = fitted.select("toxic", "x").collect()  # three numbers for each row of the sample
     y = np.array([r["toxic"] for r in table], float)
     if not 0 < y.sum() < len(y):
-        return Model(terms, [], ordinary)
-    return Model(terms, _fit(np.array([r["x"] for r in table]), y), ordinary)
+        return Model(terms, [], ordinary, context)
+    return Model(terms, _fit(np.array([r["x"] for r in table]), y), ordinary, context)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
