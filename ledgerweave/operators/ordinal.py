@@ -69,10 +69,15 @@ def dense_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str = "
 
 def rank_in_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column],
                   name: str = "rank", start: int = 1,
-                  post: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                  post: Callable[[DataFrame], DataFrame] | None = None,
+                  sort_by: Sequence[str | Column] | None = None) -> DataFrame:
     """``row_number() over (partition by group_by order by order_by)`` without
-    sending a whole group to one task."""
-    ordered = dense_ordinal(df, [*group_by, *order_by], name="_lw_ord", post=post)
+    sending a whole group to one task.
+
+    ``sort_by`` may name another order of the rows that is the same inside
+    every group and keeps groups together (say, by one number instead of a
+    text that hardly differs: Spark compares the first column by a prefix)."""
+    ordered = dense_ordinal(df, sort_by or [*group_by, *order_by], name="_lw_ord", post=post)
     firsts = ordered.groupBy(*group_by).agg(F.min("_lw_ord").alias("_lw_first"))
     out = ordered.join(materialize(firsts, "ordinal-firsts"), list(group_by), "inner")
     return out.withColumn(name, (F.col("_lw_ord") - F.col("_lw_first") + F.lit(start)).cast("bigint")).drop(

@@ -223,6 +223,8 @@ def build_books(base: DataFrame, typer=None) -> DataFrame:
     One range sort and one write number the rows of every sheet; ``typer``
     adds typed columns after the sort, so that the raw text and its typed form
     land in the same write."""
-    ranked = rank_in_group(book_rows(base), ["sheet"], LINE_ORDER, name="row_no", start=0, post=typer)
+    sheets = F.array(*[F.lit(s) for s in (BOOK_PR, SHEET_B2B, SHEET_CDNR, SHEET_IMPG)])
+    place = F.shiftleft(F.array_position(sheets, F.col("sheet")).cast("long"), 56) + F.col("ok")
+    ranked = rank_in_group(book_rows(base), ["sheet"], LINE_ORDER, name="row_no", start=0, post=typer, sort_by=[place, *LINE_ORDER[1:]])
     first = F.when(F.col("sheet") == BOOK_PR, F.lit(PR_FIRST_ROW)).otherwise(F.lit(PORTAL_FIRST_ROW))
     return ranked.withColumn("row_no", F.col("row_no") + first).drop(*LINE_ORDER)
