@@ -72,6 +72,16 @@ def let_go(owner: str) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of some thousand texts instead of Spark's ten thousand rows, unless the session has a number of its own:
+    a batch is held by the executor and by its Python worker, each way."""
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, str(rows))
+
+
 #: Rows whose results a task holds at a time.
 ROWS = 1024
 
@@ -104,6 +114,7 @@ def annotate(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str, pa.D
     names = [name for name, _, _ in fields]
     kept = [c for c in df.columns if c not in names]
     at = kept.index(text_col)
+    modest_batches(df.sparkSession)
     plain = plainly_named(df, kept)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + [f"`{name}` {kind}" for name, kind, _ in fields])
 

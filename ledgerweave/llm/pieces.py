@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, in_parts, keep, let_go, named_back, plainly_named
+from .common import documents, in_parts, keep, let_go, modest_batches, named_back, plainly_named
 
 SPACE = "▁"
 #: Stands for a SPACE character of the text itself; lone surrogates do not occur in Spark's texts.
@@ -44,7 +44,9 @@ _OWN_SPACE = "\udc81"
 #: Segmentations per text.
 N_BEST = 3
 #: Words a Python worker remembers, the older half given up when full; results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Words up to this length are searched without cutting them first.
+SHORT_WORD = 40
 #: What an unknown character costs below the least piece score, as in the library.
 UNKNOWN_PENALTY = 10.0
 #: Scores are whole multiples of one part in so many.
@@ -97,10 +99,6 @@ class Lattice:
             raise ValueError("the model has no byte pieces, so unknown characters would be lost")
         scores = log_probabilities({p: model.get_score(i) for p, i in ids.items()})
         self.pieces: dict[str, tuple[int, float]] = {p: (i, scores[p]) for p, i in ids.items()}
-        self.longest = max(map(len, self.pieces))
-        #: every head of a piece; with ((id,), score) if it is a piece itself
-        self.heads = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
-        self.heads |= {p: ((i,), score) for p, (i, score) in self.pieces.items()}
         self.pairs = {p[k:k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
@@ -124,29 +122,18 @@ class Lattice:
         self.ranked: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def forward(self, text: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
-        """Best score of any path to every place, and the (start, score, ids) of the pieces that end there."""
-        n, get, longest = len(text), self.heads.get, self.longest
-        best = [0.0] + [_LEAST] * n
+        """Best score of any path to every place, and the (start, score, ids) of the pieces that end there, longest first."""
+        n, singles = len(text), self.singles
         arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        for end, (size, score, i) in self.finder.iter(text):
+            arcs[end + 1].append((end + 1 - size, score, (i,)))
         for at in range(n):
-            single, here, end = False, best[at], at
-            for end in range(at + 1, min(n, at + longest) + 1):
-                piece = get(text[at:end], self)
-                if piece is self:  # no piece starts like this
-                    break
-                if piece:
-                    ids, gain = piece
-                    arcs[end].append((at, gain, ids))
-                    if end == at + 1:
-                        single = True
-                    gain += here
-                    if gain > best[end]:
-                        best[end] = gain
-            if not single:  # a character without a piece: its UTF-8 bytes
+            if text[at] not in singles:  # a character without a piece: its UTF-8 bytes
                 char = SPACE if text[at] == _OWN_SPACE else text[at]
-                ids = tuple(self.byte_id[b] for b in char.encode("utf-8", "surrogatepass"))
-                arcs[at + 1].append((at, self.unknown, ids))
-                best[at + 1] = max(best[at + 1], here + self.unknown)
+                arcs[at + 1].append((at, self.unknown, tuple(self.byte_id[b] for b in char.encode("utf-8", "surrogatepass"))))
+        best = [0.0] + [_LEAST] * n
+        for end in range(1, n + 1):
+            best[end] = max(best[start] + gain for start, gain, _ in arcs[end])
         return best, arcs
 
     def best_and_gap(self, text: str) -> tuple[list[int], float]:
@@ -246,10 +233,10 @@ class Lattice:
 
     def word(self, word: str) -> bytes:
         """Gap to the second choice and ids of the best segmentation, packed."""
-        parts = self.parts(word)
-        if len(parts) == 1:
-            ids, gap = self.best_and_gap(parts[0])
+        if len(word) <= SHORT_WORD:  # its lattice as a whole: no arc crosses a cut, so the paths are the same
+            ids, gap = self.best_and_gap(word.replace(SPACE, _OWN_SPACE).replace(" ", SPACE))
             return _GAP(gap) + array("i", ids).tobytes()
+        parts = self.parts(word)
         gaps, codes = [], []
         for part in parts:
             found = self.small.get(part)
@@ -339,6 +326,7 @@ def encode_pieces(df: DataFrame, model_path: str | None = None, n_best: int = N_
     repeated results.
     """
     path = model_path or default_model()
+    modest_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go("pieces")
