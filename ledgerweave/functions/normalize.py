@@ -108,6 +108,16 @@ def parse_amount_text(nt: Column | str) -> Column:
     return F.coalesce(s.try_cast(MONEY), F.regexp_replace(s, r"[^0-9.\-]", "").try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
+def unless_plain_amount(raw: str) -> Column:
+    """N1 of the texts that are no number as they stand; null for the others, which need no cleaning."""
+    return F.when(F.col(raw).try_cast(MONEY).isNull(), norm_text(raw))
+
+
+def plain_or_parsed_amount(raw: str, cleaned: str) -> Column:
+    """N5 over a raw column and what ``unless_plain_amount`` made of it."""
+    return F.coalesce(F.col(raw).try_cast(MONEY), parse_amount_text(cleaned))
+
+
 #: Text after the date: a time of day, with or without fractions and zone.
 _TIME = r"[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?( ?[AaPp][Mm])?$"
 

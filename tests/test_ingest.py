@@ -123,3 +123,12 @@ def test_written_stages_can_be_removed(spark, tmp_path):
     spark.range(3).write.parquet(path)
     assert remove(spark, path) and not remove(spark, path)
     assert callable(clean_up)
+
+
+def test_plain_amounts_need_no_cleaning(spark):
+    from ledgerweave.functions import normalize as N
+
+    texts = [None, "", "5", " 5.005 ", "1e3", "1,234.50", "₹12.00", "(100)", "--5", "1.2.3", "nan", "Infinity", " 7.0", "100-", "12.0", "9" * 40, ".5", "+3"]
+    df = spark.createDataFrame([(t,) for t in texts], "x_raw string").withColumn("c", N.unless_plain_amount("x_raw"))
+    got = df.select("x_raw", N.plain_or_parsed_amount("x_raw", "c").alias("a"), N.parse_amount("x_raw").alias("b")).collect()
+    assert all(r.a == r.b for r in got), got
