@@ -696,7 +696,7 @@ def test_sql_twins(spark):
     from ledgerweave.llm.queries import ORACLE
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
     for name, sql in ORACLE.items():
         df = E.queries()[name](spark, SF_SMALL)
