@@ -46,18 +46,24 @@ def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     their B2B lines in two sheets of one trimmed name.  Every tenth order's
     rows end early.  Behind the 2B columns stand two columns without a header:
     a number, and a number that IMPG writes with a letter."""
-    base = D.base_lines(spark, sf_dir)
-    lines = D.b2_landing_unnumbered(base).unionByName(D.impg_landing_unnumbered(base))
+    lines = D.placed_facts(D.line_facts(spark, sf_dir), (D.SHEET_B2B, D.SHEET_CDNR, D.SHEET_IMPG))
     seq = (F.col("ok") % N_FILES).cast("int")
     again = seq.isin(0, 2) & (F.col("sheet") == D.SHEET_B2B) & (F.col("ln") % 2 == 0)
     order = F.when(F.col("sheet") == D.SHEET_B2B, F.lit(0)).when(F.col("sheet") == D.SHEET_CDNR, F.lit(1)).otherwise(F.lit(2))
     lines = lines.select("*", seq.alias("file_seq"), F.when(again, F.lit(3)).otherwise(order).alias("sheet_seq"),
                          F.when(again, F.concat(F.lit(" "), "sheet")).when(seq == 3, F.concat("sheet", F.lit(" ")))
                          .otherwise(F.col("sheet")).alias("name"))
-    numbers = [F.col("ln").cast("string"), F.concat(F.col("ok").cast("string"), F.when(F.col("sheet") == D.SHEET_IMPG, F.lit("D")).otherwise(F.lit("")))]
-    cells = F.array(*[F.col(c) for c in D.B2_COLUMNS], *numbers)
-    lines = lines.withColumn("cells", F.when(F.col("ok") % 10 == 0, F.slice(cells, 1, len(D.B2_COLUMNS) - 2)).otherwise(cells))
-    data = rank_in_group(lines, ["file_seq", "sheet_seq", "name"], D.LINE_ORDER, name="row_no", start=PORTAL_HEADER_HEIGHT + 1)
+
+    def cells(rows: DataFrame) -> DataFrame:
+        """The cells are made of the sorted facts, once, after the exchange."""
+        numbers = [F.col("ln").cast("string"), F.concat(F.col("ok").cast("string"), F.when(F.col("sheet") == D.SHEET_IMPG, F.lit("D")).otherwise(F.lit("")))]
+        all_cells = F.array(*D.b2_sheet_cells(), *numbers)
+        return D.line_values(rows).select("file_seq", "sheet_seq", "name", F.when(
+            F.col("ok") % 10 == 0, F.slice(all_cells, 1, len(D.B2_COLUMNS) - 2)).otherwise(all_cells).alias("cells"))
+
+    # a name belongs to one (file, place), so it needs no place in the sort
+    data = rank_in_group(lines, ["file_seq", "sheet_seq", "name"], D.LINE_ORDER, name="row_no", start=PORTAL_HEADER_HEIGHT + 1,
+                         post=cells, sort_by=["file_seq", "sheet_seq", *D.LINE_ORDER])
     data = data.select("file_seq", "sheet_seq", F.col("name").alias("sheet"), "row_no", "cells")
     template = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("row_no"),
                                   F.array(*[F.lit(v).cast("string") for v in row]).cast("array<string>").alias("cells"))
