@@ -2,8 +2,13 @@
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
+from ledgerweave.functions import normalize as N
 from ledgerweave.plans.reconcile import Run
+from ledgerweave.session import SORT_SPLIT, SPLIT_CONF, sorting_splits
 from ledgerweave.sources import derived as D
+from ledgerweave.sources.scratch import materialize
 
 
 def _tables(spark, path) -> str:
@@ -49,3 +54,31 @@ def test_rows_are_numbered_in_line_order(spark, tmp_path):
         table = run.pr_landing if sheet == "PR" else run.b2_landing.where(f"sheet = '{sheet}'")
         assert sorted(r.row_no for r in table.select("row_no").collect()) == sorted(marked)
     assert {r.inv_date for r in rows if r.ok == 5} == {date(1996, 6, 6)}
+
+
+def test_keys_dates_and_amounts_equal_the_rules_on_odd_texts(spark):
+    """The typed columns equal N2 to N5 stated without short cuts, whatever white space, sign or layout a cell has."""
+    cells = [None, "", " ", "0", "00", "007", "inv/5/24-25", "FY2024-25/8", "20242025/9", "a b", "x y", "é 1", "1,2.00", "₹1,234.5",
+             "-3.005", "05-06-2024", "5-6-2024", "31-02-2024", "01-01-0000", "2024-06-05", "05/06/2024", "05-06-2024 ", "45000", "0　"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    keyed = N.with_invoice_key(df.select("c", N.norm_text("c").alias("t"), N.trimmed("c").alias("d")), "t", "key")
+    day = F.to_date(F.try_to_timestamp("d", F.lit("d-M-yyyy")))
+    got = keyed.select("*", N.norm_invoice("c").alias("n3"), N.drop_ws(F.col("c")).alias("bare"), F.translate("c", N.WS, "").alias("bare2"),
+                       N.amount_of_cell("c").alias("a"), N.parse_amount("c").alias("n5"), N.parse_date("c").cast("string").alias("n4"), day.cast("string").alias("day")).collect()
+    for r in got:
+        assert r["key"] == r["n3"], r
+        assert r["bare"] == r["bare2"], r
+        assert r["a"] == r["n5"], r
+        assert r["day"] is None or r["n4"] == r["day"], r
+
+
+def test_splits_are_small_while_sorted_stages_are_written(spark):
+    before = spark.conf.get(SPLIT_CONF)
+    with sorting_splits(spark):
+        assert spark.conf.get(SPLIT_CONF) == SORT_SPLIT
+    assert spark.conf.get(SPLIT_CONF) == before
+
+
+def test_files_of_a_written_stage_are_bounded(spark):
+    rows = materialize(spark.range(0, 2500, 1, 1), "bounded", rows_per_file=1000)
+    assert len(rows.inputFiles()) == 3 and rows.count() == 2500
