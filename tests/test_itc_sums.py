@@ -1,11 +1,14 @@
-"""The sums behind table 4: three a key and combination of answers."""
+"""The sums behind table 4: three a key and combination of answers, and 2B cells made only where they are asked for."""
 
 import datetime
 from decimal import Decimal
 
 import pytest
 
+from conftest import SF_SMALL
 from ledgerweave.operators import itc
+from ledgerweave.operators import lines as L
+from ledgerweave.plans.reconcile import get_run
 
 DAY = datetime.date(2024, 1, 20)
 LINES = [  # gst_key, inv_key, sheet, is_import, rcm_yes, itc_no, filing_date, inv_date, igst, cgst, sgst
@@ -44,3 +47,23 @@ def test_sums_equal_plain_python(books):
 def test_a_key_sends_three_sums(books):
     per_key = itc.per_key_sums(books[0], "2024-03")
     assert [f.name for f in per_key.schema if f.dataType.typeName() == "decimal"] == itc.TAXES
+
+
+def test_an_amount_of_b2b_needs_no_other_cell(spark):
+    """No projection makes the cell (the filter on blank rows names it, but stops at the first cell that is there)."""
+    plan = get_run(spark, SF_SMALL).b2_lines.where("sheet = 'B2B'").select("cgst")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS filing_period" not in plan and "AS trade_name" not in plan
+
+
+def test_both_forms_of_the_2b_landing_have_the_same_rows(spark):
+    from ledgerweave.sources import derived as D
+
+    lines = get_run(spark, SF_SMALL).lines
+    one, two = D.b2_landing(lines), D.b2_landing(lines, by_sheet=False)
+    assert one.columns == two.columns and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+@pytest.mark.parametrize("text, hit", [("\u2003IMPORT of goods ", True), (" ", False), (None, False), ("Overseas\t", True), ("Local", False)])
+def test_import_wording(spark, text, hit):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(L.is_import(df.t)).first()[0] is hit
