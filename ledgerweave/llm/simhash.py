@@ -133,12 +133,15 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     large group of near copies) is cut into blocks by a hash; every two blocks
     meet in one task, which compares them whole and returns a spanning forest
     of their links, so nothing is lost and no group's pairs are all written.
+    Spark sizes the postings as the fingerprints (an explode counts as one row
+    each), so the join of the thin keys names its kind: neither side is
+    broadcast, whatever the estimate.
     """
     post = postings(fps)
     dense = written(post.groupBy("key").count().where(F.col("count") > BLOCK), "simhash-dense")
     thin = post.join(dense, "key", "left_anti")
     a, b = thin.alias("a"), thin.alias("b")
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp"))
+    near = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp"))
                   & _chain(F.col("a.fp"), F.col("b.fp"), F.col("a.key"), distance))
     near = near.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
