@@ -1,0 +1,19 @@
+"""Work that is done once."""
+
+from pyspark.sql import functions as F
+
+from ledgerweave.sources.scratch import materialize
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while files.hasNext():
+        names.add(files.next().getName())
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_written_stages_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    rows = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "leaves-nothing")
+    assert not _shuffle_files(spark) - before and rows.count() == 7
