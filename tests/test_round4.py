@@ -1,10 +1,31 @@
 """Work that is done once."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from ledgerweave.functions import normalize as N
 from ledgerweave.sources.scratch import materialize
 
 
+MONTHS = {"Jan 2024": (2024, 1), "sep-1997": (1997, 9), "DEC-2024": (2024, 12), "May-2024": (2024, 5), "March 2024": (2024, 3),
+          "June-2024": (2024, 6), "1/2024": (2024, 1), "12-2024": (2024, 12), "2024-02": (2024, 2), "2024/11": (2024, 11),
+          "3 2024": (2024, 3), "2024 Apr": (2024, 4), "2024 April": (2024, 4), "012024": (2024, 1), "202402": (2024, 2),
+          " Jan-2024\n": (2024, 1), "05-01-2024": (2024, 1), "anf 2024": None, "Jan_2024": None, "13/2024": None,
+          "ebm-2024": None, "20245": None, "": None, "total": None}
+
+
+def test_months_and_the_layouts_tried_for_them(spark):
+    rows = spark.createDataFrame([(t,) for t in MONTHS], "t string")
+    got = {r.t: r.d for r in rows.select("t", N.parse_month("t").alias("d")).collect()}
+    assert got == {t: dt.date(*ym, 1) if ym else None for t, ym in MONTHS.items()}
+    # a failed parse costs microseconds: a period takes a layout that can match, and the usual ones take none
+    tried = [F.when(N._may_match(F.col("t"), f), F.lit(1)).otherwise(0) for f in N.MONTH_FORMATS]
+    usual = rows.select("t", sum(tried, F.lit(0)).alias("n"), N._short_month(F.col("t")).isNotNull().alias("short")).collect()
+    of = {r.t: (r.n, r.short) for r in usual}
+    assert of["sep-1997"] == (2, True) and of["Jan 2024"] == (4, True) and of["2024/11"] == (2, False) and of["total"] == (0, False)
+
+
 def _shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
     names = set()
