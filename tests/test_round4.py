@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from ledgerweave.functions import normalize as N
+from ledgerweave.operators import comments as CM
 from ledgerweave.sources.scratch import materialize
 
 
@@ -38,3 +40,12 @@ def test_written_stages_leave_no_shuffle_files(spark):
     before = _shuffle_files(spark)
     rows = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "leaves-nothing")
     assert not _shuffle_files(spark) - before and rows.count() == 7
+
+
+def test_the_report_lists_the_registers_rows_once(spark, monkeypatch):
+    from ledgerweave.plans import queries as Q
+
+    made = []
+    monkeypatch.setattr(CM, "row_numbers_by_key", lambda lines, name, f=CM.row_numbers_by_key: made.append(name) or f(lines, name))
+    assert Q.QUERIES["write_report"](spark, SF_SMALL).count() > 0
+    assert sorted(made) == ["row_number_in_2b", "row_number_in_pr"]
